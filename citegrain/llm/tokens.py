@@ -32,6 +32,10 @@ _BYTE_RULE = f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?{_OTHER}|[{_S}]+(?![^{_S}])|[{_S}]
 _WORD_RULE = f"{_SHORT}|[{_L}]+|[{_N}]|{_OTHER}"
 _WORD_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
+#: The characters that stand for the 256 bytes in byte-level vocabularies: printable ones for themselves, others from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 class Encoder:
     """ids(texts) gives, per text, its ids as little-endian integers of `width` bytes."""
@@ -44,6 +48,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.width = 2 if self.vocabulary <= 1 << 16 else 4
+        self.kind = f"<u{self.width}"
         self.known: dict[str, bytes] = {}
         self.lower = False
         self.rule = self._rule(path)
@@ -71,7 +76,12 @@ class Encoder:
             return not self.odd.search(text)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of pre-tokens, straight from the library's model: they need no further splitting."""
+        tokenize = self.tokenizer.model.tokenize
+        return [np.array([t.id for t in tokenize(w.encode().decode("latin-1").translate(_BYTES))], self.kind).tobytes() for w in words]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
@@ -91,7 +101,7 @@ class Encoder:
         got = list(map(self.known.get, flat))
         new = list({w for w, ids in zip(flat, got) if ids is None})
         if new:
-            self.known.update(zip(new, self._whole(new)))
+            self.known.update(zip(new, self._words(new)))
             got = list(map(self.known.__getitem__, flat))
         at = 0
         for i, found in split:
