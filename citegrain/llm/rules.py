@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import BLANKS, checkpointed, words
+from citegrain.llm.common import BLANKS, checkpointed, stored, words
 
 #: Rules: name, measure (SQL), bad above, good at most; between the two the rule abstains.
 RULES = (
@@ -97,7 +97,7 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", rules=RULES,
     judged each; other columns are not carried, so none can clash. An empty table gives no rows.
     """
     votes = [F.expr(vote(r)).alias(f"v{i}") for i, r in enumerate(rules)]
-    df = measured(docs, text, key).select(key, *MEASURES, *votes)
+    df = stored(measured(docs, text, key).select(key, *MEASURES, *votes), "votes")  # texts are read once; EM and verdicts need a few numbers
     names = [f"v{i}" for i in range(len(rules))]
     patterns = checkpointed(df.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")))
     values = [PRIOR, *(ON_GOOD + ON_BAD) * len(rules)]
