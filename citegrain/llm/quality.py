@@ -1,7 +1,7 @@
 """Quality classifier by positive-unlabelled learning: the non-negative unbiased risk.
 
 Trusted positives and unlabelled texts give the risk  prior * R(positives, 1) + max(0, R(unlabelled, 0) - prior * R(positives, 0)),
-minimised for an additive logistic model over binned style measures. Where the bracket turns negative, the step goes back on it.
+minimised for an additive logistic model over style measures, binned and as they are. Where the bracket turns negative, the step goes back on it.
 The class prior is the share of positives among the labelled training rows. Fitting takes bounded samples (`MAX_ROWS`);
 scoring takes every whole text.
 """
@@ -46,18 +46,24 @@ def measures(text: str | None) -> list[float]:
 @dataclass
 class Model:
     edges: np.ndarray  # measures x (BINS - 1)
-    weights: np.ndarray  # measures x BINS, and the bias last
+    weights: np.ndarray  # measures x BINS, then a slope for each measure, and the bias last
     prior: float
+    centre: np.ndarray  # of the measures, and their spread
+    spread: np.ndarray
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         """Positions of the weights that each row adds up."""
         at = np.stack([np.searchsorted(e, c, "right") for e, c in zip(self.edges, x.T)], axis=1)
         return at + np.arange(len(self.edges)) * BINS
 
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.centre) / self.spread, -3, 3)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros(0)
-        z = self.weights[self.bins(x)].sum(axis=1) + self.weights[-1]
+        k = len(self.edges)
+        z = self.weights[self.bins(x)].sum(axis=1) + self.standard(x) @ self.weights[-k - 1 : -1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -65,18 +71,22 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Adam on the non-negative risk; without positives every text scores the prior."""
     k = unlabelled.shape[1]
     edges = np.quantile(unlabelled, CUTS, axis=0).T
-    model = Model(edges, np.zeros(k * BINS + 1), prior)
+    spread = unlabelled.std(axis=0)
+    size = k * BINS + k + 1
+    model = Model(edges, np.zeros(size), prior, unlabelled.mean(axis=0), np.where(spread > 0, spread, 1.0))
     if not len(positive):
         model.weights[-1] = np.log(prior / (1 - prior))
         return model
-    p, u = model.bins(positive), model.bins(unlabelled)
-    w, m, v = model.weights, np.zeros(k * BINS + 1), np.zeros(k * BINS + 1)
+    p, u = ((model.bins(x), model.standard(x)) for x in (positive, unlabelled))
+    w, m, v = model.weights, np.zeros(size), np.zeros(size)
 
-    def gradient(at: np.ndarray, target: int) -> tuple[float, np.ndarray]:
-        z = w[at].sum(axis=1) + w[-1]
+    def gradient(rows: tuple[np.ndarray, np.ndarray], target: int) -> tuple[float, np.ndarray]:
+        at, x = rows
+        z = w[at].sum(axis=1) + x @ w[-k - 1 : -1] + w[-1]
         s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         d = (s - target) / len(at)
         g = np.bincount(at.ravel(), np.repeat(d, k), minlength=len(w))
+        g[-k - 1 : -1] = x.T @ d
         g[-1] = d.sum()
         return float(np.logaddexp(0, -z if target else z).mean()), g
 

@@ -205,7 +205,7 @@ def test_quality(spark):
     labels = spark.createDataFrame([(i, 1) for i, _ in good[::2]] + [(i, 0) for i, _ in bad[::2]] + [(None, 1), (1, None), (9999, 1)], "doc_id long, quality int")
     model = quality.train(df, labels, training=F.col("doc_id") % 5 != 0)
     got = df.select("doc_id", quality.score(F.col("text"), model).alias("s")).toPandas().set_index("doc_id")["s"]
-    assert got.between(0, 1).all() and (got.loc[:999] >= 0.3).all() and (got.loc[1000:4999] < 0.3).mean() > 0.95
+    assert got.between(0, 1).all() and got.loc[:999].min() > 0.5 and got.loc[1000:4999].max() < 0.3
     assert quality.train(df.limit(0), labels, training=F.lit(True)).score(np.zeros((1, len(quality.measures(""))))).shape == (1,)
 
 
