@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import binary, langid, mixing, packing, quality, simhash
+from citegrain.llm import binary, copies, langid, mixing, packing, quality
 from citegrain.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document of the least id."""
-    found = simhash.near_duplicates(docs)
+    """Of each group of near copies (similarity 0.8 on five-word shingles), the document of the least id."""
+    found = copies.near_copies(docs)
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
 
