@@ -1,38 +1,33 @@
-"""Scores of texts by a smoothed trigram model, beside add-one unigrams.
+"""Scores of texts by a smoothed trigram model of all training words, beside add-one unigrams.
 
-The trigram model's symbols are the frequent words (at most 1 / SHARE of them), one class for all rarer words, and the end. Within
-the class a word of count c has (c - D) / C, C the class's tokens, and what the discount D frees is the unknown words'. Both parts are
-counted over all training texts. The trie of the symbols' n-grams is one file that every machine maps; the rare words' counts,
-which grow with the corpus, are joined to the texts' words by shuffle, as those of the unigrams are.
+Witten-Bell smoothing, from trigrams to bigrams to unigrams to one share for each known word and one for all unknown ones. Texts are
+gathered by chunks. Each chunk sends its distinct n-grams, with their training counts, to ranges of context hashes; a range counts
+what all chunks sent and answers each of them. Ranges grow in number with the corpus, not in size; nothing is brought to the driver.
+Words are told apart by 48-bit hashes (a pair in 500 corpora of a million words collides), contexts by 64 bits.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-from itertools import repeat
 from math import log10
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import SparkFiles
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import chunks, new_table, stored
-from citegrain.llm.trie import Trie, build, save, streams
+from citegrain.llm.common import chunks, new_table
 
 ORDER = 3
-#: Least share of all training tokens of a frequent word.
-SHARE = 1e-3
-#: Symbols besides the frequent words.
-START, END, RARE = range(3)
+#: Stand for hashes of words: before a text, its end, and what follows that.
+START, END, AFTER = range(1, 4)
+#: N-grams of a range, about.
+_SPAN = 1 << 20
 _CHUNK = 1 << 22
-_HELD = 1 << 21
-_PARTS = "kind int, chunk long, ord int, doc_id long, h long, train boolean, n long, word binary, rows binary, times binary"
-_FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("train", pa.bool_()), ("n", pa.int64()), ("word", pa.binary()), ("rows", pa.binary()), ("times", pa.binary())]
+_PARTS = "kind int, chunk long, ord int, doc_id long, train boolean, n long, word binary, rows binary, times binary"
+_FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n", pa.int64()), ("word", pa.binary()), ("rows", pa.binary()), ("times", pa.binary())]
+_MAIL = "kind int, chunk long, bucket long, x binary, y binary"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -45,159 +40,225 @@ def _rows(size: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [k for k, _ in _FIELDS])
 
 
-def _slices(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """Binary values cut from one buffer."""
-    offsets = np.concatenate([[0], ends * data.itemsize]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+def _packed(x: np.ndarray) -> bytes:
+    """An array as bytes: 6 of each hash, 8 of each count, compressed."""
+    data = np.ascontiguousarray(x)
+    if data.dtype == np.uint64:
+        data = np.ascontiguousarray(data.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    return data.nbytes.to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)
+
+
+def _opened(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8 if kind == "<u8" else kind)
+    if kind != "<u8":
+        return raw
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """One pass over docs (doc_id, t, h, train): per chunk of texts its documents (kind 0), and each word's documents and times (kind 1)."""
+    """One pass over docs (doc_id, t, train): per chunk of texts its documents (kind 0), and all texts as codes of
+    its words, with the words' hashes and twice each text's length plus whether it is for training (kind 2)."""
 
     def run(batches):
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            keys, hashes, train, at = batch.column("doc_id"), batch.column("h"), np.array(batch.column("train")), 0
+            keys, train, at = batch.column("doc_id"), np.array(batch.column("train")), 0
             for texts in chunks((x.as_py() for x in batch.column("t")), _CHUNK):
                 m, own = len(texts), slice(at, at + len(texts))
                 w = [tokens(x) for x in texts]
                 size = np.array([len(x) for x in w])
-                yield _rows(m, kind=[0] * m, chunk=[chunk] * m, ord=np.arange(m, dtype=np.int32), doc_id=keys.slice(at, m), h=hashes.slice(at, m), train=train[own], n=size + 1)
+                yield _rows(m, kind=[0] * m, chunk=[chunk] * m, ord=np.arange(m, dtype=np.int32), doc_id=keys.slice(at, m), train=train[own], n=size + 1)
+                code, word = np.zeros(0, int), []
                 if size.sum():
                     code, word = pd.factorize(np.array([x for y in w for x in y], object))
-                    doc = np.repeat(np.arange(m), size)
-                    pair, times = np.unique(code * m + doc, return_counts=True)
-                    code, doc = pair // m, pair % m
-                    ends = np.searchsorted(code, np.arange(len(word)), "right")
-                    n = np.bincount(code, times * train[own][doc], minlength=len(word)).astype(np.int64)
-                    for i in range(0, len(word), 50_000):
-                        j = min(len(word), i + 50_000)
-                        a, b = int(ends[i - 1]) if i else 0, int(ends[j - 1])
-                        yield _rows(j - i, kind=[1] * (j - i), chunk=[chunk] * (j - i), n=n[i:j], word=list(word[i:j]), rows=_slices(doc[a:b].astype("<u4"), ends[i:j] - a), times=_slices(times[a:b].astype("<u4"), ends[i:j] - a))
+                yield _rows(1, kind=[2], chunk=[chunk], word=[_packed(np.array([xxhash.xxh64_intdigest(x) >> 16 for x in word], np.uint64))], rows=[_packed(code.astype("<u4"))], times=[_packed((size << 1 | train[own]).astype("<u4"))])
                 at += m
                 chunk += 1
 
     path = new_table(docs.sparkSession, "gathered")
-    docs.select("doc_id", "t", "h", "train").mapInArrow(run, _PARTS).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    docs.select("doc_id", "t", "train").mapInArrow(run, _PARTS).write.option("compression", "zstd").partitionBy("kind").parquet(path)
     return docs.sparkSession.read.schema(_PARTS).parquet(path)
 
 
-def counted(docs: DataFrame, symbols: dict[bytes, int], order: int) -> DataFrame:
-    """(gram, n) over docs (t, train): n-grams of symbols, summed in each task before they are sent."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def sums():
-            each, back = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-            return each, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
-
-        def sent(each, n):
-            return pa.RecordBatch.from_arrays([pa.array(each.astype(np.int64)), pa.array(n)], ["gram", "n"])
-
-        for batch in batches:
-            for texts in chunks((x.as_py() for x in batch.column("t")), _CHUNK):
-                held.append(np.unique(streams(_symbols(texts, symbols), order, START, END)[0], return_counts=True))
-                if sum(len(g) for g, _ in held) > _HELD:
-                    held = [sums()]
-                    if len(held[0][0]) > _HELD // 2:
-                        yield sent(*held.pop())
-        if held:
-            yield sent(*sums())
-
-    return docs.where("train").select("t").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of two."""
+    h = (a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
 
 
-def _symbols(texts: list[str], symbols: dict[bytes, int]) -> list[list[int]]:
-    return [list(map(symbols.get, w, repeat(RARE))) for w in map(tokens, texts)]
+class Chunk:
+    """The n-grams of a chunk of texts, from its row of gather()'s table. Each text is START twice, its words, END and AFTER.
 
+    So an n-gram's first two symbols are a context, and the count of its last two is that of the next n-gram's context.
+    """
 
-def model_file(grams: DataFrame, order: int, symbols: int) -> str:
-    """Builds the trie from (gram, n) and gives it to every machine; its file's name. The driver gets distinct n-grams of `symbols` symbols."""
-    pdf = grams.toPandas().sort_values("gram")
-    name = f"trie-{uuid.uuid4().hex}"
-    path = f"{tempfile.mkdtemp()}/{name}"
-    save(build(pdf["gram"].to_numpy(), pdf["n"].to_numpy(), order, symbols), path)
-    grams.sparkSession.sparkContext.addFile(path)
-    return name
+    def __init__(self, word: bytes, rows: bytes, times: bytes, ranges: int):
+        hashes, code, size = _opened(word, "<u8"), _opened(rows, "<u4").astype(np.int64), _opened(times, "<u4")
+        self.symbols = np.concatenate([np.array([START, END, AFTER], np.uint64), hashes])
+        train, size = size & 1 > 0, (size >> 1).astype(np.int64)
+        begin = np.cumsum(size + 4) - size - 4
+        line = np.full(int((size + 4).sum()), -1)
+        line[begin] = line[begin + 1] = 0
+        line[begin + size + 2], line[begin + size + 3] = 1, 2
+        line[line < 0] = code + 3
+        place = np.ones(len(line), bool)
+        place[begin] = place[begin + 1] = False
+        at = np.flatnonzero(place)
+        self.before, self.last = line[at - 1], line[at]
+        self.doc, self.docs = np.repeat(np.arange(len(size)), size + 2), len(size)
+        m = len(self.symbols)
+        pair, context = np.unique(line[at - 2] * m + self.before, return_inverse=True)
+        gram, back = np.unique(context * m + self.last, return_inverse=True)
+        pair = pair[gram // m]
+        a, b, c = (self.symbols[x] for x in (pair // m, pair % m, gram % m))
+        self.n = np.bincount(back, train[self.doc], len(gram)).astype(np.int64)
+        bucket = (_mixed(a, b) % np.uint64(ranges)).astype(np.int64)
+        turn = np.argsort(bucket, kind="stable")
+        self.abc, self.n, self.bucket = np.stack([a, b, c])[:, turn], self.n[turn], bucket[turn]
+        self.back = np.argsort(turn)[back]
+        wanted = np.delete(self.symbols, [1, 2])
+        bucket = (_mixed(wanted, wanted) % np.uint64(ranges)).astype(np.int64)
+        self.turn = np.argsort(bucket, kind="stable")
+        self.wanted, self.word_bucket = wanted[self.turn], bucket[self.turn]
+
+    def log10(self, found: np.ndarray, words: np.ndarray, figures: dict) -> list[np.ndarray]:
+        """Of each text its known words, and the sums of log10 probabilities by unigrams and by n-grams: found holds each n-gram's count, its context's count and kinds; words those of each word."""
+        n, seen, kinds = found[:, self.back].astype(float)
+        own = np.zeros((2, len(self.symbols)))
+        own[:, np.delete(np.arange(len(self.symbols)), [1, 2])[self.turn]] = words
+        count, v = own[0].copy(), figures["distinct"]
+        count[1] = figures["ends"]
+        keep = np.flatnonzero(self.last != 2)
+        pairs, n, seen, kinds = seen[keep + 1], n[keep], seen[keep], kinds[keep]
+        p = (count[self.last[keep]] + v / (v + 1)) / (figures["total"] + v) if v else np.ones(len(keep))
+        for times, whole, others in ((pairs, own[0][self.before[keep]], own[1][self.before[keep]]), (n, seen, kinds)):
+            p = np.where(whole > 0, (times + others * p) / np.maximum(whole + others, 1), p)
+        doc, times = self.doc[keep], count[self.last[keep]]
+        unigram = np.log10(times + 1) - log10(figures["total"] + v + 1)
+        return [np.bincount(doc, x, self.docs) for x in (times > 0, unigram, np.log10(p))]
+
+
+def _sent(kind: int, chunk: int, bucket: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+    """A row for each run of one bucket, with its part of every array."""
+    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
+    parts = [[_packed(x[..., i:j]) for i, j in zip(cut, cut[1:])] for x in values]
+    parts += [[None] * (len(cut) - 1)] * (2 - len(parts))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([kind] * (len(cut) - 1), [chunk] * (len(cut) - 1), bucket[cut[:-1]], *parts), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "chunk", "bucket", "x", "y"])
+
+
+def _groups(batches, by: str):
+    """(value, rows) of runs of rows (kind, chunk, bucket, x, y, ...) alike in `by`; rows stand by it."""
+    last, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[by] != last:
+                yield last, held
+                held = []
+            last = row[by]
+            held.append(row)
+    if held:
+        yield last, held
+
+
+def requests(parts: DataFrame, ranges: int) -> DataFrame:
+    """Of each chunk, for each range, its distinct n-grams with their training counts (kind 1), and its words (kind 2)."""
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                c = Chunk(row["word"], row["rows"], row["times"], ranges)
+                yield _sent(1, row["chunk"], c.bucket, c.abc, c.n)
+                yield _sent(2, row["chunk"], c.word_bucket, c.wanted)
 
-@lru_cache(maxsize=2)
-def _trie(name: str) -> Trie:
-    return Trie(SparkFiles.get(name))
+    return parts.where("kind = 2").select("chunk", "word", "rows", "times").mapInArrow(run, _MAIL)
 
 
-def scored(docs: DataFrame, name: str, symbols: dict[bytes, int]) -> DataFrame:
-    """(doc_id, h, score) of docs (doc_id, t, h): of their symbols."""
+def counted(asked: DataFrame, ranges: int) -> DataFrame:
+    """Answers to the requests of n-grams (kind 1: counts, contexts' counts, contexts' kinds) and each range's part of its contexts' first words' (kind 3)."""
 
     def run(batches):
-        trie = _trie(name)
-        for batch in batches:
-            score = []
-            for texts in chunks((x.as_py() for x in batch.column("t")), _CHUNK):
-                gram, owner = streams(_symbols(texts, symbols), trie.order, START, END)
-                score.append(np.bincount(owner, trie.log10(gram), minlength=len(texts)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(np.concatenate(score or [np.zeros(0)]), pa.float64())], ["doc_id", "h", "score"])
-
-    return docs.select("doc_id", "t", "h").mapInArrow(run, "doc_id long, h long, score double")
+        for bucket, rows in _groups(batches, "bucket"):
+            n = [_opened(r["y"], "<i8") for r in rows]
+            size, n = np.array([len(x) for x in n]), np.concatenate(n)
+            a, b, c = np.concatenate([_opened(r["x"], "<u8").reshape(3, -1) for r in rows], axis=1)
+            pair = _mixed(a, b)
+            _, first, at = np.unique(pair, return_index=True, return_inverse=True)
+            _, lead, back = np.unique(_mixed(pair, c), return_index=True, return_inverse=True)
+            times = np.bincount(back, n).astype(np.int64)
+            seen, kinds = np.bincount(at, n).astype(np.int64), np.bincount(at[lead], times > 0, len(first)).astype(np.int64)
+            found = np.stack([times[back], seen[at], kinds[at]])
+            for r, i, j in zip(rows, np.cumsum(size) - size, np.cumsum(size)):
+                yield _sent(1, r["chunk"], np.full(j - i, bucket), found[:, i:j])
+            ours = (seen > 0) & ~((a[first] == START) & (b[first] == START))
+            word, back = np.unique(a[first][ours], return_inverse=True)
+            values = np.stack([np.bincount(back, seen[ours], len(word)), np.bincount(back, minlength=len(word))]).astype(np.int64)
+            place = (_mixed(word, word) % np.uint64(ranges)).astype(np.int64)
+            turn = np.argsort(place, kind="stable")
+            yield _sent(3, -1, place[turn], word[turn], values[:, turn])
+
+    return asked.where("kind = 1").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MAIL)
+
+
+def followed(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Answers to the requests of words (kind 2): how often they were followed in training, and by how many symbols."""
 
+    def run(batches):
+        for bucket, rows in _groups(batches, "bucket"):
+            ours = [r for r in rows if r["kind"] == 3]
+            word, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_opened(r["x"], "<u8") for r in ours)]), return_inverse=True)
+            values = np.concatenate([np.zeros((2, 0), np.int64), *(_opened(r["y"], "<i8").reshape(2, -1) for r in ours)], axis=1)
+            sums = np.stack([np.bincount(back, x, len(word)) for x in values]).astype(np.int64)
+            sums = np.concatenate([sums, np.zeros((2, 1), np.int64)], axis=1)
+            for r in rows:
+                if r["kind"] == 2:
+                    want = _opened(r["x"], "<u8")
+                    at = np.searchsorted(word, want)
+                    known = np.append(word, np.uint64(0))[at] == want
+                    yield _sent(2, r["chunk"], np.full(len(want), bucket), sums[:, np.where(known, at, len(word))])
 
-def unigrams(parts: DataFrame, share: float = SHARE) -> tuple[DataFrame, dict, list[bytes]]:
-    """Counts (word, c) of the training words; figures of the corpus; the words with at least `share` of all training tokens."""
-    docs, words = parts.where("kind = 0"), parts.where("kind = 1")
-    total, ends = docs.where("train").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "words")
-    often = F.col("c") >= F.lit(share * total)
-    frequent = sorted(bytes(r[0]) for r in counts.where(often).select("word").collect())  # 1 / share at most
-    c, v, once, twice = counts.where(~often).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = once / (once + 2 * twice) if 0 < once else 0.5
-    figures = {"total": total, "ends": ends, "distinct": v + len(frequent) + (ends > 0), "rare": c, "discount": min(discount, 0.95), "unknown": log10(min(discount, 0.95) * v / c) if c else 0.0, "least": share * total}
-    return counts, figures, frequent
+    return asked.where("kind = 2").unionByName(found.where("kind = 3")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MAIL)
 
 
-def base(parts: DataFrame, counts: DataFrame, figures: dict) -> DataFrame:
-    """(doc_id, h, train, n_tokens, n_known, train_tokens, base_score, rare_score) from gather()'s table."""
-    docs, words = parts.where("kind = 0"), parts.where("kind = 1")
-    total, ends, distinct, rare = (figures[k] for k in ("total", "ends", "distinct", "rare"))
-    discount, unknown, least = (figures[k] for k in ("discount", "unknown", "least"))
+def distinct(found: DataFrame) -> int:
+    """The distinct words of the ranges' parts (kind 3)."""
 
     def run(batches):
-        held, size = [], 0
+        for _, rows in _groups(batches, "bucket"):
+            word = np.unique(np.concatenate([_opened(r["x"], "<u8") for r in rows]))
+            yield pa.RecordBatch.from_arrays([pa.array([int((word != START).sum())])], ["n"])
+
+    parts = found.where("kind = 3").repartition("bucket").sortWithinPartitions("bucket")
+    return parts.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def scored(parts: DataFrame) -> DataFrame:
+    """(chunk, ord, train_tokens, n_known, base_score, score) of the texts of gather()'s table, by the n-grams of all training words."""
+    sums = F.sum("n"), F.sum(F.when(F.col("train"), F.col("n"))), F.count(F.when(F.col("train"), 1))
+    size, total, ends = parts.where("kind = 0").agg(*(F.coalesce(x, F.lit(0)) for x in sums)).first()
+    ranges = max(1, -(-size // _SPAN))
+    asked = requests(parts, ranges)
+    path = new_table(parts.sparkSession, "ngrams")
+    counted(asked, ranges).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    found = parts.sparkSession.read.schema(_MAIL).parquet(path)
+    figures = {"total": total, "ends": ends, "distinct": distinct(found) + (ends > 0)}
+    own = parts.where("kind = 2").select(F.lit(0).alias("kind"), "chunk", F.lit(0).cast("long").alias("bucket"), F.col("word").alias("x"), F.col("rows").alias("y"), F.col("times").alias("z"))
+    mail = own.unionByName(found.where("kind = 1").unionByName(followed(asked, found)), allowMissingColumns=True)
 
-        def sums():
-            chunk, row, *values = (np.concatenate(x) for x in zip(*held))
-            turn = np.lexsort((row, chunk))
-            chunk, row = chunk[turn], row[turn]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(chunk) != 0) | (np.diff(row) != 0)]))
-            return pa.RecordBatch.from_arrays([pa.array(chunk[first]), pa.array(row[first].astype(np.int32)), *(pa.array(np.add.reduceat(x[turn], first)) for x in values)], ["chunk", "ord", "s", "k", "q"])
+    def run(batches):
+        for chunk, rows in _groups(batches, "chunk"):
+            c = Chunk(rows[0]["x"], rows[0]["y"], rows[0]["z"], ranges)
+            answers = [np.concatenate([_opened(r["x"], "<i8").reshape(k, -1) for r in rows if r["kind"] == kind], axis=1) for kind, k in ((1, 3), (2, 2))]
+            known, base, score = c.log10(*answers, figures)
+            columns = [np.full(c.docs, chunk), np.arange(c.docs, dtype=np.int32), np.full(c.docs, total), known.astype(np.int64), base, score]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["chunk", "ord", "train_tokens", "n_known", "base_score", "score"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch.column("rows").to_pylist()
-            row = np.frombuffer(b"".join(rows), "<u4").astype(np.int64)
-            times = np.frombuffer(b"".join(batch.column("times").to_pylist()), "<u4").astype(np.int64)
-            n = np.array([len(x) // 4 for x in rows])
-            c = np.array(batch.column("c"), float)
-            part = np.where(c < least, np.log10(np.maximum(c - discount, 1e-9) / max(rare, 1)) - unknown, -unknown)  # over what an unknown word has
-            held.append((np.repeat(np.array(batch.column("chunk")), n), row, times * np.repeat(np.log10(c + 1.0), n), times, times * np.repeat(part, n)))
-            size += len(row)
-            if size > _HELD:
-                yield sums()
-                held, size = [], 0
-        if held:
-            yield sums()
-
-    found = words.select("word", "chunk", "rows", "times").join(counts, "word").select("chunk", "c", "rows", "times")
-    found = found.mapInArrow(run, "chunk long, ord int, s double, k long, q double").groupBy("chunk", "ord").agg(F.sum("s").alias("s"), F.sum("k").alias("k"), F.sum("q").alias("q"))
-    whole = docs.select("chunk", "ord", "doc_id", "h", "train", "n").join(found, ["chunk", "ord"], "left")
-    return whole.select(
-        "doc_id", "h", "train", F.col("n").alias("n_tokens"), (F.coalesce("k", F.lit(0)) + F.lit(int(ends > 0))).cast("long").alias("n_known"), F.lit(int(total)).alias("train_tokens"),
-        (F.coalesce("s", F.lit(0.0)) + F.lit(log10(ends + 1)) - F.col("n") * F.lit(log10(total + distinct + 1))).alias("base_score"),
-        (F.coalesce("q", F.lit(0.0)) + (F.col("n") - 1) * F.lit(unknown)).alias("rare_score"),
-    )
+    return mail.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, "chunk long, ord int, train_tokens long, n_known long, base_score double, score double")
 
 
 def score(docs: DataFrame, *, training: Column, text: str = "text", key: str = "doc_id", order: int = ORDER) -> DataFrame:
@@ -207,12 +268,9 @@ def score(docs: DataFrame, *, training: Column, text: str = "text", key: str = "
     are not carried. Without training texts every symbol is equally likely.
     """
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("t"), F.xxhash64(t).alias("h"), F.coalesce(training, F.lit(False)).alias("train"))
+    if order != ORDER:
+        raise ValueError(f"the model counts n-grams of {ORDER} words")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("t"), F.coalesce(training, F.lit(False)).alias("train"))
     parts = gather(rows)
-    counts, figures, frequent = unigrams(parts)
-    symbols = {w: RARE + 1 + i for i, w in enumerate(frequent)}
-    name = model_file(counted(rows, symbols, order), order, RARE + 1 + len(symbols))
-    known = base(parts, counts, figures).dropDuplicates(["doc_id", "h"]).withColumnsRenamed({"doc_id": "b_id", "h": "b_h"})
-    found = scored(rows, name, symbols)
-    found = found.join(known, F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("h") == F.col("b_h")))
-    return found.select("doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", (F.col("score") + F.col("rare_score")).alias("score"))
+    found = parts.where("kind = 0").join(scored(parts), ["chunk", "ord"])
+    return found.select("doc_id", "train", F.col("n").alias("n_tokens"), "n_known", "train_tokens", "base_score", "score")

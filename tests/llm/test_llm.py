@@ -183,6 +183,30 @@ def test_language_model(spark, docs):
     assert lm.score(df.limit(0), training=train).count() == 0
 
 
+def test_language_model_counts_the_n_grams_of_all_words(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(0, 60)) % 3000) for _ in range(120)]
+    texts += [texts[3], "one two three four five six", "one two three four five six", "", "w1 never seen"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lm, "_SPAN", 200)
+    got = {r["doc_id"]: r["score"] for r in lm.score(df, training=F.col("doc_id") % 5 != 0).collect()}
+    lines = [["<", "<", *x.split(), ">"] for x in texts]
+    seen = [{} for _ in range(3)]
+    for i, x in enumerate(lines):
+        for j in range(2, len(x)) if i % 5 else ():
+            for n in range(3):
+                after = seen[n].setdefault(tuple(x[j - n : j]), {})
+                after[x[j]] = after.get(x[j], 0) + 1
+
+    def p(context, word):
+        after = seen[len(context)].get(context, {})
+        lower = p(context[1:], word) if context else 1 / (len(seen[0][()]) + 1)
+        return (after.get(word, 0) + len(after) * lower) / (sum(after.values()) + len(after)) if after else lower
+
+    for i, x in enumerate(lines):
+        assert got[i] == pytest.approx(sum(np.log10(p(tuple(x[j - 2 : j]), x[j])) for j in range(2, len(x))), rel=1e-9), i
+
+
 def test_trigram_probabilities_add_up(tmp_path):
     from citegrain.llm.trie import BITS, Trie, build, save
 
