@@ -101,7 +101,7 @@ def build(grams: np.ndarray, counts: np.ndarray, order: int, symbols: int) -> di
         prob[n] = (1 - bow[parent]) * seen[n] / np.maximum(whole[parent], 1) + bow[parent] * lower
         out[f"p{n}"], out[f"pt{n}"] = quantised(np.log10(prob[n]))
         out[f"b{n - 1}"], out[f"bt{n - 1}"] = quantised(np.log10(bow))
-        out[f"s{n}"] = last.astype(np.uint8) if n == 1 else rank[((keys >> bits) & np.uint64(255)).astype(int), last]
+        out[f"s{n}"] = last.astype(np.uint16) if n == 1 else rank[((keys >> bits) & mask).astype(int), last]
         first = np.searchsorted(parent, np.arange(size + 1))
         out |= {f"ef{n}.{k}": v for k, v in elias_fano(first).items()}
     return out

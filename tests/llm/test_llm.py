@@ -222,6 +222,32 @@ def test_trigram_probabilities_add_up(tmp_path):
         assert abs(p.sum() - 1) < 0.05
 
 
+def test_trie_of_more_than_256_symbols_is_that_of_brute_force(tmp_path):
+    from citegrain.llm.trie import BITS, Trie, build, save
+
+    rng = np.random.default_rng(1)
+    symbols = 600
+    seq = rng.integers(0, symbols, 3000).tolist() * 2
+    grams = list(zip(seq, seq[1:], seq[2:]))
+    each, n = np.unique([(a << 2 * BITS) | (b << BITS) | c for a, b, c in grams], return_counts=True)
+    save(build(each, n, 3, symbols), str(tmp_path / "t"))
+    seen = [{} for _ in range(3)]
+    for g in grams:
+        for k in range(3):
+            after = seen[k].setdefault(g[2 - k : 2], {})
+            after[g[2]] = after.get(g[2], 0) + 1
+
+    def p(context, c):
+        after = seen[len(context)].get(context, {})
+        lower = p(context[1:], c) if context else 1 / symbols
+        return (after.get(c, 0) + len(after) * lower) / (sum(after.values()) + len(after)) if after else lower
+
+    asked = [g for g in grams[:2000] if max(g) > 256]
+    got = Trie(str(tmp_path / "t")).log10(np.array([(a << 2 * BITS) | (b << BITS) | c for a, b, c in asked], np.uint64))
+    want = np.log10([p(g[:2], g[2]) for g in asked])
+    assert np.quantile(abs(got - want), 0.98) < 0.05  # codes of one byte are coarse at the ends
+
+
 def test_quality(spark):
     good = [(i, sentence(i, 80)) for i in range(200)]
     bad = [(1000 + i, " ".join(w.upper() + "!!" for w in sentence(i, 80).split())) for i in range(60)]
