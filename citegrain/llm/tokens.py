@@ -2,7 +2,8 @@
 
 A byte-level or word BPE encodes each pre-token on its own. For texts of characters below U+0300 (where no
 normalisation form differs) the split is a plain regular expression, so each distinct pre-token is encoded once by
-the library and looked up afterwards. Every other text, and every file with other rules, goes whole to the library.
+the library and looked up afterwards. Every other text, every text that may hold an added token (a special one such as
+<|endoftext|> included), and every file with other rules, goes whole to the library, whose defaults hold.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.width = 2 if self.vocabulary <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
@@ -53,6 +53,13 @@ class Encoder:
         self.lower = False
         self.rule = self._rule(path)
         self.odd = re.compile(f"[^\\x00-{chr(_SIMPLE - 1)}]|İ")
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [x.content for x in added if not x.normalized]
+        self.added_normal = [x.content.lower() for x in added if x.normalized]
+
+    def _special(self, text: str) -> bool:
+        """Whether the text may hold an added token."""
+        return any(x in text for x in self.added) or (bool(self.added_normal) and any(x in text.lower() for x in self.added_normal))
 
     def _rule(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -88,7 +95,7 @@ class Encoder:
         split: list[tuple[int, list[str]]] = []
         whole: list[int] = []
         for i, text in enumerate(texts):
-            if self.rule is None or not self._simple(text):
+            if self.rule is None or not self._simple(text) or self._special(text):
                 whole.append(i)
             else:
                 split.append((i, self.rule.findall(text.lower() if self.lower else text)))

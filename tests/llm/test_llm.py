@@ -28,6 +28,17 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA).cache()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_tokens_are_those_of_the_plain_library(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    added = [x.content for x in plain.get_added_tokens_decoder().values()]
+    texts = [f"{a} hi" for a in added] + [f"hi{a}there {a}" for a in added] + [a.upper() for a in added] + ["<|endoftext", "hi there"]
+    e = tokens.Encoder(public_tokenizers.path(name))
+    assert [np.frombuffer(x, e.kind).tolist() for x in e.ids(texts)] == [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("name,end", [("word_bpe_49k.json", 2), ("byte_bpe_50k.json", 0)])
 def test_tokens_are_the_library_s(name, end):
     e = tokens.Encoder(public_tokenizers.path(name))
