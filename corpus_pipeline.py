@@ -31,10 +31,11 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity 0.8 on five-word shingles), the document of the least id."""
-    found = copies.near_copies(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi")
+    """Of each group of near copies (similarity 0.8 on five-word shingles), exactly one row: of the least id, a null id only where all are null."""
+    rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = copies.near_copies(rows, key="row").join(rows.select("row", "doc_id"), "row")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -319,3 +319,14 @@ def test_pipeline_keeps_one_of_each_group(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert 100 not in set(got["doc_id"]) and 101 not in set(got["doc_id"]) and len(set(got["doc_id"])) > 50
     assert got.groupby("sequence_id")["length"].sum().max() <= packing.SIZE
+
+
+def test_near_duplicates_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (sentence(i, 90) for i in range(4))
+    rows = [(None, a), (5, b), (5, b), (None, b), (7, b), (None, c), (None, c), (8, d), (8, d + " more"), (8, a.upper())]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([(8, a.upper()), (5, b), (None, c), (8, got_d := next(x for k, x in got if k == 8 and x.startswith(d)))], key=str)
+    assert got_d in (d, d + " more")
