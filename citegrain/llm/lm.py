@@ -1,14 +1,20 @@
-"""Scores of texts by a smoothed trigram model of all training words, beside add-one unigrams.
+"""Scores of texts by Elias-Fano tries of the trigrams of all training words, beside add-one unigrams.
 
-Witten-Bell smoothing, from trigrams to bigrams to unigrams to one share for each known word and one for all unknown ones. Texts are
-gathered by chunks. Each chunk sends its distinct n-grams, with their training counts, to ranges of context hashes; a range counts
-what all chunks sent and answers each of them. Ranges grow in number with the corpus, not in size; nothing is brought to the driver.
-Words are told apart by 48-bit hashes (a pair in 500 corpora of a million words collides), contexts by 64 bits.
+Witten-Bell smoothing, from trigrams to pairs to words to one share for each known word and one for all unknown ones. Texts are gathered by
+chunks. Each chunk sends its distinct trigrams, with their training counts, to ranges of first words; a range builds its trie
+(trie.py) of what all chunks counted, maps it into memory and answers every chunk by look-ups; chunks then put the shares together.
+Ranges grow in number with the corpus, not in size. A word of more than half a range's trigrams is split by the word after it into
+several ranges, and only its totals are added up and sent to all. Words are told apart by 48-bit hashes (a pair in 500 corpora of a million words collides).
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 from math import log10
+from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -17,17 +23,24 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import chunks, new_table
+from citegrain.llm.common import chunks, new_table, shared_dir
+from citegrain.llm.trie import VALUES, Trie, build, mapped, save
 
 ORDER = 3
-#: Stand for hashes of words: before a text, its end, and what follows that.
-START, END, AFTER = range(1, 4)
-#: N-grams of a range, about.
-_SPAN = 1 << 20
-_CHUNK = 1 << 22
-_PARTS = "kind int, chunk long, ord int, doc_id long, train boolean, n long, word binary, rows binary, times binary"
-_FIELDS = [("kind", pa.int32()), ("chunk", pa.int64()), ("ord", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n", pa.int64()), ("word", pa.binary()), ("rows", pa.binary()), ("times", pa.binary())]
-_MAIL = "kind int, chunk long, bucket long, x binary, y binary"
+#: Stand for hashes: before a text, its end, and what follows that.
+START, END, AFTER = range(3)
+#: Trigrams of a range, about.
+SPAN = 1 << 20
+#: Characters of a chunk.
+CHUNK = 1 << 23
+#: Frequent words that messages name by two bytes; words listed as candidates by a task have at least this share of its tokens.
+FREQUENT, SHARE = (1 << 16) - 1, 1e-6
+#: Words that are split into ranges, at most; the next ones of a corpus so large fill a range somewhat over its span.
+SPLIT = 1_000_000
+_RARE = np.uint64(1 << 48)
+_GATHERED = "chunk long, doc_ids array<long>, n long, train_n long, word binary, code binary, size binary"
+_MAIL = "kind int, chunk long, bucket long, x array<binary>"
+_SCORED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def tokens(text: str) -> list[bytes]:
@@ -35,32 +48,26 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def _rows(size: int, **columns) -> pa.RecordBatch:
-    arrays = [columns[k] if isinstance(columns.get(k), pa.Array) else pa.nulls(size, t) if k not in columns else pa.array(columns[k], t) for k, t in _FIELDS]
-    return pa.RecordBatch.from_arrays(arrays, [k for k, _ in _FIELDS])
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as compressed byte planes, the empty ones left out."""
+    x = np.ascontiguousarray(x).astype("<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    raw = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return len(x).to_bytes(5, "little") + bytes([width]) + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _packed(x: np.ndarray) -> bytes:
-    """An array as bytes: 6 of each hash, 8 of each count, compressed."""
-    data = np.ascontiguousarray(x)
-    if data.dtype == np.uint64:
-        data = np.ascontiguousarray(data.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-    return data.nbytes.to_bytes(8, "little") + pa.compress(data.tobytes(), "zstd", asbytes=True)
-
-
-def _opened(data: bytes, kind: str) -> np.ndarray:
-    size = int.from_bytes(data[:8], "little")
-    raw = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8 if kind == "<u8" else kind)
-    if kind != "<u8":
-        return raw
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = raw.reshape(-1, 6)
-    return out.view("<u8").ravel()
+def opened(data: bytes) -> np.ndarray:
+    """The numbers of packed(), as 64-bit integers."""
+    n, width = int.from_bytes(data[:5], "little"), data[5]
+    raw = np.frombuffer(pa.decompress(data[6:], n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<i8").ravel()
 
 
 def gather(docs: DataFrame) -> DataFrame:
-    """One pass over docs (doc_id, t, train): per chunk of texts its documents (kind 0), and all texts as codes of
-    its words, with the words' hashes and twice each text's length plus whether it is for training (kind 2)."""
+    """One pass over docs (doc_id, t, train): a row for each chunk of texts with their words' hashes (most frequent first), the texts as places
+    of these, and twice each text's length plus whether it is for training."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -68,92 +75,178 @@ def gather(docs: DataFrame) -> DataFrame:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             keys, train, at = batch.column("doc_id"), np.array(batch.column("train")), 0
-            for texts in chunks((x.as_py() for x in batch.column("t")), _CHUNK):
-                m, own = len(texts), slice(at, at + len(texts))
+            for texts in chunks((x.as_py() for x in batch.column("t")), CHUNK):
+                own = train[at : at + len(texts)]
                 w = [tokens(x) for x in texts]
                 size = np.array([len(x) for x in w])
-                yield _rows(m, kind=[0] * m, chunk=[chunk] * m, ord=np.arange(m, dtype=np.int32), doc_id=keys.slice(at, m), train=train[own], n=size + 1)
                 code, word = np.zeros(0, int), []
                 if size.sum():
                     code, word = pd.factorize(np.array([x for y in w for x in y], object))
-                yield _rows(1, kind=[2], chunk=[chunk], word=[_packed(np.array([xxhash.xxh64_intdigest(x) >> 16 for x in word], np.uint64))], rows=[_packed(code.astype("<u4"))], times=[_packed((size << 1 | train[own]).astype("<u4"))])
-                at += m
+                hashes = np.array([xxhash.xxh64_intdigest(x) >> 16 for x in word], np.uint64)
+                order = np.argsort(-np.bincount(code, minlength=len(word)), kind="stable")
+                place = np.empty(len(word), int)
+                place[order] = np.arange(len(word))
+                n = [chunk, keys.slice(at, len(texts)).to_pylist(), int(size.sum()) + len(size), int((size[own] + 1).sum()), packed(hashes[order]), packed(place[code]), packed(size << 1 | own)]
+                kinds = (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(n, kinds)], ["chunk", "doc_ids", "n", "train_n", "word", "code", "size"])
+                at += len(texts)
                 chunk += 1
 
     path = new_table(docs.sparkSession, "gathered")
-    docs.select("doc_id", "t", "train").mapInArrow(run, _PARTS).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    return docs.sparkSession.read.schema(_PARTS).parquet(path)
-
-
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of two."""
-    h = (a ^ (b * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))) * np.uint64(0xBF58476D1CE4E5B9)
+    docs.select("doc_id", "t", "train").mapInArrow(run, _GATHERED).write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(_GATHERED).parquet(path)
+
+
+@dataclass
+class Figures:
+    """What all tasks know: sums of the corpus, the keys of the frequent words in order, the split words and into how many ranges."""
+
+    total: int
+    ranges: int
+    frequent: np.ndarray
+    split: np.ndarray
+    parts: np.ndarray
+    folder: str | None = None
+    distinct: int = 0
+    counts: np.ndarray | None = None  # of the split words: followed, by how many others
+
+    def key(self, hashes: np.ndarray) -> np.ndarray:
+        """One number for a word: its place among the frequent ones, or its hash above these."""
+        if not len(self.frequent):
+            return hashes | _RARE
+        turn = np.argsort(self.frequent)
+        at = np.minimum(np.searchsorted(self.frequent, hashes, sorter=turn), len(turn) - 1)
+        known = self.frequent[turn[at]] == hashes
+        return np.where(known, turn[at].astype(np.uint64), hashes | _RARE)
+
+    def split_place(self, keys: np.ndarray) -> np.ndarray:
+        """Places among the split words; -1 for others."""
+        at = np.searchsorted(self.split, keys)
+        hit = at < len(self.split)
+        hit[hit] = self.split[at[hit]] == keys[hit]
+        return np.where(hit, at, -1)
+
+    def bucket(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The range of trigrams that begin with the words a, b."""
+        place = self.split_place(a)
+        parts = np.where(place >= 0, np.append(self.parts, 1)[place], 1).astype(np.uint64)
+        return ((_mixed(a) + _mixed(b ^ a) % parts * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.ranges)).astype(np.int64)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h + np.uint64(0x632BE59BD9B4E019)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(32))
 
 
-class Chunk:
-    """The n-grams of a chunk of texts, from its row of gather()'s table. Each text is START twice, its words, END and AFTER.
+def figures(parts: DataFrame) -> Figures:
+    """Sums of the gathered chunks and their frequent words (counts over all chunks; words below SHARE of a task's tokens aren't sent by it)."""
+
+    def run(batches):
+        word, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in batches:
+            for w, c in zip(batch.column("word"), batch.column("code")):
+                h = opened(w.as_py()).view(np.uint64)
+                few = np.bincount(opened(c.as_py()), minlength=len(h))
+                word, back = np.unique(np.concatenate([word, h]), return_inverse=True)
+                n = np.bincount(back, np.concatenate([n, few]), len(word)).astype(np.int64)
+        keep = n >= max(2, SHARE * n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array(word[keep].astype(np.int64)), pa.array(n[keep])], ["word", "n"])
+
+    size, total, texts = parts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "train_n", F.size("doc_ids")))).first()
+    ranges = max(1, -(-size // SPAN))
+    counted = parts.select("word", "code").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    least = SPAN // 2
+    frequent = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # 16 bytes each
+    large = counted.where(F.col("n") > least).orderBy(F.desc("n"), "word").limit(SPLIT).toPandas()
+    out = Figures(total, ranges, frequent["word"].to_numpy(np.int64).view(np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    word, n = large["word"].to_numpy(np.int64).view(np.uint64), large["n"].to_numpy(np.int64)
+    if texts > least:
+        word, n = np.append(word, np.uint64(START)), np.append(n, texts)
+    keys = out.key(word)
+    turn = np.argsort(keys)
+    out.split, out.parts = keys[turn], -(-n // least)[turn]
+    place = urlparse(shared_dir(parts.sparkSession))
+    out.folder = place.path if place.scheme in ("", "file") else None
+    return out
 
-    So an n-gram's first two symbols are a context, and the count of its last two is that of the next n-gram's context.
-    """
 
-    def __init__(self, word: bytes, rows: bytes, times: bytes, ranges: int):
-        hashes, code, size = _opened(word, "<u8"), _opened(rows, "<u4").astype(np.int64), _opened(times, "<u4")
-        self.symbols = np.concatenate([np.array([START, END, AFTER], np.uint64), hashes])
-        train, size = size & 1 > 0, (size >> 1).astype(np.int64)
+class Chunk:
+    """The trigrams of a gathered chunk. Each text is START, its words, END and AFTER twice, so that the pair and the word which a
+    symbol's shorter contexts ask for begin trigrams of the chunk too. What stands before START is START: a first word's trigram
+    has the counts of its pair."""
+
+    def __init__(self, word: bytes, code: bytes, size: bytes, known: Figures):
+        code, size = opened(code), opened(size)
+        keys = np.concatenate([known.key(np.array([START, END, AFTER], np.uint64)), known.key(opened(word).view(np.uint64))])
+        order = np.argsort(keys, kind="stable")
+        number = np.empty(len(keys), int)
+        number[order] = np.arange(len(keys))
+        self.keys, m = keys[order], len(keys)
+        train, size = size & 1 > 0, size >> 1
         begin = np.cumsum(size + 4) - size - 4
         line = np.full(int((size + 4).sum()), -1)
-        line[begin] = line[begin + 1] = 0
-        line[begin + size + 2], line[begin + size + 3] = 1, 2
-        line[line < 0] = code + 3
+        for at, what in ((begin, START), (begin + size + 1, END), (begin + size + 2, AFTER), (begin + size + 3, AFTER)):
+            line[at] = number[what]
+        line[line < 0] = number[code + 3]
         place = np.ones(len(line), bool)
-        place[begin] = place[begin + 1] = False
+        place[begin + size + 2] = place[begin + size + 3] = False
         at = np.flatnonzero(place)
-        self.before, self.last = line[at - 1], line[at]
-        self.doc, self.docs = np.repeat(np.arange(len(size)), size + 2), len(size)
-        m = len(self.symbols)
-        pair, context = np.unique(line[at - 2] * m + self.before, return_inverse=True)
-        gram, back = np.unique(context * m + self.last, return_inverse=True)
-        pair = pair[gram // m]
-        a, b, c = (self.symbols[x] for x in (pair // m, pair % m, gram % m))
-        self.n = np.bincount(back, train[self.doc], len(gram)).astype(np.int64)
-        bucket = (_mixed(a, b) % np.uint64(ranges)).astype(np.int64)
+        self.size, self.train = size, train
+        pair, context = np.unique(line[at] * m + line[at + 1], return_inverse=True)
+        a, b = self.keys[pair // m], self.keys[pair % m]
+        bucket = known.bucket(a, b)
         turn = np.argsort(bucket, kind="stable")
-        self.abc, self.n, self.bucket = np.stack([a, b, c])[:, turn], self.n[turn], bucket[turn]
-        self.back = np.argsort(turn)[back]
-        wanted = np.delete(self.symbols, [1, 2])
-        bucket = (_mixed(wanted, wanted) % np.uint64(ranges)).astype(np.int64)
-        self.turn = np.argsort(bucket, kind="stable")
-        self.wanted, self.word_bucket = wanted[self.turn], bucket[self.turn]
-
-    def log10(self, found: np.ndarray, words: np.ndarray, figures: dict) -> list[np.ndarray]:
-        """Of each text its known words, and the sums of log10 probabilities by unigrams and by n-grams: found holds each n-gram's count, its context's count and kinds; words those of each word."""
-        n, seen, kinds = found[:, self.back].astype(float)
-        own = np.zeros((2, len(self.symbols)))
-        own[:, np.delete(np.arange(len(self.symbols)), [1, 2])[self.turn]] = words
-        count, v = own[0].copy(), figures["distinct"]
-        count[1] = figures["ends"]
-        keep = np.flatnonzero(self.last != 2)
-        pairs, n, seen, kinds = seen[keep + 1], n[keep], seen[keep], kinds[keep]
-        p = (count[self.last[keep]] + v / (v + 1)) / (figures["total"] + v) if v else np.ones(len(keep))
-        for times, whole, others in ((pairs, own[0][self.before[keep]], own[1][self.before[keep]]), (n, seen, kinds)):
-            p = np.where(whole > 0, (times + others * p) / np.maximum(whole + others, 1), p)
-        doc, times = self.doc[keep], count[self.last[keep]]
-        unigram = np.log10(times + 1) - log10(figures["total"] + v + 1)
-        return [np.bincount(doc, x, self.docs) for x in (times > 0, unigram, np.log10(p))]
-
-
-def _sent(kind: int, chunk: int, bucket: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
-    """A row for each run of one bucket, with its part of every array."""
-    cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, int)
-    parts = [[_packed(x[..., i:j]) for i, j in zip(cut, cut[1:])] for x in values]
-    parts += [[None] * (len(cut) - 1)] * (2 - len(parts))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([kind] * (len(cut) - 1), [chunk] * (len(cut) - 1), bucket[cut[:-1]], *parts), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["kind", "chunk", "bucket", "x", "y"])
+        back = np.empty(len(pair), int)
+        back[turn] = np.arange(len(pair))
+        pair, bucket = pair[turn], bucket[turn]
+        gram, self.gram = np.unique(back[context] * m + line[at + 2], return_inverse=True)
+        self.pair_of = gram // m  # of each trigram
+        self.n = np.bincount(self.gram, train[np.repeat(np.arange(len(size)), size + 2)], len(gram)).astype(np.int64)
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:] // m != pair[:-1] // m) | (bucket[1:] != bucket[:-1])
+        self.word_of = np.cumsum(new) - 1  # of each pair: a word may begin pairs of several ranges
+        self.a, self.b, self.c = pair[new] // m, pair % m, gram % m
+        self.bucket = bucket[new]
+
+    def requests(self) -> Iterator[tuple[int, list[bytes]]]:
+        """(bucket, message): words, pairs of each, trigrams of each and their counts."""
+        words = np.flatnonzero(np.append(np.diff(self.bucket, prepend=-1) != 0, True))
+        pairs = np.searchsorted(self.word_of, words)
+        grams = np.searchsorted(self.pair_of, pairs)
+        per_word, per_pair = np.bincount(self.word_of, minlength=len(self.a)), np.bincount(self.pair_of, minlength=len(self.b))
+        for i in range(len(words) - 1):
+            w, p, g = (slice(x[i], x[i + 1]) for x in (words, pairs, grams))
+            said = [self.keys[x] for x in (self.a[w], self.b[p], self.c[g])]
+            rare = np.concatenate([x[x >= _RARE] for x in said]) & (_RARE - np.uint64(1))
+            short = [packed(np.minimum(x, np.uint64(FREQUENT))) for x in said]
+            yield int(self.bucket[words[i]]), [*short, packed(rare), packed(per_word[w]), packed(per_pair[p]), packed(self.n[g])]
+
+    def scores(self, answers: list[list[bytes]], known: Figures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text its known words, and the sums of log10 probabilities by single words and by trigrams, from the answers in order of ranges."""
+        p3, p2, left2, followed, kinds = (np.concatenate([opened(x[k]) for x in answers]) if answers else np.zeros(0, int) for k in range(5))
+        place = known.split_place(self.keys[self.a])
+        whole, others = (np.where(place >= 0, np.append(known.counts[k], 0)[place], x) for k, x in enumerate((followed, kinds)))
+        share = np.where(place >= 0, (followed + kinds) / np.maximum(whole + others, 1), 1.0)  # a split word's part of its pairs
+        v = known.distinct
+        doc = np.repeat(np.arange(len(self.size)), self.size + 1)
+        at = np.arange(len(doc)) + doc + 1  # the trigram that begins with each symbol of the texts
+        lower = self.pair_of[self.gram[at - 1]]
+        count = whole[self.word_of[self.pair_of[self.gram[at]]]]
+        p = (count + v / (v + 1)) / (known.total + v) if v else np.ones(len(at))
+        b = self.word_of[lower]
+        left = np.where(whole[b] + others[b] > 0, others[b] / np.maximum(whole[b] + others[b], 1), 1.0)
+        own = VALUES[p2[lower]] * share[b]
+        p = own + left * p
+        first = np.append(True, doc[1:] != doc[:-1])
+        g = self.gram[np.where(first, at - 1, at - 2)]
+        p = np.where(first, own + left * p, VALUES[p3[g]] + VALUES[left2[self.pair_of[g]]] * p)
+        single = np.log10(count + 1) - log10(known.total + v + 1)
+        return tuple(np.bincount(doc, x, len(self.size)) for x in (count > 0, single, np.log10(p)))
 
 
 def _groups(batches, by: str):
-    """(value, rows) of runs of rows (kind, chunk, bucket, x, y, ...) alike in `by`; rows stand by it."""
+    """(value, rows) of runs of rows alike in `by`; rows stand by it."""
     last, held = None, []
     for batch in batches:
         for row in batch.to_pylist():
@@ -166,111 +259,125 @@ def _groups(batches, by: str):
         yield last, held
 
 
-def requests(parts: DataFrame, ranges: int) -> DataFrame:
-    """Of each chunk, for each range, its distinct n-grams with their training counts (kind 1), and its words (kind 2)."""
-
-    def run(batches):
+def _mail(kind: int, rows: list[tuple[int, int, list[bytes]]]) -> pa.RecordBatch:
+    """Rows (chunk, bucket, message) of a kind."""
+    chunk, bucket, x = ([r[k] for r in rows] for k in range(3))
+    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), pa.array(chunk, pa.int64()), pa.array(bucket, pa.int64()), pa.array(x, pa.list_(pa.binary()))], ["kind", "chunk", "bucket", "x"])
+
+
+def _mapped_trie(arrays: dict[str, np.ndarray], folder: str | None) -> Trie:
+    """The trie, mapped from a file of the shared folder that lives as long as the mapping; held in memory where that folder can't be mapped."""
+    if folder is None:
+        return Trie(arrays)
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/trie-{uuid.uuid4().hex}"
+    try:
+        save(arrays, path)
+        return Trie(mapped(path))
+    finally:
+        if os.path.exists(path):
+            os.unlink(path)
+
+
+def range_answers(messages: list[list[bytes]], known: Figures) -> tuple[list[list[bytes]], dict[str, np.ndarray]]:
+    """A range's answer to each message, and its words that were counted: keys, followed, by how many others."""
+    parts, sizes = [[] for _ in range(6)], []
+    for x in messages:
+        said, rare, at = [opened(y).view(np.uint64) for y in x[:3]], opened(x[3]).view(np.uint64) | _RARE, 0
+        for y, to in zip(said, parts):
+            y = y.copy()
+            long = np.flatnonzero(y == FREQUENT)
+            y[long] = rare[at : at + len(long)]
+            at += len(long)
+            to.append(y)
+        sizes.append([len(y) for y in said])
+        for y, to in zip(x[4:], parts[3:]):
+            to.append(opened(y))
+    a, b, c, per_word, per_pair, n = (np.concatenate(x) for x in parts)
+    words, place = np.unique(np.concatenate([a, b, c]), return_inverse=True)
+    a, b, c = np.split(place, [len(a), len(a) + len(b)])
+    v = len(words)
+    pair, pair_of = np.unique(np.repeat(a, per_word) * v + b, return_inverse=True)
+    gram, gram_of = np.unique(np.repeat(pair_of, per_pair) * v + c, return_inverse=True)
+    count = np.bincount(gram_of, n, len(gram)).astype(np.int64)
+    seen = count > 0
+    of = pair[gram[seen] // v]
+    trie = _mapped_trie(build(words, of // v, of % v, gram[seen] % v, count[seen]), known.folder)
+    word = trie.word(words)  # look-ups of each distinct word, pair and trigram once
+    node = trie.pair(word[pair // v], word[pair % v])
+    leaf = trie.trigram(node[gram // v], word[pair[gram // v] % v], word[gram % v])
+    p2, left2, p3 = trie.codes("p2", node), trie.codes("left2", node, 0), trie.codes("p3", leaf)
+    followed, kinds = trie.counts(word)
+    ends = np.cumsum([[0, 0, 0], *sizes], axis=0)
+    out = []
+    for (i, j, k), (i2, j2, k2) in zip(ends, ends[1:]):
+        out.append([packed(p3[gram_of[k:k2]]), packed(p2[pair_of[j:j2]]), packed(left2[pair_of[j:j2]]), packed(followed[a[i:i2]]), packed(kinds[a[i:i2]])])
+    first = np.unique(a)
+    first = first[followed[first] > 0]
+    return out, {"key": words[first], "followed": followed[first], "kinds": kinds[first]}
+
+
+def answered(parts: DataFrame, known: Figures) -> DataFrame:
+    """Stored: the ranges' answers (kind 1), and of each range its number of known words that aren't split and the split words' parts (kind 3)."""
+    start = known.key(np.array([START], np.uint64))
+
+    def ask(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                c = Chunk(row["word"], row["rows"], row["times"], ranges)
-                yield _sent(1, row["chunk"], c.bucket, c.abc, c.n)
-                yield _sent(2, row["chunk"], c.word_bucket, c.wanted)
-
-    return parts.where("kind = 2").select("chunk", "word", "rows", "times").mapInArrow(run, _MAIL)
-
+                c = Chunk(row["word"], row["code"], row["size"], known)
+                yield _mail(1, [(row["chunk"], bucket, x) for bucket, x in c.requests()])
 
-def counted(asked: DataFrame, ranges: int) -> DataFrame:
-    """Answers to the requests of n-grams (kind 1: counts, contexts' counts, contexts' kinds) and each range's part of its contexts' first words' (kind 3)."""
-
-    def run(batches):
+    def answer(batches):
         for bucket, rows in _groups(batches, "bucket"):
-            n = [_opened(r["y"], "<i8") for r in rows]
-            size, n = np.array([len(x) for x in n]), np.concatenate(n)
-            a, b, c = np.concatenate([_opened(r["x"], "<u8").reshape(3, -1) for r in rows], axis=1)
-            pair = _mixed(a, b)
-            _, first, at = np.unique(pair, return_index=True, return_inverse=True)
-            _, lead, back = np.unique(_mixed(pair, c), return_index=True, return_inverse=True)
-            times = np.bincount(back, n).astype(np.int64)
-            seen, kinds = np.bincount(at, n).astype(np.int64), np.bincount(at[lead], times > 0, len(first)).astype(np.int64)
-            found = np.stack([times[back], seen[at], kinds[at]])
-            for r, i, j in zip(rows, np.cumsum(size) - size, np.cumsum(size)):
-                yield _sent(1, r["chunk"], np.full(j - i, bucket), found[:, i:j])
-            ours = (seen > 0) & ~((a[first] == START) & (b[first] == START))
-            word, back = np.unique(a[first][ours], return_inverse=True)
-            values = np.stack([np.bincount(back, seen[ours], len(word)), np.bincount(back, minlength=len(word))]).astype(np.int64)
-            place = (_mixed(word, word) % np.uint64(ranges)).astype(np.int64)
-            turn = np.argsort(place, kind="stable")
-            yield _sent(3, -1, place[turn], word[turn], values[:, turn])
-
-    return asked.where("kind = 1").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MAIL)
-
-
-def followed(asked: DataFrame, found: DataFrame) -> DataFrame:
-    """Answers to the requests of words (kind 2): how often they were followed in training, and by how many symbols."""
+            out, own = range_answers([r["x"] for r in rows], known)
+            yield _mail(1, [(r["chunk"], bucket, x) for r, x in zip(rows, out)])
+            split = known.split_place(own["key"]) >= 0
+            alone = int((~split & (own["key"] != start)).sum())
+            yield _mail(3, [(-1, bucket, [packed(np.array([alone])), *(packed(own[k][split]) for k in ("key", "followed", "kinds"))])])
 
-    def run(batches):
-        for bucket, rows in _groups(batches, "bucket"):
-            ours = [r for r in rows if r["kind"] == 3]
-            word, back = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_opened(r["x"], "<u8") for r in ours)]), return_inverse=True)
-            values = np.concatenate([np.zeros((2, 0), np.int64), *(_opened(r["y"], "<i8").reshape(2, -1) for r in ours)], axis=1)
-            sums = np.stack([np.bincount(back, x, len(word)) for x in values]).astype(np.int64)
-            sums = np.concatenate([sums, np.zeros((2, 1), np.int64)], axis=1)
-            for r in rows:
-                if r["kind"] == 2:
-                    want = _opened(r["x"], "<u8")
-                    at = np.searchsorted(word, want)
-                    known = np.append(word, np.uint64(0))[at] == want
-                    yield _sent(2, r["chunk"], np.full(len(want), bucket), sums[:, np.where(known, at, len(word))])
+    asked = parts.select("chunk", "word", "code", "size").mapInArrow(ask, _MAIL)
+    path = new_table(parts.sparkSession, "answers")
+    asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, _MAIL).write.option("compression", "zstd").partitionBy("kind").parquet(path)
+    return parts.sparkSession.read.schema(_MAIL).parquet(path)
 
-    return asked.where("kind = 2").unionByName(found.where("kind = 3")).repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _MAIL)
 
-
-def distinct(found: DataFrame) -> int:
-    """The distinct words of the ranges' parts (kind 3)."""
-
-    def run(batches):
-        for _, rows in _groups(batches, "bucket"):
-            word = np.unique(np.concatenate([_opened(r["x"], "<u8") for r in rows]))
-            yield pa.RecordBatch.from_arrays([pa.array([int((word != START).sum())])], ["n"])
-
-    parts = found.where("kind = 3").repartition("bucket").sortWithinPartitions("bucket")
-    return parts.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def scored(parts: DataFrame) -> DataFrame:
-    """(chunk, ord, train_tokens, n_known, base_score, score) of the texts of gather()'s table, by the n-grams of all training words."""
-    sums = F.sum("n"), F.sum(F.when(F.col("train"), F.col("n"))), F.count(F.when(F.col("train"), 1))
-    size, total, ends = parts.where("kind = 0").agg(*(F.coalesce(x, F.lit(0)) for x in sums)).first()
-    ranges = max(1, -(-size // _SPAN))
-    asked = requests(parts, ranges)
-    path = new_table(parts.sparkSession, "ngrams")
-    counted(asked, ranges).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    found = parts.sparkSession.read.schema(_MAIL).parquet(path)
-    figures = {"total": total, "ends": ends, "distinct": distinct(found) + (ends > 0)}
-    own = parts.where("kind = 2").select(F.lit(0).alias("kind"), "chunk", F.lit(0).cast("long").alias("bucket"), F.col("word").alias("x"), F.col("rows").alias("y"), F.col("times").alias("z"))
-    mail = own.unionByName(found.where("kind = 1").unionByName(followed(asked, found)), allowMissingColumns=True)
+def totals(answers: DataFrame, known: Figures) -> None:
+    """Adds to `known` the number of known words and the split words' counts."""
 
     def run(batches):
-        for chunk, rows in _groups(batches, "chunk"):
-            c = Chunk(rows[0]["x"], rows[0]["y"], rows[0]["z"], ranges)
-            answers = [np.concatenate([_opened(r["x"], "<i8").reshape(k, -1) for r in rows if r["kind"] == kind], axis=1) for kind, k in ((1, 3), (2, 2))]
-            known, base, score = c.log10(*answers, figures)
-            columns = [np.full(c.docs, chunk), np.arange(c.docs, dtype=np.int32), np.full(c.docs, total), known.astype(np.int64), base, score]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["chunk", "ord", "train_tokens", "n_known", "base_score", "score"])
+        for batch in batches:
+            for x in batch.column("x").to_pylist():
+                word, followed, kinds = (opened(y) for y in x[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(word, -1)), pa.array(np.append(followed, opened(x[0]))), pa.array(np.append(kinds, 0))], ["word", "n", "kinds"])
 
-    return mail.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, "chunk long, ord int, train_tokens long, n_known long, base_score double, score double")
+    found = answers.where("kind = 3").select("x").mapInArrow(run, "word long, n long, kinds long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
+    rows = {r["word"]: (r["n"], r["kinds"]) for r in found.collect()}  # the split words
+    known.distinct = rows.pop(-1, (0, 0))[0] + len(rows)
+    known.distinct -= int(known.key(np.array([START], np.uint64))[0]) in rows
+    known.counts = np.array([rows.get(int(k), (0, 0)) for k in known.split], np.int64).reshape(-1, 2).T
 
 
 def score(docs: DataFrame, *, training: Column, text: str = "text", key: str = "doc_id", order: int = ORDER) -> DataFrame:
     """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of `docs`, learned from rows where `training` holds.
 
-    A null or empty text is the end token alone. Rows alike in key and text are scored alike; an empty table gives no rows; other columns
-    are not carried. Without training texts every symbol is equally likely.
+    A null or empty text is the end token alone; a very long text is a chunk of its own. Rows alike in key and text are scored alike; an empty
+    table gives no rows; other columns are not carried, so none can clash. Without training texts every symbol is equally likely.
     """
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     if order != ORDER:
         raise ValueError(f"the model counts n-grams of {ORDER} words")
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), t.alias("t"), F.coalesce(training, F.lit(False)).alias("train"))
-    parts = gather(rows)
-    found = parts.where("kind = 0").join(scored(parts), ["chunk", "ord"])
-    return found.select("doc_id", "train", F.col("n").alias("n_tokens"), "n_known", "train_tokens", "base_score", "score")
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    parts = gather(docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), t.alias("t"), F.coalesce(training, F.lit(False)).alias("train")))
+    known = figures(parts)
+    answers = answered(parts, known)
+    totals(answers, known)
+    own = parts.select(F.lit(0).alias("kind"), "chunk", F.lit(-1).cast("long").alias("bucket"), F.array("word", "code", "size").alias("x"), "doc_ids")
+    mail = own.unionByName(answers.where("kind = 1"), allowMissingColumns=True)
+
+    def run(batches):
+        for _, rows in _groups(batches, "chunk"):
+            c = Chunk(*rows[0]["x"], known)
+            found, single, sums = c.scores([r["x"] for r in rows[1:]], known)
+            columns = [pa.array(rows[0]["doc_ids"], pa.int64()), pa.array(c.train), pa.array(c.size + 1), pa.array(found.astype(np.int64)), pa.array([known.total] * len(c.size), pa.int64()), pa.array(single), pa.array(sums)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return mail.repartition("chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInArrow(run, _SCORED)

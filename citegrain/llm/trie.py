@@ -1,24 +1,32 @@
-"""A compact n-gram trie: Elias-Fano pointers, context-relative successors, quantised smoothed probabilities, one mapped file.
+"""A compact trigram trie in flat arrays that are mapped into memory, not loaded.
 
-A node of level n is an n-gram of symbols, a child of its prefix. Pointers to the first child are monotone and kept as
-Elias-Fano. A node's last symbol is kept as its rank among the symbols that ever follow the one before it, and is found by
-binary search among its siblings. A node holds its smoothed log10 probability and its log10 backoff weight as one-byte codes.
+A node of level 1 is a word, of level 2 a pair, of level 3 a trigram; a node's children lie side by side on the next level. Pointers to
+the first child are monotone and kept as Elias-Fano, as are the running totals of the words' counts. A level-3 node keeps its word as
+the rank among the successors of the word before it, a smaller number than the word's own: a look-up finds the successor's rank in
+that context first, then the rank among the children, both by successor search. Nodes keep quantised smoothed probabilities
+of one byte: what Witten-Bell smoothing gives the symbol itself, and the share that its context leaves to shorter contexts.
 """
 
 from __future__ import annotations
 
 import json
 
-
 import numpy as np
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: Place of the r-th set bit (lowest first) of each byte.
 _PLACE = np.array([([k for k in range(8) if i >> k & 1] + [0] * 8)[:8] for i in range(256)], np.uint8)
-#: Bits of a symbol in a packed n-gram.
-BITS = 16
-#: Probability left to symbols that no training text has, in all.
-_FLOOR = 1e-6
+#: Code of no probability; the others stand for 1 down to 10**-DEEPEST, finer for the greater ones.
+NONE, DEEPEST = 255, 12.0
+VALUES = np.append(10.0 ** (-DEEPEST * (np.arange(NONE) / (NONE - 1)) ** 2), 0.0)
+
+
+def coded(p: np.ndarray) -> np.ndarray:
+    """Codes of one byte of probabilities."""
+    out = np.full(len(p), NONE, np.uint8)
+    some = p > 0
+    out[some] = np.minimum(np.rint((NONE - 1) * np.sqrt(np.maximum(-np.log10(p[some]), 0) / DEEPEST)), NONE - 1)
+    return out
 
 
 def elias_fano(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -54,56 +62,43 @@ def ef_get(ef: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
     return (place - i) << width | ((low >> (at & 7)) & ((1 << width) - 1))
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of one byte and the mean that each stands for."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(256)
-    edges = np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1]))
-    code = np.searchsorted(edges, x, "right").astype(np.uint8)
-    n = np.bincount(code, minlength=256)
-    return code, np.bincount(code, x, minlength=256) / np.maximum(n, 1)
-
-
-def build(grams: np.ndarray, counts: np.ndarray, order: int, symbols: int) -> dict[str, np.ndarray]:
-    """Arrays of the trie from all distinct n-grams (symbols below `symbols` packed, the last one lowest) and their counts; Witten-Bell smoothing."""
-    bits, mask = np.uint64(BITS), np.uint64((1 << BITS) - 1)
-    level, seen = {}, {}
-    g, c = grams.astype(np.uint64), counts.astype(np.float64)
-    for n in range(order, 0, -1):
-        keys = g if n == order else np.union1d(g, level[n + 1] >> bits)  # contexts at a text's start are no n-grams
-        total = np.zeros(len(keys))
-        total[np.searchsorted(keys, g)] = c
-        level[n], seen[n] = keys, total
-        short, back = np.unique(g & np.uint64((1 << BITS * (n - 1)) - 1), return_inverse=True)
-        g, c = short, np.bincount(back, c, minlength=len(short))
-    out = {"order": np.array([order]), "symbols": np.array([symbols])}
-    follow = np.zeros((symbols, symbols), bool)
-    if order > 1 and len(level[2]):
-        follow[(level[2] >> bits).astype(int), (level[2] & mask).astype(int)] = True
-    rank = np.where(follow, follow.cumsum(axis=1, dtype=np.int32) - 1, (1 << BITS) - 1).astype(np.uint16)
-    out["rank"] = rank
-    all_seen = seen[1].sum()
-    prob = {}
-    for n in range(1, order + 1):
-        keys, last = level[n], (level[n] & mask).astype(int)
-        parent = np.zeros(len(keys), int) if n == 1 else np.searchsorted(level[n - 1], keys >> bits)
-        size = 1 if n == 1 else len(level[n - 1])
-        whole, kinds = np.bincount(parent, seen[n], minlength=size), np.bincount(parent, seen[n] > 0, minlength=size)
-        bow = np.where(whole > 0, kinds / np.maximum(whole + kinds, 1), 1.0)
-        if n == 1:
-            bow = np.array([max(_FLOOR, bow[0]) if all_seen else 1.0])
-            lower = np.full(len(keys), 1 / symbols)
-        else:
-            suffix = keys & np.uint64((1 << BITS * (n - 1)) - 1)
-            at = np.minimum(np.searchsorted(level[n - 1], suffix), len(level[n - 1]) - 1)
-            known = level[n - 1][at] == suffix
-            lower = np.where(known, prob[n - 1][at], _FLOOR / symbols)
-        prob[n] = (1 - bow[parent]) * seen[n] / np.maximum(whole[parent], 1) + bow[parent] * lower
-        out[f"p{n}"], out[f"pt{n}"] = quantised(np.log10(prob[n]))
-        out[f"b{n - 1}"], out[f"bt{n - 1}"] = quantised(np.log10(bow))
-        out[f"s{n}"] = last.astype(np.uint16) if n == 1 else rank[((keys >> bits) & mask).astype(int), last]
-        first = np.searchsorted(parent, np.arange(size + 1))
-        out |= {f"ef{n}.{k}": v for k, v in elias_fano(first).items()}
+def successor(values: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndarray) -> np.ndarray:
+    """For each search the place of the first of values[low:high] that is not below `want`; `high` if none is."""
+    low, high = low.copy(), high.copy()
+    live = np.flatnonzero(low < high)
+    while len(live):
+        mid = (low[live] + high[live]) >> 1
+        less = values[mid] < want[live]
+        low[live[less]] = mid[less] + 1
+        high[live[~less]] = mid[~less]
+        live = live[low[live] < high[live]]
+    return low
+
+
+def build(words: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+    """The trie of distinct trigrams of places in `words` (sorted keys), in order, and of their counts, all above zero.
+
+    Shares of a word's pairs are of the counts in this trie alone.
+    """
+    v = len(words)
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    first = np.flatnonzero(new)
+    pair = np.cumsum(new) - 1
+    first_of = np.searchsorted(a[first], np.arange(v + 1))
+    total, kinds = np.bincount(a, n, v).astype(np.int64), np.diff(first_of)
+    own = np.add.reduceat(n, first).astype(np.int64) if len(first) else np.zeros(0, np.int64)
+    after = np.diff(np.append(first, len(a)))
+    follow, rank = np.unique(b * v + c, return_inverse=True)
+    follows = np.searchsorted(follow, np.arange(v + 1) * v)
+    out = {
+        "words": words, "pair": b[first].astype(np.uint32), "follow": (follow % max(1, v)).astype(np.uint32), "rank": (rank - follows[b]).astype(np.uint32),
+        "p2": coded(own / (total + kinds)[a[first]]), "left2": coded(after / (own + after)), "p3": coded(n / (own + after)[pair]),
+    }
+    if not len(out["rank"]) or out["rank"].max() < 1 << 16:
+        out["rank"] = out["rank"].astype(np.uint16)
+    for name, x in (("total", np.append(0, np.cumsum(total))), ("pairs", first_of), ("trigrams", np.append(first, len(a))), ("follows", follows)):
+        out |= {f"{name}.{k}": y for k, y in elias_fano(x).items()}
     return out
 
 
@@ -121,81 +116,63 @@ def save(arrays: dict[str, np.ndarray], path: str) -> None:
             f.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 64))
 
 
+def mapped(path: str) -> dict[str, np.ndarray]:
+    """The arrays of a saved file, as views of the mapping."""
+    data = np.memmap(path, np.uint8, "r")
+    n = int.from_bytes(data[:8].tobytes(), "little")
+    base = -(-(8 + n) // 64) * 64
+    sized = ((name, np.dtype(kind), shape, base + at) for name, kind, shape, at in json.loads(data[8 : 8 + n].tobytes()))
+    return {name: np.asarray(data[at : at + kind.itemsize * int(np.prod(shape))]).view(kind).reshape(shape) for name, kind, shape, at in sized}
+
+
 class Trie:
-    """A saved trie, mapped into memory, so that the workers of a machine share it."""
-
-    def __init__(self, path: str):
-        data = np.memmap(path, np.uint8, "r")
-        n = int.from_bytes(data[:8].tobytes(), "little")
-        base = -(-(8 + n) // 64) * 64
-        self.a = {}
-        for name, kind, shape, at in json.loads(data[8 : 8 + n].tobytes()):
-            size = np.dtype(kind).itemsize * int(np.prod(shape))
-            self.a[name] = np.asarray(data[base + at : base + at + size]).view(kind).reshape(shape)
-        self.order, self.symbols = int(self.a["order"][0]), int(self.a["symbols"][0])
-        self.ef = {n: {k: self.a[f"ef{n}.{k}"] for k in ("low", "high", "before", "width")} for n in range(1, self.order + 1)}
-        self.known, self.value = np.zeros(0, np.uint64), np.zeros(0)
-
-    def _child(self, n: int, node: np.ndarray, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """The child of each node of level n - 1 (-1: none) by `symbol`, whose context ends in `before`."""
+    """Look-ups, many at a time, in the arrays of build()."""
+
+    def __init__(self, arrays: dict[str, np.ndarray]):
+        self.a = arrays
+        self.ef = {name: {k: arrays[f"{name}.{k}"] for k in ("low", "high", "before", "width")} for name in ("total", "pairs", "trigrams", "follows")}
+
+    def _span(self, name: str, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return ef_get(self.ef[name], i), ef_get(self.ef[name], i + 1)
+
+    def word(self, keys: np.ndarray) -> np.ndarray:
+        """Nodes of words; -1 for others."""
+        at = np.searchsorted(self.a["words"], keys)
+        hit = at < len(self.a["words"])
+        hit[hit] = self.a["words"][at[hit]] == keys[hit]
+        return np.where(hit, at, -1)
+
+    def counts(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word was followed, and by how many others."""
+        out = np.zeros((2, len(word)), np.int64)
+        live = word >= 0
+        for k, name in enumerate(("total", "pairs")):
+            low, high = self._span(name, word[live])
+            out[k, live] = high - low
+        return out[0], out[1]
+
+    def _child(self, name: str, level: str, node: np.ndarray, want: np.ndarray) -> np.ndarray:
+        """The child `want` of each node, whose children lie in `level` where the pointers `name` say; -1 without one."""
         out = np.full(len(node), -1)
-        live = np.flatnonzero(node >= 0)
-        low, high = ef_get(self.ef[n], node[live]), ef_get(self.ef[n], node[live] + 1)
-        want = symbol[live] if n == 1 else self.a["rank"][before[live], symbol[live]]
-        symbols, end = self.a[f"s{n}"], high
-        if not len(symbols):
-            return out
-        while (open_ := low < high).any():
-            mid = (low + high) // 2
-            less = symbols[np.minimum(mid, len(symbols) - 1)] < want
-            low, high = np.where(open_ & less, mid + 1, low), np.where(open_ & ~less, mid, high)
-        hit = (low < end) & (symbols[np.minimum(low, len(symbols) - 1)] == want)
-        out[live[hit]] = low[hit]
+        live = np.flatnonzero((node >= 0) & (want >= 0))
+        low, high = self._span(name, node[live])
+        at = successor(self.a[level], low, high, want[live])
+        hit = np.flatnonzero(at < high)
+        hit = hit[self.a[level][at[hit]] == want[live[hit]]]
+        out[live[hit]] = at[hit]
         return out
 
-    def _look_up(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of each n-gram's last symbol after the others, by the longest context known."""
-        at = [((grams >> np.uint64(BITS * (self.order - 1 - i))) & np.uint64((1 << BITS) - 1)).astype(int) for i in range(self.order)]
-        out, backed, open_ = np.zeros(len(grams)), np.zeros(len(grams)), np.arange(len(grams))
-        for start in range(self.order):  # contexts of order - 1 symbols, then shorter
-            node = np.zeros(len(open_), int)
-            for n, i in enumerate(range(start, self.order - 1), 1):
-                node = self._child(n, node, at[i - 1][open_], at[i][open_])
-            n = self.order - start
-            leaf = self._child(n, node, at[-2][open_] if n > 1 else at[-1][open_], at[-1][open_])
-            hit, seen = leaf >= 0, node >= 0
-            out[open_[hit]] = backed[open_[hit]] + self.a[f"pt{n}"][self.a[f"p{n}"][leaf[hit]]]
-            miss = seen & ~hit
-            backed[open_[miss]] += self.a[f"bt{n - 1}"][self.a[f"b{n - 1}"][node[miss]]]
-            open_ = open_[~hit]
-            if not len(open_):
-                return out
-        out[open_] = backed[open_] - np.log10(self.symbols)
-        return out
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self._child("pairs", "pair", a, b)
 
-    def log10(self, grams: np.ndarray, memory: int = 4_000_000) -> np.ndarray:
-        """As _look_up, which each distinct n-gram needs once: the last `memory` and more are remembered."""
-        each, back = np.unique(grams, return_inverse=True)
-        if len(self.known) > memory:
-            self.known, self.value = np.zeros(0, np.uint64), np.zeros(0)
-        at = np.minimum(np.searchsorted(self.known, each), max(0, len(self.known) - 1))
-        new = each[self.known[at] != each] if len(self.known) else each
-        if len(new):
-            keys = np.concatenate([self.known, new])
-            turn = np.argsort(keys, kind="stable")
-            self.known, self.value = keys[turn], np.concatenate([self.value, self._look_up(new)])[turn]
-        return self.value[np.searchsorted(self.known, each)][back]
-
-
-def streams(texts: list[list[int]], order: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram that ends in each symbol of each text and in its end, and the text of each."""
-    head = [start] * (order - 1)
-    raw = [x for t in texts for x in (*head, *t, end)]
-    data = np.array(raw, np.uint64)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + order for t in texts])
-    m = max(0, len(data) - order + 1)
-    gram = np.zeros(m, np.uint64)
-    for i in range(order):
-        gram = gram << np.uint64(BITS) | data[i : m + i]
-    own = owner[:m] == owner[order - 1 :]
-    return gram[own], owner[:m][own]
+    def trigram(self, pair: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Trigram nodes of pairs that end in b, by the rank of c among b's successors."""
+        place = self._child("follows", "follow", b, c)
+        begin = ef_get(self.ef["follows"], np.maximum(b, 0)) if len(b) else b
+        return self._child("trigrams", "rank", pair, np.where(place >= 0, place - begin, -1))
+
+    def codes(self, name: str, node: np.ndarray, none: int = NONE) -> np.ndarray:
+        """Codes of nodes; `none` for -1."""
+        out = np.full(len(node), none, np.uint8)
+        out[node >= 0] = self.a[name][node[node >= 0]]
+        return out
