@@ -144,12 +144,35 @@ def test_filters_return_every_language_that_holds_an_n_gram():
         ("<p>a < b and c > d</p><form>Name <input></form>", "a < b and c > d"),
         ("<div>The text of it is in a long way and that is for the good of it all.</div><div>Near</div><p>And this is the way that it was for all of us in the end, so to say it.</p><ul><li><a>x y z</a></li></ul>", "The text of it is in a long way and that is for the good of it all.\nNear\nAnd this is the way that it was for all of us in the end, so to say it."),
         ("<!-- open", ""),
+        ('<article><a href="/x">More</a> news today</article><div>The story of the town is long and it is told here to all of them at the end.</div><div>And it is that of the river, as it was in the old days for all that live by it.</div>', "The story of the town is long and it is told here to all of them at the end.\nAnd it is that of the river, as it was in the old days for all that live by it."),
+        ('<article><h1>Head</h1><p class="social-science">A study of the people.</p><p class="search-results">What was found.</p></article>', "Head\nA study of the people.\nWhat was found."),
+        ('<div class="site-header">S</div><div id="cookie-notice">C</div><article><p>Text</p><div class="comments-area"><p>R</p></div><ul class="share-buttons"><li>t</li></ul></article><div class="side-bar">x</div>', "Text"),
+        ('<main><article><p>The long story of it and of all that is in it for us to read.</p><p>Short one.</p><ul><li><a href="/a">link one</a></li></ul></article><article><a href="/b">Next</a> one</article></main>', "The long story of it and of all that is in it for us to read.\nShort one."),
+        ("<article><p>a<script>x<svg></script>b <svg><p>no</p></svg>c</p><TextArea>q</textarea></article>", "a b c"),
+        ('<article><p title="a > b">One</p><p title="never closed>Two</p><p>Three</p></article>', "One\nTwo\nThree"),
     ],
 )
 def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+@pytest.mark.parametrize("unit", ['<a "', "<a b='>' ", "<a b=\"x", "<p>x", "<div><", "<!", "&amp", "</p", "<script>x", "<b class=ad>"])
+def test_faulty_pages_are_read_once(unit):
+    import time
+
+    began = time.process_time()
+    html.main_text(unit * ((1 << 20) // len(unit)))
+    assert time.process_time() - began < 5
+
+
+def test_pages_keep_their_rows(spark):
+    rows = [(1, "<p>a</p>"), (1, "<p>a</p>"), (None, None), (2, ""), (3, "<article>" + "<p>word of it</p>" * 20_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("text", F.lit("mine")).select("page_id", "text", html.extract(F.col("html")).alias("x"))
+    got = df.collect()
+    assert sorted((str(r[0]), r[1], len(r["x"])) for r in got) == [("1", "mine", 1), ("1", "mine", 1), ("2", "mine", 0), ("3", "mine", 20_000 * 11 - 1), ("None", "mine", 0)]
+    assert df.limit(0).count() == 0
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 8))
