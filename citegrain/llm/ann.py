@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from citegrain.llm.common import stored
 DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 512
 #: Distinct vectors of a shard, about; a small table still has LEAST_SHARDS, for as many tasks.
 SHARD_ROWS, LEAST_SHARDS = 32_768, 12
-#: Queries that search a shard in one task.
-QUERY_BLOCK = 2048
+#: Distinct queries that search a shard in one task; so many that sending them costs about as much as sending the graph to them.
+QUERY_BLOCK = 1 << 17
 
 
 def _beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,82 +128,102 @@ def _lifted(x: np.ndarray, top: float) -> np.ndarray:
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, v array<double>, dim): rows with a key and a vector that is not null, empty, zero, or with a null, NaN or infinity."""
-    v = F.col(f"`{vector}`").cast("array<double>")
+    """(key, node, v array<double>, dim): rows with a key and a vector that is not null, empty, zero, or with a null, NaN or infinity.
+    Rows of one vector have one `node`, two 64-bit hashes of it."""
+    v = F.transform(F.col(f"`{vector}`").cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 is 0.0
     ok = F.size("v") > 0
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     some = F.exists("v", lambda x: x != 0)
-    return df.select(F.col(f"`{key}`").alias("key"), v.alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull()).where(ok & ~F.coalesce(bad, F.lit(True)) & some).withColumn("dim", F.size("v"))
+    rows = df.select(F.col(f"`{key}`").alias("key"), v.alias("v")).where(F.col("key").isNotNull() & F.col("v").isNotNull()).where(ok & ~F.coalesce(bad, F.lit(True)) & some)
+    return rows.select("key", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(7), F.col("v")))).alias("node"), "v", F.size("v").alias("dim"))
 
 
 def index(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
-    """(shards, members, number of shards) for usable(): a row for each shard's part of the graph; the k + 1 least keys of each distinct vector.
+    """(shards, members, number of shards) for usable(): a row for each shard's graph; of each distinct vector its k + 1 least keys, k times each at most.
 
-    Only that many keys of one vector can ever be in a query's k nearest, by the rule for ties.
+    No more rows of one vector can be in a query's k nearest, by the rule for ties.
     """
-    rank = F.row_number().over(Window.partitionBy("v", "dim").orderBy("key"))
-    few = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1)  # each task sends k + 1 rows of a vector at most
-    members = stored(few.groupBy("v", "dim").agg(F.sort_array(F.collect_list("key")).alias("keys")).withColumn("node", F.xxhash64("v")), "members")
-    n = members.count()
+    again = F.row_number().over(Window.partitionBy("node", "key").orderBy("key"))
+    few = vectors.withColumn("again", again).where(F.col("again") <= k)  # each task sends k rows of a key at most
+    few = few.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy("key"))).where(F.col("rank") <= k + 1)
+    members = stored(few.groupBy("node").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.sort_array(F.collect_list("key")).alias("keys")), "members")
+    n, top = members.agg(F.count(F.lit(1)), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()
     shards = max(LEAST_SHARDS, -(-n // SHARD_ROWS))
-    top = members.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
+    top = top or 1.0
 
-    def graph(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def graph(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         links, start = build(_lifted(x, top))
-        return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "start": [start], "top": [top], "x": [x.tobytes()], "graph": [links.tobytes()], "least": [np.array([int(k[0]) for k in pdf["keys"]], np.int64).tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "start": [start], "top": [top], "x": [x.tobytes()], "graph": [links.tobytes()], "nodes": [pdf["node"].tolist()], "least": [pdf["least"].tolist()]})
 
-    dealt = members.withColumn("shard", F.pmod("node", F.lit(shards)).cast("int"))
-    built = dealt.groupBy("shard", "dim").applyInPandas(graph, "shard int, dim int, start int, top double, x binary, graph binary, least binary")
+    dealt = members.select("node", "v", "dim", F.col("keys")[0].cast("long").alias("least"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
+    built = dealt.groupBy("shard", "dim").applyInPandas(graph, "shard int, dim int, start int, top double, x binary, graph binary, nodes array<string>, least array<long>")
     return stored(built, "graphs"), members, shards
 
 
+def _found(shard: dict, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node, score) of the k + 1 nearest nodes of a shard for each of the queries."""
+    x, lifted, links = shard["x"], shard["lifted"], shard["links"]
+    near, _ = _beam(lifted, links, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), shard["start"], max(beam, k + 1))
+    r, c = np.nonzero(near >= 0)
+    node = near[r, c]
+    score = np.einsum("ij,ij->i", q[r], x[node])
+    turn = np.lexsort((shard["least"][node], -score, r))
+    r, node, score = r[turn], node[turn], score[turn]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place <= k], node[place <= k], score[place <= k]
+
+
 def search(shards: DataFrame, members: DataFrame, queries: DataFrame, k: int, beam: int = BEAM) -> DataFrame:
-    """(query_id, rank, key, score): the k nearest keys found for each row of queries (key, v, dim), its own left out.
+    """(query_id, rank, key, score): the k nearest keys found for each row of queries (key, node, v, dim), rows of its own key left out.
 
-    The score is the inner product in double precision; ties go to the smaller key. Other dimensions don't meet.
+    The score is the inner product in double precision; ties go to the smaller key. Other dimensions don't meet. The distinct queries
+    of a block stream past every shard; hits carry the query's number, not its vector.
     """
-    asked = queries.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
-    distinct = asked.groupBy("v", "dim", "block").agg(F.count(F.lit(1)).alias("n")).select("dim", "block", "v")
-    blocks = distinct.select("dim", "block").distinct()
-    parts = shards.join(blocks, "dim").select(*(F.col(c).alias(f"p_{c}") for c in ("dim", "shard", "block", "start", "top", "x", "graph", "least")))
-    wanted = shards.select("dim", "shard").join(distinct, "dim")
-
-    def run(pdf: pd.DataFrame, part: pd.DataFrame) -> pd.DataFrame:
-        if not len(part) or not len(pdf):
-            return pd.DataFrame({"v": [], "least": [], "score": []})
-        row = part.iloc[0]
-        x = np.frombuffer(row["p_x"]).reshape(-1, row["p_dim"])
-        links, least = np.frombuffer(row["p_graph"], np.int32).reshape(len(x), -1), np.frombuffer(row["p_least"], np.int64)
-        lifted, out = _lifted(x, row["p_top"]), []
-        q = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        for i in range(0, len(q), BATCH):
-            some = q[i : i + BATCH]
-            near, _ = _beam(lifted, links, np.concatenate([some, np.zeros((len(some), 1))], axis=1).astype(np.float32), row["p_start"], max(beam, k + 1))
-            r, c = np.nonzero(near >= 0)
-            node = near[r, c]
-            score = np.einsum("ij,ij->i", some[r], x[node])
-            turn = np.lexsort((least[node], -score, r))
-            r, node, score = r[turn], node[turn], score[turn]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            r, node, score = r[place <= k], node[place <= k], score[place <= k]
-            out.append(pd.DataFrame({"q": i + r, "node": node, "score": score}))
-        found = pd.concat(out)
-        return pd.DataFrame({"v": [pdf["v"].iloc[j] for j in found["q"]], "least": least[found["node"]], "score": found["score"].to_numpy()})
-
-    hits = wanted.groupBy("dim", "shard", "block").cogroup(parts.groupBy("p_dim", "p_shard", "p_block"))
-    hits = hits.applyInPandas(run, "v array<double>, least long, score double")
-    place = F.row_number().over(Window.partitionBy("v").orderBy(F.desc("score"), "least"))
-    top = hits.withColumn("place", place).where(F.col("place") <= k + 1).select("v", "least", "score")
-    keys = members.select(F.col("keys")[0].alias("least"), "keys")
-    lists = top.join(keys, "least").groupBy("v").agg(F.sort_array(F.flatten(F.collect_list(F.transform("keys", lambda x: F.struct((-F.col("score")).alias("s"), x.alias("key")))))).alias("near"))
-    each = asked.select(F.col("key").alias("query_id"), "v").join(lists, "v").select("query_id", F.slice(F.filter("near", lambda x: x["key"] != F.col("query_id")), 1, k).alias("near"))
-    return each.select("query_id", F.posexplode("near").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.key").alias("key"), (-F.col("hit.s")).alias("score"))
+    distinct = stored(queries.groupBy("node").agg(F.first("v").alias("v"), F.first("dim").alias("dim")).withColumn("q", F.monotonically_increasing_id()), "queries")
+    blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
+    each = distinct.select("q", "v", "dim", F.pmod("q", F.lit(blocks)).cast("int").alias("block"))
+    place = shards.select("dim", "shard").join(each.select("dim", "block").distinct(), "dim")
+    graphs = place.join(shards, ["dim", "shard"]).select("dim", "shard", "block", F.lit(-1).cast("long").alias("q"), F.lit(None).cast("array<double>").alias("v"), "start", "top", "x", "graph", "nodes", "least")
+    asked = shards.select("dim", "shard").join(each, "dim").select("dim", "shard", "block", "q", "v")
+
+    def run(batches):
+        """Rows stand by shard and block, the graph first."""
+        shard: dict = {}
+        for batch in batches:
+            q, dim, v = batch.column("q").to_numpy(), batch.column("dim").to_numpy(), batch.column("v")
+            cuts = [0, *(i for i in range(len(q)) if q[i] < 0), len(q)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j and q[i] < 0:
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    x = np.frombuffer(row["x"]).reshape(-1, row["dim"])
+                    shard = {"x": x, "lifted": _lifted(x, row["top"]), "links": np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), "start": row["start"], "nodes": np.array(row["nodes"], object), "least": np.array(row["least"], np.int64)}
+                    i += 1
+                for a in range(i, j, BATCH):
+                    b = min(j, a + BATCH)
+                    some = np.array(v.slice(a, b - a).flatten(), np.float64).reshape(-1, dim[a])
+                    r, node, score = _found(shard, some, k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(q[a:b][r]), pa.array(shard["nodes"][node], pa.string()), pa.array(shard["least"][node]), pa.array(score)], ["q", "node", "least", "score"])
+
+    met = graphs.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "q")
+    hits = met.mapInArrow(run, "q long, node string, least long, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "least", "node")
+    top = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("q", "node", "score")  # each task sends k + 1 rows of a query at most
+    keyed = top.join(members.select("node", "keys"), "node")
+    near = F.sort_array(F.flatten(F.collect_list(F.transform("keys", lambda x: F.struct((-F.col("score")).alias("s"), x.alias("key"))))))
+    lists = keyed.groupBy("q").agg(near.alias("near")).join(distinct.select("q", "node"), "q").select("node", "near")  # (k + 1)**2 * k keys at most
+    out = queries.select(F.col("key").alias("query_id"), "node").join(lists, "node").select("query_id", F.slice(F.filter("near", lambda x: x["key"] != F.col("query_id")), 1, k).alias("near"))
+    return out.select("query_id", F.posexplode("near").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.key").alias("key"), (-F.col("hit.s")).alias("score"))
 
 
 def nearest(df: DataFrame, *, queries: str, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """search() of the rows where the SQL condition `queries` on `key` holds, against all rows. Repeated keys with one vector count each."""
+    """search() of the rows where the SQL condition `queries` on `key` holds, against all rows.
+
+    Rows of one key count each, with whatever vectors: they are candidates of their own, and queries of their own (which then share
+    their query_id); none of them is a candidate of a query of that key. Rows that usable() leaves out take no part; an
+    empty table gives no rows; other columns are not carried, so none can clash.
+    """
     vectors = stored(usable(df, key, vector), "vectors")
     shards, members, _ = index(vectors, k)
     return search(shards, members, vectors.where(queries), k)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import chunks, new_table, shared_dir
+from citegrain.llm.common import checkpointed, chunks, new_table, shared_dir
 from citegrain.llm.trie import VALUES, Trie, build, mapped, save
 
 ORDER = 3
@@ -157,8 +157,9 @@ def figures(parts: DataFrame) -> Figures:
     ranges = max(1, -(-size // SPAN))
     counted = parts.select("word", "code").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
     least = SPAN // 2
-    frequent = counted.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()  # 16 bytes each
-    large = counted.where(F.col("n") > least).orderBy(F.desc("n"), "word").limit(SPLIT).toPandas()
+    first = [F.desc("n"), F.asc("word")]
+    frequent = checkpointed(counted.orderBy(*first).limit(FREQUENT)).toPandas().sort_values(["n", "word"], ascending=[False, True])  # 16 bytes each
+    large = checkpointed(counted.where(F.col("n") > least).orderBy(*first).limit(SPLIT)).toPandas()
     out = Figures(total, ranges, frequent["word"].to_numpy(np.int64).view(np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
     word, n = large["word"].to_numpy(np.int64).view(np.uint64), large["n"].to_numpy(np.int64)
     if texts > least:

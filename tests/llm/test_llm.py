@@ -191,6 +191,16 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), queries="key % 20 = 0").count() == 0
 
 
+def test_nearest_rows_of_one_key_count_each(spark):
+    rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [-3.0, 1.0]), (7, [0.5, 0.0]), (7, [0.5, -0.0]), (20, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("mine")).withColumn("node", F.lit(1))
+    got = ann.nearest(df, queries="key % 5 = 0", k=4).collect()
+    of = lambda q: sorted((r["rank"], r["key"], r["score"]) for r in got if r["query_id"] == q)
+    assert of(0) == [(1, 5, 2.0), (2, 20, 1.0), (3, 7, 0.5), (4, 7, 0.5)]
+    assert of(20) == [(1, 5, 2.0), (2, 0, 1.0), (3, 7, 0.5), (4, 7, 0.5)]
+    assert of(5) == sorted([(1, 0, 2.0), (2, 20, 2.0), (3, 7, 1.0), (4, 7, 1.0), (1, 7, -1.5), (2, 7, -1.5), (3, 20, -2.0), (4, 0, -3.0)])
+
+
 def test_elias_fano():
     for values in ([0], [0, 0, 3, 3, 9, 500, 500, 70_000], list(range(0, 9000, 7))):
         v = np.array(values)
