@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from citegrain.functions.text import let
+
+#: What counts as a page of each kind.
 _INT = r"(?U)^\s*[+-]?\d+(_\d+)*\s*$"
 _PREFIXED = r"^([a-zA-Z]+)(\d+)$"
 _CONFERENCE = r"^([A-Z]{2}-[\dA-Z]{2}).(\d+)$"
@@ -25,11 +26,6 @@ def roman_value(c: Column) -> Column:
     return F.aggregate(n, F.struct(F.lit(0).alias("sum"), F.lit(0).alias("last")), lambda a, x: F.struct((a["sum"] + x - F.when(x > a["last"], 2 * a["last"]).otherwise(0)).alias("sum"), x.alias("last")))["sum"]
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is worked out once, however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def page(c: Column) -> Column:
     """Struct (valid, kind, prefix, num) of a single page: empty, int, prefixed, conference, doi, arxiv, roman or invalid."""
 
@@ -94,4 +90,9 @@ def pages(c: Column) -> Column:
 
 def correct_pages(c: Column) -> Column:
     """Struct (target, unfixable): unfixable if the target isn't right either."""
-    return let(pages(c)["target"], lambda t: F.struct(t.alias("target"), (~pages(t)["ok"]).alias("unfixable")))
+    start = F.struct(F.coalesce(c, F.lit("")).alias("reads"), F.lit(None).cast("string").alias("target"), F.lit(True).alias("ok"))
+
+    def step(s: Column, _: Column) -> Column:  # the second time over the target
+        return let(pages(s["reads"]), lambda p: F.struct(p["target"].alias("reads"), F.coalesce(s["target"], p["target"]).alias("target"), p["ok"].alias("ok")))
+
+    return let(F.aggregate(F.array(F.lit(1), F.lit(2)), start, step), lambda s: F.struct(s["target"].alias("target"), (~s["ok"]).alias("unfixable")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -23,6 +24,16 @@ def _plain() -> tuple[str, str]:
     return "".join(table), "".join(table.values())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def strip(c: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def text(c: Column) -> Column:
     """A missing value reads as empty."""
     return F.coalesce(c, F.lit(""))
@@ -35,11 +46,15 @@ def decode(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, *_plain()), "\\p{M}+", "")
 
 
+#: Letters that LaTeX writes as commands of one letter, and the command of an accent with what it stands over.
+_COMMANDS, _ACCENT = "loit", r"""\{?\\[`'^"~=.uvHtcdbkr]?\s?\{?\\?(\w*)\}?"""
+
+
 def remove_accents_and_hyphens(c: Column) -> Column:
     """LaTeX accent commands leave their letters; hyphens go."""
-    for k in "loit":
+    for k in _COMMANDS:
         c = F.replace(c, F.lit("{\\" + k + "}"), F.lit(k))
-    return F.replace(F.regexp_replace(c, r"""\{?\\[`'^"~=.uvHtcdbkr]?\s?\{?\\?(\w*)\}?""", "$1"), F.lit("-"), F.lit(""))
+    return F.replace(F.regexp_replace(c, _ACCENT, "$1"), F.lit("-"), F.lit(""))
 
 
 def remove_non_letters(c: Column) -> Column:
@@ -47,11 +62,16 @@ def remove_non_letters(c: Column) -> Column:
     return F.translate(c, MARKS, "")
 
 
-def remove_curlies(c: Column, depth: int = 4) -> Column:
-    """Without matched braces, nested up to `depth`; unmatched ones stay."""
-    for _ in range(depth):
-        c = F.regexp_replace(c, r"\{([^{}]*)\}", "$1")
-    return c
+def remove_curlies(c: Column, blanks: bool = True) -> Column:
+    """Without matched braces of any depth, and without the blanks in them unless `blanks`; unmatched ones stay. Each step opens the
+    innermost pairs of one reading, so there are never more steps than braces."""
+
+    def step(s: Column, _: Column) -> Column:
+        pair = F.regexp_extract(s, r"\{[^{}]*\}", 0)
+        return F.when(F.contains(s, F.lit("{")) & F.contains(s, F.lit("}")), let(pair, lambda p: F.when(p == "", s).otherwise(F.replace(s, p, F.translate(p, "{}" if blanks else "{} ", ""))))).otherwise(s)
+
+    n = F.length(c) - F.length(F.replace(c, F.lit("{"), F.lit("")))
+    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), c, step)).otherwise(c)
 
 
 def same_words(a: Column, b: Column) -> Column:
@@ -74,7 +94,7 @@ def split_word(c: Column) -> Column:
 
 
 def capitalise(c: Column) -> Column:
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1 << 20)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2), F.length(c))))
 
 
 def normalise(c: Column) -> Column:

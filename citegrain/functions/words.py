@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from string import ascii_uppercase
 
 # Name particles.
 PARTICLES = frozenset(
@@ -24,24 +23,18 @@ FIELDS = tuple(
 )
 # Characters that don't count when words are compared.
 MARKS = ",.!?'\"{}-\\:()[]+/*"
-# Acronyms whose capitals are kept, besides single letters and Roman numerals; sites with more give their own list.
-ACRONYMS = "arXiv bioRxiv PsyArXiv SoftwareX PLoS BMC EEG CNS fMRI COSYNE eLife IEEE ACM iPerception NeuroImage NeuroReport NMR OpenAI USA NIPS NeurIPS AISTATS ICML".split()
-
-
-def roman(n: int) -> str:
-    """Roman numeral of a number below 40."""
-    return "X" * (n // 10) + ("IX" if n % 10 == 9 else "IV" if n % 10 == 4 else "V" * (n % 10 // 5) + "I" * (n % 5))
-
-
-def default_caps() -> tuple[str, ...]:
-    return (*ACRONYMS, *ascii_uppercase, *(roman(n) for n in range(2, 21)))
+# Words whose capitals are kept; sites with more give their own list (sources.bibtex.load_settings reads one).
+CAPS = tuple(
+    """arXiv bioRxiv PsyArXiv SoftwareX PLoS BMC EEG CNS fMRI COSYNE eLife IEEE ACM iPerception NeuroImage NeuroReport NMR OpenAI USA NIPS NeurIPS AISTATS ICML
+    A B C D E F G H I J K L M N O P Q R S T U V W X Y Z II III IV V VI VII VIII IX X XI XII XIII XIV XV XVI XVII XVIII IX XX""".split()
+)
 
 
 @dataclass(frozen=True)
 class Settings:
     """Lists and alias dictionaries (lower-case original to canonical) of a site."""
 
-    caps: tuple[str, ...] = field(default_factory=default_caps)
+    caps: tuple[str, ...] = CAPS
     addresses: tuple[str, ...] = ADDRESSES
     journals: dict[str, str] = field(default_factory=dict)
     publishers: dict[str, str] = field(default_factory=dict)

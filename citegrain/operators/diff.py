@@ -23,10 +23,21 @@ def diff(old: DataFrame, new: DataFrame, fields: list[str]) -> DataFrame:
     return fields_changed.unionByName(whole[0]).unionByName(whole[1])
 
 
-def summary(changes: DataFrame) -> DataFrame:
-    """(change, n, ids): entries removed, added and modified."""
+def changed(changes: DataFrame) -> DataFrame:
+    """(change, id): entries removed, added and modified, once each."""
     kind = F.when(F.col("change").isin("removed", "added"), F.col("change")).otherwise("modified")
-    return changes.select("id", kind.alias("change")).distinct().groupBy("change").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("id")), ", ").alias("ids"))
+    return changes.select(kind.alias("change"), "id").distinct()
+
+
+def summary(changes: DataFrame) -> DataFrame:
+    """(change, n): how many entries were removed, added and modified."""
+    return changed(changes).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_log(changes: DataFrame, path: str) -> None:
+    """The change log as text: a line for each kind and entry, in order; part files in the order of their names make one log."""
+    rows = changed(changes).select(F.concat_ws(" ", "change", "id").alias("value"))
+    rows.orderBy("value").write.text(path)
 
 
 def identical(changes: DataFrame) -> bool:

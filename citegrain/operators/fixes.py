@@ -27,6 +27,12 @@ def unknown_ids(entries: DataFrame, fixes: DataFrame) -> DataFrame:
     return fixes.join(entries.select(F.col("ID").alias("id")), "id", "left_anti")
 
 
+def conflicts(findings: DataFrame) -> DataFrame:
+    """(id, check, n): keys that one check corrects to several values, as when entries share a key."""
+    each = findings.where(F.col("target").isNotNull()).groupBy("id", "check").agg(F.count_distinct("target").alias("n"))
+    return each.where("n > 1")
+
+
 def prune(entries: DataFrame) -> DataFrame:
     """Entries without fields beyond the kept ones, but for those with force."""
     return entries.withColumn("extra", F.when(F.col("force").isNotNull(), F.col("extra")))

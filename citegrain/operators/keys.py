@@ -2,48 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.names import surnames
+from citegrain.operators.ranks import ranked
 
+#: Suffixes that one task writes out at a time.
+_BLOCK = 10_000
 
-def duplicate_groups(df: DataFrame, by: list[str], pos: str = "pos") -> DataFrame:
-    """(by, positions): values that occur more than once, and where."""
-    return df.groupBy(*by).agg(F.sort_array(F.collect_list(pos)).alias("positions")).where(F.size("positions") > 1)
+
+def duplicate_groups(df: DataFrame, by: list[str], members: list[str]) -> DataFrame:
+    """(by, n, members): the rows whose values `by` occur more than once, and how often; a group has a row for each member."""
+    more = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    more = more.select(*(F.col(c).alias(f"_{c}") for c in by), "n")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    return df.join(more, same).select(*by, "n", *members)
 
 
 def duplicate_keys(entries: DataFrame) -> DataFrame:
+    """(ID, n) of keys that occur more than once."""
     return entries.groupBy("ID").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def duplicate_entries(entries: DataFrame) -> DataFrame:
-    """(title, surnames, positions, ids) of entries with one title and one list of surnames."""
+    """(title, surnames, n, pos, ID) of the entries that share a title and a list of surnames with others; a missing title reads as empty."""
     df = entries.select("pos", "ID", F.coalesce("title", F.lit("")).alias("title"), F.array_join(surnames(F.col("author")), " and ", "").alias("surnames"))
-    found = df.groupBy("title", "surnames").agg(F.sort_array(F.collect_list(F.struct("pos", "ID"))).alias("e")).where(F.size("e") > 1)
-    return found.select("title", "surnames", F.col("e.pos").alias("positions"), F.col("e.ID").alias("ids"))
+    return duplicate_groups(df, ["title", "surnames"], ["pos", "ID"])
 
 
 def suffix(n: Column) -> Column:
-    """The n-th suffix from 0: a to z, aa, ab, ... (bijective base 26); six letters at most."""
+    """The n-th suffix from 0: a to z, aa, ab, ... (bijective base 26), of any long."""
     letter = lambda k: F.substr(F.lit("abcdefghijklmnopqrstuvwxyz"), (k % 26 + 1).cast("int"), F.lit(1))
-    step = lambda a, _: F.when(a["n"] < 0, a).otherwise(F.struct((F.floor(a["n"] / 26) - 1).alias("n"), F.concat(letter(a["n"]), a["s"]).alias("s")))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(n.cast("long").alias("n"), F.lit("").alias("s")), step)["s"]
+    step = lambda a, _: F.when(a["n"] < 0, a).otherwise(F.struct((F.call_function("div", a["n"], F.lit(26)) - 1).alias("n"), F.concat(letter(a["n"]), a["s"]).alias("s")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), F.struct(n.cast("long").alias("n"), F.lit("").alias("s")), step)["s"]
 
 
 def repair(keys: DataFrame) -> DataFrame:
     """`keys` (pos, ID, base, ...) with `target`. A base alone is its entry's key. Of several entries, keys that are the base and one of
-    the first n suffixes stay; the others take the unused suffixes, both in order."""
-    group = Window.partitionBy("base")
-    df = keys.withColumn("n", F.count(F.lit(1)).over(group))
-    legal = df.where("n > 1").select("base", "n").distinct().select("base", F.posexplode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i", "_"))
+    the first n suffixes stay; the others take the unused suffixes, both in order. Groups of any size are ranked in parts."""
+    sizes = keys.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    many = sizes.where("n > 1 AND base IS NOT NULL")
+    legal = many.select("base", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_BLOCK).cast("long"))).alias("low")).repartition("base", "low")
+    legal = legal.select("base", F.explode(F.sequence("low", F.least(F.col("low") + _BLOCK, F.col("n")) - 1)).alias("i"))
     legal = legal.select("base", "i", F.concat("base", suffix(F.col("i"))).alias("legal"))
-    used = df.select("base", "ID").distinct()
-    free = legal.join(used.select(F.col("base").alias("b"), "ID"), (F.col("base") == F.col("b")) & (F.col("legal") == F.col("ID")), "left_anti")
-    free = free.select("base", "legal", F.row_number().over(group.orderBy("i")).alias("rank"))
+    used = keys.select(F.col("base").alias("u_base"), F.col("ID").alias("u_ID")).distinct()
+    free = ranked(legal.join(used, (F.col("base") == F.col("u_base")) & (F.col("legal") == F.col("u_ID")), "left_anti"), ["base"], "i", "rank")
+    free = free.select(F.col("base").alias("f_base"), F.col("legal").alias("f_legal"), F.col("rank").alias("f_rank"))
     kept = legal.select(F.col("base").alias("k_base"), F.col("legal").alias("k_legal"))
-    marked = df.join(kept, (F.col("base") == F.col("k_base")) & (F.col("ID") == F.col("k_legal")), "left").withColumn("right", F.col("k_legal").isNotNull()).drop("k_base", "k_legal")
-    wrong = marked.withColumn("rank", F.when(~F.col("right"), F.row_number().over(Window.partitionBy("base", "right").orderBy("pos"))))
-    out = wrong.join(free, ["base", "rank"], "left")
-    target = F.when(F.col("n") == 1, F.col("base")).when(F.col("right"), F.col("ID")).otherwise(F.col("legal"))
-    return out.withColumn("target", target).select(*keys.columns, "target")
+    of = sizes.select(F.col("base").alias("s_base"), "n")
+    marked = keys.join(of, F.col("base").eqNullSafe(F.col("s_base"))).join(kept, (F.col("base") == F.col("k_base")) & (F.col("ID") == F.col("k_legal")), "left")
+    target = F.when((F.col("n") == 1) | F.col("base").isNull(), F.col("base")).when(F.col("k_legal").isNotNull(), F.col("ID"))
+    marked = marked.withColumn("target", target).drop("s_base", "k_base", "k_legal")
+    wrong = (F.col("n") > 1) & F.col("base").isNotNull() & F.col("target").isNull()
+    moved = ranked(marked.where(wrong), ["base"], "pos", "rank").join(free, (F.col("base") == F.col("f_base")) & (F.col("rank") == F.col("f_rank")), "left")
+    return marked.where(~wrong).select(*keys.columns, "target").unionByName(moved.select(*keys.columns, F.col("f_legal").alias("target")))

@@ -24,28 +24,48 @@ def mismatches(df: DataFrame, *checks: Column) -> DataFrame:
     return df.select(F.col("ID").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("f")).select("id", "f.*")
 
 
+_VENUES, _PEOPLE = ("journal", "booktitle", "publisher", "address"), ("author", "editor")
+
+
 def targets(entries: DataFrame, settings: Settings) -> DataFrame:
-    """`entries` with what each checked field should read."""
-    venues = {f: (settings.journals, settings.caps) for f in ("journal", "booktitle")} | {"publisher": (settings.publishers, settings.caps), "address": (settings.places, settings.addresses)}
-    return entries.select(
-        "*", names.citation_key(F.col("author"), F.col("year")).alias("t_key"), pages.correct_pages(F.col("pages")).alias("t_pages"), names.title_text(F.col("title"), settings).alias("t_title"),
-        *(names.venue_text(F.col(f), a, c).alias(f"t_{f}") for f, (a, c) in venues.items()), *(names.author_text(F.col(f)).alias(f"t_{f}") for f in ("author", "editor")),
+    """`entries` with what each checked field but the key should read."""
+    s = settings
+    lists = dict(zip(_VENUES, ((s.journals, s.caps), (s.journals, s.caps), (s.publishers, s.caps), (s.places, s.addresses))))
+    df = entries.select(
+        "*", pages.correct_pages(F.col("pages")).alias("t_pages"), names.title_text(F.col("title"), settings).alias("t_title"), names.venue_texts(*((F.col(f), *x) for f, x in lists.items())).alias("t_venues"),
+        names.author_texts(*map(F.col, _PEOPLE)).alias("t_people"), F.array_join(names.nameless(F.col("author")), " and ").alias("bad_author"),
     )
+    return df.select("*", *(F.col(a)[i].alias(f"t_{f}") for a, of in (("t_venues", _VENUES), ("t_people", _PEOPLE)) for i, f in enumerate(of)))
+
+
+def key_targets(entries: DataFrame) -> DataFrame:
+    """(pos, ID, force, base, target): the key that each entry's authors and year make, and that key with the right suffix."""
+    return keys.repair(entries.select("pos", "ID", "force", names.citation_key(F.col("author"), F.col("year")).alias("base")))
 
 
 def findings(entries: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """All checks of the lint pass over entries (pos, ID, fields, force)."""
-    df = targets(entries, settings or Settings())
+    """All checks of the lint pass over entries (pos, ID, fields, force). Null IDs are never right.
+
+    Names without a surname (of no or too many parts) and titles without a sentence form are fatal, as are pages that can't be put right.
+    """
+    none = F.lit(None).cast("string")
     found = [
-        finding("key", 0, "ID", F.col("ID"), F.col("t_key"), ~same_key(F.col("ID"), F.col("t_key"))),
         finding("pages", 2, "pages", F.col("pages"), F.col("t_pages.target")),
         finding("pages_unfixable", 3, "pages", F.col("pages"), F.col("t_pages.target"), F.col("t_pages.unfixable"), "fatal", force=False),
-        finding("empty_title", 4, "title", F.col("title"), F.lit(None).cast("string"), F.col("t_title").isNull(), "fatal"),
+        finding("empty_title", 4, "title", F.col("title"), none, F.col("t_title").isNull(), "fatal"),
+        finding("name", 12, "author", F.col("author"), none, (text(F.col("author")) != "") & (F.col("bad_author") != ""), "fatal"),
     ]
     found += [finding(f, 5 + i, f, F.col(f), F.col(f"t_{f}")) for i, f in enumerate(("journal", "booktitle", "title", "publisher", "author", "editor", "address"))]
-    base = names.citation_key(F.col("author"), F.col("year"))
-    repaired = keys.repair(entries.select("pos", "ID", "force", base.alias("base")))
-    return mismatches(df, *found).unionByName(mismatches(repaired, finding("suffix", 1, "ID", F.col("ID"), F.col("target"))))
+    base = finding("key", 0, "ID", F.col("ID"), F.col("base"), ~same_key(text(F.col("ID")), F.col("base")))
+    return mismatches(targets(entries, settings or Settings()), *found).unionByName(mismatches(key_targets(entries), base, finding("suffix", 1, "ID", F.col("ID"), F.col("target"))))
+
+
+def fatal(entries: DataFrame) -> DataFrame:
+    """Findings of what ends a lint pass wherever it stands, force or not: keys that occur more than once, and entries that share title and surnames."""
+    what = lambda check, order, field, actual: [F.lit(check).alias("check"), F.lit(order).alias("check_order"), F.lit(field).alias("field"), actual.alias("actual"), F.lit(None).cast("string").alias("target"), F.lit("fatal").alias("severity")]
+    same_keys = keys.duplicate_keys(entries).select(F.col("ID").alias("id"), *what("duplicate_key", 13, "ID", F.col("ID")))
+    same_entries = keys.duplicate_entries(entries).select(F.col("ID").alias("id"), *what("duplicate_entry", 14, "title", F.col("title")))
+    return same_keys.unionByName(same_entries)
 
 
 def extra_fields(entries: DataFrame) -> DataFrame:
@@ -54,6 +74,6 @@ def extra_fields(entries: DataFrame) -> DataFrame:
 
 
 def distinct_values(entries: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, vals): the distinct values of each field, sorted."""
-    long = entries.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("v")) for f in fields))).alias("x")).select("x.*")
-    return long.where("v IS NOT NULL").distinct().groupBy("field").agg(F.sort_array(F.collect_list("v")).alias("vals"))
+    """(field, value, n): the distinct values of each field, and how often they occur."""
+    long = entries.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").alias("value")) for f in fields))).alias("x")).select("x.*")
+    return long.where("value IS NOT NULL").groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"))

@@ -6,15 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrain.functions.names import last_words
-from citegrain.functions.similarity import author_share, ratio
+from citegrain.functions.similarity import author_share, bound, length_bound, normal_ratio, ratio
 from citegrain.functions.text import doi, normalise, text
 
 #: Least similarities of titles, authors and journals, most difference of years, and the penalty for another year.
 TITLE, AUTHORS, JOURNAL, YEARS, PENALTY, ACCEPT = 0.85, 0.70, 0.60, 1, 0.7, 0.70
-#: Rarest words of a title that lead to its candidates.
-RAREST = 3
-#: Candidates of a title that are scored, as a catalogue's search gives them: most shared words first, then the same title, then order.
-CANDIDATES = 3
+#: Titles are compared if they share at least this part of the longer one's distinct words.
+SHARED = 0.5
 
 
 def flat_catalogue(records: DataFrame) -> DataFrame:
@@ -32,37 +30,85 @@ def by_doi(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
     return entries.join(first, F.col("e_doi") == F.col("c_doi"), "left")
 
 
-def rare_words(df: DataFrame, key: str, title: str, frequency: DataFrame) -> DataFrame:
-    """(key, word): the RAREST words of each title among the catalogue's words."""
-    long = df.select(key, F.explode(F.array_distinct(F.split(normalise(F.col(title)), " "))).alias("word")).where("word <> ''").join(frequency, "word")
-    return long.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy("df", "word"))).where(F.col("rn") <= RAREST).select(key, "word")
+def _words(df: DataFrame, title: str) -> DataFrame:
+    """(title, word, size): the distinct words of distinct titles."""
+    words = F.filter(F.array_distinct(F.split(F.col(title), " ")), lambda w: w != "")
+    return df.select(title, words.alias("w")).select(title, F.explode("w").alias("word"), F.size("w").alias("size"))
 
 
-def candidates(entries: DataFrame, catalogue: DataFrame, key: str = "ID") -> DataFrame:
-    """(key, c_pos, shared) of entries and catalogue rows that share some of their rarest title words; each pair once."""
-    words = catalogue.select("c_pos", F.explode(F.array_distinct(F.split(normalise(F.col("c_title")), " "))).alias("word")).where("word <> ''")
-    frequency = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    return rare_words(entries, key, "title", frequency).join(rare_words(catalogue, "c_pos", "c_title", frequency), "word").groupBy(key, "c_pos").agg(F.count(F.lit(1)).alias("shared"))
+def title_pairs(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(title, c_title, shared) of distinct normalised titles (`title`) and distinct normalised catalogue titles (`c_title`) that are
+    the same, or share at least SHARED of the longer one's distinct words.
+
+    Two such titles meet on one of their rarest words: of n words, all but the commonest n * SHARED (rounded up, less one). So none is missed.
+    Equal titles are paired without their words.
+    """
+    ours, theirs = _words(titles, "title"), _words(catalogue, "c_title")
+    frequency = theirs.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+
+    def prefix(df: DataFrame, title: str) -> DataFrame:
+        """Words that only the titles have come first: no catalogue title has them, but they count."""
+        order = Window.partitionBy(title).orderBy(F.coalesce("df", F.lit(0)), "word")
+        few = df.join(frequency, "word", "left").withColumn("rn", F.row_number().over(order))
+        return few.where(F.col("rn") <= F.col("size") - F.ceil(F.col("size") * SHARED) + 1).select(title, "word", "size")
+
+    long = lambda a, b: F.greatest(F.col(a), F.col(b)) * SHARED
+    met = prefix(ours, "title").join(prefix(theirs, "c_title").withColumnRenamed("size", "c_size"), "word")
+    met = met.where((F.col("title") != F.col("c_title")) & (F.least("size", "c_size") >= long("size", "c_size"))).select("title", "c_title").distinct()
+    both = F.size(F.array_intersect(F.split("title", " "), F.split("c_title", " ")))
+    sizes = [F.size(F.array_distinct(F.split(c, " "))) for c in ("title", "c_title")]
+    near = met.withColumn("shared", both).where(both >= F.greatest(*sizes) * SHARED)
+    count = F.size(F.filter(F.array_distinct(F.split("title", " ")), lambda w: w != ""))
+    same = titles.select("title").join(catalogue.select(F.col("c_title").alias("title")), "title").select("title", F.col("title").alias("c_title"), count.alias("shared"))
+    return near.unionByName(same)
+
+
+def scored_titles(pairs: DataFrame) -> DataFrame:
+    """(title, c_title, sim) of the pairs with a ratio of ACCEPT or more: no other can be accepted. Pairs that the bounds rule out
+    aren't compared."""
+    a, b = F.col("title"), F.col("c_title")
+    possible = pairs.where(length_bound(a, b) >= ACCEPT).where((a == b) | (bound(a, b) >= ACCEPT))
+    return possible.select("title", "c_title", normal_ratio(a, b).alias("sim")).where(F.col("sim") >= ACCEPT)
 
 
 def by_title(entries: DataFrame, catalogue: DataFrame, key: str = "ID") -> DataFrame:
-    """Entries and their best candidate by title, if one is good enough: another year costs, the first of equals wins."""
-    pairs = candidates(entries.where(text(F.col("title")) != ""), catalogue, key).join(entries, key).join(catalogue, "c_pos")
-    same = (normalise(F.col("title")) == normalise(F.col("c_title"))).cast("int")
-    place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("shared"), F.desc("same"), "c_pos"))
-    pairs = pairs.withColumn("same", same).withColumn("rn", place).where(F.col("rn") <= CANDIDATES).drop("rn", "same", "shared")
-    other = (text(F.col("year")) != "") & F.col("c_year").isNotNull() & (F.col("year") != F.col("c_year"))
-    scored = pairs.withColumn("score", ratio(F.col("title"), F.col("c_title")) * F.when(other, PENALTY).otherwise(1.0)).where(F.col("score") >= ACCEPT)
-    return scored.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "c_pos"))).where("rn = 1").drop("rn", "score")
+    """Entries and their best catalogue row by title, if one is good enough: another year costs; of equals, a row with the first author's
+    name goes first, then the first row.
+
+    Entries of one title, year and first author have one answer, and catalogue rows of one title, year and first author are told
+    apart by place only, so no group of equal titles is ever paired off.
+    """
+    ours = entries.where(text(F.col("title")) != "").withColumns({"n_title": normalise(F.col("title")), "n_year": text(F.col("year")), "n_first": F.coalesce(normalise(F.get(last_words(F.col("author")), F.lit(0))), F.lit(""))})
+    theirs = catalogue.where(text(F.col("c_title")) != "").select(
+        "c_pos", normalise(F.col("c_title")).alias("c_title"), F.coalesce("c_year", F.lit("")).alias("y"), F.coalesce(normalise(F.get("c_authors", F.lit(0))), F.lit("")).alias("f")
+    )
+    node = ["n_title", "n_year", "n_first"]
+    nodes = ours.select(*node).distinct()
+    pairs = scored_titles(title_pairs(nodes.select(F.col("n_title").alias("title")).distinct(), theirs.select("c_title").distinct()))
+    any_ = F.lit(None).cast("string")
+    combos = F.explode(F.array(*(F.struct(y.alias("y"), f.alias("f")) for y in (F.col("y"), any_) for f in (F.col("f"), any_)))).alias("g")
+    first = theirs.select("c_pos", "c_title", combos).groupBy("c_title", "g").agg(F.min("c_pos").alias("c_pos"))
+    first = first.select("c_title", F.col("g.y").alias("g_y"), F.col("g.f").alias("g_f"), "c_pos")
+    free = F.when(F.col("n_year") == "", 1.0).otherwise(PENALTY)
+    years = [(F.col("n_year"), F.lit(1.0)), (F.lit(""), F.lit(1.0)), (any_, free)]
+    wanted = F.explode(F.array(*(F.struct(y.alias("y"), f.alias("f"), cost.alias("cost"), F.lit(own).alias("own")) for y, cost in years for f, own in ((F.col("n_first"), 1), (any_, 0))))).alias("g")
+    asked = nodes.join(pairs, F.col("n_title") == F.col("title")).select(*node, F.col("c_title").alias("w_title"), "sim", wanted)
+    met = asked.join(first, (F.col("w_title") == F.col("c_title")) & F.col("g.y").eqNullSafe(F.col("g_y")) & F.col("g.f").eqNullSafe(F.col("g_f")))
+    met = met.withColumn("score", F.col("sim") * F.col("g.cost")).where(F.col("score") >= ACCEPT)
+    best = met.groupBy(*node).agg(F.max_by("c_pos", F.struct("score", "g.own", -F.col("c_pos"))).alias("b_pos"))
+    found = ours.join(best, node).drop(*node)
+    return found.join(catalogue, F.col("b_pos") == F.col("c_pos")).drop("b_pos")
 
 
 def gates(df: DataFrame) -> DataFrame:
-    """Scores and the reason of the first gate that fails (null: confident)."""
+    """Scores, the reason of the first gate that fails (null: confident), and whether the last gate met a year that is no number."""
     df = df.withColumns({"title_sim": ratio(F.col("title"), F.col("c_title")), "author_sim": author_share(last_words(F.col("author")), F.col("c_authors")), "journal_sim": ratio(F.col("journal"), F.col("c_journal"))})
     both = (text(F.col("journal")) != "") & (text(F.col("c_journal")) != "")
     apart = F.abs(F.col("year").try_cast("int") - F.col("c_year").try_cast("int"))
     said = lambda what, c: F.format_string(f"{what} similarity too low: %.2f%%", 100 * F.col(c))
-    return df.withColumn("reason", F.when(F.col("title_sim") < TITLE, said("Title", "title_sim")).when(F.col("author_sim") < AUTHORS, said("Author", "author_sim")).when(both & (F.col("journal_sim") < JOURNAL), said("Journal", "journal_sim")).when(apart > YEARS, F.concat(F.lit("Years differ: "), "year", F.lit(" and "), "c_year")))
+    odd = (text(F.col("year")) != "") & (text(F.col("c_year")) != "") & apart.isNull()
+    df = df.withColumn("reason", F.when(F.col("title_sim") < TITLE, said("Title", "title_sim")).when(F.col("author_sim") < AUTHORS, said("Author", "author_sim")).when(both & (F.col("journal_sim") < JOURNAL), said("Journal", "journal_sim")).when(apart > YEARS, F.concat(F.lit("Years differ: "), "year", F.lit(" and "), "c_year")))
+    return df.withColumn("exception", F.col("reason").isNull() & odd)
 
 
 def _plain_pages(c: Column) -> Column:
@@ -86,8 +132,8 @@ def discrepancies(df: DataFrame) -> DataFrame:
 def verify(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(id, status, reason, discrepancies, corrections, title_sim, author_sim, journal_sim) of each entry (ID, fields, force, doi).
 
-    status: skipped (force is "True"), not_found, error (a gate fails), warning (discrepancies) or verified. A DOI that the catalogue
-    has decides alone; else the title is looked up.
+    status: skipped (force is "True"), not_found, error (a gate fails), exception (a year that is no number), warning (discrepancies) or
+    verified. A DOI that the catalogue has decides alone; else the title is looked up.
     """
     e = entries.select("ID", "force", *(F.col(c) for c in ("title", "author", "journal", "year", "volume", "number", "pages")), doi(F.col("doi")).alias("e_doi"))
     skipped = F.col("force").eqNullSafe(F.lit("True"))
@@ -95,9 +141,10 @@ def verify(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
     missed = found.where("c_pos IS NULL").select(e.columns)
     titled = by_title(missed, catalogue)
     matched = discrepancies(gates(found.where("c_pos IS NOT NULL").unionByName(titled.select(found.columns))))
-    status = F.when(F.col("reason").isNotNull(), "error").when(F.size("discrepancies") > 0, "warning").otherwise("verified")
+    status = F.when(F.col("reason").isNotNull(), "error").when(F.col("exception"), "exception").when(F.size("discrepancies") > 0, "warning").otherwise("verified")
     out = ["discrepancies", "corrections", "title_sim", "author_sim", "journal_sim"]
-    done = matched.select(F.col("ID").alias("id"), status.alias("status"), "reason", *out)
+    why = F.when(F.col("exception"), F.concat(F.lit("No number: "), "year")).otherwise(F.col("reason"))
+    done = matched.select(F.col("ID").alias("id"), status.alias("status"), why.alias("reason"), *out)
     lost = missed.join(titled.select("ID"), "ID", "left_anti").select(F.col("ID").alias("id"), F.lit("not_found").alias("status"))
     rest = lost.unionByName(e.where(skipped).select(F.col("ID").alias("id"), F.lit("skipped").alias("status")))
     return done.unionByName(rest, allowMissingColumns=True)

@@ -26,7 +26,7 @@ def check(entries: DataFrame, settings: Settings | None = None, autofix: bool =
     found = lint.findings(entries, settings)
     pivoted = fixes.pivot(found)
     kept = fixes.prune(entries)
-    return Lint(found, pivoted, keys.duplicate_keys(entries), keys.duplicate_entries(entries), lint.extra_fields(entries), fixes.apply(kept, pivoted) if autofix else kept)
+    return Lint(found.unionByName(lint.fatal(entries)), pivoted, keys.duplicate_keys(entries), keys.duplicate_entries(entries), lint.extra_fields(entries), fixes.apply(kept, pivoted) if autofix else kept)
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -34,6 +34,11 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff.diff(old, new, [f for f in FIELDS if f != "ID"])
 
 
+def verification(entries: DataFrame, catalogue: DataFrame, most: int | None = None) -> DataFrame:
+    """Verification of all entries, or of the first `most` in file order."""
+    return verify.verify(entries if most is None else entries.orderBy("pos").limit(most), catalogue)
+
+
 def report(verification: DataFrame, pos: DataFrame, n: int = 10) -> DataFrame:
     """The first n entries (in file order) with discrepancies."""
     return verification.where(F.size("discrepancies") > 0).join(pos.select(F.col("ID").alias("id"), "pos"), "id").orderBy("pos").limit(n)

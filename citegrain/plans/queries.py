@@ -23,30 +23,50 @@ def _pick(number: str, values: list[str]) -> str:
     return f"CASE ({number}) % {len(values)} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 
 
-def _word(i: int) -> str:
-    return _pick(f"{_K} * 7 + {i} * 3 + p_size", ["'Manning'", "'Kahana'", "'Lee'", "'Ray'", "'Fox'", "'Okafor'", "'Silva'", "'Tanaka'"])
+def _text(x: str | None) -> str:
+    return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+#: Names as written, their surname, its part of a key, the tidy form, and the last word.
+_NAMES = (
+    ("Jeremy Manning", "Manning", "Mann", "Jeremy Manning", "Manning"), ("M J Kahana", "Kahana", "Kaha", "M J Kahana", "Kahana"), ("Lee, A.B.", "Lee", "Lee", "A B Lee", "A.B."),
+    ("Ludwig van der Meer", "vanderMeer", "vand", "Ludwig van der Meer", "Meer"), ("van Dam, L", "vanDam", "vanD", "L {van Dam}", "L"), ("S Ramón y Cajal", "yCajal", "yCaj", "S Ramón y Cajal", "Cajal"),
+    ("José Núñez", "Núñez", "Nune", "José Núñez", "Núñez"), ("M B Smith Jr", "Smith", "Smit", "M B Smith Jr", "Jr"), ("Fox, Jr., John", "Fox", "Fox", "John Fox", "John"),
+    ("B O'Brien", "OBrien", "OBri", "B O'Brien", "O'Brien"), ("H-T Ray", "Ray", "Ray", "H-T Ray", "Ray"), ("{K A} Okafor", "Okafor", "Okaf", "{ K A } Okafor", "Okafor"), ("CD Silva", "Silva", "Silv", "C D Silva", "Silva"),
+)
+
+
+def _name(i: int, form: int) -> str:
+    return _pick(f"{_K} * 7 + {i} * 3 + p_size", [_text(n[form]) for n in _NAMES])
+
+
+def _authors(form: int, join: str = " and ") -> str:
+    """One to three names in a form; every 23rd entry has a name of too many parts."""
+    lists = [f" || '{join}' || ".join(_name(i, form) for i in range(n)) for n in (1, 2, 3)]
+    odd = ("Smith, John, PhD", "", None, "Smith, John, PhD", "PhD")[form]
+    return f"CASE WHEN {_K} % 23 = 5 THEN {_text(odd)} ELSE {_pick(_K, lists)} END"
 
 
-_AUTHOR = _pick(_K, [f"'Jeremy ' || {_word(0)}", f"'M J ' || {_word(0)} || ' and A ' || {_word(1)}", f"'A ' || {_word(0)} || ' and B ' || {_word(1)} || ' and C ' || {_word(2)}"])
 _YEAR = f"CAST(1990 + {_K} % 35 AS VARCHAR(8))"
-_BASE = _pick(_K, [f"substr({_word(0)}, 1, 4)", f"substr({_word(0)}, 1, 4) || substr({_word(1)}, 1, 4)", f"substr({_word(0)}, 1, 4) || 'Etal'"]) + f" || substr({_YEAR}, 3, 2)"
+_BASE = f"CASE WHEN {_K} % 23 <> 5 THEN " + _pick(_K, [_name(0, 2), f"{_name(0, 2)} || {_name(1, 2)}", f"{_name(0, 2)} || 'Etal'"]) + f" || substr({_YEAR}, 3, 2) END"
 _A, _B = f"CAST({_K} % 300 + 90 AS VARCHAR(8))", f"CAST({_K} % 310 + 95 AS VARCHAR(8))"
 #: Fields of the bibliography over `part`, with clean, fixable and unfixable values.
 _FIELDS = {
     "pos": _K,
-    "ID": f"{_BASE} || {_pick(_K, [chr(39) * 2, repr('a'), repr('b'), repr('zz'), repr('x')])}",
+    "ID": f"CASE WHEN {_K} % 29 = 3 THEN 'Wrong99' ELSE coalesce({_BASE}, 'None') END || {_pick(_K, [chr(39) * 2, repr('a'), repr('b'), repr('zz'), repr('x')])}",
     "base": _BASE,
     "ENTRYTYPE": _pick(_K, ["'article'", "'inproceedings'", "'book'"]),
-    "author": _AUTHOR,
+    "author": _authors(0),
     "year": _YEAR,
-    "title": _pick(_K, ["p_name || ' and {EEG} Memory!'", "'The ' || p_name", "'A study: of ' || p_name || ' (' || p_type || ')'", "p_name"]),
-    "journal": _pick(_K, ["'journal OF neuroscience'", "'NeuroImage'", "'Science & Practice'", "NULL"]),
+    "title": _pick(_K, ["p_name || ' and {EEG} Memory!'", "'The ' || p_name", "'A study: of ' || p_name || ' (' || p_type || ')'", "p_name", "'{' || p_name || ' EEG Study}'", "'What? Another (EEG) ' || p_name || '.'", "NULL"]),
+    "journal": _pick(_K, ["'journal OF neuroscience'", "'NeuroImage'", "'Science & Practice'", "NULL", "'plos-one AND more'"]),
     "pages": _pick(_K, [_A, f"{_A} || '-' || {_B}", f"{_A} || '--' || {_B}", f"'e' || {_A} || '--' || {_B}", f"{_A} || '–' || {_B}", f"{_A} || '--' || substr({_B}, 2, 2)", "'iv--ix'", "'x--v'", f"'e' || {_A}", "'12a'", "NULL", f"{_A} || '--' || {_A}"]),
     "volume": f"CAST({_K} % 50 AS VARCHAR(8))",
     "doi": f"'https://doi.org/10.1/' || CAST({_K} AS VARCHAR(12))",
     "force": f"CASE WHEN {_K} % 40 = 7 THEN 'True' END",
 }
-_OTHER = ("number", "booktitle", "publisher", "editor", "address")
+_FIELDS |= {"publisher": f"CASE WHEN {_K} % 6 = 1 THEN 'MIT press' END", "editor": f"CASE WHEN {_K} % 8 = 2 THEN 'AA Smith' END", "address": f"CASE WHEN {_K} % 10 = 4 THEN 'Hanover, NH' END"}
+_OTHER = ("number", "booktitle")
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +77,24 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ENTRIES = "e AS (SELECT " + ", ".join(f"{x} AS {c}" for c, x in _FIELDS.items()) + " FROM part)"
 
 
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A catalogue of the same works, some of them under other titles, volumes or DOIs."""
-    e, k = entries(spark, sf_dir), F.col("pos")
+#: Titles of three rare words, so that no other title is near; every two entries share one.
+_RARE = f"md5(CAST({_K} - {_K} % 2 AS VARCHAR(12)))"
+_RARE = f"substr({_RARE}, 1, 8) || ' ' || substr({_RARE}, 9, 8) || ' on ' || substr({_RARE}, 17, 8)"
+
+
+def works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bibliography with rare titles and a key for each entry."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    own = {"ID": f"'K' || {_K}", "title": _RARE}
+    return part.select(*(F.expr((_FIELDS | own)[c]).alias(c) for c in _FIELDS), *(F.lit(None).cast("string").alias(c) for c in _OTHER))
+
+
+def catalogue(e: DataFrame) -> DataFrame:
+    """A catalogue of the same works, some of them under other titles or volumes, or without a DOI."""
+    k = F.col("pos")
     return e.select(
         k.alias("c_pos"), F.when(k % 3 != 0, t.doi(F.col("doi"))).alias("c_doi"), F.when(k % 7 == 0, F.lit("Another title altogether")).otherwise(F.col("title")).alias("c_title"), names.last_words(F.col("author")).alias("c_authors"), F.col("journal").alias("c_journal"),
-        F.col("year").alias("c_year"), F.when(k % 5 == 0, F.lit("99")).otherwise(F.col("volume")).alias("c_volume"), F.lit(None).cast("string").alias("c_issue"), F.col("pages").alias("c_pages"),
+        F.when(k % 31 != 4, F.col("year")).alias("c_year"), F.when(k % 5 == 0, F.lit("99")).otherwise(F.col("volume")).alias("c_volume"), F.lit(None).cast("string").alias("c_issue"), F.col("pages").alias("c_pages"),
     )
 
 
@@ -74,7 +106,8 @@ def lint_findings(spark, sf_dir):
 
 
 def lint_fixes(spark, sf_dir):
-    return fixes.pivot(lint_findings(spark, sf_dir)).select("id", F.to_json("fix").alias("fix"))
+    fixed = F.array_sort(F.map_entries("fix"))
+    return fixes.pivot(lint_findings(spark, sf_dir)).select("id", F.array_join(F.transform(fixed, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("fix"))
 
 
 def page_values(spark, sf_dir):
@@ -109,8 +142,7 @@ def duplicate_keys(spark, sf_dir):
 
 
 def duplicate_entries(spark, sf_dir):
-    found = keys.duplicate_entries(entries(spark, sf_dir))
-    return found.select("title", "surnames", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"), F.array_join("ids", ",").alias("ids"))
+    return keys.duplicate_entries(entries(spark, sf_dir))
 
 
 def title_normalised(spark, sf_dir):
@@ -123,12 +155,11 @@ def title_sentence_case(spark, sf_dir):
 
 def word_parts(spark, sf_dir):
     e = entries(spark, sf_dir).withColumn("s", t.split_word(F.col("title")))
-    return e.select("pos", "s.prefix", "s.core", "s.suffix", t.capitalise(F.col("title")).alias("capital"), t.same_words(F.col("title"), F.col("journal")).alias("same"), t.same_key(F.col("ID"), F.col("base")).alias("same_key"), t.position_of(F.split("author", " "), "and a").alias("at"))
+    return e.select("pos", "s.prefix", "s.core", "s.suffix", t.capitalise(F.col("title")).alias("capital"), t.same_words(F.col("title"), F.col("journal")).alias("same"), t.same_key(F.col("ID"), F.col("base")).alias("same_key"), F.nullif(F.array_position(F.split("author", " "), "and"), F.lit(0)).cast("int").alias("first_and"), t.position_of(F.split("author", " "), "and b").alias("at"))
 
 
 def field_values(spark, sf_dir):
-    found = lint.distinct_values(entries(spark, sf_dir), ["year", "journal", "ENTRYTYPE"])
-    return found.select("field", F.array_join("vals", "|").alias("vals"))
+    return lint.distinct_values(entries(spark, sf_dir), ["year", "journal", "ENTRYTYPE"])
 
 
 def _versions(spark, sf_dir):
@@ -151,28 +182,44 @@ def bibtex_output(spark, sf_dir):
 
 
 def title_candidates(spark, sf_dir):
-    e = entries(spark, sf_dir).where("pos % 50 = 0").withColumn("ID", F.col("pos").cast("string"))
-    return verify.candidates(e, catalogue(spark, sf_dir))
+    """Pairs of the distinct titles of all entries and those of the catalogue; entries belong to their title's pairs."""
+    e = entries(spark, sf_dir)
+    ours = e.where("title IS NOT NULL").select(t.normalise(F.col("title")).alias("title")).distinct()
+    return verify.title_pairs(ours, catalogue(e).where("c_title IS NOT NULL").select(t.normalise(F.col("c_title")).alias("c_title")).distinct())
 
 
 def doi_matches(spark, sf_dir):
     e = entries(spark, sf_dir).withColumn("e_doi", t.doi(F.col("doi")))
-    return verify.by_doi(e.select("pos", "e_doi"), catalogue(spark, sf_dir)).select("pos", "e_doi", F.coalesce("c_pos", F.lit(-1)).alias("match"), "c_volume")
+    return verify.by_doi(e.select("pos", "e_doi"), catalogue(entries(spark, sf_dir))).select("pos", "e_doi", F.coalesce("c_pos", F.lit(-1)).alias("match"), "c_volume")
 
 
 def verification(spark, sf_dir):
     e = entries(spark, sf_dir).withColumn("ID", F.concat("ID", F.lit("-"), "pos"))
-    found = verify.verify(e, catalogue(spark, sf_dir))
+    found = verify.verify(e, catalogue(e))
     return found.withColumn("corrections", F.to_json("corrections"))
 
 
+def _verified_works(spark, sf_dir):
+    e = works(spark, sf_dir)
+    return verify.verify(e, catalogue(e))
+
+
+def entry_status(spark, sf_dir):
+    """Verdicts on entries with rare titles."""
+    return _verified_works(spark, sf_dir).select("id", "status", F.array_join("discrepancies", ";").alias("discrepancies"), F.to_json("corrections").alias("corrections"))
+
+
 def verification_status(spark, sf_dir):
-    return verify.status_counts(verification(spark, sf_dir))
+    return verify.status_counts(_verified_works(spark, sf_dir))
+
+
+def fatal_findings(spark, sf_dir):
+    return lint.fatal(entries(spark, sf_dir))
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     lint_findings, lint_fixes, page_values, page_targets, citation_keys, surname_lists, key_suffixes, suffix_repair, duplicate_keys, duplicate_entries, title_normalised, title_sentence_case, word_parts, field_values,
-    version_diff, diff_summary, bibtex_output, title_candidates, doi_matches, verification, verification_status,
+    version_diff, diff_summary, bibtex_output, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings,
 )
 
 
@@ -183,6 +230,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- SQL -------------------------------------------------------------------------------------------------------------------
 
 _NORMAL = "lower(trim(regexp_replace(regexp_replace(regexp_replace({0}, '\\{{[^}}]*\\}}', '', 'g'), '[^a-zA-Z0-9\\s]', '', 'g'), '\\s+', ' ', 'g')))"
+_PUNCTUATION = "[,.!?''\"{}\\-\\\\:()\\[\\]+/*]"
 _ROMANS = "CASE upper({0}) WHEN 'IV' THEN 4 WHEN 'IX' THEN 9 WHEN 'X' THEN 10 WHEN 'V' THEN 5 END"
 
 
@@ -213,6 +261,15 @@ def _pages(source: str, c: str, key: str) -> str:
  FROM (SELECT *, {_kind('c')} AS k, p[1] AS a, p[2] AS b FROM (SELECT {key}, {c} AS c, list_filter(list_transform(string_split({c}, '-'), lambda x: trim(x)), lambda x: x <> '') AS p FROM {source}))))"""
 
 
+#: Venues as written and as they should read, and titles by the rules that these titles meet.
+_VENUES = {"journal OF neuroscience": "Journal of Neuroscience", "NeuroImage": "{NeuroImage}", "plos-one AND more": "{PLoS}-One and More"}
+_JOURNAL = "CASE journal " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _VENUES.items()) + " ELSE coalesce(journal, '') END"
+_WORDS = "string_split(regexp_replace(CASE WHEN title LIKE '{%}' THEN substr(title, 2, length(title) - 2) ELSE title END, '\\.$', ''), ' ')"
+_CASED = """list_transform(range(1, len(w) + 1), lambda i: CASE WHEN w[i] LIKE '%{%' OR lower(w[i]) = 'a' THEN w[i] WHEN w[i] IN ('EEG', '(EEG)') THEN replace(w[i], 'EEG', '{EEG}')
+ WHEN i > 1 AND regexp_matches(w[i - 1], '[.!?]$') THEN w[i] ELSE lower(w[i]) END)"""
+_TITLE = "array_to_string(list_concat([CASE WHEN w[1] LIKE '%{%' OR lower(w[1]) = 'a' THEN c[1] ELSE upper(substr(c[1], 1, 1)) || lower(substr(c[1], 2)) END], c[2:]), ' ')"
+
+
 def oracle_sql() -> dict[str, str]:
     e = f"WITH {_ENTRIES} "
     fields = lambda view: " UNION ALL ".join(f"SELECT ID AS id, '{f}' AS field, {f} AS v FROM {view} WHERE {f} IS NOT NULL" for f in ("year", "volume", "journal", "title"))
@@ -224,28 +281,68 @@ x AS ({fields('a')}), y AS ({fields('b')}), c AS (SELECT coalesce(x.id, y.id) AS
  UNION ALL SELECT ID, NULL, 'removed', NULL, NULL FROM a WHERE ID NOT IN (SELECT ID FROM b) UNION ALL SELECT ID, NULL, 'added', NULL, NULL FROM b WHERE ID NOT IN (SELECT ID FROM a)) """
     letters = "'abcdefghijklmnopqrstuvwxyz'"
     suffix = lambda i: f"CASE WHEN {i} < 26 THEN substr({letters}, {i} + 1, 1) WHEN {i} < 702 THEN substr({letters}, ({i} - 26) // 26 + 1, 1) || substr({letters}, ({i} - 26) % 26 + 1, 1) ELSE substr({letters}, ({i} - 702) // 676 + 1, 1) || substr({letters}, ({i} - 702) // 26 % 26 + 1, 1) || substr({letters}, ({i} - 702) % 26 + 1, 1) END"
-    last = "list_transform(string_split(author, ' and '), lambda x: string_split(x, ' ')[-1])"
+    same = f"string_split({_authors(4, '|')}, '|')"
+    titles = f"tt AS (SELECT pos, {_TITLE} AS t_title FROM (SELECT pos, w, {_CASED} AS c FROM (SELECT pos, {_WORDS} AS w FROM e WHERE title <> '')))"
+    paged = f"f AS (SELECT pos, coalesce(pages, '') AS c0 FROM e), p AS {_pages('f', 'c0', 'pos')}, q AS {_pages('p', 'target', 'pos')}"
+    based = f"b AS (SELECT {_K} AS pos, {_authors(3)} AS t_author FROM part)"
+    ranked = "r AS (SELECT pos, base, count(*) OVER (PARTITION BY base) AS n, row_number() OVER (PARTITION BY base ORDER BY pos) - 1 AS k FROM e WHERE base IS NOT NULL)"
+    x = "x AS (SELECT e.* EXCLUDE (ID), e.ID || '-' || e.pos AS id, t_title, t_author, p.target AS t_pages, NOT q.ok AS unfixable FROM e LEFT JOIN tt ON tt.pos = e.pos JOIN b ON b.pos = e.pos JOIN p ON p.pos = e.pos JOIN q ON q.pos = e.pos)"
+    checks = [
+        ("key", 0, "ID", "id", "base", "NOT starts_with(id, base)", "fix"), ("pages", 2, "pages", "coalesce(pages, '')", "t_pages", "coalesce(pages, '') <> t_pages", "fix"),
+        ("empty_title", 4, "title", "coalesce(title, '')", "NULL", "t_title IS NULL", "fatal"), ("journal", 5, "journal", "journal", _JOURNAL, f"journal <> {_JOURNAL}", "fix"), ("title", 7, "title", "title", "t_title", "title <> t_title", "fix"),
+        ("publisher", 8, "publisher", "publisher", "'Mit Press'", "publisher IS NOT NULL", "fix"), ("author", 9, "author", "author", "t_author", "author <> t_author", "fix"), ("editor", 10, "editor", "editor", "'A A Smith'", "editor IS NOT NULL", "fix"),
+        ("address", 11, "address", "address", "'Hanover, {NH}'", "address IS NOT NULL", "fix"), ("name", 12, "author", "author", "NULL", "base IS NULL", "fatal"),
+    ]
+    rows = [f"SELECT id, '{c}' AS \"check\", {o} AS check_order, '{f}' AS field, {a} AS actual, {t} AS target, '{sev}' AS severity FROM x WHERE force IS NULL AND {on}" for c, o, f, a, t, on, sev in checks]
+    rows.append("SELECT id, 'pages_unfixable', 3, 'pages', coalesce(pages, ''), t_pages, 'fatal' FROM x WHERE unfixable")
+    linted = f"{e}, {titles}, {paged}, {based}, {ranked}, {x}, lf(id, \"check\", check_order, field, actual, target, severity) AS ("
     cat = f"{e}, cat AS (SELECT pos AS c_pos, CASE WHEN pos % 3 <> 0 THEN '10.1/' || pos END AS c_doi, CASE WHEN pos % 7 = 0 THEN 'Another title altogether' ELSE title END AS c_title, CASE WHEN pos % 5 = 0 THEN '99' ELSE volume END AS c_volume FROM e)"
+    rows.append(f"SELECT id, 'suffix', 1, 'ID', id, CASE WHEN n = 1 THEN r.base ELSE r.base || {suffix('k')} END, 'fix' FROM x JOIN r ON r.pos = x.pos WHERE force IS NULL")
+    linted += " UNION ALL ".join(rows) + ")"
+    words = lambda view, title: f"SELECT DISTINCT t, word, len(list_distinct(string_split(t, ' '))) AS n FROM (SELECT t, unnest(string_split(t, ' ')) AS word FROM (SELECT DISTINCT {_NORMAL.format(title)} AS t FROM {view} WHERE {title} IS NOT NULL)) WHERE word <> ''"
+    year = lambda k: f"CASE WHEN {k} % 31 <> 4 THEN 1990 + {k} % 35 END"
+    verdict = f"""{e}, w AS (SELECT {_K} AS k, {_RARE} AS title, {same} AS names, journal, pages, volume, force, 1990 + {_K} % 35 AS y FROM part JOIN e ON pos = {_K}),
+c AS (SELECT *, {year('k')} AS cy FROM w WHERE k % 7 <> 0),
+m AS (SELECT w.k, coalesce(CASE WHEN w.k % 3 <> 0 THEN w.k END, (SELECT c.k FROM c WHERE c.title = w.title ORDER BY c.cy IS NULL OR c.cy = w.y DESC, c.names[1] = w.names[1] DESC, c.k LIMIT 1)) AS ck FROM w),
+v AS (SELECT w.*, m.ck, o.journal AS cj, o.pages AS cp, {year('o.k')} AS cy, o.names AS cn, CASE WHEN o.k % 5 = 0 THEN '99' ELSE o.volume END AS cv FROM w JOIN m ON m.k = w.k LEFT JOIN w o ON o.k = m.ck),
+g AS (SELECT *, ck % 7 = 0 AS titled, len(list_filter(names, lambda x: list_contains(cn, x))) / greatest(len(names), len(cn)) AS share,
+ replace(replace(coalesce(pages, ''), '--', '-'), '−', '-') AS a, replace(replace(coalesce(cp, ''), '--', '-'), '−', '-') AS b FROM v),
+s AS (SELECT 'K' || k AS id, *, CASE WHEN force = 'True' THEN 'skipped' WHEN ck IS NULL THEN 'not_found' WHEN titled OR share < 0.7 OR (journal <> cj AND journal IS NOT NULL AND cj IS NOT NULL) OR abs(y - cy) > 1 THEN 'error' END AS early,
+ list_filter([CASE WHEN volume <> cv THEN 'volume: ' || volume || ' / ' || cv END, CASE WHEN a <> '' AND b <> '' AND a <> b AND replace(a, '-', '') <> replace(b, '-', '') THEN 'pages: ' || pages || ' / ' || cp END,
+ CASE WHEN abs(y - cy) = 1 THEN 'year: ' || y || ' / ' || cy END], lambda x: x IS NOT NULL) AS notes FROM g),
+z AS (SELECT id, coalesce(early, CASE WHEN len(notes) > 0 THEN 'warning' ELSE 'verified' END) AS status, CASE WHEN early IS NULL OR early = 'error' THEN array_to_string(notes, ';') END AS discrepancies,
+ CASE WHEN early IS NULL OR early = 'error' THEN CASE WHEN volume <> cv THEN '{{"volume":"' || cv || '"}}' ELSE '{{}}' END END AS corrections FROM s)"""
     return {
         "page_values": f"{e}, p AS (SELECT pos, coalesce(pages, '') AS c FROM e) SELECT pos, {_kind('c')} <> 'invalid' AS valid, {_kind('c')} AS kind, {_prefix('c')} AS prefix, coalesce(CAST({_number('c')} AS BIGINT), -1) AS num FROM p",
         "page_targets": f"{e}, f AS (SELECT pos, coalesce(pages, '') AS c0 FROM e), p AS {_pages('f', 'c0', 'pos')}, q AS {_pages('p', 'target', 'pos')} SELECT p.pos, p.ok, p.target, NOT q.ok AS unfixable FROM p JOIN q ON p.pos = q.pos",
         "citation_keys": f"{e} SELECT pos, base AS key FROM e",
-        "surname_lists": f"{e} SELECT pos, array_to_string({last}, '|') AS surnames, array_to_string({last}, '|') AS last_words FROM e",
+        "surname_lists": f"""SELECT {_K} AS pos, CASE WHEN {_K} % 23 = 5 THEN '' ELSE {_authors(1, '|')} END AS surnames, {_authors(4, '|')} AS last_words FROM part""",
+        "lint_findings": f"{linted} SELECT * FROM lf",
+        "lint_fixes": f"{linted} SELECT id, string_agg(field || '=' || target, '; ' ORDER BY field) AS fix FROM (SELECT id, field, arg_max(target, check_order) AS target FROM lf WHERE target IS NOT NULL GROUP BY id, field) GROUP BY id",
+        "title_sentence_case": f"{e}, {titles}, {based} SELECT e.pos, t_title AS title, {_JOURNAL} AS journal, t_author AS author FROM e LEFT JOIN tt ON tt.pos = e.pos JOIN b ON b.pos = e.pos",
+        "word_parts": f"""{e} SELECT pos, regexp_extract(title, '^[^A-Za-z]*') AS prefix, regexp_extract(title, '[A-Za-z](.*[A-Za-z])?') AS core, regexp_extract(title, '[^A-Za-z]*$') AS suffix,
+ upper(substr(title, 1, 1)) || lower(substr(title, 2)) AS capital, regexp_replace(lower(trim(title)), '{_PUNCTUATION}', '', 'g') = regexp_replace(lower(trim(journal)), '{_PUNCTUATION}', '', 'g') AS same,
+ starts_with(ID, base) OR starts_with(base, ID) AS same_key, list_position(string_split(author, ' '), 'and') AS first_and, coalesce(list_position(list_transform(range(1, len(string_split(author, ' '))), lambda i: lower(string_split(author, ' ')[i]) || ' ' || lower(string_split(author, ' ')[i + 1])), 'and b'), 0) - 1 AS at FROM e""",
+        "fatal_findings": f"""{e}, d AS (SELECT {_K} AS pos, CASE WHEN {_K} % 23 = 5 THEN '' ELSE {_authors(1)} END AS s FROM part), n AS (SELECT ID, title, count(*) OVER (PARTITION BY coalesce(title, ''), s) AS n FROM e JOIN d USING (pos))
+SELECT ID AS id, 'duplicate_key' AS "check", 13 AS check_order, 'ID' AS field, ID AS actual, NULL AS target, 'fatal' AS severity FROM e GROUP BY ID HAVING count(*) > 1
+UNION ALL SELECT ID, 'duplicate_entry', 14, 'title', coalesce(title, ''), NULL, 'fatal' FROM n WHERE n > 1""",
+        "entry_status": f"{verdict} SELECT * FROM z",
+        "verification_status": f"{verdict} SELECT status, count(*) AS n FROM z GROUP BY status",
         "key_suffixes": f"SELECT p_partkey AS i, {suffix('p_partkey')} AS suffix FROM part",
-        "suffix_repair": f"""{e}, g AS (SELECT pos, ID, base, count(*) OVER (PARTITION BY base) AS n FROM e), l AS (SELECT base, i, base || {suffix('i')} AS legal FROM (SELECT base, unnest(range(n)) AS i FROM (SELECT DISTINCT base, n FROM g WHERE n > 1))),
+        "suffix_repair": f"""{e}, g AS (SELECT pos, ID, base, count(*) OVER (PARTITION BY base) AS n FROM e WHERE base IS NOT NULL), l AS (SELECT base, i, base || {suffix('i')} AS legal FROM (SELECT base, unnest(range(n)) AS i FROM (SELECT DISTINCT base, n FROM g WHERE n > 1))),
 fr AS (SELECT base, legal, row_number() OVER (PARTITION BY base ORDER BY i) AS r FROM l WHERE legal NOT IN (SELECT ID FROM e)),
 w AS (SELECT g.*, l.legal IS NOT NULL AS good FROM g LEFT JOIN l ON g.base = l.base AND g.ID = l.legal), v AS (SELECT *, row_number() OVER (PARTITION BY base, good ORDER BY pos) AS r FROM w)
-SELECT v.pos, v.ID, v.base, CASE WHEN n = 1 THEN v.base WHEN good THEN v.ID ELSE fr.legal END AS target FROM v LEFT JOIN fr ON v.base = fr.base AND v.r = fr.r AND NOT good""",
+SELECT v.pos, v.ID, v.base, CASE WHEN n = 1 THEN v.base WHEN good THEN v.ID ELSE fr.legal END AS target FROM v LEFT JOIN fr ON v.base = fr.base AND v.r = fr.r AND NOT good UNION ALL SELECT pos, ID, base, NULL FROM e WHERE base IS NULL""",
         "duplicate_keys": f"{e} SELECT ID, count(*) AS n FROM e GROUP BY ID HAVING count(*) > 1",
-        "duplicate_entries": f"{e} SELECT title, s AS surnames, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions, string_agg(ID, ',' ORDER BY pos) AS ids FROM (SELECT *, array_to_string({last}, ' and ') AS s FROM e) GROUP BY title, s HAVING count(*) > 1",
-        "title_normalised": f"{e} SELECT pos, {_NORMAL.format('title')} AS title, length(title) - length(replace(title, '{{', '')) AS braces, regexp_replace(title, '[,.!?''\"{{}}\\-\\\\:()\\[\\]+/*]', '', 'g') AS bare, regexp_replace(title, '\\{{([^{{}}]*)\\}}', '\\1', 'g') AS unbraced FROM e",
-        "field_values": f"{e} SELECT field, string_agg(v, '|' ORDER BY v) AS vals FROM (" + " UNION ".join(f"SELECT '{f}' AS field, {f} AS v FROM e WHERE {f} IS NOT NULL" for f in ("year", "journal", "ENTRYTYPE")) + ") GROUP BY field",
+        "duplicate_entries": f"""{e}, d AS (SELECT {_K} AS pos, CASE WHEN {_K} % 23 = 5 THEN '' ELSE {_authors(1)} END AS surnames FROM part),
+n AS (SELECT coalesce(title, '') AS title, surnames, count(*) OVER (PARTITION BY coalesce(title, ''), surnames) AS n, pos, ID FROM e JOIN d USING (pos)) SELECT * FROM n WHERE n > 1""",
+        "title_normalised": f"{e} SELECT pos, {_NORMAL.format("coalesce(title, '')")} AS title, length(title) - length(replace(title, '{{', '')) AS braces, regexp_replace(title, '[,.!?''\"{{}}\\-\\\\:()\\[\\]+/*]', '', 'g') AS bare, regexp_replace(title, '\\{{([^{{}}]*)\\}}', '\\1', 'g') AS unbraced FROM e",
+        "field_values": f"{e} SELECT field, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value FROM e WHERE {f} IS NOT NULL" for f in ("year", "journal", "ENTRYTYPE")) + ") GROUP BY field, value",
         "version_diff": f"{changes} SELECT * FROM c",
-        "diff_summary": f"{changes} SELECT change, count(*) AS n, string_agg(id, ', ' ORDER BY id) AS ids FROM (SELECT DISTINCT id, CASE WHEN change IN ('removed', 'added') THEN change ELSE 'modified' END AS change FROM c) GROUP BY change",
+        "diff_summary": f"{changes} SELECT change, count(*) AS n FROM (SELECT DISTINCT id, CASE WHEN change IN ('removed', 'added') THEN change ELSE 'modified' END AS change FROM c) GROUP BY change",
         "bibtex_output": f"{e} SELECT pos, '@' || ENTRYTYPE || '{{' || concat_ws(',' || chr(10), ID, " + ", ".join(f"chr(9) || '{f.capitalize()} = {{' || {f} || '}}'" for f in ("author", "journal", "pages", "title", "year")) + ") || '}' || chr(10) AS entry FROM e",
-        "title_candidates": f"""{cat}, cw AS (SELECT DISTINCT c_pos, unnest(string_split({_NORMAL.format('c_title')}, ' ')) AS word FROM cat), fq AS (SELECT word, count(*) AS df FROM cw WHERE word <> '' GROUP BY word),
-ew AS (SELECT DISTINCT CAST(pos AS VARCHAR) AS ID, unnest(string_split({_NORMAL.format('title')}, ' ')) AS word FROM e WHERE pos % 50 = 0),
-cr AS (SELECT c_pos, word FROM (SELECT c_pos, word, row_number() OVER (PARTITION BY c_pos ORDER BY df, word) AS r FROM cw JOIN fq USING (word)) WHERE r <= 3),
-er AS (SELECT ID, word FROM (SELECT ID, word, row_number() OVER (PARTITION BY ID ORDER BY df, word) AS r FROM ew JOIN fq USING (word)) WHERE r <= 3) SELECT ID, c_pos, count(*) AS shared FROM er JOIN cr USING (word) GROUP BY ID, c_pos""",
+        "title_candidates": f"""{cat}, a AS ({words('e', 'title')}), z AS ({words('cat', 'c_title')})
+SELECT a.t AS title, z.t AS c_title, CAST(count(*) AS INTEGER) AS shared FROM a JOIN z ON a.word = z.word GROUP BY a.t, z.t, a.n, z.n HAVING count(*) >= greatest(a.n, z.n) * 0.5
+UNION ALL SELECT '', '', 0 WHERE EXISTS (SELECT 1 FROM e WHERE {_NORMAL.format('title')} = '') AND EXISTS (SELECT 1 FROM cat WHERE {_NORMAL.format('c_title')} = '')""",
         "doi_matches": f"{cat} SELECT pos, '10.1/' || pos AS e_doi, coalesce(c_pos, -1) AS match, c_volume FROM e LEFT JOIN cat ON c_doi = '10.1/' || pos",
     }

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.functions.words import FIELDS
+from citegrain.functions.words import ADDRESSES, CAPS, FIELDS, Settings
 
 _TYPES = frozenset("article book booklet conference inbook incollection inproceedings manual mastersthesis misc phdthesis proceedings techreport unpublished".split())
 #: Other spellings of fields.
@@ -99,3 +99,10 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     """(orig, corrected) of an alias dictionary with a header; of one original the last counts."""
     df = spark.read.option("header", True).csv(path).select("orig", "corrected", F.monotonically_increasing_id().alias("pos"))
     return df.where("orig IS NOT NULL AND corrected IS NOT NULL").groupBy("orig").agg(F.max_by("corrected", "pos").alias("corrected"))
+
+
+def load_settings(spark: SparkSession, *, caps: str | None = None, addresses: str | None = None, journals: str | None = None, publishers: str | None = None, places: str | None = None) -> Settings:
+    """Settings from a site's word lists and alias dictionaries; what isn't given keeps its default."""
+    words = lambda path, default: tuple(read_words(spark, path)) if path else default
+    aliases = lambda path: {r["orig"].lower(): r["corrected"] for r in read_aliases(spark, path).collect()} if path else {}
+    return Settings(words(caps, CAPS), words(addresses, ADDRESSES), aliases(journals), aliases(publishers), aliases(places))

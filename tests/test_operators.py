@@ -53,14 +53,84 @@ def test_suffix_repair(spark):
     assert [r["target"] for r in got] == ["MannEtal21", "Ray20", "Lee19b", "Lee19a", "Fox18a", "Fox18c", "Fox18b"]
     n = spark.range(1).select(*(keys.suffix(F.lit(i)) for i in (0, 25, 26, 701, 702))).first()
     assert list(n) == ["a", "z", "aa", "zz", "aaa"]
+    long = 26**9 + 12345
+    x, k = "", long
+    while k >= 0:
+        x, k = chr(97 + k % 26) + x, k // 26 - 1
+    assert spark.range(1).select(keys.suffix(F.lit(long))).first()[0] == x
 
 
-def test_diff(spark):
+def test_ranks_of_a_large_group_are_those_of_the_whole(spark, monkeypatch):
+    from citegrain.operators import ranks
+
+    monkeypatch.setattr(ranks, "RANGE", 2)
+    rows = [("g" if i % 5 else None, i * 3 % 101) for i in range(90)] + [("g", None)]
+    got = ranks.ranked(spark.createDataFrame(rows, "base string, pos long"), ["base"], "pos", "rank").collect()
+    for group in ("g", None):
+        want = sorted((p for b, p in rows if b == group), key=lambda p: (p is not None, p))
+        assert [r["pos"] for r in sorted((r for r in got if r["base"] == group), key=lambda r: r["rank"])] == want
+
+
+def test_fatal_findings(spark, entries):
+    found = {(r["id"], r["check"]) for r in bibliography.check(entries).findings.where("severity = 'fatal'").collect()}
+    assert ("Mann21", "duplicate_key") in found
+    fields = "pos long, ID string, title string, author string, year string, force string"
+    rows = [(1, "A", "t", "B Lee", "2000", None), (2, "B", "t", "C Lee", "2000", "x"), (3, "C", None, "a, b, c", "2000", None), (4, None, "u", None, None, None)]
+    df = spark.createDataFrame(rows, fields).selectExpr("*", *(f"CAST(NULL AS STRING) AS {c}" for c in ("pages", "journal", "booktitle", "publisher", "editor", "address")))
+    assert {(r["id"], r["check"]) for r in lint.fatal(df).collect()} == {("A", "duplicate_entry"), ("B", "duplicate_entry")}
+    found = {(r["id"], r["check"]) for r in lint.findings(df).where("severity = 'fatal'").collect()}
+    assert found == {("C", "name"), ("C", "empty_title")}
+    twice = spark.createDataFrame([("A", "suffix", "Lee00a"), ("A", "suffix", "Lee00b"), ("B", "suffix", "x")], "id string, check string, target string")
+    assert [tuple(r) for r in fixes.conflicts(twice).collect()] == [("A", "suffix", 2)]
+
+
+def test_settings_are_read_from_files(spark, tmp_path):
+    (tmp_path / "caps.txt").write_text("MRI\n\nfMRI\n")
+    (tmp_path / "journals.csv").write_text("orig,corrected\nj neuro,Journal of Neuroscience\nJ NEURO,x\nempty,\n")
+    s = bibtex.load_settings(spark, caps=str(tmp_path / "caps.txt"), journals=str(tmp_path / "journals.csv"))
+    assert s.caps == ("MRI", "fMRI") and s.journals["j neuro"] in ("x", "Journal of Neuroscience") and "AL" in s.addresses and s.publishers == {}
+
+
+def test_every_title_pair_of_half_the_words_meets(spark):
+    import random
+    from itertools import product
+
+    r = random.Random(3)
+    titles = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 6))) for _ in range(60)]
+    ours, theirs = sorted(set(titles[:30])), sorted(set(titles[25:]))
+    got = {tuple(x) for x in verify.title_pairs(spark.createDataFrame([(x,) for x in ours], "title string"), spark.createDataFrame([(x,) for x in theirs], "c_title string")).collect()}
+    shared = lambda a, b: len(set(a.split()) & set(b.split()))
+    assert got == {(a, b, shared(a, b)) for a, b in product(ours, theirs) if shared(a, b) >= 0.5 * max(len(set(a.split())), len(set(b.split())))}
+
+
+def test_bounds_never_fall_below_the_ratio(spark):
+    import random
+
+    from citegrain.functions import similarity
+
+    r = random.Random(1)
+    rows = [("".join(r.choice("abc ") for _ in range(r.randint(0, 9))), "".join(r.choice("abc ") for _ in range(r.randint(0, 9)))) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a string, b string").select(similarity.normal_ratio(F.col("a"), F.col("b")).alias("r"), similarity.bound(F.col("a"), F.col("b")).alias("c"), similarity.length_bound(F.col("a"), F.col("b")).alias("l"))
+    assert all(x["r"] <= x["c"] + 1e-12 and x["c"] <= x["l"] + 1e-12 for x in df.collect())
+
+
+def test_best_title_prefers_year_then_author_then_place(spark):
+    cat = spark.createDataFrame([(i, None, x, [a], None, y, None, None, None) for i, (x, a, y) in enumerate([("Editorial", "Lee", "1999"), ("Editorial", "Ray", "2000"), ("Editorial", "Fox", "2000"), ("Editorial", "Fox", "2000"), ("Editorial", "Kim", None), ("Editorials", "Lee", "2001")])], "c_pos long, c_doi string, c_title string, c_authors array<string>, c_journal string, c_year string, c_volume string, c_issue string, c_pages string")
+    rows = [("a", "Editorial", "B Fox", "2000"), ("b", "Editorial", "B Moe", "2000"), ("c", "editorial", "B Kim", "1950"), ("d", "Editorial", "B Lee", None), ("e", "Editoria", "B Lee", "2001"), ("f", "Other", "B Lee", "2001"), ("a", "Editorial", "B Fox", "2000")]
+    e = spark.createDataFrame(rows, "ID string, title string, author string, year string")
+    assert sorted((r["ID"], r["c_pos"]) for r in verify.by_title(e, cat).collect()) == [("a", 2), ("a", 2), ("b", 1), ("c", 4), ("d", 0)]
+
+
+def test_diff(spark, tmp_path):
     a = spark.createDataFrame([("A", "1", "x"), ("B", "2", None), ("C", "3", "z")], "ID string, year string, title string")
     b = spark.createDataFrame([("A", "1", "y"), ("B", None, "t"), ("D", "4", "w")], "ID string, year string, title string")
     got = {tuple(r) for r in diff.diff(a, b, ["year", "title"]).collect()}
     assert got == {("A", "title", "modified", "x", "y"), ("B", "year", "deleted_field", "2", None), ("B", "title", "added_field", None, "t"), ("C", None, "removed", None, None), ("D", None, "added", None, None)}
-    assert {(r["change"], r["ids"]) for r in diff.summary(diff.diff(a, b, ["year", "title"])).collect()} == {("modified", "A, B"), ("removed", "C"), ("added", "D")}
+    changes = diff.diff(a, b, ["year", "title"])
+    assert {tuple(r) for r in diff.changed(changes).collect()} == {("modified", "A"), ("modified", "B"), ("removed", "C"), ("added", "D")}
+    assert {tuple(r) for r in diff.summary(changes).collect()} == {("modified", 2), ("removed", 1), ("added", 1)}
+    diff.write_log(changes, str(tmp_path / "log"))
+    assert [r[0] for r in spark.read.text(str(tmp_path / "log")).collect()] == ["added D", "modified A", "modified B", "removed C"]
     assert diff.identical(diff.diff(a, a, ["year", "title"]))
 
 
@@ -73,6 +143,7 @@ def test_verification(spark):
             ("far", None, "Memory and the brain in motion", "J Manning", None, "1990", None, None, None, "10.1/a"),
             ("lost", None, "Nothing like it anywhere", "A Lee", None, "2020", None, None, None, None),
             ("skip", "True", "x", None, None, None, None, None, None, None),
+            ("odd", None, "Memory and the brain in motion", "J Manning", None, "in press", None, None, None, "10.1/a"),
         ],
         fields,
     )
@@ -81,7 +152,7 @@ def test_verification(spark):
         "cand_pos long, DOI string, title array<string>, author array<struct<given:string,family:string>>, `container-title` array<string>, published struct<`date-parts`:array<array<int>>>, volume string, issue string, `journal-issue` struct<issue:string>, page string",
     )
     got = {r["id"]: r for r in verify.verify(e, verify.flat_catalogue(nested)).collect()}
-    assert {k: v["status"] for k, v in got.items()} == {"ok": "verified", "warn": "warning", "far": "error", "lost": "not_found", "skip": "skipped"}
+    assert {k: v["status"] for k, v in got.items()} == {"ok": "verified", "warn": "warning", "far": "error", "lost": "not_found", "skip": "skipped", "odd": "exception"}
     assert got["warn"]["corrections"] == {"volume": "1"} and len(got["warn"]["discrepancies"]) == 3
     assert got["far"]["reason"].startswith("Years differ")
     counts = {r["status"]: r["n"] for r in verify.status_counts(verify.verify(e, verify.flat_catalogue(nested))).collect()}
@@ -90,7 +161,7 @@ def test_verification(spark):
 
 def test_profile(spark):
     df = spark.createDataFrame([("a", "2"), ("b", None), ("a", "1")], "x string, y string")
-    assert {(r["field"], tuple(r["vals"])) for r in lint.distinct_values(df, ["x", "y"]).collect()} == {("x", ("a", "b")), ("y", ("1", "2"))}
+    assert {tuple(r) for r in lint.distinct_values(df, ["x", "y"]).collect()} == {("x", "a", 2), ("x", "b", 1), ("y", "1", 1), ("y", "2", 1)}
 
 
 def test_incoming_stream(spark, tmp_path):
