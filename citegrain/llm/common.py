@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -17,16 +16,16 @@ CHUNK_CHARS = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, as in tests, the folder set by hand, or one
+    beside the session's warehouse."""
     place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
+    if place:
+        return place
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not current.isDefined():
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared")
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        place = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.sparkContext.setCheckpointDir(place)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return place
+    return current.get()
 
 
 def new_table(spark: SparkSession, name: str) -> str:
@@ -47,6 +46,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of one key that a join leaves in one place; keys of more rows are dealt to several.
+HUB = 2048
+#: Such keys up to this number are sent to all tasks (some 30 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 100_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
+    """Inner join on `key` of a table with many rows of a key and one with one row of a key. Keys of over HUB rows (in `counted`, else in
+    `many`) are counted first; their rows are dealt by a hash of the whole row, and `one` has a copy for each part."""
+    hubs = checkpointed((many if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_parts")))
+    n = hubs.count()
+    if not n:
+        return many.join(one, key)
+    hubs = F.broadcast(hubs) if n <= BROADCAST_KEYS else hubs
+    dealt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in many.columns)), F.coalesce("_parts", F.lit(1)))
+    left = many.join(hubs, key, "left").withColumn("_part", dealt.cast("int")).drop("_parts")
+    right = one.join(hubs, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Runs of texts (null: empty) of about `limit` characters; a longer text is a run of its own."""
     run: list[str] = []

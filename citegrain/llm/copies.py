@@ -1,11 +1,13 @@
 """SimHash near copies at a similarity: wide fingerprints, bit-sliced comparison, exact check of the links, components.
 
 A radius that holds pairs of a similarity of 0.8 is too wide for bands of bits. So documents meet under keys of their least shingle
-hashes instead: two sets of similarity s share a least hash with probability s, a key of three with s**3, and one of ten keys or
-more with 99.9 % at s = 0.8. Where they meet, fingerprints of 256 bits are compared as vertical bit planes; a meeting sends on the
-links of a forest, nearest first, so links never outgrow what met. Every link's similarity is then computed exactly. Where one
-falls short, another link may still join the two sides: the nodes around it meet again with their shingle sets, and there every
-link within the radius that would join two sides is computed.
+hashes instead. Sets of fewer than SHORT shingles have a key for each of their first shingles in order of hashes, as many as two sets of the
+similarity can't both avoid sharing one of: no pair is missed. Longer sets have TABLES keys of three least hashes each: two sets of
+similarity s share a least hash with probability s and a key with s**3, so at 0.8 all keys are missed by 6 pairs in ten million. Keys that
+only one document has go no further. Where documents meet, fingerprints of 256 bits are compared as vertical bit planes, but for
+short sets, whose fingerprints say little: these all stay candidates. A meeting sends on the links of a forest, nearest first, so links never
+outgrow what met. Every link's similarity is then computed exactly. Where one falls short, another link may still join the two
+sides: the nodes around it meet again with their shingle sets, and there every such link that would join two sides is computed.
 """
 
 from __future__ import annotations
@@ -17,28 +19,28 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from citegrain.llm.common import checkpointed, stored
+from citegrain.llm.common import spread_join, stored
 from citegrain.llm.simhash import components
 
 BITS = 256
-#: Keys of a document, and least hashes in each.
-TABLES, WIDTH = 10, 3
-#: Differing bits that a pair of similarity 0.8 (39 expected, 6 standard deviation) stays within, and those of the first comparison.
-RADIUS, CLOSE = 56, 28
+#: Keys of a long set, and least hashes in each.
+TABLES, WIDTH = 20, 3
+#: Sets of fewer shingles are short; those up to SHORT / similarity have both kinds of keys, so that pairs of a short and a long one meet.
+SHORT = 64
+#: Differing bits that a pair of similarity 0.8 (39 expected, 6 standard deviation) stays within but once in a billion, and those of the first comparison.
+RADIUS, CLOSE = 76, 28
 #: Nodes of one meeting; larger groups are split into parts of half of it, and every two parts meet.
 TILE = 8192
 #: Groups up to a word of planes are compared side by side rather than upright.
 SMALL = 64
-#: Split groups up to this number are joined by broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_GROUPS = 100_000
 #: As TILE, for nodes that bring their shingle sets.
 SET_TILE = 512
 _CHUNK = 1 << 13
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, TABLES * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(43).integers(0, 1 << 63, max(TABLES * WIDTH, BITS // 64), np.uint64)
-_SKETCH = StructType([StructField("node", BinaryType()), StructField("fp", BinaryType()), StructField("keys", ArrayType(LongType()))])
+_SKETCH = StructType([StructField("node", BinaryType()), StructField("fp", BinaryType()), StructField("n", IntegerType()), StructField("keys", ArrayType(LongType()))])
 
 
 def shingle_words(text: str | None) -> list[bytes]:
@@ -76,19 +78,23 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys under which the set of hashes meets others; an empty set has none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.array([((hashes ^ s) * m).min() for s, m in zip(_SALT, _ODD)], np.uint64).reshape(TABLES, WIDTH)
-    key = np.zeros(TABLES, np.uint64)
-    for column in least.T:
-        key = _mixed(key ^ column, _SALT[0])
-    return key.view(np.int64)
+def keys(hashes: np.ndarray, similarity: float = 0.8) -> np.ndarray:
+    """The keys under which the set of hashes (in order) meets others; an empty set has none."""
+    n = len(hashes)
+    out = []
+    if n and n < SHORT / similarity:  # two sets share one of these, or less than the similarity
+        out.append(_mixed(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1], _SALT[1]))
+    if n >= SHORT:
+        least = np.array([((hashes ^ s) * m).min() for s, m in zip(_SALT, _ODD)], np.uint64).reshape(TABLES, WIDTH)
+        key = _mixed(np.arange(TABLES, dtype=np.uint64), _SALT[2])
+        for column in least.T:
+            key = _mixed(key ^ column, _SALT[0])
+        out.append(key)
+    return np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
 
 
-def sketches(text: Column, shingle: int = 5) -> Column:
-    """(node, fp, keys) of a text."""
+def sketches(text: Column, shingle: int = 5, similarity: float = 0.8) -> Column:
+    """(node, fp, n, keys) of a text."""
 
     @F.pandas_udf(_SKETCH)
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -96,8 +102,8 @@ def sketches(text: Column, shingle: int = 5) -> Column:
         for x in texts:
             words = shingle_words(x)
             hashes = shingle_set(words, shingle)
-            rows.append((digest(words), fingerprint(hashes), keys(hashes)))
-        return pd.DataFrame(rows, columns=["node", "fp", "keys"])
+            rows.append((digest(words), fingerprint(hashes), len(hashes), keys(hashes, similarity)))
+        return pd.DataFrame(rows, columns=["node", "fp", "n", "keys"])
 
     return run(text)
 
@@ -134,8 +140,8 @@ def within(queries: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nda
     return row[at < len(prints)], at[at < len(prints)]
 
 
-def forest(prints: np.ndarray, radii: tuple[int, ...] = (CLOSE, RADIUS)) -> list[tuple[int, int]]:
-    """Links (i, j) that join everything within the widest radius, those within the narrower radii first."""
+def forest(prints: np.ndarray, short: np.ndarray, radii: tuple[int, ...] = (CLOSE, RADIUS)) -> list[tuple[int, int]]:
+    """Links (i, j) that join everything within the widest radius and all that are `short`, those within the narrower radii first."""
     label, out = np.arange(len(prints)), []
 
     def join(i: int, near: np.ndarray) -> None:
@@ -148,7 +154,7 @@ def forest(prints: np.ndarray, radii: tuple[int, ...] = (CLOSE, RADIUS)) -> list
     if len(prints) <= SMALL:
         wide = np.ascontiguousarray(prints).view(np.uint64)
         apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2, dtype=np.int64)
-        i, j = np.nonzero(np.triu(apart <= radii[-1], 1))
+        i, j = np.nonzero(np.triu((apart <= radii[-1]) | (short[:, None] & short[None]), 1))
         order = np.argsort(apart[i, j], kind="stable")
         for a, b in zip(i[order].tolist(), j[order].tolist()):
             join(a, np.array([b]))
@@ -159,38 +165,46 @@ def forest(prints: np.ndarray, radii: tuple[int, ...] = (CLOSE, RADIUS)) -> list
             cut = np.searchsorted(row, np.arange(min(128, len(prints) - start) + 1))
             for k, (a, b) in enumerate(zip(cut, cut[1:])):
                 join(start + k, col[a:b])
+    rest = np.flatnonzero(short)
+    for a, b in zip(rest, rest[1:]):
+        join(int(a), np.array([b]))
     return out
 
 
-def similar_forest(prints: np.ndarray, sets: list[np.ndarray], sides: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links (i, j) of the similarity and within the radius that join what isn't on one side yet."""
+def similar_forest(prints: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], sides: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) of the similarity, within the radius or short, that join what isn't on one side yet."""
     label, out = np.unique(np.array(sides, object), return_inverse=True)[1], []
+    short = np.flatnonzero(sizes < SHORT / similarity)
+
+    def test(i: int, j: int) -> None:
+        if i < j and label[i] != label[j] and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]):
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+
     for start in range(0, len(prints), 128):
         for i, j in zip(*(x.tolist() for x in within(prints[start : start + 128], prints, RADIUS))):
-            i += start
-            if i < j and label[i] != label[j]:
-                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
-                    out.append((i, j))
-                    label[label == label[j]] = label[i]
+            test(i + start, j)
+    for k, i in enumerate(short.tolist()):
+        for j in short[k + 1 :].tolist():
+            test(i, j)
     return out
 
 
-def candidates(nodes: DataFrame, tile: int = TILE, similarity: float | None = None) -> DataFrame:
-    """Distinct links (a, b) of nodes (node, fp, keys) that meet and whose fingerprints are within the radius.
+def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool = False) -> DataFrame:
+    """Distinct links (a, b) of nodes (node, fp, n, keys) that meet and are within the radius or short.
 
-    similarity: nodes also have `s` (their shingle set) and `side`, and links have that similarity and join two sides.
+    sets: nodes also have `s` (their shingle set) and `side`, and links have the similarity and join two sides.
     """
-    extra = [] if similarity is None else ["s", "side"]
-    met = nodes.select("node", F.posexplode("keys").alias("table", "key"))
-    large = checkpointed(met.groupBy("table", "key").count().where(F.col("count") > tile).select("table", "key", F.ceil(F.col("count") / F.lit(tile // 2)).cast("int").alias("parts")))
-    hint = F.broadcast if large.count() <= BROADCAST_GROUPS else (lambda x: x)
-    met = nodes.select("node", "fp", *extra, F.posexplode("keys").alias("table", "key"))
-    met = met.join(hint(large), ["table", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    extra = ["s", "side"] if sets else []
+    slim = nodes.select("node", F.explode("keys").alias("key"))
+    shared = slim.groupBy("key").count().where("count > 1").select("key", F.when(F.col("count") > tile, F.ceil(F.col("count") / F.lit(tile // 2))).otherwise(1).cast("int").alias("parts"))
+    met = slim.join(shared, "key")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.least(p, own) * F.col("parts") + F.greatest(p, own))
-    met = met.select("node", "fp", *extra, "table", "key", F.explode(pairs).alias("part"))
-    place = ["table", "key", "part"]
+    met = met.select("node", "key", F.explode(pairs).alias("part")).join(nodes.select("node", "fp", "n", *extra), "node")
+    place = ["key", "part"]
 
     def run(batches):
         """Rows stand by place; a group is compared when the next begins."""
@@ -198,18 +212,18 @@ def candidates(nodes: DataFrame, tile: int = TILE, similarity: float | None = No
 
         def compare() -> None:
             if len(held) > 1:
-                ids, prints, *more = zip(*held)
-                prints = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
-                found = similar_forest(prints, *more, similarity) if more else forest(prints)
+                ids, prints, sizes, *more = zip(*held)
+                prints, sizes = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), np.array(sizes)
+                found = similar_forest(prints, sizes, *more, similarity) if more else forest(prints, sizes < SHORT / similarity)
                 ready.extend((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found)
 
         for pdf in batches:
-            rows = zip(*(pdf[c].tolist() for c in (*place, "node", "fp", *extra)))
-            for at, group in groupby(rows, key=lambda r: r[:3]):
+            rows = zip(*(pdf[c].tolist() for c in (*place, "node", "fp", "n", *extra)))
+            for at, group in groupby(rows, key=lambda r: r[:2]):
                 if at != last:
                     compare()
                     last, held = at, []
-                held.extend(r[3:] for r in group)
+                held.extend(r[2:] for r in group)
             if ready:
                 yield pd.DataFrame(ready, columns=["a", "b"])
                 ready.clear()
@@ -220,8 +234,9 @@ def candidates(nodes: DataFrame, tile: int = TILE, similarity: float | None = No
     return met.repartition(*place).sortWithinPartitions(*place).mapInPandas(run, "a binary, b binary").distinct()
 
 
-def shingle_sets(need: DataFrame, docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(node, s): the shingle set of each node of `need`."""
+def shingle_sets(need: DataFrame, docs: DataFrame, text: str, key: str, shingle: int) -> DataFrame:
+    """(node, s): the shingle set of each node of `need` (node, least), read from a document of its least key, so that copies of one
+    text don't meet."""
 
     @F.pandas_udf(BinaryType())
     def node_of(texts: pd.Series) -> pd.Series:
@@ -231,16 +246,19 @@ def shingle_sets(need: DataFrame, docs: DataFrame, text: str, shingle: int) -> D
     def set_of(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(shingle_words(x), shingle).view(np.int64) for x in texts])
 
-    texts = docs.select(F.col(f"`{text}`").alias("t")).withColumn("node", node_of("t")).join(need, "node", "left_semi")
+    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("node", node_of("t"))
+    one = need.select(F.col("node").alias("n"), "least")
+    texts = texts.join(one, (F.col("node") == F.col("n")) & F.col("k").eqNullSafe(F.col("least")), "left_semi")
     return texts.groupBy("node").agg(F.min("t").alias("t")).select("node", set_of("t").alias("s"))
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the nodes (node, fp, keys) that join all that links of the similarity join."""
-    loose = stored(candidates(nodes), "links")
+def similar_links(nodes: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the nodes (node, least, fp, n, keys) that join all that links of the similarity join."""
+    loose = stored(candidates(nodes, similarity), "links")
     need = loose.select(F.col("a").alias("node")).unionByName(loose.select(F.col("b").alias("node"))).distinct()
-    sets = stored(shingle_sets(need, docs, text, shingle), "sets")
-    both = loose.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
+    sets = stored(shingle_sets(nodes.select("node", "least").join(need, "node"), docs, text, key, shingle), "sets")
+    both = spread_join(loose, sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
+    both = spread_join(both, sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b", counted=loose)
     shared = F.size(F.array_intersect("x", "y"))
     tested = stored(both.select("a", "b", (shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).alias("good")), "tested")
     good = tested.where("good").select("a", "b")
@@ -251,8 +269,8 @@ def similar_links(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, si
     short = around.join(short, "node").select("root").distinct()
     sides = components(good).withColumnRenamed("root", "side")
     again = around.join(short, "root", "left_semi").select("node").join(sides, "node", "left").select("node", F.coalesce("side", "node").alias("side"))
-    again = stored(again.join(nodes.select("node", "fp", "keys"), "node").join(sets, "node"), "again")
-    return good.unionByName(candidates(again, SET_TILE, similarity))
+    again = stored(again.join(nodes.select("node", "fp", "n", "keys"), "node").join(sets, "node"), "again")
+    return good.unionByName(candidates(again, similarity, SET_TILE, True))
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -260,11 +278,11 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
 
     Texts of the same words in either case are linked, null and empty ones among themselves; other texts are linked from the
     similarity on. A null key is never a component's least unless all its keys are null. Repeated rows stay, each with the same
-    result. An empty table gives no rows; other columns are not carried.
+    result; very long texts are read whole, in parts. An empty table gives no rows; other columns are not carried, so none can clash.
     """
-    prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle).alias("p")).select("k", "p.*"), "sketches")
-    nodes = stored(prints.groupBy("node").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("keys").alias("keys")), "nodes")
-    roots = components(similar_links(nodes, docs, text, shingle, similarity))
+    prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle, similarity).alias("p")).select("k", "p.*"), "sketches")
+    nodes = stored(prints.groupBy("node").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
+    roots = components(similar_links(nodes, docs, text, key, shingle, similarity))
     rooted = stored(nodes.select(F.col("node").alias("n"), "least").join(roots, F.col("n") == F.col("node"), "left").select("n", "least", F.coalesce("root", "n").alias("root")), "rooted")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(linked, "root").select(F.col("n").alias("node"), "component_id")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from citegrain.llm.common import checkpointed, stored
+from citegrain.llm.common import BROADCAST_KEYS, checkpointed, spread_join, stored
 
 BITS = 64
 #: Nodes that are compared all with all; more are first split by bands of the bits that they don't share.
@@ -123,18 +123,29 @@ def links(fps: np.ndarray, radius: int, free: list[int] | None = None, tile: int
     return [(int(fps[i]), int(fps[find(i)])) for i in range(len(fps)) if find(i) != i]
 
 
-def candidates(nodes: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) between fingerprints of `nodes` (fp long, distinct) within the radius, found where they meet."""
+def candidates(nodes: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between fingerprints of `nodes` (fp long, distinct) within the radius, found where they meet.
+
+    A meeting of more than `tile` nodes is split: of radius + 1 bands of the bits that its nodes don't share by the meeting's key, two
+    within the radius agree on one, so they meet under that band again, dealt to as many tasks as it has values.
+    """
     bands = radius + 2
     edges = np.linspace(0, BITS, bands + 1).astype(int)
-    keys = []
+    signed = lambda bits: int(np.array(sum(1 << int(b) for b in bits), np.uint64).view(np.int64))
+    keys, free = [], []
     for n, chosen in enumerate(combinations(range(bands), bands - radius)):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << int(edges[b]) for b in chosen)
-        keys.append(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(int(np.uint64(mask).view(np.int64)))).alias("key")))
+        own = [b for c in chosen for b in range(edges[c], edges[c + 1])]
+        keys.append(F.struct(F.lit(n).alias("table"), F.col("fp").bitwiseAND(F.lit(signed(own))).alias("key")))
+        rest = np.array_split([b for b in range(BITS) if b not in set(own)], radius + 1)
+        free.append(F.array(*(F.lit(signed(x)) for x in rest)))
     met = nodes.select("fp", F.explode(F.array(*keys)).alias("m")).select("fp", "m.table", "m.key")
+    large = checkpointed(met.groupBy("table", "key").count().where(F.col("count") > tile).select("table", "key", F.lit(True).alias("large")))
+    n = large.count()
+    met = met.withColumns({"sub": F.lit(-1), "subkey": F.lit(0).cast("long")}) if not n else _split(met, F.broadcast(large) if n <= BROADCAST_KEYS else large, F.array(*free))
+    place = ["table", "key", "sub", "subkey"]
 
     def run(batches):
-        """Rows stand by table and key; a group is compared when the next begins."""
+        """Rows stand by place; a group is compared when the next begins."""
         last, held = None, []
 
         def found():
@@ -144,35 +155,43 @@ def candidates(nodes: DataFrame, radius: int) -> DataFrame:
         for pdf in batches:
             if not len(pdf):
                 continue
-            table, key, fp = (pdf[c].to_numpy() for c in ("table", "key", "fp"))
-            cut = np.flatnonzero((np.diff(table) != 0) | (np.diff(key) != 0)) + 1
-            runs = list(zip([0, *cut], [*cut, len(fp)]))
+            at, fp = pdf[place].to_numpy(np.int64), pdf["fp"].to_numpy()
+            cut = np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1
             ready = []
-            for i, j in runs:
-                if (table[i], key[i]) != last:
+            for i, j in zip([0, *cut], [*cut, len(fp)]):
+                if tuple(at[i]) != last:
                     if sum(map(len, held)) > 1:
                         ready.append(found())
-                    last, held = (table[i], key[i]), []
+                    last, held = tuple(at[i]), []
                 held.append(fp[i:j])
             if ready:
                 yield pd.concat(ready)
         if sum(map(len, held)) > 1:
             yield found()
 
-    return met.repartition("table", "key").sortWithinPartitions("table", "key").mapInPandas(run, "a long, b long").distinct()
+    return met.repartition(*place).sortWithinPartitions(*place).mapInPandas(run, "a long, b long").distinct()
+
+
+def _split(met: DataFrame, large: DataFrame, free) -> DataFrame:
+    masks = F.element_at(free, F.col("table") + 1)
+    subs = F.transform(masks, lambda m, i: F.struct(i.alias("sub"), F.col("fp").bitwiseAND(m).alias("subkey")))
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("subkey")))
+    each = F.explode(F.when(F.col("large"), subs).otherwise(whole)).alias("s")
+    return met.join(large, ["table", "key"], "left").select("fp", "table", "key", each).select("fp", "table", "key", "s.sub", "s.subkey")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): the least node of its component, by large-star and small-star steps."""
+    """(node, root) for every node of the links (a, b): the least node of its component, by large-star and small-star steps. The links
+    of a star's centre are joined with its least neighbour in parts."""
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = checkpointed(large)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = spread_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = checkpointed(small.where("u <> v").distinct())
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -183,8 +202,9 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(key, fp, component_id): the fingerprint of each document and the least key among documents linked to it.
 
-    Null and empty texts share fingerprint 0; a null key is never a component's least unless all its keys are null. Repeated
-    rows stay, each with the same result. An empty table gives no rows; other columns are not carried.
+    Null and empty texts share fingerprint 0; very long texts are read whole, in parts. A null key is never a component's least unless
+    all its keys are null. Repeated rows stay, each with the same result; of equal keys it doesn't matter which is the least. An empty
+    table gives no rows; other columns are not carried, so none can clash.
     """
     prints = stored(docs.select(F.col(f"`{key}`"), fingerprints(F.col(f"`{text}`"), shingle, seed).alias("fp")), "fingerprints")
     nodes = stored(prints.groupBy("fp").agg(F.min(key).alias("least")), "nodes")

@@ -51,8 +51,9 @@ def test_within_counts_differing_bits():
 def test_forest_joins_what_is_within(n):
     prints = np.repeat(np.random.default_rng(n).integers(0, 256, (5, 32), np.uint8), n // 5, axis=0)
     prints[:, 0] ^= np.arange(n, dtype=np.uint8) & 7
-    links = copies.forest(prints)
+    links = copies.forest(prints, np.zeros(n, bool))
     assert len(links) == n - 5 and all(i // (n // 5) == j // (n // 5) for i, j in links)
+    assert len(copies.forest(prints, np.ones(n, bool))) == n - 1
 
 
 def test_shingles_of_parts_are_those_of_the_whole(monkeypatch):
@@ -74,6 +75,52 @@ def test_near_copies_are_those_of_brute_force(spark):
     got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(df).collect()}
     assert [got[i] for i in range(len(texts))] == want and got[None] == want[30]
     nodes = df.select(copies.sketches(df["text"]).alias("p")).select("p.*").dropDuplicates(["node"])
-    roots = {r["node"]: r["root"] for r in copies.components(copies.candidates(nodes, 16)).collect()}
-    assert {r["node"]: r["root"] for r in copies.components(copies.candidates(nodes)).collect()} == roots
+    roots = {r["node"]: r["root"] for r in copies.components(copies.candidates(nodes, 0.8, 16)).collect()}
+    assert {r["node"]: r["root"] for r in copies.components(copies.candidates(nodes, 0.8)).collect()} == roots
     assert copies.near_copies(df.limit(0)).count() == 0
+
+
+def test_short_pairs_always_share_a_key():
+    rng = np.random.default_rng(4)
+    for n in range(1, 80):
+        for _ in range(20):
+            base = np.unique(rng.integers(0, 1 << 62, 2 * n + 4).astype(np.uint64))
+            a = np.sort(rng.permutation(base)[:n])
+            keep = rng.permutation(a)[: n - rng.integers(0, n // 9 + 2)]
+            b = np.unique(np.concatenate([keep, rng.choice(base, rng.integers(0, n // 9 + 2))]))
+            shared = len(np.intersect1d(a, b))
+            if min(len(a), len(b)) < copies.SHORT and shared >= 0.8 * (len(a) + len(b) - shared):
+                assert len(np.intersect1d(copies.keys(a), copies.keys(b)))
+
+
+def test_long_pairs_share_a_key_and_stay_within_the_radius():
+    """3000 pairs of a similarity of 0.8 to 0.86, the hardest there are."""
+    rng = np.random.default_rng(5)
+    for _ in range(3000):
+        n = int(rng.integers(64, 400))
+        hashes = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        edit = len(hashes) // 10
+        a, b = hashes[np.sort(rng.permutation(len(hashes))[edit:])], hashes
+        a = np.unique(np.concatenate([a, rng.integers(0, 1 << 62, edit).astype(np.uint64)]))
+        shared = len(np.intersect1d(a, b))
+        assert 0.8 <= shared / (len(a) + len(b) - shared) < 0.86
+        assert len(np.intersect1d(copies.keys(a), copies.keys(b)))
+        x, y = (np.frombuffer(copies.fingerprint(h), np.uint8) for h in (a, b))
+        assert np.unpackbits(x ^ y).sum() <= copies.RADIUS
+
+
+def test_copies_of_one_short_text_with_a_word_more(spark):
+    """Of 4 and 5 shingles: a similarity of 0.8 exactly, whatever the fingerprints say."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(8)) for i in range(60)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(100 + i, x + " more") for i, x in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(df).collect()}
+    assert all(got[100 + i] == i for i in range(60))
+
+
+def test_hubs_are_joined_in_parts(spark, monkeypatch):
+    from citegrain.llm import common, simhash
+
+    monkeypatch.setattr(common, "HUB", 3)
+    star = [(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 10)] + [(500, 501)]
+    roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
+    assert roots == {i: 0 for i in range(1, 40)} | {i + 100: 0 for i in range(1, 10)} | {501: 500}

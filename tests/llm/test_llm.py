@@ -333,6 +333,41 @@ def test_near_duplicates(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_are_those_of_brute_force(spark):
+    """Fingerprints by plain counting, links by all pairs, whatever the split of large meetings."""
+    import xxhash
+
+    rng = np.random.default_rng(7)
+    texts = [None, "", " \t", "one", "One Two", "a b c"]
+    for i in range(12):
+        w = [f"v{x}" for x in rng.integers(0, 60, 150)]
+        texts += [" ".join(w), " ".join(w[:70] + ["x"] + w[71:]), " ".join(w[:-1]).upper()]
+
+    def print_of(text):
+        w = (text or "").lower().split()
+        grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+        ones = [sum(xxhash.xxh64_intdigest(g, 42) >> b & 1 for g in grams) for b in range(64)]
+        return sum(1 << b for b in range(64) if grams and 2 * ones[b] > len(grams))
+
+    prints = [print_of(x) for x in texts]
+    flips = [prints[6] ^ (1 << int(b)) for b in rng.integers(0, 64, 9)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(i, x, 1, 2) for i, x in enumerate(texts)], "doc_id long, text string, fp int, node int")
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id").collect()}
+    assert got == {i: (f"{prints[i]:016x}", root[i]) for i in range(len(texts))}
+    fps = sorted({int(np.uint64(x).view(np.int64)) for x in prints + flips})
+    nodes = spark.createDataFrame([(x,) for x in fps], "fp long")
+    pairs = {tuple(sorted((int(x), int(y)))) for x in fps for y in fps if x != y and ((x ^ y) & (2**64 - 1)).bit_count() <= 2}
+    want = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(list(pairs), "a long, b long")).collect()}
+    for tile in (8192, 2):
+        assert {r["node"]: r["root"] for r in simhash.components(simhash.candidates(nodes, 2, tile)).collect()} == want
+
+
 def test_rules(spark, docs):
     repeated = "a b c d " + "x y z " * 2 + " ".join(f"w{i}" for i in range(60))
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100, repeated), (101, "same\nsame\n\n \nsame\nother"), (102, "#a* b$")], "doc_id long, text string"))
