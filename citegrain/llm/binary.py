@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -26,8 +27,8 @@ STEP = 256
 #: Documents of a range of doc_ids, and the most ranges there are (a bound on what the driver holds).
 RANGE_DOCS, RANGES = 3000, 20_000
 
-_ENCODED = "part int, doc_id long, n_tokens long, ids binary"
-_BLOCK = "part int, block int, start long, doc_ids array<long>, lengths array<long>, marks binary, bits binary"
+_ENCODED = "part long, doc_id long, n_tokens long, ids binary"
+_BLOCK = "part long, block int, start long, doc_ids array<long>, lengths array<long>, marks binary, bits binary"
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -117,12 +118,31 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], first: np.ndarray, size:
     return found
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(part, doc_id, n_tokens, ids) of every document, written once; `part` orders ranges of doc_ids."""
-    n = docs.count()
+#: Parts that one repeated doc_id is dealt to, at most.
+SPLIT = 1 << 20
+
+
+def ranges(docs: DataFrame) -> tuple[np.ndarray, dict[int | None, int]]:
+    """Bounds of ranges of doc_ids, and the doc_ids (null too) that fill whole ranges, with how many: each of these is a range of its own."""
+    n, none = docs.agg(F.count(F.lit(1)), F.count(F.when(F.col("doc_id").isNull(), 1))).first()
     parts = min(RANGES, max(24, n // RANGE_DOCS))
-    bounds = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
-    bounds = np.unique(np.array(bounds, np.int64))
+    cuts = docs.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []
+    values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+    heavy: dict[int | None, int] = {int(v): min(SPLIT, int(t)) for v, t in zip(values, times) if t > 1}
+    bounds = np.unique(np.concatenate([values, np.array([k + 1 for k in heavy if k < 2**63 - 1], np.int64)]))
+    if none:
+        heavy[None] = int(min(SPLIT, max(1, none * parts // n)))
+    return bounds, heavy
+
+
+def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """(part, doc_id, n_tokens, ids) of every document, written once; `part` orders ranges of doc_ids, and documents of a doc_id
+    that fills several ranges by a hash of their ids."""
+    bounds, heavy = ranges(docs)
+
+    def part_of(key: int | None, ids: bytes) -> int:
+        at = 0 if key is None else 1 + int(np.searchsorted(bounds, key, "right"))
+        return at * SPLIT + (xxhash.xxh3_64_intdigest(ids) % heavy[key] if key in heavy else 0)
 
     def run(batches):
         tool = encoder(tokenizer)
@@ -134,8 +154,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids = [x + end for x in tool.ids(texts)]
                 own = keys.slice(at, len(texts))
                 at += len(texts)
-                part = [0 if k is None else 1 + int(np.searchsorted(bounds, k, "right")) for k in own.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), own.cast(pa.int64()), pa.array([len(x) // tool.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "n_tokens", "ids"])
+                part = [part_of(k, x) for k, x in zip(own.to_pylist(), ids)]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), own.cast(pa.int64()), pa.array([len(x) // tool.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "n_tokens", "ids"])
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, _ENCODED), "ids")
 
@@ -158,14 +178,15 @@ def id_counts(encoded: DataFrame, size: int, width: int) -> np.ndarray:
 
 
 def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
-    """Writes every document's ids, and `end_id` after each, as Huffman blocks in ascending doc_id order (nulls first; equal
-    doc_ids by length and ids). A null or empty text gives the end id alone; an empty table gives no blocks."""
+    """Writes every document's ids, and `end_id` after each, as Huffman blocks in ascending doc_id order (nulls first; equal doc_ids by
+    length and ids, and those that fill several ranges by a hash of the ids first). A null or empty text gives the end id alone, a very
+    long one is a block of its own; repeated rows are written each; an empty table gives no blocks; other columns are not read."""
     spark = docs.sparkSession
     tool = encoder(tokenizer)
     size, width = max(tool.vocabulary, end_id + 1), tool.width
     encoded = encode(docs, tokenizer, end_id)
     lengths = code_lengths(id_counts(encoded, size, width))
-    totals = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # RANGES at most
+    totals = {r["part"]: r["n"] for r in encoded.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect()}  # some RANGES at most
     starts, at = {}, 0
     for part in sorted(totals):
         starts[part], at = at, at + totals[part]
@@ -179,7 +200,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
             bits, marks = pack(ids, codes, lengths)
             return pa.RecordBatch.from_pylist([{"part": part, "block": number, "start": start, "doc_ids": keys, "lengths": [len(x) // width for x in held], "marks": marks.tobytes(), "bits": bits}], schema)
 
-        schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
+        schema = pa.schema([("part", pa.int64()), ("block", pa.int32()), ("start", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("marks", pa.binary()), ("bits", pa.binary())])
         for batch in batches:
             for p, key, ids in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids")):
                 if held and (p != part or count >= BLOCK_IDS):
@@ -193,7 +214,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2) -> None:
         if held:
             yield block()
 
-    n = max(1, min(len(totals), RANGES))
+    n = max(1, min(len(totals), 2 * RANGES))
     ordered = encoded.repartition(n, "part").sortWithinPartitions("part", F.asc_nulls_first("doc_id"), "n_tokens", "ids")
     ordered.select("part", "doc_id", "ids").mapInArrow(run, _BLOCK).write.parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")

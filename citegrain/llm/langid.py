@@ -103,7 +103,8 @@ def build(counts: pd.DataFrame) -> Model:
 
 def train(docs: DataFrame, *, training: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Filters from about `max_rows` documents of each language, chosen by a hash of their keys among the rows where `training`
-    holds; null languages and texts teach nothing. The driver gets the n-grams of SHARE and more, at most 1 / SHARE a size."""
+    holds; null languages and texts teach nothing, repeated rows as often; an empty table gives a model that says `und`. Only the named
+    columns are read, so others can't clash. The driver gets the n-grams of SHARE and more, at most 1 / SHARE a size."""
     df = docs.select(F.col(key).alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"), training.alias("use")).where("use AND lang IS NOT NULL")
     sizes = df.groupBy("lang").count().withColumnRenamed("count", "docs")
     some = df.join(F.broadcast(sizes), "lang") if sizes.count() <= 10_000 else df.join(sizes, "lang")
@@ -125,7 +126,8 @@ def train(docs: DataFrame, *, training: Column, text: str = "text", lang: str =
 
 
 def predict(text: Column, model: Model) -> Column:
-    """Struct (lang, score) of a whole text; `und` and 0 without a letter or for null."""
+    """Struct (lang, score) of a whole text, however long; `und` and 0 without a letter or for null. Languages of equal shares: the
+    first by name; a text none of whose n-grams is known has the commonest language and 0. Equal texts are judged alike."""
 
     @F.pandas_udf("lang string, score double")
     def run(texts: pd.Series) -> pd.DataFrame:

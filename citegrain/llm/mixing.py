@@ -24,6 +24,8 @@ BLOCK_TOKENS = 1 << 18
 _STEPS, _JOBS = 5, 8
 #: Sources up to this number are joined by broadcast (under 20 MB); more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
+#: Hexadecimal digits of a block's turn that name its range: a source's blocks are added up range by range.
+RANGE_DIGITS = 3
 #: Key of a null source; the other sources' keys begin with "s".
 _NULL = "n"
 
@@ -73,8 +75,9 @@ def mix(docs: DataFrame, *, tokens: Column | None = None, source: str = "source"
     """Rows of `docs`, once for each epoch that takes them, with `mix_epoch` int, `mix_block` long and `mix_order` string.
 
     A source's rows sorted by (mix_epoch, mix_order) are its permutation. tokens: what a row counts (words of `text`); rows of no
-    tokens are dropped, as no budget can hold them. A null source is a source of its own; rows of one key stand together.
-    Columns of `docs` with the three names are replaced. An empty table gives no rows.
+    tokens (null and empty texts) are dropped, as no budget can hold them. A null source is a source of its own; rows of one key, null
+    included, stand together. A very long text is one row of a block, over its size if need be. Columns of `docs` with the three
+    names are replaced; others of any name stay. An empty table gives no rows.
     """
     names = [c for c in docs.columns if c.lower() not in ("mix_epoch", "mix_block", "mix_order")]
     tokens = F.size(words(F.col("text"))) if tokens is None else tokens
@@ -97,9 +100,14 @@ def mix(docs: DataFrame, *, tokens: Column | None = None, source: str = "source"
         return F.struct(block.alias("block"), F.concat_ws("-", _hash(F.lit(seed), epoch, F.col("s"), block), _hash(epoch, h)).alias("place"))
 
     part = slim.join(hint(plan.where("rest > 0")), "s").withColumn("o", ordered(F.col("epochs"))).select("s", "n", "rest", F.col("o.block").alias("block"), F.col("o.place").alias("place"), F.substring("o.place", 1, 32).alias("turn"))
-    blocks = part.groupBy("s", "rest", "block", "turn").agg(F.sum("n").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("s").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    edge = checkpointed(blocks.withColumn("before", before).where("before < rest AND before + n >= rest").select("s", "block", (F.col("rest") - F.col("before")).alias("room")))
+    blocks = checkpointed(part.groupBy("s", "rest", "block", "turn").agg(F.sum("n").alias("n")).withColumn("range", F.substring("turn", 1, RANGE_DIGITS)))
+    ranges = blocks.groupBy("s", "range").agg(F.sum("n").alias("in_range"))  # 16**RANGE_DIGITS rows of a source at most
+    start = F.sum("in_range").over(Window.partitionBy("s").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("in_range")
+    ranges = ranges.withColumn("start", start)
+    ahead = F.sum("n").over(Window.partitionBy("s", "range").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    before = F.col("start") + ahead
+    edge = blocks.join(ranges, ["s", "range"]).where("start < rest AND start + in_range >= rest").withColumn("before", before)
+    edge = checkpointed(edge.where("before < rest AND before + n >= rest").select("s", "block", (F.col("rest") - F.col("before")).alias("room")))
     inner = part.join(hint(edge) if small else edge, ["s", "block"]).groupBy("s", "room", "place").agg(F.sum("n").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("s").orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
     cut = inner.withColumn("ahead", ahead).where("ahead < room").groupBy("s").agg(F.max("place").alias("last"))

@@ -19,6 +19,8 @@ from citegrain.llm.common import chunks, stored
 from citegrain.llm.tokens import encoder
 
 SIZE = 2048
+#: Tasks whose first ranks (16 kB each) are sent to all tasks; more are joined by shuffle.
+BROADCAST_TASKS = 2048
 #: Sequence numbers of whole pieces: above the bins', one range for each writing task.
 _TASK = 1 << 40
 
@@ -74,7 +76,9 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> tuple[int, dict[int, li
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -> DataFrame:
     """Packed pieces: doc_id, piece, start, length, ids (unsigned 32-bit little-endian), sequence_id, offset.
 
-    A null or empty text is the end id alone; an empty table gives no pieces; repeated rows are packed each.
+    A null or empty text is the end id alone; a very long one is cut into whole pieces and a first one; repeated rows, of null ids
+    too, are packed each; an empty table gives no pieces; other columns are not read, so none can clash. Items of one length are alike: ties
+    are settled by the order of tasks and rows.
     """
     width = encoder(tokenizer).width
 
@@ -107,6 +111,14 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -
     bins, segments = plan(histogram, size)
     firsts = {k: [s[0] for s in v] for k, v in segments.items()}
     before = counts.select("item", "task", (F.sum("n").over(Window.partitionBy("item").orderBy("task")) - F.col("n")).alias("before"))
+    tasks = [r[0] for r in counts.select("task").distinct().limit(BROADCAST_TASKS + 1).collect()]
+    sent = {t: np.zeros(size + 1, np.int64) for t in tasks} if len(tasks) <= BROADCAST_TASKS else None
+    if sent is None:
+        table = table.join(before, ["item", "task"])
+    else:
+        for r in before.groupBy("task").agg(F.collect_list("item").alias("item"), F.collect_list("before").alias("before")).toLocalIterator():  # `size` items each
+            sent[r["task"]][r["item"]] = r["before"]
+        table = table.withColumn("before", F.lit(0).cast("long"))
 
     def placed(batches):
         for batch in batches:
@@ -115,7 +127,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -
             held = 0
             for task, key, item, rank, whole, ahead, ids in rows:
                 ids = np.frombuffer(ids.as_buffer(), f"<u{width}").astype("<u4")
-                at = rank + ahead
+                at = rank + (ahead if sent is None else int(sent[task][item]))
                 first, bin0, n, offset = segments[item][bisect_right(firsts[item], at) - 1]
                 k, slot = divmod(at - first, n)
                 for p in range(1 + (len(ids) - item) // size):
@@ -135,4 +147,4 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = SIZE) -
     def batch_of(out):
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names)
 
-    return table.join(before, ["item", "task"]).select("task", "doc_id", "item", "rank", "whole", "before", "ids").mapInArrow(placed, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")
+    return table.select("task", "doc_id", "item", "rank", "whole", "before", "ids").mapInArrow(placed, "doc_id long, piece int, start long, length long, ids binary, sequence_id long, offset long")

@@ -2,8 +2,10 @@
 
 Trusted positives and unlabelled texts give the risk  prior * R(positives, 1) + max(0, R(unlabelled, 0) - prior * R(positives, 0)),
 minimised for an additive logistic model over style measures, binned and as they are. Where the bracket turns negative, the step goes back on it.
-The class prior is the share of positives among the labelled training rows. Fitting takes bounded samples (`MAX_ROWS`);
-scoring takes every whole text.
+The class prior, the share of good texts among the unlabelled, is estimated from both samples: where a classifier of positives against
+unlabelled ranks texts best, the unlabelled are as frequent as their positives are, so the least ratio of the two tails bounds the
+prior, taken where its confidence bound is least. Negative labels are not used, but to drop positives that are contradicted. Fitting
+takes bounded samples (`MAX_ROWS`); scoring takes every whole text.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 #: Rows of each sample, about: positives and unlabelled. The driver holds their measures only.
 MAX_ROWS = 20_000
 STEPS, RATE, DECAY = 600, 0.05, 3e-5
+#: Chance that the confidence bound of the prior is off.
+DOUBT = 0.1
 #: Shares of texts between the bins of a measure, finer at its ends.
 CUTS = (0.01, 0.03, 0.06, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.94, 0.97, 0.99)
 BINS = len(CUTS) + 1
@@ -67,8 +71,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Adam on the non-negative risk; without positives every text scores the prior."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, plain: bool = False, steps: int = STEPS) -> Model:
+    """Adam on the non-negative risk; without positives every text scores the prior. plain: on the risk of telling the two samples apart."""
     k = unlabelled.shape[1]
     edges = np.quantile(unlabelled, CUTS, axis=0).T
     spread = unlabelled.std(axis=0)
@@ -90,17 +94,35 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
         g[-1] = d.sum()
         return float(np.logaddexp(0, -z if target else z).mean()), g
 
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         _, gp = gradient(p, 1)
         rn, gn = gradient(p, 0)
         ru, gu = gradient(u, 0)
-        g = prior * gp + gu - prior * gn if ru - prior * rn >= 0 else prior * gn - gu
+        if plain:
+            g = (gp + gu) / 2
+        else:
+            g = prior * gp + gu - prior * gn if ru - prior * rn >= 0 else prior * gn - gu
         g = g + DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return model
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5) -> float:
+    """The share of positives among the unlabelled, by scores of halves that a classifier of the other halves hasn't seen; 0.5
+    with too few rows of either kind."""
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    p, u = (x[np.random.default_rng(seed).permutation(len(x))] for x in (positive, unlabelled))
+    model = fit(p[::2], u[::2], 0.5, plain=True, steps=STEPS // 2)
+    sp, su = np.sort(model.score(p[1::2])), np.sort(model.score(u[1::2]))
+    cuts = np.unique(sp)
+    tail_p, tail_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (sp, su))
+    slack = sum(np.sqrt(np.log(4 / DOUBT) / (2 * len(x))) for x in (sp, su))
+    at = int(((tail_u + slack) / tail_p).argmin())
+    return float(np.clip(tail_u[at] / tail_p[at], 0.01, 0.99))
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def _measured(texts: pd.Series) -> pd.Series:
     return pd.Series([measures(x) for x in texts])
@@ -115,20 +137,20 @@ def _some(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, *, training: Column, label: str = "quality", text: str = "text", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """A model from the rows where `training` (an expression of the key) holds; a document labelled both ways counts as
-    negative. Labels without a document, null labels and null keys teach nothing."""
+    negative. Labels without a document, null labels and null keys teach nothing; repeated rows teach as often; empty tables give a
+    model that scores every text alike. Only the named columns are read, so others can't clash."""
     known = labels.where(training & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
-    share = known.agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
-    prior = float(np.clip(0.5 if share is None else share, 0.01, 0.99))
     chosen = _some(known.where("label = 1"), key, max_rows, 11).select(key)  # bounded by max_rows
     texts = docs.select(key, F.col(f"`{text}`").alias("t")).where(training)
     get = lambda df: np.array([r[0] for r in df.select(_measured("t")).collect()], float).reshape(-1, len(measures("")))
     positive = get(texts.join(F.broadcast(chosen), key))
     unlabelled = get(_some(texts, key, max_rows, 12))
-    return fit(positive, unlabelled if len(unlabelled) else np.zeros((1, len(measures("")))), prior)
+    unlabelled = unlabelled if len(unlabelled) else np.zeros((1, len(measures(""))))
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def score(text: Column, model: Model) -> Column:
-    """Probability of label 1 of a whole text; null as empty."""
+    """Probability of label 1 of a whole text, however long; null as empty. Equal texts score alike."""
 
     @F.pandas_udf(DoubleType())
     def run(texts: pd.Series) -> pd.Series:

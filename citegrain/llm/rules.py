@@ -94,7 +94,8 @@ def judge(docs: DataFrame, text: str = "text", key: str = "doc_id", rules=RULES,
     """Key, measures, `probability` (of good), `base_failed` and `kept` of each document.
 
     kept: not base_failed and a probability of at least 0.5. Null and empty texts have no words and fail; repeated rows are
-    judged each; other columns are not carried, so none can clash. An empty table gives no rows.
+    judged each; very long texts are measured whole (n words cost n log n); other columns are not carried, so none can clash. An empty
+    table gives no rows.
     """
     votes = [F.expr(vote(r)).alias(f"v{i}") for i, r in enumerate(rules)]
     df = stored(measured(docs, text, key).select(key, *MEASURES, *votes), "votes")  # texts are read once; EM and verdicts need a few numbers

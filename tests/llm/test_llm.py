@@ -67,7 +67,24 @@ def test_huffman_round_trip(spark, docs):
     assert binary.round_trip(docs.limit(0), path).count() == 0
 
 
-def test_packing(spark, docs):
+def test_one_doc_id_of_many_rows_is_dealt_to_several_parts(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(binary, "RANGE_DOCS", 2)
+    rows = [(5, sentence(i, 9)) for i in range(60)] + [(None, sentence(i, 5)) for i in range(30)] + [(i, sentence(i, 7)) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("part", F.lit("x")).repartition(3)
+    encoded = binary.encode(df, path, 2).toPandas()
+    assert encoded[encoded["doc_id"] == 5]["part"].nunique() > 3 and encoded[encoded["doc_id"].isna()]["part"].nunique() > 3
+    got = binary.round_trip(df, path).toPandas().sort_values("start")
+    assert (got["start"] == (got["ids"].str.len() // 4).cumsum() - got["ids"].str.len() // 4).all()
+    assert got["doc_id"].isna().tolist() == [True] * 30 + [False] * 90 and got["doc_id"][got["doc_id"].notna()].is_monotonic_increasing
+    tool = tokens.Encoder(path).tokenizer
+    want = sorted((-1 if k is None else k, np.array(tool.encode(x, add_special_tokens=False).ids + [2], "<u4").tobytes()) for k, x in rows)
+    assert sorted((-1 if pd.isna(k) else int(k), bytes(x)) for k, x in zip(got["doc_id"], got["ids"])) == want
+
+
+@pytest.mark.parametrize("sent", [2048, 0])
+def test_packing(spark, docs, monkeypatch, sent):
+    monkeypatch.setattr(packing, "BROADCAST_TASKS", sent)
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pieces(docs, path).toPandas()
     tool = tokens.Encoder(path).tokenizer
@@ -77,6 +94,17 @@ def test_packing(spark, docs):
     assert (s["offset"] == s.groupby("sequence_id")["length"].cumsum() - s["length"]).all()
     assert s.groupby("sequence_id")["length"].sum().max() <= packing.SIZE
     assert got["sequence_id"].nunique() == -(-total // packing.SIZE)
+    want = sorted((-1 if r[0] is None else r[0], np.array(tool.encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for r in docs.select("doc_id", "text").collect())
+    whole, last = [], None
+    for r in got.assign(k=got["doc_id"].fillna(-1).astype(int)).sort_values(["k", "piece"]).itertuples():
+        assert r.piece == 0 or (r.length == packing.SIZE and r.offset == 0)
+        if r.k not in (1, -1) and r.piece:
+            assert r.start == len(whole[-1][1]) // 4
+            whole[-1] = (r.k, whole[-1][1] + r.ids)
+        else:
+            assert r.start == 0
+            whole.append((r.k, r.ids))
+    assert sorted((k, bytes(x)) for k, x in whole) == want
     assert packing.pieces(docs.limit(0), path).count() == 0
 
 
@@ -92,7 +120,7 @@ def test_fullest_is_exact():
         assert all(n <= counts[k] for k, n in used.items())
 
 
-def test_mixing_meets_budgets(spark):
+def test_mixing_meets_budgets(spark, monkeypatch):
     rows = [(i, "w " * 10, s) for i, s in enumerate(["big"] * 300 + ["mid"] * 60 + ["low"] * 20 + [None] * 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.mix(df, entropy=0.9, block_tokens=100).toPandas()
@@ -105,6 +133,10 @@ def test_mixing_meets_budgets(spark):
     assert (got.groupby("doc_id")["mix_epoch"].max() + 1 == got.groupby("doc_id").size()).all()
     capped = mixing.mix(df, repeats=2.0).toPandas()
     assert capped.groupby("source").size()["low"] <= 41
+    for digits in (1, 32):
+        monkeypatch.setattr(mixing, "RANGE_DIGITS", digits)
+        again = mixing.mix(df, entropy=0.9, block_tokens=100).toPandas()
+        assert sorted(zip(again["doc_id"], again["mix_order"])) == sorted(zip(got["doc_id"], got["mix_order"]))
     assert mixing.mix(df.limit(0)).count() == 0
 
 
@@ -307,6 +339,27 @@ def test_quality(spark):
     assert quality.train(df.limit(0), labels, training=F.lit(True)).score(np.zeros((1, len(quality.measures(""))))).shape == (1,)
 
 
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_is_estimated_from_positives_and_unlabelled(share):
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0, 1, (6000, 4)), rng.normal(2.5, 1, (6000, 4))
+    n = int(4000 * share)
+    assert abs(quality.estimated_prior(good[:2000], np.concatenate([good[2000 : 2000 + n], bad[: 4000 - n]])) - share) < 0.08
+
+
+def test_non_negative_risk_is_the_least_there_is():
+    """The fitted scores against the labels that fitting never saw."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(0, 1, (3000, 3)), np.ones(3000, int)
+    x[2000:] += 2.5
+    y[2000:] = 0
+    model = quality.fit(x[:1000], x[1000:], 0.5)
+    s = model.score(x)
+    order = np.argsort(-s)
+    auc = 1 - (np.cumsum(y[order] == 0)[y[order] == 1]).sum() / (2000 * 1000)
+    assert auc > 0.98 and (s[y == 1] > 0.5).mean() > 0.9 and (s[y == 0] < 0.5).mean() > 0.9
+
+
 def test_bit_sliced_links_are_exact():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
