@@ -18,20 +18,25 @@ KNOWN, GOOD = 0.25, 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those without a letter or of no learned language go."""
+    """Documents whose language is known; those without a letter or of no learned language go, null and empty texts with them.
+
+    Repeated rows are judged each; null ids, sources and languages stay; an empty table gives no rows; columns beyond those of
+    documents go. Texts of any length are judged whole. That holds for every stage.
+    """
     model = langid.train(docs, training=F.lit(True))
     found = docs.select(*COLUMNS, langid.predict(F.col("text"), model).alias("p"))
     return found.where((F.col("p.lang") != "und") & (F.col("p.score") >= KNOWN)).select(*COLUMNS)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of good quality, learned from all labels."""
+    """Documents of good quality, learned from all positive labels. A table without labels keeps all whose score is GOOD or more, by a
+    prior of one half."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), training=F.lit(True))
     return docs.select(*COLUMNS, quality.score(F.col("text"), model).alias("s")).where(F.col("s") >= GOOD).select(*COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity 0.8 on five-word shingles), exactly one row: of the least id, a null id only where all are null."""
+    """Of each group of near copies (similarity 0.8 on five-word shingles), exactly one row: of the least id, a null id only where all are null; of ties any one row."""
     rows = stored(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
     found = copies.near_copies(rows, key="row").join(rows.select("row", "doc_id"), "row")
     kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")).select("least.row")
@@ -39,12 +44,12 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mixture of sources takes them."""
+    """Documents as often as the mixture of sources takes them; those without words go, a null source is a source of its own."""
     return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences."""
+    """Pieces of the documents in sequences; a null text is its end id alone."""
     import public_tokenizers
 
     found = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
