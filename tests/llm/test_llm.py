@@ -223,6 +223,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), queries="key % 20 = 0").count() == 0
 
 
+def test_recall_on_vectors_of_any_norm():
+    """One shard of unit vectors, and one of the upper third of Gaussian ones."""
+    rng = np.random.default_rng(2)
+    gauss = rng.normal(size=(6000, 32))
+    norm = np.sqrt((gauss**2).sum(axis=1))
+    for x in (gauss[:2000] / norm[:2000, None], gauss[norm >= np.quantile(norm, 2 / 3)]):
+        links, start = ann.build(ann._lifted(x, np.sqrt((x * x).sum(axis=1).max())))
+        shard = {"x": x, "lifted": ann._lifted(x, np.sqrt((x * x).sum(axis=1).max())), "links": links, "start": start, "least": np.arange(len(x))}
+        q = gauss[:100]
+        r, node, _ = ann._found(shard, q, 19, ann.SEARCH)
+        hits = sum(len(set(np.argsort(-x @ q[i])[:20]) & set(node[r == i])) for i in range(100))
+        assert hits >= 0.9 * 2000
+
+
 def test_nearest_rows_of_one_key_count_each(spark):
     rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [-3.0, 1.0]), (7, [0.5, 0.0]), (7, [0.5, -0.0]), (20, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("mine")).withColumn("node", F.lit(1))
