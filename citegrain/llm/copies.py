@@ -4,8 +4,8 @@ A radius that holds pairs of a similarity of 0.8 is too wide for bands of bits.
 hashes instead. Sets of fewer than SHORT shingles have a key for each of their first shingles in order of hashes, as many as two sets of the
 similarity can't both avoid sharing one of: no pair is missed. Longer sets have TABLES keys of three least hashes each: two sets of
 similarity s share a least hash with probability s and a key with s**3, so at 0.8 all keys are missed by 6 pairs in ten million. Keys that
-only one document has go no further. Where documents meet, fingerprints of 256 bits are compared as vertical bit planes, but for
-short sets, whose fingerprints say little: these all stay candidates. A meeting sends on the links of a forest, nearest first, so links never
+only one document has go no further. Where documents meet, those of sizes that allow the similarity are compared by fingerprints of 256
+bits as vertical bit planes, short sets with a wider radius. A meeting sends on the links of a forest, nearest first, so links never
 outgrow what met. Every link's similarity is then computed exactly. Where one falls short, another link may still join the two
 sides: the nodes around it meet again with their shingle sets, and there every such link that would join two sides is computed.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from citegrain.llm.common import spread_join, stored
+from citegrain.llm.common import batch_rows, spread_join, stored
 from citegrain.llm.simhash import components
 
 BITS = 256
@@ -29,14 +29,15 @@ BITS = 256
 TABLES, WIDTH = 20, 3
 #: Sets of fewer shingles are short; those up to SHORT / similarity have both kinds of keys, so that pairs of a short and a long one meet.
 SHORT = 64
-#: Differing bits that a pair of similarity 0.8 (39 expected, 6 standard deviation) stays within but once in a billion, and those of the first comparison.
-RADIUS, CLOSE = 76, 28
+#: Differing bits that a pair of similarity 0.8 stays within but 5 times in a million (39 expected, standard deviation 5.7), those of short
+#: sets (48 at most expected, for 4 and 5 shingles; two in ten million), and those of the first comparison.
+RADIUS, SHORT_RADIUS, CLOSE = 64, 80, 28
 #: Nodes of one meeting; larger groups are split into parts of half of it, and every two parts meet.
 TILE = 8192
 #: Groups up to a word of planes are compared side by side rather than upright.
 SMALL = 64
-#: As TILE, for nodes that bring their shingle sets.
-SET_TILE = 512
+#: Bytes of one meeting's shingle sets, about, where nodes bring them, and rows that go to a worker at once.
+SET_BYTES, SET_ROWS = 1 << 24, 1024
 _CHUNK = 1 << 13
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, TABLES * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(43).integers(0, 1 << 63, max(TABLES * WIDTH, BITS // 64), np.uint64)
@@ -140,9 +141,22 @@ def within(queries: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.nda
     return row[at < len(prints)], at[at < len(prints)]
 
 
-def forest(prints: np.ndarray, short: np.ndarray, radii: tuple[int, ...] = (CLOSE, RADIUS)) -> list[tuple[int, int]]:
-    """Links (i, j) that join everything within the widest radius and all that are `short`, those within the narrower radii first."""
+def _near(prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float):
+    """(i, later places j in order) of what is within the radius and of like sizes."""
+    for start in range(0, len(prints), 128):
+        row, col = within(prints[start : start + 128], prints, radius)
+        row = row + start
+        like = (np.minimum(sizes[row], sizes[col]) >= similarity * np.maximum(sizes[row], sizes[col])) & (row != col)
+        row, col = row[like], col[like]
+        each, first = np.unique(row, return_index=True)
+        for i, a, b in zip(each.tolist(), first, [*first[1:], len(row)]):
+            yield i, col[a:b]
+
+
+def forest(prints: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join everything of like sizes within RADIUS, or SHORT_RADIUS for short sets, nearer ones first."""
     label, out = np.arange(len(prints)), []
+    short = sizes < SHORT / similarity
 
     def join(i: int, near: np.ndarray) -> None:
         near = near[label[near] != label[i]]
@@ -154,52 +168,52 @@ def forest(prints: np.ndarray, short: np.ndarray, radii: tuple[int, ...] = (CLOS
     if len(prints) <= SMALL:
         wide = np.ascontiguousarray(prints).view(np.uint64)
         apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2, dtype=np.int64)
-        i, j = np.nonzero(np.triu((apart <= radii[-1]) | (short[:, None] & short[None]), 1))
+        like = np.minimum(sizes[:, None], sizes[None]) >= similarity * np.maximum(sizes[:, None], sizes[None])
+        i, j = np.nonzero(np.triu(like & (apart <= np.where(short[:, None] & short[None], SHORT_RADIUS, RADIUS)), 1))
         order = np.argsort(apart[i, j], kind="stable")
         for a, b in zip(i[order].tolist(), j[order].tolist()):
             join(a, np.array([b]))
         return out
-    for radius in radii:
-        for start in range(0, len(prints), 128):
-            row, col = within(prints[start : start + 128], prints, radius)
-            cut = np.searchsorted(row, np.arange(min(128, len(prints) - start) + 1))
-            for k, (a, b) in enumerate(zip(cut, cut[1:])):
-                join(start + k, col[a:b])
+    for radius in (CLOSE, RADIUS):
+        for i, near in _near(prints, sizes, radius, similarity):
+            join(i, near)
     rest = np.flatnonzero(short)
-    for a, b in zip(rest, rest[1:]):
-        join(int(a), np.array([b]))
+    for i, near in _near(prints[rest], sizes[rest], SHORT_RADIUS, similarity):
+        join(int(rest[i]), rest[near])
     return out
 
 
 def similar_forest(prints: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], sides: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links (i, j) of the similarity, within the radius or short, that join what isn't on one side yet."""
+    """Links (i, j) of the similarity and within the radius that join what isn't on one side yet."""
     label, out = np.unique(np.array(sides, object), return_inverse=True)[1], []
-    short = np.flatnonzero(sizes < SHORT / similarity)
 
-    def test(i: int, j: int) -> None:
-        if i < j and label[i] != label[j] and min(sizes[i], sizes[j]) >= similarity * max(sizes[i], sizes[j]):
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
-                out.append((i, j))
-                label[label == label[j]] = label[i]
-
-    for start in range(0, len(prints), 128):
-        for i, j in zip(*(x.tolist() for x in within(prints[start : start + 128], prints, RADIUS))):
-            test(i + start, j)
-    for k, i in enumerate(short.tolist()):
-        for j in short[k + 1 :].tolist():
-            test(i, j)
+    def test(i: int, near: np.ndarray) -> None:
+        for j in near[near > i].tolist():
+            if label[i] != label[j]:
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if shared >= similarity * (len(sets[i]) + len(sets[j]) - shared):
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+
+    for i, near in _near(prints, sizes, RADIUS, similarity):
+        test(i, near)
+    rest = np.flatnonzero(sizes < SHORT / similarity)
+    for i, near in _near(prints[rest], sizes[rest], SHORT_RADIUS, similarity):
+        test(int(rest[i]), rest[near])
     return out
 
 
 def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool = False) -> DataFrame:
-    """Distinct links (a, b) of nodes (node, fp, n, keys) that meet and are within the radius or short.
+    """Distinct links (a, b) of nodes (node, fp, n, keys) that meet and are within the radius.
 
     sets: nodes also have `s` (their shingle set) and `side`, and links have the similarity and join two sides.
     """
     extra = ["s", "side"] if sets else []
-    slim = nodes.select("node", F.explode("keys").alias("key"))
-    shared = slim.groupBy("key").count().where("count > 1").select("key", F.when(F.col("count") > tile, F.ceil(F.col("count") / F.lit(tile // 2))).otherwise(1).cast("int").alias("parts"))
+    slim = nodes.select("node", "n", F.explode("keys").alias("key"))
+    whole = slim.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("n").cast("long")).alias("n")).where("count > 1")
+    load = F.greatest(F.col("count") / F.lit(tile), F.col("n") * 8 / F.lit(SET_BYTES) if sets else F.lit(0.0))
+    shared = whole.select("key", F.when(load > 1, F.ceil(2 * load)).otherwise(1).cast("int").alias("parts"))
+    slim = slim.drop("n")
     met = slim.join(shared, "key")
     own = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.least(p, own) * F.col("parts") + F.greatest(p, own))
@@ -214,7 +228,7 @@ def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool
             if len(held) > 1:
                 ids, prints, sizes, *more = zip(*held)
                 prints, sizes = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), np.array(sizes)
-                found = similar_forest(prints, sizes, *more, similarity) if more else forest(prints, sizes < SHORT / similarity)
+                found = similar_forest(prints, sizes, *more, similarity) if more else forest(prints, sizes, similarity)
                 ready.extend((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found)
 
         for pdf in batches:
@@ -270,7 +284,7 @@ def similar_links(nodes: DataFrame, docs: DataFrame, text: str, key: str, shingl
     sides = components(good).withColumnRenamed("root", "side")
     again = around.join(short, "root", "left_semi").select("node").join(sides, "node", "left").select("node", F.coalesce("side", "node").alias("side"))
     again = stored(again.join(nodes.select("node", "fp", "n", "keys"), "node").join(sets, "node"), "again")
-    return good.unionByName(candidates(again, similarity, SET_TILE, True))
+    return good.unionByName(candidates(again, similarity, sets=True))
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -280,9 +294,10 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     similarity on. A null key is never a component's least unless all its keys are null. Repeated rows stay, each with the same
     result; very long texts are read whole, in parts. An empty table gives no rows; other columns are not carried, so none can clash.
     """
-    prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle, similarity).alias("p")).select("k", "p.*"), "sketches")
-    nodes = stored(prints.groupBy("node").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
-    roots = components(similar_links(nodes, docs, text, key, shingle, similarity))
+    with batch_rows(docs.sparkSession, SET_ROWS):
+        prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle, similarity).alias("p")).select("k", "p.*"), "sketches")
+        nodes = stored(prints.groupBy("node").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
+        roots = components(similar_links(nodes, docs, text, key, shingle, similarity))
     rooted = stored(nodes.select(F.col("node").alias("n"), "least").join(roots, F.col("n") == F.col("node"), "left").select("n", "least", F.coalesce("root", "n").alias("root")), "rooted")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(linked, "root").select(F.col("n").alias("node"), "component_id")

@@ -51,9 +51,13 @@ def test_within_counts_differing_bits():
 def test_forest_joins_what_is_within(n):
     prints = np.repeat(np.random.default_rng(n).integers(0, 256, (5, 32), np.uint8), n // 5, axis=0)
     prints[:, 0] ^= np.arange(n, dtype=np.uint8) & 7
-    links = copies.forest(prints, np.zeros(n, bool))
+    links = copies.forest(prints, np.full(n, 100), 0.8)
     assert len(links) == n - 5 and all(i // (n // 5) == j // (n // 5) for i, j in links)
-    assert len(copies.forest(prints, np.ones(n, bool))) == n - 1
+    sizes = np.where(np.arange(n) % 2, 100, 130)
+    assert all(sizes[i] == sizes[j] for i, j in copies.forest(prints, sizes, 0.8)) and len(copies.forest(prints, sizes, 0.8)) == n - 10
+    far = prints.copy()
+    far[::2, :9] ^= 255  # 72 bits
+    assert len(copies.forest(far, np.full(n, 100), 0.8)) == n - 10 and len(copies.forest(far, np.full(n, 10), 0.8)) == n - 5
 
 
 def test_shingles_of_parts_are_those_of_the_whole(monkeypatch):
