@@ -322,9 +322,9 @@ z AS (SELECT id, coalesce(early, CASE WHEN len(notes) > 0 THEN 'warning' ELSE 'v
         "title_sentence_case": f"{e}, {titles}, {based} SELECT e.pos, t_title AS title, {_JOURNAL} AS journal, t_author AS author FROM e LEFT JOIN tt ON tt.pos = e.pos JOIN b ON b.pos = e.pos",
         "word_parts": f"""{e} SELECT pos, regexp_extract(title, '^[^A-Za-z]*') AS prefix, regexp_extract(title, '[A-Za-z](.*[A-Za-z])?') AS core, regexp_extract(title, '[^A-Za-z]*$') AS suffix,
  upper(substr(title, 1, 1)) || lower(substr(title, 2)) AS capital, regexp_replace(lower(trim(title)), '{_PUNCTUATION}', '', 'g') = regexp_replace(lower(trim(journal)), '{_PUNCTUATION}', '', 'g') AS same,
- starts_with(ID, base) OR starts_with(base, ID) AS same_key, list_position(string_split(author, ' '), 'and') AS first_and, coalesce(list_position(list_transform(range(1, len(string_split(author, ' '))), lambda i: lower(string_split(author, ' ')[i]) || ' ' || lower(string_split(author, ' ')[i + 1])), 'and b'), 0) - 1 AS at FROM e""",
+ starts_with(ID, base) OR starts_with(base, ID) AS same_key, CAST(list_position(string_split(author, ' '), 'and') AS INTEGER) AS first_and, CAST(coalesce(list_position(list_transform(range(1, len(string_split(author, ' '))), lambda i: lower(string_split(author, ' ')[i]) || ' ' || lower(string_split(author, ' ')[i + 1])), 'and b'), 0) - 1 AS INTEGER) AS at FROM e""",
         "fatal_findings": f"""{e}, d AS (SELECT {_K} AS pos, CASE WHEN {_K} % 23 = 5 THEN '' ELSE {_authors(1)} END AS s FROM part), n AS (SELECT ID, title, count(*) OVER (PARTITION BY coalesce(title, ''), s) AS n FROM e JOIN d USING (pos))
-SELECT ID AS id, 'duplicate_key' AS "check", 13 AS check_order, 'ID' AS field, ID AS actual, NULL AS target, 'fatal' AS severity FROM e GROUP BY ID HAVING count(*) > 1
+SELECT ID AS id, 'duplicate_key' AS "check", 13 AS check_order, 'ID' AS field, ID AS actual, CAST(NULL AS VARCHAR) AS target, 'fatal' AS severity FROM e GROUP BY ID HAVING count(*) > 1
 UNION ALL SELECT ID, 'duplicate_entry', 14, 'title', coalesce(title, ''), NULL, 'fatal' FROM n WHERE n > 1""",
         "entry_status": f"{verdict} SELECT * FROM z",
         "verification_status": f"{verdict} SELECT status, count(*) AS n FROM z GROUP BY status",
