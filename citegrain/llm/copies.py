@@ -1,9 +1,8 @@
 """SimHash near copies at a similarity: wide fingerprints, bit-sliced comparison, exact check of the links, components.
 
-A radius that holds pairs of a similarity of 0.8 is too wide for bands of bits. So documents meet under keys of their least shingle
-hashes instead. Sets of fewer than SHORT shingles have a key for each of their first shingles in order of hashes, as many as two sets of the
-similarity can't both avoid sharing one of: no pair is missed. Longer sets have TABLES keys of three least hashes each: two sets of
-similarity s share a least hash with probability s and a key with s**3, so at 0.8 all keys are missed by 6 pairs in ten million. Keys that
+A radius that holds pairs of a similarity of 0.8 is too wide for bands of bits. So documents meet under TABLES keys of three least shingle
+hashes each: two sets of similarity s share a least hash with probability s and a key with s**3, so at 0.8 all keys are missed by 6
+pairs in ten million. Keys that
 only one document has go no further. Where documents meet, those of sizes that allow the similarity are compared by fingerprints of 256
 bits as vertical bit planes, short sets with a wider radius. A meeting sends on the links of a forest, nearest first, so links never
 outgrow what met. Every link's similarity is then computed exactly. Where one falls short, another link may still join the two
@@ -25,10 +24,10 @@ from citegrain.llm.common import batch_rows, spread_join, stored
 from citegrain.llm.simhash import components
 
 BITS = 256
-#: Keys of a long set, and least hashes in each.
+#: Keys of a document, and least hashes in each.
 TABLES, WIDTH = 20, 3
-#: Sets of fewer shingles are short; those up to SHORT / similarity have both kinds of keys, so that pairs of a short and a long one meet.
-SHORT = 64
+#: Sets of fewer shingles are short: fingerprints of few hashes differ in more bits.
+SHORT = 20
 #: Differing bits that a pair of similarity 0.8 stays within but 5 times in a million (39 expected, standard deviation 5.7), those of short
 #: sets (48 at most expected, for 4 and 5 shingles; two in ten million), and those of the first comparison.
 RADIUS, SHORT_RADIUS, CLOSE = 64, 80, 28
@@ -36,8 +35,8 @@ RADIUS, SHORT_RADIUS, CLOSE = 64, 80, 28
 TILE = 8192
 #: Groups up to a word of planes are compared side by side rather than upright.
 SMALL = 64
-#: Bytes of one meeting's shingle sets, about, where nodes bring them, and rows that go to a worker at once.
-SET_BYTES, SET_ROWS = 1 << 24, 1024
+#: Nodes and bytes of one meeting where nodes bring their shingle sets, and rows that go to a worker at once.
+SET_TILE, SET_BYTES, SET_ROWS = 1024, 1 << 23, 1024
 _CHUNK = 1 << 13
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, TABLES * WIDTH, np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = np.random.default_rng(43).integers(0, 1 << 63, max(TABLES * WIDTH, BITS // 64), np.uint64)
@@ -79,22 +78,18 @@ def fingerprint(hashes: np.ndarray) -> bytes:
     return np.packbits(2 * ones > len(hashes)).tobytes()
 
 
-def keys(hashes: np.ndarray, similarity: float = 0.8) -> np.ndarray:
-    """The keys under which the set of hashes (in order) meets others; an empty set has none."""
-    n = len(hashes)
-    out = []
-    if n and n < SHORT / similarity:  # two sets share one of these, or less than the similarity
-        out.append(_mixed(hashes[: n - int(np.ceil(similarity * n - 1e-9)) + 1], _SALT[1]))
-    if n >= SHORT:
-        least = np.array([((hashes ^ s) * m).min() for s, m in zip(_SALT, _ODD)], np.uint64).reshape(TABLES, WIDTH)
-        key = _mixed(np.arange(TABLES, dtype=np.uint64), _SALT[2])
-        for column in least.T:
-            key = _mixed(key ^ column, _SALT[0])
-        out.append(key)
-    return np.concatenate([np.zeros(0, np.uint64), *out]).view(np.int64)
+def keys(hashes: np.ndarray) -> np.ndarray:
+    """The keys under which the set of hashes meets others; an empty set has none."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    least = np.array([((hashes ^ s) * m).min() for s, m in zip(_SALT, _ODD)], np.uint64).reshape(TABLES, WIDTH)
+    key = _mixed(np.arange(TABLES, dtype=np.uint64), _SALT[2])
+    for column in least.T:
+        key = _mixed(key ^ column, _SALT[0])
+    return key.view(np.int64)
 
 
-def sketches(text: Column, shingle: int = 5, similarity: float = 0.8) -> Column:
+def sketches(text: Column, shingle: int = 5) -> Column:
     """(node, fp, n, keys) of a text."""
 
     @F.pandas_udf(_SKETCH)
@@ -103,7 +98,7 @@ def sketches(text: Column, shingle: int = 5, similarity: float = 0.8) -> Column:
         for x in texts:
             words = shingle_words(x)
             hashes = shingle_set(words, shingle)
-            rows.append((digest(words), fingerprint(hashes), len(hashes), keys(hashes, similarity)))
+            rows.append((digest(words), fingerprint(hashes), len(hashes), keys(hashes)))
         return pd.DataFrame(rows, columns=["node", "fp", "n", "keys"])
 
     return run(text)
@@ -156,7 +151,7 @@ def _near(prints: np.ndarray, sizes: np.ndarray, radius: int, similarity: float)
 def forest(prints: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links (i, j) that join everything of like sizes within RADIUS, or SHORT_RADIUS for short sets, nearer ones first."""
     label, out = np.arange(len(prints)), []
-    short = sizes < SHORT / similarity
+    short = sizes < SHORT
 
     def join(i: int, near: np.ndarray) -> None:
         near = near[label[near] != label[i]]
@@ -197,7 +192,7 @@ def similar_forest(prints: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]
 
     for i, near in _near(prints, sizes, RADIUS, similarity):
         test(i, near)
-    rest = np.flatnonzero(sizes < SHORT / similarity)
+    rest = np.flatnonzero(sizes < SHORT)
     for i, near in _near(prints[rest], sizes[rest], SHORT_RADIUS, similarity):
         test(int(rest[i]), rest[near])
     return out
@@ -211,7 +206,7 @@ def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool
     extra = ["s", "side"] if sets else []
     slim = nodes.select("node", "n", F.explode("keys").alias("key"))
     whole = slim.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.sum(F.col("n").cast("long")).alias("n")).where("count > 1")
-    load = F.greatest(F.col("count") / F.lit(tile), F.col("n") * 8 / F.lit(SET_BYTES) if sets else F.lit(0.0))
+    load = F.greatest(F.col("count") / F.lit(SET_TILE), F.col("n") * 8 / F.lit(SET_BYTES)) if sets else F.col("count") / F.lit(tile)
     shared = whole.select("key", F.when(load > 1, F.ceil(2 * load)).otherwise(1).cast("int").alias("parts"))
     slim = slim.drop("n")
     met = slim.join(shared, "key")
@@ -295,7 +290,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     result; very long texts are read whole, in parts. An empty table gives no rows; other columns are not carried, so none can clash.
     """
     with batch_rows(docs.sparkSession, SET_ROWS):
-        prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle, similarity).alias("p")).select("k", "p.*"), "sketches")
+        prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle).alias("p")).select("k", "p.*"), "sketches")
         nodes = stored(prints.groupBy("node").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
         roots = components(similar_links(nodes, docs, text, key, shingle, similarity))
     rooted = stored(nodes.select(F.col("node").alias("n"), "least").join(roots, F.col("n") == F.col("node"), "left").select("n", "least", F.coalesce("root", "n").alias("root")), "rooted")
