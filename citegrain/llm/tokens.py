@@ -56,9 +56,12 @@ class Encoder:
         added = self.tokenizer.get_added_tokens_decoder().values()
         self.added = [x.content for x in added if not x.normalized]
         self.added_normal = [x.content.lower() for x in added if x.normalized]
+        self.added_begin = {c for x in self.added + self.added_normal for c in (x[0], x[0].upper())}
 
     def _special(self, text: str) -> bool:
-        """Whether the text may hold an added token."""
+        """Whether the text may hold an added token; most texts lack the characters that these begin with."""
+        if not any(c in text for c in self.added_begin):
+            return False
         return any(x in text for x in self.added) or (bool(self.added_normal) and any(x in text.lower() for x in self.added_normal))
 
     def _rule(self, path: str):
@@ -76,6 +79,8 @@ class Encoder:
         return None
 
     def _simple(self, text: str) -> bool:
+        if text.isascii():
+            return True
         try:
             text.encode("latin-1")  # far quicker than a search
             return True
