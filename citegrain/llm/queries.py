@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import ann, binary, html, langid, lm, mixing, packing, quality, rules, simhash
-from citegrain.llm.common import crc_fold
+from citegrain.llm import ann, binary, html, langid, lm, mixing, packing, quality, rules, simhash, sortmeans, warc
+from citegrain.llm.common import crc_fold, new_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,9 +83,21 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(_table(spark, sf_dir, "documents")).select("doc_id", *rules.MEASURES, "base_failed", "kept")
 
 
+def op11_sortmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector, with the clusters' measures."""
+    return sortmeans.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through an archive and back."""
+    path = new_table(spark, "archive")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_binary": op2_binary, "op3_langid": op3_langid, "op4_html": op4_html, "op5_packing": op5_packing, "op6_ann": op6_ann, "op7_lm": op7_lm, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_rules": op10_rules}
+    return {"op1_mixing": op1_mixing, "op2_binary": op2_binary, "op3_langid": op3_langid, "op4_html": op4_html, "op5_packing": op5_packing, "op6_ann": op6_ann, "op7_lm": op7_lm, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_rules": op10_rules, "op11_sortmeans": op11_sortmeans, "op12_warc": op12_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_rules": rules.oracle()}
+    return {"op10_rules": rules.oracle(), "op11_sortmeans": sortmeans.oracle(), "op12_warc": warc.oracle()}
