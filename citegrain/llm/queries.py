@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrain.llm import ann, binary, html, langid, lm, mixing, packing, quality, rules, simhash, sortmeans, warc
+from citegrain.llm import ann, binary, collocations, html, langid, lm, mixing, packing, quality, rules, simhash, sortmeans, warc
 from citegrain.llm.common import crc_fold, new_table
 
 
@@ -95,9 +95,14 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language."""
+    return collocations.mine(_table(spark, sf_dir, "documents")).select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_binary": op2_binary, "op3_langid": op3_langid, "op4_html": op4_html, "op5_packing": op5_packing, "op6_ann": op6_ann, "op7_lm": op7_lm, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_rules": op10_rules, "op11_sortmeans": op11_sortmeans, "op12_warc": op12_warc}
+    return {"op1_mixing": op1_mixing, "op2_binary": op2_binary, "op3_langid": op3_langid, "op4_html": op4_html, "op5_packing": op5_packing, "op6_ann": op6_ann, "op7_lm": op7_lm, "op8_quality": op8_quality, "op9_simhash": op9_simhash, "op10_rules": op10_rules, "op11_sortmeans": op11_sortmeans, "op12_warc": op12_warc, "op13_collocations": op13_collocations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_rules": rules.oracle(), "op11_sortmeans": sortmeans.oracle(), "op12_warc": warc.oracle()}
+    return {"op10_rules": rules.oracle(), "op11_sortmeans": sortmeans.oracle(), "op12_warc": warc.oracle(), "op13_collocations": collocations.oracle()}
