@@ -21,16 +21,16 @@ from citegrain.llm.common import batch_rows, spread_join, stored
 LEAST, LONGEST, SHARE, MOST = 100, 5, 100, 2000
 #: Rows of cells in a sketch, and cells of a block. A cell is a byte that stays at CAP.
 ROWS, BLOCK, CAP = 2, 1 << 16, 255
-#: Bits of a sketch's width: least, and most. The bits of 2**28 cells are 64 MB, sent to all tasks; a corpus of more than some ten thousand
-#: million words would need more and fills its cells higher: more phrases survive to be counted, none is lost.
+#: Bits of a sketch's width: least, and most. The bits of 2**28 cells are 64 MB, sent to all tasks; a corpus of more than some 10**10 words
+#: would need more and fills its cells higher: more phrases survive to be counted, none is lost.
 NARROW, WIDE = 16, 28
 #: Words for each cell.
-LOAD = 8
+LOAD = 32
 #: Up to this width a task keeps its sketch whole (32 MB); beyond it keeps cells as they come, and hands them on after so many.
 WHOLE, HELD = 24, 1 << 23
 #: Bytes of text that a worker works on at once, and rows sent to it.
 CHUNK, BATCH = 1 << 22, 1000
-#: Words that a worker keeps numbers of.
+#: Words that a worker keeps numbers of, and phrases that it keeps counts of.
 KNOWN = 1 << 20
 #: Rows that one task sorts for the ranks.
 RANKED = 200_000
@@ -266,6 +266,23 @@ def width(expected: float) -> int:
     return min(WIDE, max(NARROW, int(np.ceil(np.log2(max(expected, 1))))))
 
 
+def _places(r: Run, m: int, at: np.ndarray, h: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(place, count) of the distinct phrases of m words at `at`. Phrases of one hash are one only if they have the same words and language."""
+    _, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    mine = at[first][which]
+    same = r.lang[at] == r.lang[mine]
+    for k in range(m):
+        same &= r.word[at + k] == r.word[mine + k]
+    n = n - np.bincount(which[~same], minlength=len(n))
+    yield from zip(at[first].tolist(), n.tolist())
+    yield from ((i, 1) for i in at[~same].tolist())
+
+
+def _counts(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
+    langs, phrases, sizes = zip(*held) if held else ((), (), ())
+    return pa.record_batch([pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array(sizes, pa.int32()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "size", "n"])
+
+
 def _counted(texts: DataFrame, words: Bits, phrases: Bits, least: int, longest: int) -> DataFrame:
     """(lang, phrase, size, n): exact counts of what survives both sketches, down to `least`."""
     sent = texts.sparkSession.sparkContext.broadcast((words, phrases))
@@ -273,22 +290,16 @@ def _counted(texts: DataFrame, words: Bits, phrases: Bits, least: int, longest:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, likely = sent.value
         keep = lambda m, h: (frequent if m == 1 else likely).has(h)
+        held: dict[tuple[str, bytes, int], int] = {}
         for r in runs(batches):
             for m, at, h in r.phrases(longest, keep):
-                if not len(at):
-                    continue
-                _, first, which, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                same = np.ones(len(at), bool)  # phrases of one hash must be of the same words and language
-                mine = at[first][which]
-                for k in range(m):
-                    same &= r.word[at + k] == r.word[mine + k]
-                same &= r.lang[at] == r.lang[mine]
-                n = n - np.bincount(which[~same], minlength=len(n))
-                rows = [(i, c) for i, c in zip(at[first].tolist(), n.tolist())] + [(i, 1) for i in at[~same].tolist()]
-                yield pa.record_batch(
-                    [pa.array([r.langs[r.lang[i]] for i, _ in rows]), pa.array([b" ".join(r.words[i : i + m]).decode() for i, _ in rows]), pa.array([m] * len(rows), pa.int32()), pa.array([c for _, c in rows], pa.int64())],
-                    names=["lang", "phrase", "size", "n"],
-                )
+                for i, n in _places(r, m, at, h):
+                    key = (r.langs[r.lang[i]], b" ".join(r.words[i : i + m]), m)
+                    held[key] = held.get(key, 0) + n
+            if len(held) > KNOWN:
+                yield _counts(held)
+                held = {}
+        yield _counts(held)
 
     found = texts.mapInArrow(run, "lang string, phrase string, size int, n long")
     return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
