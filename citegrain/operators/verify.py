@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.names import last_words
 from citegrain.functions.similarity import author_share, bound, length_bound, normal_ratio, ratio
 from citegrain.functions.text import doi, normalise, text
+from citegrain.operators.catalogue import Catalogue, year_and_author
+from citegrain.sources.tables import stored
 
 #: Least similarities of titles, authors and journals, most difference of years, and the penalty for another year.
 TITLE, AUTHORS, JOURNAL, YEARS, PENALTY, ACCEPT = 0.85, 0.70, 0.60, 1, 0.7, 0.70
-#: Titles are compared if they share at least this part of the longer one's distinct words.
-SHARED = 0.5
+#: Titles of the catalogue that are looked at for the words they share, besides those that are near by their letters.
+SEARCHED = 3
 
 
 def flat_catalogue(records: DataFrame) -> DataFrame:
@@ -24,43 +26,18 @@ def flat_catalogue(records: DataFrame) -> DataFrame:
     )
 
 
-def by_doi(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Entries (with e_doi) and the first catalogue row of their DOI, if any."""
-    first = catalogue.where("c_doi IS NOT NULL").withColumn("rn", F.row_number().over(Window.partitionBy("c_doi").orderBy("c_pos"))).where("rn = 1").drop("rn")
-    return entries.join(first, F.col("e_doi") == F.col("c_doi"), "left")
+def by_doi(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
+    """Entries (with e_doi) and the first catalogue row of their DOI, if any. Entries without a DOI aren't joined."""
+    first = Catalogue.of(catalogue).by_doi
+    asked = entries.where("e_doi IS NOT NULL").join(first, F.col("e_doi") == F.col("c_doi"), "left")
+    return asked.unionByName(entries.where("e_doi IS NULL"), allowMissingColumns=True)
 
 
-def _words(df: DataFrame, title: str) -> DataFrame:
-    """(title, word, size): the distinct words of distinct titles."""
-    words = F.filter(F.array_distinct(F.split(F.col(title), " ")), lambda w: w != "")
-    return df.select(title, words.alias("w")).select(title, F.explode("w").alias("word"), F.size("w").alias("size"))
-
-
-def title_pairs(titles: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(title, c_title, shared) of distinct normalised titles (`title`) and distinct normalised catalogue titles (`c_title`) that are
-    the same, or share at least SHARED of the longer one's distinct words.
-
-    Two such titles meet on one of their rarest words: of n words, all but the commonest n * SHARED (rounded up, less one). So none is missed.
-    Equal titles are paired without their words.
-    """
-    ours, theirs = _words(titles, "title"), _words(catalogue, "c_title")
-    frequency = theirs.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(df: DataFrame, title: str) -> DataFrame:
-        """Words that only the titles have come first: no catalogue title has them, but they count."""
-        order = Window.partitionBy(title).orderBy(F.coalesce("df", F.lit(0)), "word")
-        few = df.join(frequency, "word", "left").withColumn("rn", F.row_number().over(order))
-        return few.where(F.col("rn") <= F.col("size") - F.ceil(F.col("size") * SHARED) + 1).select(title, "word", "size")
-
-    long = lambda a, b: F.greatest(F.col(a), F.col(b)) * SHARED
-    met = prefix(ours, "title").join(prefix(theirs, "c_title").withColumnRenamed("size", "c_size"), "word")
-    met = met.where((F.col("title") != F.col("c_title")) & (F.least("size", "c_size") >= long("size", "c_size"))).select("title", "c_title").distinct()
-    both = F.size(F.array_intersect(F.split("title", " "), F.split("c_title", " ")))
-    sizes = [F.size(F.array_distinct(F.split(c, " "))) for c in ("title", "c_title")]
-    near = met.withColumn("shared", both).where(both >= F.greatest(*sizes) * SHARED)
-    count = F.size(F.filter(F.array_distinct(F.split("title", " ")), lambda w: w != ""))
-    same = titles.select("title").join(catalogue.select(F.col("c_title").alias("title")), "title").select("title", F.col("title").alias("c_title"), count.alias("shared"))
-    return near.unionByName(same)
+def title_candidates(titles: DataFrame, catalogue: DataFrame | Catalogue, most: int = SEARCHED) -> DataFrame:
+    """(title, c_title) of distinct normalised titles (`title`) and those of the catalogue: all that are near by their letters, and the `most` that share
+    most by their words. Equal ones are left out."""
+    index = Catalogue.of(catalogue).titles
+    return index.near(titles).unionByName(index.search(titles, most).where("title <> c_title").select("title", "c_title")).distinct()
 
 
 def scored_titles(pairs: DataFrame) -> DataFrame:
@@ -71,33 +48,28 @@ def scored_titles(pairs: DataFrame) -> DataFrame:
     return possible.select("title", "c_title", normal_ratio(a, b).alias("sim")).where(F.col("sim") >= ACCEPT)
 
 
-def by_title(entries: DataFrame, catalogue: DataFrame, key: str = "ID") -> DataFrame:
+def by_title(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     """Entries and their best catalogue row by title, if one is good enough: another year costs; of equals, a row with the first author's
     name goes first, then the first row.
 
     Entries of one title, year and first author have one answer, and catalogue rows of one title, year and first author are told
     apart by place only, so no group of equal titles is ever paired off.
     """
+    kept = Catalogue.of(catalogue)
     ours = entries.where(text(F.col("title")) != "").withColumns({"n_title": normalise(F.col("title")), "n_year": text(F.col("year")), "n_first": F.coalesce(normalise(F.get(last_words(F.col("author")), F.lit(0))), F.lit(""))})
-    theirs = catalogue.where(text(F.col("c_title")) != "").select(
-        "c_pos", normalise(F.col("c_title")).alias("c_title"), F.coalesce("c_year", F.lit("")).alias("y"), F.coalesce(normalise(F.get("c_authors", F.lit(0))), F.lit("")).alias("f")
-    )
     node = ["n_title", "n_year", "n_first"]
-    nodes = ours.select(*node).distinct()
-    pairs = scored_titles(title_pairs(nodes.select(F.col("n_title").alias("title")).distinct(), theirs.select("c_title").distinct()))
+    nodes = stored(ours.select(*node).distinct(), "nodes")
+    titles = nodes.select(F.col("n_title").alias("title")).distinct()
+    pairs = scored_titles(title_candidates(titles, kept)).unionByName(titles.select("title", F.col("title").alias("c_title"), F.lit(1.0).alias("sim")))
     any_ = F.lit(None).cast("string")
-    combos = F.explode(F.array(*(F.struct(y.alias("y"), f.alias("f")) for y in (F.col("y"), any_) for f in (F.col("f"), any_)))).alias("g")
-    first = theirs.select("c_pos", "c_title", combos).groupBy("c_title", "g").agg(F.min("c_pos").alias("c_pos"))
-    first = first.select("c_title", F.col("g.y").alias("g_y"), F.col("g.f").alias("g_f"), "c_pos")
     free = F.when(F.col("n_year") == "", 1.0).otherwise(PENALTY)
     years = [(F.col("n_year"), F.lit(1.0)), (F.lit(""), F.lit(1.0)), (any_, free)]
-    wanted = F.explode(F.array(*(F.struct(y.alias("y"), f.alias("f"), cost.alias("cost"), F.lit(own).alias("own")) for y, cost in years for f, own in ((F.col("n_first"), 1), (any_, 0))))).alias("g")
-    asked = nodes.join(pairs, F.col("n_title") == F.col("title")).select(*node, F.col("c_title").alias("w_title"), "sim", wanted)
-    met = asked.join(first, (F.col("w_title") == F.col("c_title")) & F.col("g.y").eqNullSafe(F.col("g_y")) & F.col("g.f").eqNullSafe(F.col("g_f")))
-    met = met.withColumn("score", F.col("sim") * F.col("g.cost")).where(F.col("score") >= ACCEPT)
-    best = met.groupBy(*node).agg(F.max_by("c_pos", F.struct("score", "g.own", -F.col("c_pos"))).alias("b_pos"))
+    wanted = F.explode(F.array(*(F.struct(year_and_author(F.col("c_title"), y, f).alias("key"), cost.alias("cost"), F.lit(own).alias("own")) for y, cost in years for f, own in ((F.col("n_first"), 1), (any_, 0))))).alias("g")
+    asked = nodes.join(pairs, F.col("n_title") == F.col("title")).select(*node, "sim", wanted).select(*node, (F.col("sim") * F.col("g.cost")).alias("score"), "g.own", F.col("g.key").alias("asked")).where(F.col("score") >= ACCEPT)
+    met = asked.join(kept.by_title, F.col("asked") == F.col("key"))
+    best = met.groupBy(*node).agg(F.max_by("f_pos", F.struct("score", "own", -F.col("f_pos"))).alias("b_pos"))
     found = ours.join(best, node).drop(*node)
-    return found.join(catalogue, F.col("b_pos") == F.col("c_pos")).drop("b_pos")
+    return found.join(kept.rows, F.col("b_pos") == F.col("c_pos")).drop("b_pos")
 
 
 def gates(df: DataFrame) -> DataFrame:
@@ -129,24 +101,28 @@ def discrepancies(df: DataFrame) -> DataFrame:
     return df.withColumn("discrepancies", F.array_compact(F.array(*notes))).withColumn("corrections", F.map_from_entries(F.array_compact(F.array(*right))))
 
 
-def verify(entries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(id, status, reason, discrepancies, corrections, title_sim, author_sim, journal_sim) of each entry (ID, fields, force, doi).
+def verify(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
+    """(pos, id, status, reason, discrepancies, corrections, title_sim, author_sim, journal_sim) of each entry (ID, fields, force, doi; without a `pos` entries get one).
 
     status: skipped (force is "True"), not_found, error (a gate fails), exception (a year that is no number), warning (discrepancies) or
-    verified. A DOI that the catalogue has decides alone; else the title is looked up.
+    verified. A DOI that the catalogue has decides alone; else the title is looked up. Every entry has one row, whatever its ID: repeated and null IDs
+    are entries of their own. An empty table gives no rows; other columns aren't read.
     """
-    e = entries.select("ID", "force", *(F.col(c) for c in ("title", "author", "journal", "year", "volume", "number", "pages")), doi(F.col("doi")).alias("e_doi"))
+    kept = Catalogue.of(catalogue)
+    pos = F.col("pos") if "pos" in entries.columns else F.monotonically_increasing_id()
+    fields = ("title", "author", "journal", "year", "volume", "number", "pages")
+    e = stored(entries.select(F.monotonically_increasing_id().alias("row"), pos.alias("pos"), "ID", "force", *fields, doi(F.col("doi")).alias("e_doi")), "entries")
     skipped = F.col("force").eqNullSafe(F.lit("True"))
-    found = by_doi(e.where(~skipped), catalogue)
+    found = by_doi(e.where(~skipped), kept)
     missed = found.where("c_pos IS NULL").select(e.columns)
-    titled = by_title(missed, catalogue)
-    matched = discrepancies(gates(found.where("c_pos IS NOT NULL").unionByName(titled.select(found.columns))))
+    titled = stored(by_title(missed, kept).select(found.columns), "titled")
+    matched = discrepancies(gates(found.where("c_pos IS NOT NULL").unionByName(titled)))
     status = F.when(F.col("reason").isNotNull(), "error").when(F.col("exception"), "exception").when(F.size("discrepancies") > 0, "warning").otherwise("verified")
     out = ["discrepancies", "corrections", "title_sim", "author_sim", "journal_sim"]
     why = F.when(F.col("exception"), F.concat(F.lit("No number: "), "year")).otherwise(F.col("reason"))
-    done = matched.select(F.col("ID").alias("id"), status.alias("status"), why.alias("reason"), *out)
-    lost = missed.join(titled.select("ID"), "ID", "left_anti").select(F.col("ID").alias("id"), F.lit("not_found").alias("status"))
-    rest = lost.unionByName(e.where(skipped).select(F.col("ID").alias("id"), F.lit("skipped").alias("status")))
+    done = matched.select("pos", F.col("ID").alias("id"), status.alias("status"), why.alias("reason"), *out)
+    lost = missed.join(titled.select("row"), "row", "left_anti").select("pos", F.col("ID").alias("id"), F.lit("not_found").alias("status"))
+    rest = lost.unionByName(e.where(skipped).select("pos", F.col("ID").alias("id"), F.lit("skipped").alias("status")))
     return done.unionByName(rest, allowMissingColumns=True)
 
 

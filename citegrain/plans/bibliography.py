@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions.words import FIELDS, Settings
 from citegrain.operators import diff, fixes, keys, lint, verify
+from citegrain.operators.catalogue import Catalogue
 
 
 @dataclass
@@ -34,11 +35,11 @@ def compare(old: DataFrame, new: DataFrame) -> DataFrame:
     return diff.diff(old, new, [f for f in FIELDS if f != "ID"])
 
 
-def verification(entries: DataFrame, catalogue: DataFrame, most: int | None = None) -> DataFrame:
+def verification(entries: DataFrame, catalogue: DataFrame | Catalogue, most: int | None = None) -> DataFrame:
     """Verification of all entries, or of the first `most` in file order."""
     return verify.verify(entries if most is None else entries.orderBy("pos").limit(most), catalogue)
 
 
-def report(verification: DataFrame, pos: DataFrame, n: int = 10) -> DataFrame:
+def report(verification: DataFrame, n: int = 10) -> DataFrame:
     """The first n entries (in file order) with discrepancies."""
-    return verification.where(F.size("discrepancies") > 0).join(pos.select(F.col("ID").alias("id"), "pos"), "id").orderBy("pos").limit(n)
+    return verification.where(F.size("discrepancies") > 0).orderBy("pos").limit(n)

@@ -14,6 +14,7 @@ from citegrain.functions import names, pages
 from citegrain.functions import text as t
 from citegrain.functions.words import Settings
 from citegrain.operators import diff, fixes, keys, lint, verify
+from citegrain.operators.catalogue import Catalogue
 from citegrain.sources import bibtex
 
 _K = "p_partkey"
@@ -181,11 +182,27 @@ def bibtex_output(spark, sf_dir):
     return e.select("pos", bibtex.bibtex_text(("ID", "ENTRYTYPE", "author", "journal", "pages", "title", "year")).alias("entry"))
 
 
-def title_candidates(spark, sf_dir):
-    """Pairs of the distinct titles of all entries and those of the catalogue; entries belong to their title's pairs."""
+def _titles(spark, sf_dir) -> tuple[DataFrame, Catalogue]:
+    """Distinct titles of all entries, and the catalogue."""
     e = entries(spark, sf_dir)
-    ours = e.where("title IS NOT NULL").select(t.normalise(F.col("title")).alias("title")).distinct()
-    return verify.title_pairs(ours, catalogue(e).where("c_title IS NOT NULL").select(t.normalise(F.col("c_title")).alias("c_title")).distinct())
+    return e.where("title IS NOT NULL").select(t.normalise(F.col("title")).alias("title")).distinct(), Catalogue.of(catalogue(e))
+
+
+def near_titles(spark, sf_dir):
+    """Pairs of titles that are alike by their letters."""
+    ours, theirs = _titles(spark, sf_dir)
+    return theirs.titles.near(ours)
+
+
+def title_search(spark, sf_dir):
+    """The three titles of the catalogue that share most of each title's words by weight, the weight in millionths."""
+    ours, theirs = _titles(spark, sf_dir)
+    return theirs.titles.search(ours).select("title", "c_title", F.floor(F.col("relevance") * 1000000 + 0.5).cast("long").alias("relevance"))
+
+
+def title_candidates(spark, sf_dir):
+    """Pairs of titles that verification compares; entries belong to their title's pairs."""
+    return verify.title_candidates(*_titles(spark, sf_dir))
 
 
 def doi_matches(spark, sf_dir):
@@ -219,7 +236,7 @@ def fatal_findings(spark, sf_dir):
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     lint_findings, lint_fixes, page_values, page_targets, citation_keys, surname_lists, key_suffixes, suffix_repair, duplicate_keys, duplicate_entries, title_normalised, title_sentence_case, word_parts, field_values,
-    version_diff, diff_summary, bibtex_output, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings,
+    version_diff, diff_summary, bibtex_output, near_titles, title_search, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings,
 )
 
 
@@ -299,7 +316,15 @@ x AS ({fields('a')}), y AS ({fields('b')}), c AS (SELECT coalesce(x.id, y.id) AS
     cat = f"{e}, cat AS (SELECT pos AS c_pos, CASE WHEN pos % 3 <> 0 THEN '10.1/' || pos END AS c_doi, CASE WHEN pos % 7 = 0 THEN 'Another title altogether' ELSE title END AS c_title, CASE WHEN pos % 5 = 0 THEN '99' ELSE volume END AS c_volume FROM e)"
     rows.append(f"SELECT id, 'suffix', 1, 'ID', id, CASE WHEN n = 1 THEN r.base ELSE r.base || {suffix('k')} END, 'fix' FROM x JOIN r ON r.pos = x.pos WHERE force IS NULL")
     linted += " UNION ALL ".join(rows) + ")"
-    words = lambda view, title: f"SELECT DISTINCT t, word, len(list_distinct(string_split(t, ' '))) AS n FROM (SELECT t, unnest(string_split(t, ' ')) AS word FROM (SELECT DISTINCT {_NORMAL.format(title)} AS t FROM {view} WHERE {title} IS NOT NULL)) WHERE word <> ''"
+    named = f"""{cat}, a AS (SELECT DISTINCT {_NORMAL.format('title')} AS t FROM e WHERE title IS NOT NULL), z AS (SELECT DISTINCT {_NORMAL.format('c_title')} AS t FROM cat WHERE c_title <> ''),
+ag AS (SELECT t, g, count(*) AS n FROM (SELECT t, substr(t, unnest(range(1, length(t))), 2) AS g FROM a) GROUP BY t, g), zg AS (SELECT t, g, count(*) AS n FROM (SELECT t, substr(t, unnest(range(1, length(t))), 2) AS g FROM z) GROUP BY t, g),
+pairs AS (SELECT ag.t AS title, zg.t AS c_title, sum(least(ag.n, zg.n)) AS shared, length(ag.t) + length(zg.t) AS l FROM ag JOIN zg ON ag.g = zg.g WHERE ag.t <> zg.t GROUP BY ag.t, zg.t),
+near AS (SELECT title, c_title FROM pairs WHERE 2 * least(length(title), length(c_title)) >= 0.85 * l - 1e-9 AND levenshtein(title, c_title) <= l - 2 * ceil(0.85 * l / 2 - 1e-9) AND shared >= 3 * ceil(0.85 * l / 2 - 1e-9) - l - 1),
+aw AS (SELECT t, unnest(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS word FROM a), zw AS (SELECT t, unnest(list_distinct(list_filter(string_split(t, ' '), lambda x: x <> ''))) AS word FROM z),
+size AS (SELECT count(*) AS n FROM z WHERE t <> ''), wt AS (SELECT word, greatest(1, CAST(floor(ln((n + 1) / df) * 1000) AS BIGINT)) AS weight FROM (SELECT word, count(*) AS df FROM zw GROUP BY word), size),
+own AS (SELECT t, sum(coalesce(weight, greatest(1, CAST(floor(ln(n + 1) * 1000) AS BIGINT)))) AS own FROM aw LEFT JOIN wt USING (word), size GROUP BY t), total AS (SELECT t, sum(weight) AS total FROM zw JOIN wt USING (word) GROUP BY t),
+rel AS (SELECT aw.t AS title, zw.t AS c_title, 2.0 * CAST(sum(weight) AS DOUBLE) / any_value(own + total) AS relevance FROM aw JOIN zw USING (word) JOIN wt USING (word) JOIN own ON own.t = aw.t JOIN total ON total.t = zw.t GROUP BY aw.t, zw.t),
+top AS (SELECT * FROM rel QUALIFY row_number() OVER (PARTITION BY title ORDER BY relevance DESC, c_title) <= 3) """
     year = lambda k: f"CASE WHEN {k} % 31 <> 4 THEN 1990 + {k} % 35 END"
     verdict = f"""{e}, w AS (SELECT {_K} AS k, {_RARE} AS title, {same} AS names, journal, pages, volume, force, 1990 + {_K} % 35 AS y FROM part JOIN e ON pos = {_K}),
 c AS (SELECT *, {year('k')} AS cy FROM w WHERE k % 7 <> 0),
@@ -341,8 +366,8 @@ n AS (SELECT coalesce(title, '') AS title, surnames, count(*) OVER (PARTITION BY
         "version_diff": f"{changes} SELECT * FROM c",
         "diff_summary": f"{changes} SELECT change, count(*) AS n FROM (SELECT DISTINCT id, CASE WHEN change IN ('removed', 'added') THEN change ELSE 'modified' END AS change FROM c) GROUP BY change",
         "bibtex_output": f"{e} SELECT pos, '@' || ENTRYTYPE || '{{' || concat_ws(',' || chr(10), ID, " + ", ".join(f"chr(9) || '{f.capitalize()} = {{' || {f} || '}}'" for f in ("author", "journal", "pages", "title", "year")) + ") || '}' || chr(10) AS entry FROM e",
-        "title_candidates": f"""{cat}, a AS ({words('e', 'title')}), z AS ({words('cat', 'c_title')})
-SELECT a.t AS title, z.t AS c_title, CAST(count(*) AS INTEGER) AS shared FROM a JOIN z ON a.word = z.word GROUP BY a.t, z.t, a.n, z.n HAVING count(*) >= greatest(a.n, z.n) * 0.5
-UNION ALL SELECT '', '', 0 WHERE EXISTS (SELECT 1 FROM e WHERE {_NORMAL.format('title')} = '') AND EXISTS (SELECT 1 FROM cat WHERE {_NORMAL.format('c_title')} = '')""",
+        "near_titles": f"{named} SELECT title, c_title FROM near",
+        "title_search": f"{named} SELECT title, c_title, CAST(floor(relevance * 1000000 + 0.5) AS BIGINT) AS relevance FROM top",
+        "title_candidates": f"{named} SELECT title, c_title FROM near UNION SELECT title, c_title FROM top WHERE title <> c_title",
         "doi_matches": f"{cat} SELECT pos, '10.1/' || pos AS e_doi, coalesce(c_pos, -1) AS match, c_volume FROM e LEFT JOIN cat ON c_doi = '10.1/' || pos",
     }

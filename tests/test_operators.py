@@ -91,18 +91,6 @@ def test_settings_are_read_from_files(spark, tmp_path):
     assert s.caps == ("MRI", "fMRI") and s.journals["j neuro"] in ("x", "Journal of Neuroscience") and "AL" in s.addresses and s.publishers == {}
 
 
-def test_every_title_pair_of_half_the_words_meets(spark):
-    import random
-    from itertools import product
-
-    r = random.Random(3)
-    titles = [" ".join(r.choice("abcdefghij") for _ in range(r.randint(1, 6))) for _ in range(60)]
-    ours, theirs = sorted(set(titles[:30])), sorted(set(titles[25:]))
-    got = {tuple(x) for x in verify.title_pairs(spark.createDataFrame([(x,) for x in ours], "title string"), spark.createDataFrame([(x,) for x in theirs], "c_title string")).collect()}
-    shared = lambda a, b: len(set(a.split()) & set(b.split()))
-    assert got == {(a, b, shared(a, b)) for a, b in product(ours, theirs) if shared(a, b) >= 0.5 * max(len(set(a.split())), len(set(b.split())))}
-
-
 def test_bounds_never_fall_below_the_ratio(spark):
     import random
 
@@ -118,7 +106,7 @@ def test_best_title_prefers_year_then_author_then_place(spark):
     cat = spark.createDataFrame([(i, None, x, [a], None, y, None, None, None) for i, (x, a, y) in enumerate([("Editorial", "Lee", "1999"), ("Editorial", "Ray", "2000"), ("Editorial", "Fox", "2000"), ("Editorial", "Fox", "2000"), ("Editorial", "Kim", None), ("Editorials", "Lee", "2001")])], "c_pos long, c_doi string, c_title string, c_authors array<string>, c_journal string, c_year string, c_volume string, c_issue string, c_pages string")
     rows = [("a", "Editorial", "B Fox", "2000"), ("b", "Editorial", "B Moe", "2000"), ("c", "editorial", "B Kim", "1950"), ("d", "Editorial", "B Lee", None), ("e", "Editoria", "B Lee", "2001"), ("f", "Other", "B Lee", "2001"), ("a", "Editorial", "B Fox", "2000")]
     e = spark.createDataFrame(rows, "ID string, title string, author string, year string")
-    assert sorted((r["ID"], r["c_pos"]) for r in verify.by_title(e, cat).collect()) == [("a", 2), ("a", 2), ("b", 1), ("c", 4), ("d", 0)]
+    assert sorted((r["ID"], r["c_pos"]) for r in verify.by_title(e, cat).collect()) == [("a", 2), ("a", 2), ("b", 1), ("c", 4), ("d", 0), ("e", 4)]
 
 
 def test_diff(spark, tmp_path):
