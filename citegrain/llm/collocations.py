@@ -7,6 +7,7 @@ that is frequent survives in every row of cells. The fourth counts the survivors
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,14 +25,16 @@ ROWS, BLOCK, CAP = 2, 1 << 16, 255
 #: Bits of a sketch's width: least, and most. The bits of 2**28 cells are 64 MB, sent to all tasks; a corpus of more than some 10**10 words
 #: would need more and fills its cells higher: more phrases survive to be counted, none is lost.
 NARROW, WIDE = 16, 28
-#: Words for each cell.
-LOAD = 32
+#: Words for each cell: of texts, most of which are of frequent words and share cells, and of those that begin phrases.
+LOAD_WORDS, LOAD = 128, 32
 #: Up to this width a task keeps its sketch whole (32 MB); beyond it keeps cells as they come, and hands them on after so many.
 WHOLE, HELD = 24, 1 << 23
 #: Bytes of text that a worker works on at once, and rows sent to it.
 CHUNK, BATCH = 1 << 22, 1000
 #: Words that a worker keeps numbers of, and phrases that it keeps counts of.
 KNOWN = 1 << 20
+#: Words of the texts for each place that adds up counts (frequent phrases are a twentieth of them at most), and ranges for each place.
+ADDED, SPREAD = 5_000_000, 8
 #: Rows that one task sorts for the ranks.
 RANKED = 200_000
 
@@ -194,14 +197,15 @@ def packed(at: np.ndarray, n: np.ndarray, size: int) -> bytes:
         return b"s" + pa.compress(at.astype("<u2").tobytes() + n.tobytes(), "zstd", asbytes=True) + len(at).to_bytes(4, "little")
     whole = np.zeros(size, np.uint8)
     whole[at] = n
-    return b"w" + pa.compress(whole.tobytes(), "zstd", asbytes=True) + size.to_bytes(4, "little")
+    coder = zlib.compressobj(1, strategy=zlib.Z_HUFFMAN_ONLY)  # cells are small numbers in no order: nothing repeats, but few values make most of them
+    return b"w" + coder.compress(whole.tobytes()) + coder.flush() + size.to_bytes(4, "little")
 
 
 def add_packed(total: np.ndarray, data: bytes) -> None:
     """Adds a block's cells to `total`; sums stay at CAP."""
     n = int.from_bytes(data[-4:], "little")
     if data[:1] == b"w":
-        at, got = slice(None), np.frombuffer(pa.decompress(data[1:-4], n, "zstd", asbytes=True), np.uint8)
+        at, got = slice(None), np.frombuffer(zlib.decompress(data[1:-4]), np.uint8)
     else:
         raw = pa.decompress(data[1:-4], 3 * n, "zstd", asbytes=True)
         at, got = np.frombuffer(raw, "<u2", n), np.frombuffer(raw, np.uint8, n, 2 * n)
@@ -278,13 +282,19 @@ def _places(r: Run, m: int, at: np.ndarray, h: np.ndarray) -> Iterator[tuple[int
     yield from ((i, 1) for i in at[~same].tolist())
 
 
-def _counts(held: dict[tuple[str, bytes, int], int]) -> pa.RecordBatch:
-    langs, phrases, sizes = zip(*held) if held else ((), (), ())
-    return pa.record_batch([pa.array(langs, pa.string()), pa.array([p.decode() for p in phrases], pa.string()), pa.array(sizes, pa.int32()), pa.array(held.values(), pa.int64())], names=["lang", "phrase", "size", "n"])
+def _messages(held: dict[tuple[str, bytes, int], int], ranges: int) -> Iterator[pa.RecordBatch]:
+    """Counts as a row for each range of phrases and language, in order of the phrases."""
+    of: dict[tuple[int, str], list[tuple[bytes, int]]] = {}
+    for (lang, phrase, _), n in held.items():
+        of.setdefault((xxhash.xxh3_64_intdigest(phrase) % ranges, lang), []).append((phrase, n))
+    for (k, lang), rows in of.items():
+        phrases, n = zip(*sorted(rows))
+        yield pa.record_batch([pa.array([k], pa.int32()), pa.array([lang]), pa.array([[p.decode() for p in phrases]], pa.list_(pa.string())), pa.array([n], pa.list_(pa.int64()))], names=["range", "lang", "phrase", "n"])
 
 
-def _counted(texts: DataFrame, words: Bits, phrases: Bits, least: int, longest: int) -> DataFrame:
-    """(lang, phrase, size, n): exact counts of what survives both sketches, down to `least`."""
+def _counted(texts: DataFrame, words: Bits, phrases: Bits, least: int, longest: int, parts: int) -> DataFrame:
+    """(lang, phrase, size, a): exact counts of what survives both sketches, down to `least`. A task sends its counts as one row for each range of phrases and language,
+    or a few where its phrases are many; a range's counts are added up in one place."""
     sent = texts.sparkSession.sparkContext.broadcast((words, phrases))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,12 +307,22 @@ def _counted(texts: DataFrame, words: Bits, phrases: Bits, least: int, longest:
                     key = (r.langs[r.lang[i]], b" ".join(r.words[i : i + m]), m)
                     held[key] = held.get(key, 0) + n
             if len(held) > KNOWN:
-                yield _counts(held)
+                yield from _messages(held, parts * SPREAD)
                 held = {}
-        yield _counts(held)
+        yield from _messages(held, parts * SPREAD)
 
-    found = texts.mapInArrow(run, "lang string, phrase string, size int, n long")
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for lang, phrases, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "phrase", "n"))):
+                for phrase, n in zip(phrases, counts):
+                    total[lang, phrase] = total.get((lang, phrase), 0) + n
+        found = [(lang, phrase, phrase.count(" ") + 1, n) for (lang, phrase), n in total.items() if n >= least]
+        for i in range(0, len(found), BLOCK):
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*found[i : i + BLOCK]), (pa.string(), pa.string(), pa.int32(), pa.int64()))], names=["lang", "phrase", "size", "a"])
+
+    found = texts.mapInArrow(run, "range int, lang string, phrase array<string>, n array<bigint>")
+    return found.repartition(parts, "range").mapInArrow(add, "lang string, phrase string, size int, a long")
 
 
 def _part(phrase: str, first: str, count: str) -> F.Column:
@@ -316,16 +336,17 @@ def scored(counts: DataFrame, totals: DataFrame, share: int = SHARE) -> DataFram
     long = counts.where("size > 1")
     cuts = long.select("lang", "phrase", "size", "a", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     side = lambda part: F.struct("lang", part.alias("phrase"))
-    cuts = cuts.select("lang", "phrase", "size", "a", "k", side(_part("phrase", "1", "k")).alias("left"), side(_part("phrase", "k + 1", "size - k")).alias("right"))
+    cuts = cuts.select("a", side(_part("phrase", "1", "k")).alias("left"), _part("phrase", "k + 1", "size - k").alias("rest"))  # both parts are the phrase
     known = lambda key, name: counts.select(side(F.col("phrase")).alias(key), F.col("a").alias(name))
-    cuts = spread_join(spread_join(cuts, known("left", "l"), "left"), known("right", "r"), "right").join(totals, "lang")
+    cuts = spread_join(cuts, known("left", "l"), "left").select("a", "l", F.struct("left.lang", F.col("rest").alias("phrase")).alias("right"), F.col("left.phrase").alias("first"))
+    cuts = spread_join(cuts, known("right", "r"), "right").select("a", "l", "r", "right.lang", F.concat_ws(" ", "first", "right.phrase").alias("phrase"), F.size(F.split("first", " ")).alias("k")).join(totals, "lang")
     exact = lambda c: f"CAST({c} AS DECIMAL(19, 0))"
     score = F.expr(f"(1000 * ({exact('a')} * {exact('n')})) div ({exact('l')} * {exact('r')})")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase", "size", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
+    best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("b"))
     inner = F.explode(F.array(_part("phrase", "1", "size - 1"), _part("phrase", "2", "size - 1"))).alias("phrase")
     longer = long.where("size > 2").select("lang", inner, F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     left = best.join(longer, ["lang", "phrase"], "left").where(F.expr(f"longer IS NULL OR 100 * longer < {share} * a"))
-    return left.select("lang", "phrase", "size", "a", "b.l", "b.r", "n", "b.score")
+    return left.select("lang", "phrase", F.size(F.split("phrase", " ")).alias("size"), "a", "b.l", "b.r", "n", "b.score")
 
 
 def ranked(found: DataFrame, most: int) -> DataFrame:
@@ -355,13 +376,14 @@ def mine(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = L
 def _frequent(spark: SparkSession, texts: DataFrame, least: int, longest: int) -> tuple[DataFrame, DataFrame]:
     """Phrases of one word and more with exact counts, and the languages' words."""
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = width(chars / 6 / LOAD)
+    bits = width(chars / 6 / LOAD_WORDS)
     sketch = stored(_sketched(texts, bits, 1, 1, None), "words")
     totals = stored(sketch.where("lang IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
     words = _merged(sketch, bits, least)
-    bits = width((totals.agg(F.sum("n")).first()[0] or 0) / LOAD)
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    bits = width(n / LOAD)
     phrases = _merged(_sketched(texts, bits, 2, longest, words), bits, least)
-    return stored(_counted(texts, words, phrases, least, longest), "phrases"), totals
+    return stored(_counted(texts, words, phrases, least, longest, 1 + n // ADDED), "phrases"), totals
 
 
 def oracle(least: int = LEAST, longest: int = LONGEST, share: int = SHARE, most: int = MOST) -> str:
