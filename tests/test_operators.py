@@ -60,6 +60,48 @@ def test_suffix_repair(spark):
     assert spark.range(1).select(keys.suffix(F.lit(long))).first()[0] == x
 
 
+def plain_repair(rows):
+    def name(n):
+        x = ""
+        while n >= 0:
+            x, n = chr(97 + n % 26) + x, n // 26 - 1
+        return x
+
+    out, groups = {}, {}
+    for r in sorted(rows):
+        groups.setdefault(r[2], []).append(r)
+    for base, group in groups.items():
+        legal = [] if base is None else [base + name(i) for i in range(len(group))]
+        free = iter([x for x in legal if x not in {r[1] for r in group}])
+        for pos, key, _ in group:
+            out[pos] = base if base is None or len(group) == 1 else key if key in legal else next(free)
+    return out
+
+
+@pytest.mark.parametrize("hot", [100_000, 40])
+def test_repair_is_that_of_each_group_alone(spark, monkeypatch, hot):
+    import random
+
+    from citegrain.operators import ranks
+
+    monkeypatch.setattr(keys, "HOT", hot)
+    monkeypatch.setattr(ranks, "RANGE", 3)
+    r = random.Random(2)
+    rows = []
+    for i in range(600):
+        base = r.choice(["Lee20", "Lee2", "Ray19", None, *(f"B{j}" for j in range(150))]) if i % 3 else "Lee20"
+        ending = r.choice([*"abcdefg", "", "A", "z" * 15, "1", "aa", "cx", "kk"])
+        rows.append((i * 7 % 601, (base or "None") + ending, base))
+    df = spark.createDataFrame([(*x, "kept") for x in rows], "pos long, ID string, base string, n string")
+    assert {x["pos"]: x["target"] for x in keys.repair(df).collect()} == plain_repair(rows)
+
+
+def test_suffix_numbers_are_the_inverse(spark):
+    df = spark.range(0, 20000, 7).select("id", keys.suffix_number(keys.suffix(F.col("id"))).alias("n"))
+    assert df.where("NOT id <=> n").isEmpty()
+    assert [x[0] for x in spark.createDataFrame([("A",), ("",), ("a1",), ("a" * 13,)], "s string").select(keys.suffix_number(F.col("s"))).collect()] == [None] * 4
+
+
 def test_ranks_of_a_large_group_are_those_of_the_whole(spark, monkeypatch):
     from citegrain.operators import ranks
 
