@@ -39,8 +39,62 @@ def text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+# Capital letters of other alphabets in the order of their code points, and what each stands for; a dot stands for itself.
+_GREEK = (0x391, "A B G D E Z E Th I K L M N X O P R . S T U Ph Kh Ps O".split())
+_CYRILLIC = (0x400, "Ie Io Dj Gj Ie Dz I Yi J Lj Nj Tsh Kj I U Dzh A B V G D E Zh Z I I K L M N O P R S T U F Kh Ts Ch Sh Shch ' Y ' E Iu Ia".split())
+# Kana in the order of their code points, from small a.
+_KANA = (
+    """a a i i u u e e o o ka ga ki gi ku gu ke ge ko go sa za shi zi su zu se ze so zo ta da chi di tsu tsu du te de to do na ni nu ne no
+    ha ba pa hi bi pi hu bu pu he be pe ho bo po ma mi mu me mo ya ya yu yu yo yo ra ri ru re ro wa wa wi we wo n vu ka ke""".split()
+)
+# Parts of Hangul syllables: beginnings, vowels, endings (the first is none).
+_HANGUL = (
+    "g gg n d dd r m b bb s ss - j jj c k t p h".replace("-", "").split(" "),
+    "a ae ya yae eo e yeo ye o wa wae oe yo u weo we wi yu eu yi i".split(),
+    ["", *"g gg gs n nj nh d l lg lm lb ls lt lp lh m b bs s ss ng j c k t p h".split()],
+)
+#: The block of Greek and Cyrillic, the kana and the syllables, by code point.
+_LETTERS_FROM, _LETTERS_TO, _HIRAGANA, _KATAKANA, _SYLLABLES = 0x370, 0x52F, 0x3041, 0x30A1, 0xAC00
+
+
+@lru_cache
+def _block() -> list[str]:
+    """What each letter of the Greek and Cyrillic blocks stands for: its own value, that of its capital, or that of the letter under its marks."""
+    capitals = {chr(first + i): v for first, values in (_GREEK, _CYRILLIC) for i, v in enumerate(values) if v != "."} | {"ς": "s", "Ґ": "G"}
+
+    def value(ch: str) -> str:
+        for x in (ch, unicodedata.normalize("NFKD", ch)[0]):
+            if x in capitals:
+                return capitals[x]
+            if x.upper() in capitals:
+                return capitals[x.upper()].lower()
+        return ch if unicodedata.category(ch)[0] == "L" else ""
+
+    return [value(chr(c)) for c in range(_LETTERS_FROM, _LETTERS_TO + 1)]
+
+
+def _plain_letter(ch: Column) -> Column:
+    """A letter of another script in Latin letters: the table of its block, or for syllables the parts that their number gives."""
+    code = F.ascii(ch)
+    of = lambda values, i: F.get(F.split(F.lit("\n".join(values)), "\n"), i.cast("int"))
+    syllable = code - _SYLLABLES
+    start, vowels, ends = _HANGUL
+    parts = (of(start, F.floor(syllable / (len(vowels) * len(ends)))), of(vowels, F.floor(syllable / len(ends)) % len(vowels)), of(ends, syllable % len(ends)))
+    out = F.when(code.between(_LETTERS_FROM, _LETTERS_TO), of(_block(), code - _LETTERS_FROM)).when(code.between(_SYLLABLES, _SYLLABLES + 11171), F.concat(*parts))
+    for first in (_HIRAGANA, _KATAKANA):
+        out = out.when(code.between(first, first + len(_KANA) - 1), of(_KANA, code - first))
+    return out.otherwise(ch)
+
+
+def romanise(c: Column) -> Column:
+    """Greek, Cyrillic, Hangul and kana in Latin letters; all else stays."""
+    other = c.rlike("[\u0370-\u052F\u3041-\u3096\u30A1-\u30F6\uAC00-\uD7A3]")
+    return F.when(other, F.array_join(F.transform(F.split(c, ""), _plain_letter), "")).otherwise(c)
+
+
 def decode(c: Column) -> Column:
-    """Letters with marks as plain ASCII letters; other marks of composition go."""
+    """Letters of other alphabets and letters with marks as plain ASCII letters; other marks of composition go."""
+    c = romanise(c)
     for k, v in _LETTERS.items():
         c = F.replace(c, F.lit(k), F.lit(v))
     return F.regexp_replace(F.translate(c, *_plain()), "\\p{M}+", "")

@@ -9,14 +9,14 @@ from citegrain.functions.words import FIELDS
 
 
 def pivot(findings: DataFrame) -> DataFrame:
-    """(id, fix): a map of each field's target; of several findings on a field the latest check counts."""
-    one = findings.where(F.col("target").isNotNull()).groupBy("id", "field").agg(F.max_by("target", "check_order").alias("target"))
-    return one.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "target")))).alias("fix"))
+    """(pos, id, fix): a map of each field's target for each entry; of several findings on a field the latest check counts."""
+    one = findings.where(F.col("target").isNotNull()).groupBy("pos", "id", "field").agg(F.max_by("target", "check_order").alias("target"))
+    return one.groupBy("pos", "id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field", "target")))).alias("fix"))
 
 
 def apply(entries: DataFrame, fixes: DataFrame) -> DataFrame:
-    """Entries with their fixes; those with force stay as they are."""
-    df = entries.join(fixes.select(F.col("id").alias("fix_id"), "fix"), F.col("ID") == F.col("fix_id"), "left")
+    """Entries with their own fixes, whatever other entries share their ID; those with force stay as they are."""
+    df = entries.join(fixes.select(F.col("pos").alias("fix_pos"), "fix"), F.col("pos") == F.col("fix_pos"), "left")
     free = F.col("force").isNull()
     cols = [F.when(free, F.coalesce(F.col("fix")[c], F.col(f"`{c}`"))).otherwise(F.col(f"`{c}`")).alias(c) if c in FIELDS else F.col(f"`{c}`") for c in entries.columns]
     return df.select(*cols)

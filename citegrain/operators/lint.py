@@ -1,4 +1,4 @@
-"""Findings: where a field differs from what it should read. (id, check, check_order, field, actual, target, severity)"""
+"""Findings: where a field differs from what it should read. (pos, id, check, check_order, field, actual, target, severity); pos tells entries of one ID apart."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def finding(check: str, order: int, field: str, actual: Column, target: Column,
 
 def mismatches(df: DataFrame, *checks: Column) -> DataFrame:
     """A row for each finding of each entry, in one pass over the entries."""
-    return df.select(F.col("ID").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("f")).select("id", "f.*")
+    return df.select("pos", F.col("ID").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("f")).select("pos", "id", "f.*")
 
 
 _VENUES, _PEOPLE = ("journal", "booktitle", "publisher", "address"), ("author", "editor")
@@ -61,10 +61,11 @@ def findings(entries: DataFrame, settings: Settings | None = None) -> DataFrame:
 
 
 def fatal(entries: DataFrame) -> DataFrame:
-    """Findings of what ends a lint pass wherever it stands, force or not: keys that occur more than once, and entries that share title and surnames."""
+    """Findings of what ends a lint pass wherever it stands, force or not: keys that occur more than once (no one entry's: pos is null), and entries
+    that share title and surnames."""
     what = lambda check, order, field, actual: [F.lit(check).alias("check"), F.lit(order).alias("check_order"), F.lit(field).alias("field"), actual.alias("actual"), F.lit(None).cast("string").alias("target"), F.lit("fatal").alias("severity")]
-    same_keys = keys.duplicate_keys(entries).select(F.col("ID").alias("id"), *what("duplicate_key", 13, "ID", F.col("ID")))
-    same_entries = keys.duplicate_entries(entries).select(F.col("ID").alias("id"), *what("duplicate_entry", 14, "title", F.col("title")))
+    same_keys = keys.duplicate_keys(entries).select(F.lit(None).cast("long").alias("pos"), F.col("ID").alias("id"), *what("duplicate_key", 13, "ID", F.col("ID")))
+    same_entries = keys.duplicate_entries(entries).select("pos", F.col("ID").alias("id"), *what("duplicate_entry", 14, "title", F.col("title")))
     return same_keys.unionByName(same_entries)
 
 

@@ -99,16 +99,41 @@ def catalogue(e: DataFrame) -> DataFrame:
     )
 
 
+#: Forms as written, and what they should read.
+_SCRIPTS = (
+    ("Николай Чехов", "Nikolai Chekhov", "Chek"), ("Ελένη Παπαδοπούλου", "Elene Papadopoulou", "Papa"), ("민수 박", "minsu bag", "bag"), ("たなか ゆき", "tanaka yuki", "yuki"), ("Іван Їжак", "Ivan Yizhak", "Yizh"),
+    ("ジョン スミス", "ziyon sumisu", "sumi"), ("José Núñez", "Jose Nunez", "Nune"), ("김 최영", "gim coeyeong", "coey"), ("Ψυχή Ξένος", "Psukhe Xenos", "Xeno"), ("Щукин, Юрий", "Shchukin, Iurii", "Shch"),
+)
+_ACCENTS = (("{\\'e}cole", "ecole"), ('M{\\"u}ller-Lyer', "MullerLyer"), ("{\\o}rsted", "orsted"), ('na\\"{i}ve', "naive"), ("plain-text", "plaintext"), ("Sm\\'{\\i}d", "Smid"), ("{\\v c}apek", "capek"), ("\\~nandu", "nandu"))
+_PAGES = (
+    ("WE-12.3", "conference", "WE-12", "3"), ("FR-AA-104", "conference", "FR-AA", "104"), ("doi.org/10.1/ab.c", "doi", None, None), ("2101.00001v2", "arxiv", None, None), ("cs/0101", "arxiv", None, None), ("MMXIV", "roman", None, "2014"), ("xliv", "roman", None, "44"),
+    ("Xl", "invalid", None, None), ("1_000", "int", None, "1000"), ("S12", "prefixed", "S", "12"), ("12 a", "invalid", None, None),
+)
+_ALIASES = {"j neurosci": "journal of neuroscience", "pnas": "proceedings of the national academy of sciences"}
+_ALIASED = (("J Neurosci", "Journal of Neuroscience"), ("PNAS", "Proceedings of the National Academy of Sciences"), ("the neuroimage review", "The {NeuroImage} Review"), ("journal of IEEE and acm", "Journal of {IEEE} and {ACM}"), ("", ""))
+
+
+def _forms(spark: SparkSession, sf_dir: str, cases: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """(pos, form): a form for each row of `part`."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    at = F.get(F.array(*(F.lit(c[0]) for c in cases)), (F.col("p_partkey") % len(cases)).cast("int"))
+    return part.select(F.col("p_partkey").alias("pos"), at.alias("form"))
+
+
 # --- queries ---------------------------------------------------------------------------------------------------------------
 
 
 def lint_findings(spark, sf_dir):
+    return _findings(spark, sf_dir).drop("pos")
+
+
+def _findings(spark, sf_dir):
     return lint.findings(entries(spark, sf_dir).withColumn("ID", F.concat("ID", F.lit("-"), "pos")), Settings())
 
 
 def lint_fixes(spark, sf_dir):
     fixed = F.array_sort(F.map_entries("fix"))
-    return fixes.pivot(lint_findings(spark, sf_dir)).select("id", F.array_join(F.transform(fixed, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("fix"))
+    return fixes.pivot(_findings(spark, sf_dir)).select("id", F.array_join(F.transform(fixed, lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ").alias("fix"))
 
 
 def page_values(spark, sf_dir):
@@ -231,12 +256,50 @@ def verification_status(spark, sf_dir):
 
 
 def fatal_findings(spark, sf_dir):
-    return lint.fatal(entries(spark, sf_dir))
+    return lint.fatal(entries(spark, sf_dir)).drop("pos")
+
+
+def script_names(spark, sf_dir):
+    """Names of other scripts in Latin letters, and their keys."""
+    return _forms(spark, sf_dir, _SCRIPTS).select("pos", t.decode(F.col("form")).alias("name"), names.citation_key(F.col("form"), F.lit("1999")).alias("key"))
+
+
+def latex_accents(spark, sf_dir):
+    return _forms(spark, sf_dir, _ACCENTS).select("pos", t.remove_accents_and_hyphens(F.col("form")).alias("plain"))
+
+
+def venue_aliases(spark, sf_dir):
+    return _forms(spark, sf_dir, _ALIASED).select("pos", names.venue_text(F.col("form"), _ALIASES, Settings().caps).alias("venue"))
+
+
+def special_pages(spark, sf_dir):
+    p = _forms(spark, sf_dir, _PAGES).select("pos", pages.page(F.col("form")).alias("p"))
+    return p.select("pos", "p.kind", "p.prefix", F.col("p.num").cast("string").alias("num"))
+
+
+#: Fields of an entry and of its catalogue row.
+_PAIRED = {
+    "volume": f"CAST({_K} % 3 AS VARCHAR(8))", "c_volume": f"CASE WHEN {_K} % 4 <> 0 THEN CAST({_K} % 2 AS VARCHAR(8)) END", "number": f"CASE WHEN {_K} % 5 <> 0 THEN CAST({_K} % 4 AS VARCHAR(8)) END", "c_issue": f"CAST({_K} % 3 AS VARCHAR(8))",
+    "pages": _pick(_K, ["'1--9'", "'1-9'", "'https://doi.org/10.1/x'", "'19'", "NULL"]), "c_pages": _pick(f"{_K} * 3", ["'1-9'", "'1−9'", "'2-9'", "''"]), "year": f"CAST(2000 + {_K} % 3 AS VARCHAR(8))", "c_year": f"CAST(2000 + {_K} % 2 AS VARCHAR(8))",
+}
+
+
+def field_notes(spark, sf_dir):
+    """Discrepancies and corrections of fields side by side."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("pos"), *(F.expr(x).alias(c) for c, x in _PAIRED.items()))
+    return verify.discrepancies(part).select("pos", F.array_join("discrepancies", ";").alias("notes"), F.to_json("corrections").alias("corrections"))
+
+
+def fixed_entries(spark, sf_dir):
+    """Entries with their fixes applied."""
+    e = entries(spark, sf_dir).withColumn("ID", F.concat("ID", F.lit("-"), "pos")).withColumn("extra", F.create_map(F.lit("note"), F.lit("x")))
+    fixed = fixes.apply(fixes.prune(e), fixes.pivot(_findings(spark, sf_dir)))
+    return fixed.select("pos", "ID", "pages", "title", "journal", "publisher", "author", "editor", "address", F.coalesce(F.size("extra"), F.lit(0)).alias("n_extra"))
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     lint_findings, lint_fixes, page_values, page_targets, citation_keys, surname_lists, key_suffixes, suffix_repair, duplicate_keys, duplicate_entries, title_normalised, title_sentence_case, word_parts, field_values,
-    version_diff, diff_summary, bibtex_output, near_titles, title_search, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings,
+    version_diff, diff_summary, bibtex_output, near_titles, title_search, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings, script_names, latex_accents, venue_aliases, special_pages, field_notes, fixed_entries,
 )
 
 
@@ -337,7 +400,22 @@ s AS (SELECT 'K' || k AS id, *, CASE WHEN force = 'True' THEN 'skipped' WHEN ck
  CASE WHEN abs(y - cy) = 1 THEN 'year: ' || y || ' / ' || cy END], lambda x: x IS NOT NULL) AS notes FROM g),
 z AS (SELECT id, coalesce(early, CASE WHEN len(notes) > 0 THEN 'warning' ELSE 'verified' END) AS status, CASE WHEN early IS NULL OR early = 'error' THEN array_to_string(notes, ';') END AS discrepancies,
  CASE WHEN early IS NULL OR early = 'error' THEN CASE WHEN volume <> cv THEN '{{"volume":"' || cv || '"}}' ELSE '{{}}' END END AS corrections FROM s)"""
+    form = lambda cases, *places: "SELECT p_partkey AS pos, " + ", ".join(f"{_pick(_K, [_text(c[i]) for c in cases])}{more} AS {name}" for i, name, more in places) + " FROM part"
+    fixed = ("pages", "title", "journal", "publisher", "author", "editor", "address")
     return {
+        "script_names": form(_SCRIPTS, (1, "name", ""), (2, "key", " || '99'")),
+        "latex_accents": form(_ACCENTS, (1, "plain", "")),
+        "special_pages": form(_PAGES, (1, "kind", ""), (2, "prefix", ""), (3, "num", "")),
+        "field_notes": f"""WITH p AS (SELECT p_partkey AS pos, {', '.join(f'{x} AS {c}' for c, x in _PAIRED.items())} FROM part),
+q AS (SELECT *, replace(replace(coalesce(pages, ''), '--', '-'), '−', '-') AS a, replace(replace(c_pages, '--', '-'), '−', '-') AS b, contains(coalesce(pages, ''), 'doi.org') AND c_pages <> '' AS url FROM p),
+r AS (SELECT *, CASE WHEN volume <> c_volume THEN 'volume: ' || volume || ' / ' || c_volume END AS v, CASE WHEN number <> c_issue THEN 'number: ' || number || ' / ' || c_issue END AS n FROM q)
+SELECT pos, array_to_string(list_filter([v, n, CASE WHEN url OR (a <> '' AND b <> '' AND replace(a, '-', '') <> replace(b, '-', '')) THEN 'pages: ' || pages || ' / ' || c_pages END,
+ CASE WHEN abs(CAST(year AS INTEGER) - CAST(c_year AS INTEGER)) = 1 THEN 'year: ' || year || ' / ' || c_year END], lambda x: x IS NOT NULL), ';') AS notes,
+ '{{' || array_to_string(list_filter([CASE WHEN v IS NOT NULL THEN '"volume":"' || c_volume || '"' END, CASE WHEN n IS NOT NULL THEN '"number":"' || c_issue || '"' END, CASE WHEN url THEN '"pages":"' || c_pages || '"' END], lambda x: x IS NOT NULL), ',') || '}}' AS corrections FROM r""",
+        "venue_aliases": form(_ALIASED, (1, "venue", "")),
+        "fixed_entries": f"""{linted}, fx AS (SELECT id, field, arg_max(target, check_order) AS t FROM lf WHERE target IS NOT NULL GROUP BY id, field)
+SELECT x.pos, coalesce(i.t, x.id) AS ID, {', '.join(f'coalesce({f[:3]}_.t, x.{f}) AS {f}' for f in fixed)}, CAST(CASE WHEN x.force IS NULL THEN 0 ELSE 1 END AS INTEGER) AS n_extra
+FROM x LEFT JOIN fx i ON i.id = x.id AND i.field = 'ID' AND x.force IS NULL {' '.join(f"LEFT JOIN fx {f[:3]}_ ON {f[:3]}_.id = x.id AND {f[:3]}_.field = '{f}' AND x.force IS NULL" for f in fixed)}""",
         "page_values": f"{e}, p AS (SELECT pos, coalesce(pages, '') AS c FROM e) SELECT pos, {_kind('c')} <> 'invalid' AS valid, {_kind('c')} AS kind, {_prefix('c')} AS prefix, coalesce(CAST({_number('c')} AS BIGINT), -1) AS num FROM p",
         "page_targets": f"{e}, f AS (SELECT pos, coalesce(pages, '') AS c0 FROM e), p AS {_pages('f', 'c0', 'pos')}, q AS {_pages('p', 'target', 'pos')} SELECT p.pos, p.ok, p.target, NOT q.ok AS unfixable FROM p JOIN q ON p.pos = q.pos",
         "citation_keys": f"{e} SELECT pos, base AS key FROM e",

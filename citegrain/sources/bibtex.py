@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrain.functions.words import ADDRESSES, CAPS, FIELDS, Settings
-from citegrain.sources.tables import stored
+from citegrain.sources.tables import publish, stored
 
 _TYPES = frozenset("article book booklet conference inbook incollection inproceedings manual mastersthesis misc phdthesis proceedings techreport unpublished".split())
 #: Other spellings of fields.
@@ -275,17 +274,7 @@ def bibtex_text(order: tuple[str, ...] = FIELDS, indent: str = "\t"):
 def write_bibtex(entries: DataFrame, path: str) -> None:
     """Entries in order of `pos` (repeated ones in any order); part files in the order of their names make one BibTeX file. The folder `path` appears when all of it is written, or
     never: a job that fails, or tasks that are lost or run twice, leave nothing there. An existing one is not touched."""
-    spark = entries.sparkSession
-    place, draft = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}"))
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if files.exists(place):
-        raise FileExistsError(path)
-    try:
-        entries.orderBy("pos").select(bibtex_text().alias("value")).write.text(draft.toString())
-        if not files.rename(draft, place):
-            raise FileExistsError(path)
-    finally:
-        files.delete(draft, True)
+    publish(entries.sparkSession, path, lambda draft: entries.orderBy("pos").select(bibtex_text().alias("value")).write.text(draft))
 
 
 def read_words(spark: SparkSession, path: str) -> list[str]:

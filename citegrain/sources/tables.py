@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,5 +39,20 @@ def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> Dat
     return spark.table(_name(path))
 
 
+def publish(spark: SparkSession, path: str, write: Callable[[str], None], check: Callable[[], None] = lambda: None) -> None:
+    """Lets `write` fill a draft folder, and makes it `path` when it is whole and `check` doesn't raise: readers see all of it or nothing. An existing folder is not touched."""
+    place, draft = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path.rstrip('/')}.{uuid.uuid4().hex}"))
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(place):
+        raise FileExistsError(path)
+    try:
+        write(draft.toString())
+        check()
+        if files.exists(place) or not files.rename(draft, place):
+            raise FileExistsError(path)
+    finally:
+        files.delete(draft, True)
+
+
 def _name(path: str) -> str:
     return "t_" + hashlib.md5(path.encode()).hexdigest()
