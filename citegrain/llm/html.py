@@ -3,7 +3,8 @@
 A page is cut into blocks at block-level tags. Its article is what stands in `article` or `main` elements, if these hold most of the
 page's text; short articles that hold a link are teasers. Pass one decides blocks: those within menus, headers, footers, sidebars,
 notices, adverts, forms or comments (by tag, or by a name in class, id or role), those outside the article and those of mostly links are
-boilerplate; long blocks with many stop words are text. Pass two gives each ambiguous block the label of its nearest decided neighbours in
+boilerplate; a form, or a container whose longer name has such a word in it, only if it doesn't hold most of the page's text (of comments: if it has no article or
+main headline); long blocks with many stop words are text. Pass two gives each ambiguous block the label of its nearest decided neighbours in
 its own container. Where the two sides differ, a block of the article is text, and another one takes the nearer side's label (at
 equal distance: text); without a decided neighbour a block is text.
 """
@@ -46,6 +47,12 @@ _MARKS = frozenset(
 )
 #: Words that a compound name of a container may have beside such a name, as in site-header or comments-area.
 _BESIDE = frozenset("site page top bottom left right main global primary secondary box bar area list block section container wrapper panel unit slot links link items item buttons button group form policy posts area inner outer".split())
+#: Words that tell in any compound name of a container what it holds, those of reader comments first; and words beside them that say it holds something else.
+_COMMENTS = frozenset("comment comments commentlist disqus replies responses discussion discussions".split())
+_STRONG = _COMMENTS | frozenset("sidebar footer ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored promo related recommended share sharing social newsletter cookie cookies breadcrumb breadcrumbs".split())
+_OTHERWISE = frozenset("has with without no show hide open closed enabled disabled".split())
+#: Most of a page's text that a suspected container or form holds.
+SUSPECT = 0.5
 _HEADS = frozenset(("header", "masthead", "banner"))
 _CONTAINERS = frozenset("div section ul ol dl table figure span".split())
 _START = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
@@ -56,20 +63,34 @@ _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in _RAW}
 
 
 def _apart(name: str, attributes: str, article: int = 0) -> bool:
-    """Whether an element isn't of the article: by its tag, a whole name, or a container's compound name of such names only."""
+    """Whether an element isn't of the article: by its tag, a whole name, or a container's compound name of such names only. A paragraph is never judged by its name."""
     if name in _APART:
-        return not (article and name == "header")  # an article's own header holds its headline
-    if name in ("html", "body") or name in _ARTICLE or not attributes:
+        return name != "form" and not (article and name == "header")  # an article's own header holds its headline
+    if name in ("html", "body", "p", "form") or name in _ARTICLE or not attributes:
         return False
     marks = _MARKS - _HEADS if article else _MARKS
-    for value in _NAMED.findall(attributes):
-        for part in value.strip("\"'").split():
-            said = {w.lower() for w in _WORD.findall(part)}
-            if part.lower() in marks or (name in _CONTAINERS and said & marks and said <= _MARKS | _BESIDE):
-                return True
+    for part in _names(attributes):
+        said = {w.lower() for w in _WORD.findall(part)}
+        if part.lower() in marks or (name in _CONTAINERS and said & marks and said <= _MARKS | _BESIDE):
+            return True
     return False
 
 
+def _names(attributes: str) -> list[str]:
+    return [part for value in _NAMED.findall(attributes) for part in value.strip("\"'").split()]
+
+
+def _suspected(name: str, attributes: str) -> str:
+    """What an element is suspected of by a word in its name: "comments", "other" or nothing."""
+    if name == "form":
+        return "other"
+    if name not in _CONTAINERS and name != "li":
+        return ""
+    said = [{w.lower() for w in _WORD.findall(part)} for part in _names(attributes)]
+    said = [x for x in said if x & _STRONG and not x & _OTHERWISE]
+    return "comments" if any(x & _COMMENTS for x in said) else "other" if said else ""
+
+
 def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
     """(begin, end, name, attributes, whether an end tag) of the tags of a page; raw elements whole, with a name of "", comments and declarations with "!".
 
@@ -113,14 +134,15 @@ def tags(page: str) -> Iterator[tuple[int, int, str, str, bool]]:
 def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
     """(text, characters in links, boilerplate by place, number of its article or 0) of each block with text; the numbers that are `main`."""
     found, parts, linked = [], [], 0
-    stack: list[tuple[str, bool, int]] = []  # name, apart, article
+    stack: list[tuple[str, bool, int, tuple[int, ...]]] = []  # name, apart, article, suspected containers around
+    suspects: list[list] = []  # what each is suspected of, whether it has an article or main headline
     articles, at, in_link, mains = 0, 0, 0, set()
 
     def close() -> None:
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            found.append((text, min(linked, len(text)), bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
+            found.append((text, min(linked, len(text)), *(stack[-1][1:] if stack else (False, 0, ()))))
         parts.clear()
         linked = 0
 
@@ -151,16 +173,35 @@ def blocks(page: str) -> tuple[list[tuple[str, int, bool, int]], set[int]]:
         else:
             while stack and name in _CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
-            apart, article = stack[-1][1:] if stack else (False, 0)
+            apart, article, around = stack[-1][1:] if stack else (False, 0, ())
+            if name == "h1" or name in _ARTICLE:
+                for k in around:
+                    suspects[k][1] = True
             if name in _ARTICLE and not apart and (not article or article in mains):
                 articles += 1
                 article = articles
                 mains |= {article} if name == "main" else set()
             if name not in _VOID and not attributes.rstrip().endswith("/"):
-                stack.append((name, apart or _apart(name, attributes, article), article))
+                apart = apart or _apart(name, attributes, article)
+                if not apart and (kind := _suspected(name, attributes)):
+                    around = (*around, len(suspects))
+                    suspects.append([kind, False])
+                stack.append((name, apart, article, around))
     parts.append(page[at:])
     close()
-    return found, mains
+    guilty = _guilty(found, suspects)
+    return [(text, linked, apart or any(k in guilty for k in around), article) for text, linked, apart, article, around in found], mains
+
+
+def _guilty(found: list[tuple[str, int, bool, int, tuple[int, ...]]], suspects: list[list]) -> set[int]:
+    """The suspected containers that are boilerplate."""
+    holds, total = [0] * len(suspects), 0
+    for text, linked, apart, _, around in found:
+        if not apart:
+            total += len(text) - linked
+            for k in around:
+                holds[k] += len(text) - linked
+    return {k for k, (kind, heads) in enumerate(suspects) if (not heads if kind == "comments" else holds[k] <= SUSPECT * total)}
 
 
 def _stop_density(text: str) -> float:

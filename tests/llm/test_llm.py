@@ -188,6 +188,35 @@ def test_main_text(page, want):
     assert html.main_text(page) == want
 
 
+BODY = "<h1>Rain over the hills</h1>" + "".join(f"<p>It was the {w} day of the year and the rain fell on all of the hills by the river, as it had done before.</p>" for w in "first second third fourth".split())
+SAID = "<p>This is what one of the readers of the page had to say about it, and it is not of the article.</p>"
+
+
+@pytest.mark.parametrize("whole", ["<article>{}</article>", "<div class='content'>{}</div>", "<form id='aspnetForm'><div>{}</div></form>", "<div class='content-sidebar-wrap has-sidebar'>{}</div>", "<div class='social-science'>{}</div>"])
+@pytest.mark.parametrize(
+    "name",
+    """post-comments reader-comments user-comments entry-comments comment-thread discussion responses commentlist blog-sidebar article-footer related-articles related-stories share-tools
+    advert-300x250 adsbygoogle comments sidebar footer postComments ad-slot""".split(),
+)
+def test_containers_are_told_by_a_word_in_their_name(whole, name):
+    text = "\n".join(html.main_text(BODY).split("\n"))
+    assert text.count("\n") == 4 and html.main_text("<body>" + whole.format(BODY + f"<div class='{name}'>{SAID}</div>") + "</body>") == text
+
+
+def test_long_comments_are_no_article():
+    assert html.main_text(f"<body><div class='post'>{BODY}</div><div id='reader-comments'>{SAID * 30}</div></body>") == html.main_text(BODY)
+
+
+def test_names_of_paragraphs_and_of_what_is_absent_do_not_count():
+    page = f"<body><article>{BODY}<p class='reply'>{SAID[3:-4]}</p><p class='side'>{SAID[3:-4]}</p></article></body>"
+    assert html.main_text(page).count("\n") == 6
+    assert html.main_text(f"<body><div class='no-sidebar comments-closed'>{BODY}</div></body>") == html.main_text(BODY)
+
+
+def test_a_small_form_is_no_text():
+    assert html.main_text(f"<body><div>{BODY}<form><p>Write to us of all that you have to say on this, and we will be in touch with you.</p></form></div></body>") == html.main_text(BODY)
+
+
 @pytest.mark.parametrize("unit", ['<a "', "<a b='>' ", "<a b=\"x", "<p>x", "<div><", "<!", "&amp", "</p", "<script>x", "<b class=ad>"])
 def test_faulty_pages_are_read_once(unit):
     import time
