@@ -16,6 +16,7 @@ from citegrain.functions.words import Settings
 from citegrain.operators import diff, fixes, keys, lint, verify
 from citegrain.operators.catalogue import Catalogue
 from citegrain.sources import bibtex
+from citegrain.sources.tables import new_path
 
 _K = "p_partkey"
 
@@ -213,6 +214,17 @@ def _titles(spark, sf_dir) -> tuple[DataFrame, Catalogue]:
     return e.where("title IS NOT NULL").select(t.normalise(F.col("title")).alias("title")).distinct(), Catalogue.of(catalogue(e))
 
 
+#: Fields of the bibliography that a BibTeX file keeps.
+_KEPT = ("ENTRYTYPE", "ID", "author", "year", "title", "journal", "pages", "volume", "force", "publisher", "editor", "address")
+
+
+def bibtex_round_trip(spark, sf_dir):
+    """All entries written as a BibTeX file and read back."""
+    e, path = entries(spark, sf_dir), new_path(spark, "bibtex")
+    bibtex.write_bibtex(e.select("*", *(F.lit(None).cast("string").alias(f) for f in bibtex.FILLED if f not in e.columns)), path)
+    return bibtex.read_bibtex(spark, path).select(*_KEPT)
+
+
 def near_titles(spark, sf_dir):
     """Pairs of titles that are alike by their letters."""
     ours, theirs = _titles(spark, sf_dir)
@@ -299,7 +311,7 @@ def fixed_entries(spark, sf_dir):
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     lint_findings, lint_fixes, page_values, page_targets, citation_keys, surname_lists, key_suffixes, suffix_repair, duplicate_keys, duplicate_entries, title_normalised, title_sentence_case, word_parts, field_values,
-    version_diff, diff_summary, bibtex_output, near_titles, title_search, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings, script_names, latex_accents, venue_aliases, special_pages, field_notes, fixed_entries,
+    version_diff, diff_summary, bibtex_output, bibtex_round_trip, near_titles, title_search, title_candidates, doi_matches, verification, entry_status, verification_status, fatal_findings, script_names, latex_accents, venue_aliases, special_pages, field_notes, fixed_entries,
 )
 
 
@@ -444,6 +456,7 @@ n AS (SELECT coalesce(title, '') AS title, surnames, count(*) OVER (PARTITION BY
         "version_diff": f"{changes} SELECT * FROM c",
         "diff_summary": f"{changes} SELECT change, count(*) AS n FROM (SELECT DISTINCT id, CASE WHEN change IN ('removed', 'added') THEN change ELSE 'modified' END AS change FROM c) GROUP BY change",
         "bibtex_output": f"{e} SELECT pos, '@' || ENTRYTYPE || '{{' || concat_ws(',' || chr(10), ID, " + ", ".join(f"chr(9) || '{f.capitalize()} = {{' || {f} || '}}'" for f in ("author", "journal", "pages", "title", "year")) + ") || '}' || chr(10) AS entry FROM e",
+        "bibtex_round_trip": f"{e} SELECT {', '.join(_KEPT)} FROM e",
         "near_titles": f"{named} SELECT title, c_title FROM near",
         "title_search": f"{named} SELECT title, c_title, CAST(floor(relevance * 1000000 + 0.5) AS BIGINT) AS relevance FROM top",
         "title_candidates": f"{named} SELECT title, c_title FROM near UNION SELECT title, c_title FROM top WHERE title <> c_title",
