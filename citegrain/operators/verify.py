@@ -113,7 +113,7 @@ def verify(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     fields = ("title", "author", "journal", "year", "volume", "number", "pages")
     e = stored(entries.select(F.monotonically_increasing_id().alias("row"), pos.alias("pos"), "ID", "force", *fields, doi(F.col("doi")).alias("e_doi")), "entries")
     skipped = F.col("force").eqNullSafe(F.lit("True"))
-    found = by_doi(e.where(~skipped), kept)
+    found = stored(by_doi(e.where(~skipped), kept), "found")  # the catalogue's DOIs are read once
     missed = found.where("c_pos IS NULL").select(e.columns)
     titled = stored(by_title(missed, kept).select(found.columns), "titled")
     matched = discrepancies(gates(found.where("c_pos IS NOT NULL").unionByName(titled)))

@@ -162,3 +162,13 @@ def test_lookups_do_not_move_the_catalogue(spark, kept):
 def test_null_dois_are_not_joined(spark, kept):
     rows = verify.by_doi(spark.createDataFrame([(1, None), (2, "10.1/1"), (3, "10.1/2")], "k long, e_doi string"), kept[1]).collect()
     assert sorted((r["k"], r["c_pos"]) for r in rows if r["c_pos"] is not None) == [(2, 1)] and len(rows) == 3
+
+
+def test_report_and_the_first_entries(spark, kept):
+    from citegrain.plans import bibliography
+
+    rows = [(9 - i, "K", None, None, "B Lee", "NeuroImage", "2000", str(i % 2), None, None, f"10.1/{2 * i + 1}") for i in range(6)]
+    entries = spark.createDataFrame([(*r[:3], f"Work number {'abcdefghij'[(2 * k + 1) % 10] * 6} and {2 * k + 1}", *r[4:]) for k, r in enumerate(rows)], f"pos long, {ENTRY}")
+    done = bibliography.verification(entries, kept[1])
+    assert [r["pos"] for r in bibliography.report(done).collect()] == [5, 7, 9] and [r["pos"] for r in bibliography.report(done, 2).collect()] == [5, 7]
+    assert sorted(r["pos"] for r in bibliography.verification(entries, kept[1], most=2).collect()) == [4, 5]
