@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,14 @@ def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame |
     return left.join(right, [key, "_part"]).drop("_part")
 
 
+def give_back() -> None:
+    """Hands the memory that a worker has freed back to the system. Workers live on after their tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # there with glibc
+    if trim:
+        trim(0)
+
+
 def chunks(texts: Iterable[str | None], limit: int = CHUNK_CHARS) -> Iterator[list[str]]:
     """Runs of texts (null: empty) of about `limit` characters; a longer text is a run of its own."""
     run: list[str] = []

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from citegrain.llm.common import batch_rows, spread_join, stored
+from citegrain.llm.common import batch_rows, give_back, spread_join, stored
 from citegrain.llm.simhash import components
 
 BITS = 256
@@ -99,6 +99,7 @@ def sketches(text: Column, shingle: int = 5) -> Column:
             words = shingle_words(x)
             hashes = shingle_set(words, shingle)
             rows.append((digest(words), fingerprint(hashes), len(hashes), keys(hashes)))
+        give_back()
         return pd.DataFrame(rows, columns=["node", "fp", "n", "keys"])
 
     return run(text)
@@ -239,6 +240,9 @@ def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool
         compare()
         if ready:
             yield pd.DataFrame(ready, columns=["a", "b"])
+        held.clear()
+        ready.clear()
+        give_back()
 
     return met.repartition(*place).sortWithinPartitions(*place).mapInPandas(run, "a binary, b binary").distinct()
 
@@ -253,7 +257,9 @@ def shingle_sets(need: DataFrame, docs: DataFrame, text: str, key: str, shingle:
 
     @F.pandas_udf(ArrayType(LongType()))
     def set_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingle_set(shingle_words(x), shingle).view(np.int64) for x in texts])
+        sets = pd.Series([shingle_set(shingle_words(x), shingle).view(np.int64) for x in texts])
+        give_back()
+        return sets
 
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).withColumn("node", node_of("t"))
     one = need.select(F.col("node").alias("n"), "least")
