@@ -114,6 +114,12 @@ def crc_fold(key: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def row_chance(seed: int, *columns: str) -> Column:
+    """A number from 0 to 1 for each row, by a hash of `columns` and of the row's place: rows alike in all columns, however many, are drawn each on
+    its own. Alike again where the table's files are dealt to tasks alike."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns, F.monotonically_increasing_id()), 11) / F.lit(float(1 << 53))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Removes a table of the shared folder that nothing reads any more."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

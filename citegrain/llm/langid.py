@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrain.llm.common import chunks
+from citegrain.llm.common import chunks, row_chance
 
 SIZES = (3, 4)
 HASHES = 3
@@ -102,13 +102,14 @@ def build(counts: pd.DataFrame) -> Model:
 
 
 def train(docs: DataFrame, *, training: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
-    """Filters from about `max_rows` documents of each language, chosen by a hash of their keys among the rows where `training`
+    """Filters from about `max_rows` documents of each language, each drawn on its own (also among rows of one key) where `training`
     holds; null languages and texts teach nothing, repeated rows as often; an empty table gives a model that says `und`. Only the named
     columns are read, so others can't clash. The driver gets the n-grams of SHARE and more, at most 1 / SHARE a size."""
-    df = docs.select(F.col(key).alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"), training.alias("use")).where("use AND lang IS NOT NULL")
+    df = docs.select(F.col(key).alias("k"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("t"), training.alias("use"))
+    df = df.withColumn("chance", row_chance(5, "k", "t")).where("use AND lang IS NOT NULL")
     sizes = df.groupBy("lang").count().withColumnRenamed("count", "docs")
     some = df.join(F.broadcast(sizes), "lang") if sizes.count() <= 10_000 else df.join(sizes, "lang")
-    some = some.where(F.pmod(F.xxhash64(F.lit(5), F.col("k")), F.lit(1_000_000)) * F.col("docs") < F.lit(1e6 * max_rows))
+    some = some.where(F.col("chance") * F.col("docs") < F.lit(float(max_rows)))
 
     def run(batches):
         for pdf in batches:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from citegrain.llm.common import row_chance
+
 #: Rows of each sample, about: positives and unlabelled. The driver holds their measures only.
 MAX_ROWS = 20_000
 STEPS, RATE, DECAY = 600, 0.05, 3e-5
@@ -128,11 +130,10 @@ def _measured(texts: pd.Series) -> pd.Series:
     return pd.Series([measures(x) for x in texts])
 
 
-def _some(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
-    """About `rows` rows, chosen by a hash of their keys."""
+def _some(df: DataFrame, rows: int, seed: int) -> DataFrame:
+    """About `rows` rows, each drawn on its own: a key that fills the table doesn't come in or stay out as a whole."""
     n = df.count()
-    share = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1e6
-    return df.where(share < rows / n) if n > rows else df
+    return df.where(row_chance(seed, *df.columns) < rows / n) if n > rows else df
 
 
 def train(docs: DataFrame, labels: DataFrame, *, training: Column, label: str = "quality", text: str = "text", key: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
@@ -140,11 +141,12 @@ def train(docs: DataFrame, labels: DataFrame, *, training: Column, label: str =
     negative. Labels without a document, null labels and null keys teach nothing; repeated rows teach as often; empty tables give a
     model that scores every text alike. Only the named columns are read, so others can't clash."""
     known = labels.where(training & F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
-    chosen = _some(known.where("label = 1"), key, max_rows, 11).select(key)  # bounded by max_rows
+    good = known.where("label = 1").select(key)
+    chosen = good.where(F.shiftrightunsigned(F.xxhash64(F.lit(11), key), 11) < F.lit(int((1 << 53) * min(1, max_rows / max(1, good.count())))))  # bounded by max_rows
     texts = docs.select(key, F.col(f"`{text}`").alias("t")).where(training)
     get = lambda df: np.array([r[0] for r in df.select(_measured("t")).collect()], float).reshape(-1, len(measures("")))
-    positive = get(texts.join(F.broadcast(chosen), key))
-    unlabelled = get(_some(texts, key, max_rows, 12))
+    positive = get(_some(texts.join(F.broadcast(chosen), key), max_rows, 13))  # repeated keys have more rows
+    unlabelled = get(_some(texts, max_rows, 12))
     unlabelled = unlabelled if len(unlabelled) else np.zeros((1, len(measures(""))))
     return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 

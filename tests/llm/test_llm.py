@@ -1,6 +1,8 @@
 """The training-data operators against brute force, round trips and planted cases."""
 
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -159,6 +161,48 @@ def test_language(spark):
     assert empty.predict(["a", ""])[0] == ["und", "und"]
 
 
+def test_languages_of_one_key_are_all_learned(spark):
+    """Rows are drawn each on its own: with one key (or null) for all, copies included, each language has about `max_rows` of them."""
+    rows = [(None if i % 2 else 7, sentence(i % 50), "en", "x", 1) for i in range(2000)] + [(7, "le chat noir dort dans la maison", "fr", "y", 2)] * 2000 + [(7, "der hund " * 20_000, "de", "z", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, chance string, docs int").repartition(4)
+    model = langid.train(df, training=F.lit(True), max_rows=40)
+    got = df.select("lang", langid.predict(F.col("text"), model).alias("p")).select("lang", "p.lang", "p.score").distinct().toDF("lang", "pred", "score").toPandas()
+    assert model.languages == ["de", "en", "fr"] and (got["lang"] == got["pred"]).all() and (got["score"] > 0.5).all()
+
+
+def brute_languages(texts: list[str], train: list[tuple[str, str]], least: float) -> list[dict[str, float]]:
+    """Of each text the share of its n-grams that each language's set holds, by plain sets."""
+    count: dict = {}
+
+    def each(text: str, n: int) -> list[bytes]:
+        raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {text.lower()} ".encode("utf-8", "replace"))
+        return [raw[i : i + n] for i in range(len(raw) - n + 1)]
+
+    for lang, text in train:
+        for n in (3, 4):
+            count.setdefault((lang, n), Counter()).update(each(text, n))
+    held = {key: {g for g, n in c.items() if n >= least * c.total()} for key, c in count.items()}
+    out = []
+    for text in texts:
+        grams = [(n, g) for n in (3, 4) for g in each(text, n)]
+        out.append({lang: sum(g in held[lang, n] for n, g in grams) / max(1, len(grams)) for lang, _ in held})
+    return out
+
+
+def test_languages_are_those_of_plain_sets(spark):
+    """Filters against sets on the given documents: shares differ by the filters' doubt only; n-grams below SHARE decide no text."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    use = df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2).where("lang IS NOT NULL AND text IS NOT NULL")
+    model = langid.train(df, training=F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2, max_rows=10**9)
+    texts = [r[0] for r in df.where("text RLIKE '[A-Za-z]'").select("text").collect()]
+    pred, score = model.predict(texts)
+    train = [(r["lang"], r["text"]) for r in use.select("lang", "text").collect()]
+    exact, whole = (brute_languages(texts, train, least) for least in (langid.SHARE, 0))
+    for lang, s, e, w in zip(pred, score, exact, whole):
+        assert abs(s - e[lang]) < 0.02 and e[lang] > max(e.values()) - 0.02
+        assert w[lang] == max(w.values())
+
+
 def test_filters_return_every_language_that_holds_an_n_gram():
     held = pd.DataFrame({"lang": ["a", "b", "b", "a", "b"], "size": [3, 3, 3, 0, 0], "gram": [7, 7, 9, 0, 0], "n": [1, 1, 1, 5, 9]})
     model = langid.build(held)
@@ -382,6 +426,26 @@ def test_quality(spark):
     assert quality.train(df.limit(0), labels, training=F.lit(True)).score(np.zeros((1, len(quality.measures(""))))).shape == (1,)
 
 
+@pytest.mark.parametrize("hot", [3, None])
+def test_quality_draws_rows_not_keys(spark, monkeypatch, hot):
+    """A key (or null) with nearly all rows, copies and a long text among them, gives bounded samples; names that clash don't matter."""
+    rows = [(hot, sentence(i % 7), "a", 1) for i in range(3000)] + [(i, sentence(i), "b", 2) for i in range(10, 40)] + [(hot, "WIN!! " * 40_000, "c", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string, quality int").repartition(4)
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(None, 1)], "doc_id long, quality int")
+    seen, fit = [], quality.fit
+
+    def watched(positive, unlabelled, prior, **more):
+        seen.append((len(positive), len(unlabelled)))
+        return fit(positive, unlabelled, prior, **more)
+
+    monkeypatch.setattr(quality, "fit", watched)
+    model = quality.train(df, labels, training=F.lit(True), max_rows=200)
+    positive, unlabelled = seen[-1]
+    assert 120 < unlabelled < 300 and positive == 30 if hot is None else 120 < positive < 300 and 120 < unlabelled < 300
+    got = df.select("text", quality.score(F.col("text"), model).alias("s")).distinct().toPandas()
+    assert got["text"].is_unique and got["s"].between(0, 1).all()
+
+
 @pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
 def test_prior_is_estimated_from_positives_and_unlabelled(share):
     rng = np.random.default_rng(3)
@@ -391,6 +455,39 @@ def test_prior_is_estimated_from_positives_and_unlabelled(share):
 
 
 def test_non_negative_risk_is_the_least_there_is():
+    """The fitted risk against that of Newton's method, where the risk's bracket is positive and the risk convex."""
+    rng = np.random.default_rng(6)
+    p, u, prior = rng.normal(0, 1, (2000, 3)), np.concatenate([rng.normal(0, 1, (2000, 3)), rng.normal(1, 1, (2000, 3))]), 0.5
+    model = quality.fit(p, u, prior, steps=3000)
+
+    def rows(x: np.ndarray) -> np.ndarray:
+        one = np.zeros((len(x), len(model.weights)))
+        np.put_along_axis(one, model.bins(x), 1, axis=1)
+        one[:, -4:-1], one[:, -1] = model.standard(x), 1
+        return one
+
+    xp, xu = rows(p), rows(u)
+
+    def bracket(w: np.ndarray) -> float:
+        return np.logaddexp(0, xu @ w).mean() - prior * np.logaddexp(0, xp @ w).mean()
+
+    def risk(w: np.ndarray) -> float:
+        return prior * np.logaddexp(0, -xp @ w).mean() + max(0, bracket(w)) + quality.DECAY / 2 * (w * w).sum()
+
+    w = np.zeros(len(model.weights))
+    for _ in range(100):
+        s = 1 / (1 + np.exp(-(xu @ w)))
+        g = xu.T @ s / len(xu) - prior * xp.mean(axis=0) + quality.DECAY * w
+        step = np.linalg.solve((xu * (s * (1 - s))[:, None]).T @ xu / len(xu) + quality.DECAY * np.eye(len(w)), g)
+        size = 1.0
+        while risk(w - size * step) > risk(w) and size > 1e-6:
+            size /= 2
+        w = w - size * step
+    assert bracket(w) > 0.01 and abs(g).max() < 1e-6
+    assert risk(w) - 1e-9 <= risk(model.weights) < risk(w) + 1e-3
+
+
+def test_quality_is_told_from_positives_alone():
     """The fitted scores against the labels that fitting never saw."""
     rng = np.random.default_rng(4)
     x, y = rng.normal(0, 1, (3000, 3)), np.ones(3000, int)
