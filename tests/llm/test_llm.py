@@ -386,7 +386,7 @@ def test_trie_finds_what_was_counted(tmp_path, symbols):
     from citegrain.llm import trie
 
     rng = np.random.default_rng(symbols)
-    w = np.sort(rng.choice(1 << 48, symbols, replace=False)).astype(np.uint64)
+    w = np.sort(rng.choice(1 << 62, symbols, replace=False)).astype(np.uint64)
     a, b, c = rng.zipf(1.2, (3, 30_000)) % symbols
     b[:70_000] = np.where(rng.random(len(b)) < 0.5, 3, b)
     gram, n = np.unique((a * symbols + b) * symbols + c, return_counts=True)
