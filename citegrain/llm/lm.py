@@ -4,7 +4,7 @@ Witten-Bell smoothing, from trigrams to pairs to words to one share for each kno
 chunks. Each chunk sends its distinct trigrams, with their training counts, to ranges of first words; a range builds its trie
 (trie.py) of what all chunks counted, maps it into memory and answers every chunk by look-ups; chunks then put the shares together.
 Ranges grow in number with the corpus, not in size. A word of more than half a range's trigrams is split by the word after it into
-several ranges, and only its totals are added up and sent to all. Words are told apart by 62-bit hashes (a pair in ten corpora of a billion distinct words collides).
+several ranges, and only its totals are added up and sent to all. Words are told apart by 56-bit hashes (seven pairs of a billion distinct words collide).
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ CHUNK = 1 << 23
 FREQUENT, SHARE = (1 << 16) - 1, 1e-6
 #: Words that are split into ranges, at most; the next ones of a corpus so large fill a range somewhat over its span.
 SPLIT = 1_000_000
-_RARE = np.uint64(1 << 62)
+_RARE = np.uint64(1 << 56)
 _GATHERED = "chunk long, doc_ids array<long>, n long, train_n long, word binary, code binary, size binary"
 _MAIL = "kind int, chunk long, bucket long, x array<binary>"
 _SCORED = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -82,7 +82,7 @@ def gather(docs: DataFrame) -> DataFrame:
                 code, word = np.zeros(0, int), []
                 if size.sum():
                     code, word = pd.factorize(np.array([x for y in w for x in y], object))
-                hashes = np.array([xxhash.xxh64_intdigest(x) >> 2 for x in word], np.uint64)
+                hashes = np.array([xxhash.xxh64_intdigest(x) >> 8 for x in word], np.uint64)
                 order = np.argsort(-np.bincount(code, minlength=len(word)), kind="stable")
                 place = np.empty(len(word), int)
                 place[order] = np.arange(len(word))
