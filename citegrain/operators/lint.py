@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from citegrain.functions import names, pages
 from citegrain.functions.text import same_key, text
 from citegrain.functions.words import Settings
 from citegrain.operators import keys
+from citegrain.sources.tables import spread
 
 
 def finding(check: str, order: int, field: str, actual: Column, target: Column, differs: Column | None = None, severity: str = "fix", force: bool = True) -> Column:
@@ -24,23 +27,33 @@ def mismatches(df: DataFrame, *checks: Column) -> DataFrame:
     return df.select("pos", F.col("ID").alias("id"), F.explode(F.array_compact(F.array(*checks))).alias("f")).select("pos", "id", "f.*")
 
 
-_VENUES, _PEOPLE = ("journal", "booktitle", "publisher", "address"), ("author", "editor")
+_VENUES = ("journal", "booktitle", "publisher", "address")
+
+
+def once(df: DataFrame, source: DataFrame, field: str, **rules: Callable[[Column], Column]) -> DataFrame:
+    """`df` with a column for each rule of a field, worked out once for each distinct value that `source` has, over all cores. A missing value reads as empty."""
+    value = F.col("_of")
+    each = spread(source.select(text(F.col(field)).alias("_of")).distinct()).select("_of", *(rule(value).alias(name) for name, rule in rules.items()))
+    return df.join(each, text(F.col(field)) == value, "left").drop("_of")
 
 
 def targets(entries: DataFrame, settings: Settings) -> DataFrame:
     """`entries` with what each checked field but the key should read."""
     s = settings
     lists = dict(zip(_VENUES, ((s.journals, s.caps), (s.journals, s.caps), (s.publishers, s.caps), (s.places, s.addresses))))
-    df = entries.select(
-        "*", pages.correct_pages(F.col("pages")).alias("t_pages"), names.title_text(F.col("title"), settings).alias("t_title"), names.venue_texts(*((F.col(f), *x) for f, x in lists.items())).alias("t_venues"),
-        names.author_texts(*map(F.col, _PEOPLE)).alias("t_people"), F.array_join(names.nameless(F.col("author")), " and ").alias("bad_author"),
-    )
-    return df.select("*", *(F.col(a)[i].alias(f"t_{f}") for a, of in (("t_venues", _VENUES), ("t_people", _PEOPLE)) for i, f in enumerate(of)))
+    df = once(spread(entries), entries, "pages", t_pages=pages.correct_pages)
+    df = once(df, entries, "title", t_title=lambda c: names.title_text(c, settings))
+    df = once(df, entries, "author", t_author=names.author_text, bad_author=lambda c: F.array_join(names.nameless(c), " and "))
+    df = once(df, entries, "editor", t_editor=names.author_text)
+    for field, known in lists.items():
+        df = once(df, entries, field, **{f"t_{field}": lambda c, known=known: names.venue_text(c, *known)})
+    return df
 
 
 def key_targets(entries: DataFrame) -> DataFrame:
     """(pos, ID, force, base, target): the key that each entry's authors and year make, and that key with the right suffix."""
-    return keys.repair(entries.select("pos", "ID", "force", names.citation_key(F.col("author"), F.col("year")).alias("base")))
+    parted = once(spread(entries.select("pos", "ID", "force", "author", "year")), entries, "author", parts=names.key_parts)
+    return keys.repair(parted.select("pos", "ID", "force", names.joined_key(F.col("parts"), F.col("year")).alias("base")))
 
 
 def findings(entries: DataFrame, settings: Settings | None = None) -> DataFrame:

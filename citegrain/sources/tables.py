@@ -26,6 +26,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores, in even parts: Spark cuts by bytes, so that a few megabytes of rows that take long to work on would be one task's."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
     """`df` as a table at `path`, bucketed and sorted by `key`. Every bucket is one task's file."""
     (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_name(path)))

@@ -3,6 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from citegrain.functions import names as names_of
+from citegrain.functions import pages as pages_of
+from citegrain.functions.words import Settings
 from citegrain.operators import diff, fixes, keys, lint, verify
 from citegrain.plans import bibliography
 from citegrain.sources import bibtex
@@ -219,3 +222,17 @@ def test_queries_match_their_sql(spark, tmp_path):
         got, want = queries.queries()[name](spark, str(tmp_path)), con.sql(sql[name])
         rows = lambda data, cols: sorted(tuple(str(x) for x in r) for r in ([tuple(v[cols.index(c)] for c in sorted(cols)) for v in data]))
         assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns), name
+
+
+def test_lint_targets_are_worked_out_once_for_each_value_and_rows_spread(spark):
+    """A small file is one task's, whatever its rows cost: each checked value is worked out once, and both values and rows go over all cores."""
+    names = ("pos", "ID", "force", "author", "editor", "year", "title", "pages", "journal", "booktitle", "publisher", "address")
+    rows = [(i, f"K{i}", None, ("M J Kahana", None)[i % 2], None, "2001", ("The EEG", "A study", None)[i % 3], ("1-9", None)[i % 2], "plos-one", None, "MIT press", None) for i in range(60)]
+    df = spark.createDataFrame(rows, "pos long, " + ", ".join(f"{n} string" for n in names[1:])).coalesce(1)
+    found = lint.targets(df, Settings())
+    got = {r["pos"]: (r["t_title"], r["t_author"], r["t_pages"]["target"], r["t_journal"], r["t_booktitle"]) for r in found.collect()}
+    plain = df.select("pos", names_of.title_text(F.col("title"), Settings()), names_of.author_text(F.col("author")), pages_of.correct_pages(F.col("pages"))["target"], names_of.venue_text(F.col("journal"), Settings().journals, Settings().caps), names_of.venue_text(F.col("booktitle"), Settings().journals, Settings().caps))
+    assert got == {r[0]: tuple(r)[1:] for r in plain.collect()} and len(got) == 60
+    assert found._jdf.queryExecution().analyzed().toString().count(", true") == 9  # the rows, and the values of eight fields
+    keyed = lint.key_targets(df).collect()
+    assert {r["base"] for r in keyed} == {"Kaha01", None} and len(keyed) == 60
