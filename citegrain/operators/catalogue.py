@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions.text import normalise, text
 from citegrain.operators.titles import TitleIndex
-from citegrain.sources.tables import new_path, read_bucketed, write_bucketed
+from citegrain.sources.tables import new_path, read_bucketed, stored, write_bucketed
 
 
 def year_and_author(title: Column, year: Column, author: Column) -> Column:
@@ -40,8 +40,14 @@ class Catalogue:
     `Catalogue.open` finds it again in any session. There rows are bucketed by what they are looked up by.
     """
 
-    def __init__(self, rows: DataFrame, by_doi: DataFrame, by_title: DataFrame, titles: TitleIndex | None = None):
-        self.rows, self.by_doi, self.by_title, self._titles = rows, by_doi, by_title, titles
+    def __init__(self, rows: DataFrame, by_doi: DataFrame, by_title: DataFrame | None = None, titles: TitleIndex | None = None):
+        self.rows, self.by_doi, self._by_title, self._titles = rows, by_doi, by_title, titles
+
+    @property
+    def by_title(self) -> DataFrame:
+        if self._by_title is None:
+            self._by_title = stored(first_of_title(self.rows), "firsts")  # looked up twice
+        return self._by_title
 
     @property
     def titles(self) -> TitleIndex:
@@ -51,7 +57,7 @@ class Catalogue:
 
     @staticmethod
     def of(records: DataFrame | Catalogue) -> Catalogue:
-        return records if isinstance(records, Catalogue) else Catalogue(records, first_of_doi(records), first_of_title(records))
+        return records if isinstance(records, Catalogue) else Catalogue(records, first_of_doi(records))
 
     @staticmethod
     def build(records: DataFrame, path: str | None = None, buckets: int | None = None) -> Catalogue:

@@ -7,20 +7,24 @@ rarest words' lists first; once the words it hasn't read yet can't make a title
 **Near titles** are all pairs whose ratio of matching characters is at least a bound, none left out. The ratio is 2M / L (M matched characters, L both
 lengths). Matches stand in at most L - 2M + 1 blocks and each block of m characters holds m - 1 pairs of neighbours, so such titles share at least 3M - L - 1
 bigrams. Hence, of bigrams in a common order, the first few of both titles have two in common: titles meet under pairs of those, within a class of
-lengths, so that no common word or bigram alone makes a pair.
+lengths, so that no common word or bigram alone makes a pair. Short titles have too few bigrams for that: of two titles within d edits, one that is cut into d + 1
+parts has a part that the other has too, moved by no more letters than there are parts before or after it. They meet under such parts.
+
+A query's most common word adds nothing but titles that share no other word of it: of those the best are the lightest that have the word, so its list is never read beyond these.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from citegrain.sources.tables import new_path, read_bucketed, stored, write_bucketed
+from citegrain.sources.tables import new_path, read_bucketed, spread, stored, write_bucketed
 
 #: Titles of a posting block (on average), units of a word's weight, and the weights that blocks of a word are told apart by.
 BLOCK, UNIT, BAND = 512, 1000, 4000
@@ -32,6 +36,10 @@ _LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 _PLACE, _TIMES = 11, 16
 #: Titles of more letters than this, which are few, meet under single bigrams, so that keys don't grow with the square of a title.
 LONG = 256
+#: Kept titles of no more letters than this meet others under parts of theirs.
+SHORT = 32
+#: Lightest titles that are kept for each word; a search for more reads whole lists.
+HEAD = 16
 
 
 # --- bigrams ---------------------------------------------------------------------------------------------------------------
@@ -68,15 +76,47 @@ def bigrams(title: str, order: dict[str, int]) -> list[int]:
     return sorted(out)
 
 
-def keys(title: str, order: dict[str, int], ratio: float, asks: bool) -> list[int]:
-    """Keys of a title: pairs of its first bigrams, and single ones where near titles may share only one or the titles are long. A title that asks has
+def edits(n: int, m: int, ratio: float) -> int:
+    """Most edits between titles of n and m letters that are near."""
+    return n + m - 2 * matched(n + m, ratio)
+
+
+def in_parts(n: int, m: int, ratio: float) -> bool:
+    """Whether a kept title of n letters meets one of m letters under parts."""
+    return n <= SHORT and edits(n, m, ratio) < n
+
+
+def part_keys(title: str, ratio: float, asks: bool, lengths: set[int] | None = None) -> set[int]:
+    """Keys of the parts of a title that is kept, or of what may be such a part in a title that asks (`lengths`: those of kept titles, if known)."""
+    lengths = reach(len(title), ratio) if lengths is None or not asks else [n for n in reach(len(title), ratio) if n in lengths]
+    pairs = [(n, len(title)) if asks else (len(title), n) for n in lengths]
+    cuts = {(edits(n, m, ratio), n, m if asks else n) for n, m in pairs if in_parts(n, m, ratio)}
+    out = set()
+    for d, n, m in cuts:
+        for i in range(d + 1):
+            start, end = i * n // (d + 1), (i + 1) * n // (d + 1)
+            moves = range(max(-i, m - n - (d - i)), min(i, m - n + (d - i)) + 1) if asks else (0,)
+            out.update(_part_key(d, n, i, title[start + x : end + x]) for x in moves if start + x >= 0 and end + x <= len(title))
+    return out
+
+
+def _part_key(d: int, n: int, i: int, part: str) -> int:
+    """Below zero, unlike keys of bigrams."""
+    return -1 - (int.from_bytes(blake2b(f"{d},{n},{i},{part}".encode(), digest_size=8).digest()) >> 2)
+
+
+def keys(title: str, order: dict[str, int], ratio: float, asks: bool, lengths: set[int] | None = None) -> list[int]:
+    """Keys of a title: parts with short titles, else pairs of its first bigrams, and single ones where near titles may share only one or the titles are long. A title that asks has
     keys for each class of lengths in its reach; one that is kept has those of its own class."""
-    n, found = len(title), bigrams(title, order)
+    n = len(title)
     shares: dict[int, int] = {}
     for m in reach(n, ratio):
+        if in_parts(*((m, n) if asks else (n, m)), ratio):
+            continue
         c = length_class(m if asks else n, ratio)
         shares[c] = min(shares.get(c, n), shared_bigrams(n + m, ratio))
-    out = set()
+    out = part_keys(title, ratio, asks, lengths)
+    found = bigrams(title, order) if shares else []
     for c, least in shares.items():
         if c > length_class(LONG, ratio):
             out.update(_key(c, a, a) for a in found[: len(found) - least + 1])
@@ -92,10 +132,10 @@ def _key(c: int, a: int, b: int) -> int:
     return (c << 2 * (_PLACE + _TIMES)) | (a << (_PLACE + _TIMES)) | b
 
 
-def _keys_of(title: Column, order: dict[str, int], ratio: float, asks: bool) -> Column:
+def _keys_of(title: Column, order: dict[str, int], ratio: float, asks: bool, lengths: set[int] | None = None) -> Column:
     @F.pandas_udf(ArrayType(LongType()))
     def of(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: keys(t, order, ratio, asks))
+        return titles.map(lambda t: keys(t, order, ratio, asks, lengths))
 
     return of(title)
 
@@ -128,6 +168,7 @@ class TitleIndex:
         about = spark.read.json(f"{path}/about").first()
         self.buckets, self.size, self.ratio = about["buckets"], about["size"], about["ratio"]
         self.order = {r["g"]: r["i"] for r in about["order"] or []}
+        self.lengths = set(about["lengths"] or [])
 
     def table(self, name: str, key: str) -> DataFrame:
         return read_bucketed(self.spark, f"{self.path}/{name}", key, self.buckets)
@@ -149,22 +190,27 @@ class TitleIndex:
         sizes = lists.groupBy("word", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
         blocks = lists.join(sizes, ["word", "band"]).withColumn("part", F.pmod(F.hash("t"), "parts")).groupBy("word", "band", "part").agg(F.min("total").alias("low"), F.max("total").alias("high"), F.collect_list("t").alias("ts"))
         write_bucketed(blocks, f"{path}/postings", "word", buckets)
+        first = F.row_number().over(Window.partitionBy("word").orderBy("total", "c_title"))
+        light = weighed.select("t", "word").join(known.select("t", "total", "c_title"), "t").withColumn("place", first).where(F.col("place") <= HEAD)
+        write_bucketed(light.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]).alias("ts")), f"{path}/light", "word", buckets)
         order = _order(numbered)
-        near = numbered.select("t", "c_title", F.explode(_keys_of(F.col("c_title"), order, ratio, False)).alias("key"))
-        write_bucketed(near, f"{path}/near", "key", buckets)
-        about = spark.createDataFrame([(buckets, size, ratio, sorted(order.items()))], "buckets int, size long, ratio double, order array<struct<g: string, i: int>>")
+        lengths = sorted(r["n"] for r in numbered.select(F.length("c_title").alias("n")).where(F.col("n") <= SHORT).distinct().collect())
+        near = spread(numbered.select("t", "c_title")).select("t", "c_title", F.explode(_keys_of(F.col("c_title"), order, ratio, False)).alias("key"))
+        write_bucketed(near, f"{path}/near_keys", "key", buckets)
+        about = spark.createDataFrame([(buckets, size, ratio, sorted(order.items()), lengths)], "buckets int, size long, ratio double, order array<struct<g: string, i: int>>, lengths array<int>")
         about.coalesce(1).write.json(f"{path}/about")
         return TitleIndex(spark, path)
 
     def near(self, titles: DataFrame) -> DataFrame:
         """(title, c_title): titles and those of the catalogue that may be near, equal ones aside: all that lengths, edits (matches leave L - 2M
         letters to insert and delete) and shared bigrams don't rule out. So none of the index's ratio or more is left out."""
-        asked = titles.where("title <> ''").select("title", F.explode(_keys_of(F.col("title"), self.order, self.ratio, True)).alias("key"))
-        met = stored(asked.join(self.table("near", "key"), "key").where("title <> c_title").select("title", "c_title").distinct(), "met")  # each pair is looked at once
+        asked = spread(titles.where("title <> ''").select("title")).select("title", F.explode(_keys_of(F.col("title"), self.order, self.ratio, True, self.lengths)).alias("key"))
         length = F.length("title") + F.length("c_title")
         least = F.ceil(self.ratio * length / 2 - 1e-9)
-        sized = (2 * F.least(F.length("title"), F.length("c_title")) >= self.ratio * length - 1e-9) & (F.levenshtein("title", "c_title") <= length - 2 * least)
-        return met.where(sized).where(_common_bigrams(F.col("title"), F.col("c_title")) >= 3 * least - length - 1)
+        sized = (2 * F.least(F.length("title"), F.length("c_title")) >= self.ratio * length - 1e-9) & (F.call_function("levenshtein", "title", "c_title", (length - 2 * least).cast("int")) >= 0)
+        met = asked.join(self.table("near_keys", "key"), "key").where("title <> c_title").where(sized)  # most that meet are far apart: none of them is kept
+        met = stored(met.select("title", "c_title").distinct(), "met")
+        return met.where(_common_bigrams(F.col("title"), F.col("c_title")) >= 3 * least - length - 1)
 
     def search(self, titles: DataFrame, k: int = 3) -> DataFrame:
         """(title, c_title, relevance): the k titles of the catalogue that share most with each title, of equals the first by their letters; fewer where fewer share a word."""
@@ -187,9 +233,11 @@ class TitleIndex:
 
     def _round(self, active: DataFrame, best: DataFrame | None, read: int, upto: int, k: int) -> DataFrame:
         """The k best after the words from `read` to `upto` of each title that isn't done."""
-        probes = active.select("title", "own", "least", "w", F.explode(F.slice("w", read + 1, upto - read)).alias("x")).select("title", "own", "least", F.col("x.word").alias("word"))
+        probes = active.select("title", "own", "least", F.size("w").alias("words"), F.posexplode(F.slice("w", read + 1, upto - read)).alias("i", "x")).select("title", "own", "least", F.col("x.word").alias("word"), ((F.col("i") + read + 1 == F.col("words")) & F.lit(k <= HEAD)).alias("last"))
         fits = (F.col("high") * (2 - F.col("least")) >= F.col("own") * F.col("least")) & (F.col("low") * F.col("least") <= F.col("own") * (2 - F.col("least")))
-        met = probes.join(self.table("postings", "word"), "word").where(fits).select("title", F.explode("ts").alias("t")).distinct()
+        listed = probes.where(~F.col("last")).join(self.table("postings", "word"), "word").where(fits).select("title", F.explode("ts").alias("t"))
+        light = probes.where("last").join(self.table("light", "word"), "word").select("title", F.explode(F.slice("ts", 1, k)).alias("t"))
+        met = listed.unionByName(light).distinct()
         asked = active.select(F.col("title").alias("a_title"), "own", F.transform("w", lambda x: x["word"]).alias("asked"))
         met = met.join(asked, F.col("title") == F.col("a_title")).join(self.table("known", "t").withColumnRenamed("w", "has"), "t")
         both = F.aggregate(F.filter("has", lambda x: F.array_contains("asked", x["word"])), F.lit(0).cast("long"), lambda a, x: a + x["weight"])

@@ -9,7 +9,7 @@ from citegrain.functions.names import last_words
 from citegrain.functions.similarity import author_share, bound, length_bound, normal_ratio, ratio
 from citegrain.functions.text import doi, normalise, text
 from citegrain.operators.catalogue import Catalogue, year_and_author
-from citegrain.sources.tables import stored
+from citegrain.sources.tables import spread, stored
 
 #: Least similarities of titles, authors and journals, most difference of years, and the penalty for another year.
 TITLE, AUTHORS, JOURNAL, YEARS, PENALTY, ACCEPT = 0.85, 0.70, 0.60, 1, 0.7, 0.70
@@ -59,17 +59,25 @@ def by_title(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     ours = entries.where(text(F.col("title")) != "").withColumns({"n_title": normalise(F.col("title")), "n_year": text(F.col("year")), "n_first": F.coalesce(normalise(F.get(last_words(F.col("author")), F.lit(0))), F.lit(""))})
     node = ["n_title", "n_year", "n_first"]
     nodes = stored(ours.select(*node).distinct(), "nodes")
-    titles = nodes.select(F.col("n_title").alias("title")).distinct()
-    pairs = scored_titles(title_candidates(titles, kept)).unionByName(titles.select("title", F.col("title").alias("c_title"), F.lit(1.0).alias("sim")))
+    equal = stored(_best(nodes, nodes.select(F.col("n_title").alias("title")).distinct().select("title", F.col("title").alias("c_title"), F.lit(1.0).alias("sim")), kept), "equal")
+    # no other title is as good as an equal one of the same year: only the rest are looked up by letters and words
+    open_ = stored(nodes.join(equal.where("b.score = 1.0"), node, "left_anti"), "open")
+    near = _best(open_, scored_titles(title_candidates(open_.select(F.col("n_title").alias("title")).distinct(), kept)), kept)
+    best = equal.unionByName(near).groupBy(*node).agg((-F.max("b")["minus"]).alias("b_pos"))
+    found = ours.join(best, node).drop(*node)
+    return found.join(kept.rows, F.col("b_pos") == F.col("c_pos")).drop("b_pos")
+
+
+def _best(nodes: DataFrame, pairs: DataFrame, kept: Catalogue) -> DataFrame:
+    """Nodes (title, year, first author) and the best that they find among their titles' pairs: b, a struct (score, own, minus the place)."""
+    node = ["n_title", "n_year", "n_first"]
     any_ = F.lit(None).cast("string")
     free = F.when(F.col("n_year") == "", 1.0).otherwise(PENALTY)
     years = [(F.col("n_year"), F.lit(1.0)), (F.lit(""), F.lit(1.0)), (any_, free)]
     wanted = F.explode(F.array(*(F.struct(year_and_author(F.col("c_title"), y, f).alias("key"), cost.alias("cost"), F.lit(own).alias("own")) for y, cost in years for f, own in ((F.col("n_first"), 1), (any_, 0))))).alias("g")
     asked = nodes.join(pairs, F.col("n_title") == F.col("title")).select(*node, "sim", wanted).select(*node, (F.col("sim") * F.col("g.cost")).alias("score"), "g.own", F.col("g.key").alias("asked")).where(F.col("score") >= ACCEPT)
     met = asked.join(kept.by_title, F.col("asked") == F.col("key"))
-    best = met.groupBy(*node).agg(F.max_by("f_pos", F.struct("score", "own", -F.col("f_pos"))).alias("b_pos"))
-    found = ours.join(best, node).drop(*node)
-    return found.join(kept.rows, F.col("b_pos") == F.col("c_pos")).drop("b_pos")
+    return met.groupBy(*node).agg(F.max(F.struct("score", "own", (-F.col("f_pos")).alias("minus"))).alias("b"))
 
 
 def gates(df: DataFrame) -> DataFrame:
@@ -111,7 +119,8 @@ def verify(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     kept = Catalogue.of(catalogue)
     pos = F.col("pos") if "pos" in entries.columns else F.monotonically_increasing_id()
     fields = ("title", "author", "journal", "year", "volume", "number", "pages")
-    e = stored(entries.select(F.monotonically_increasing_id().alias("row"), pos.alias("pos"), "ID", "force", *fields, doi(F.col("doi")).alias("e_doi")), "entries")
+    e = spread(entries.select(pos.alias("pos"), "ID", "force", *fields, "doi"))
+    e = stored(e.select(F.monotonically_increasing_id().alias("row"), "pos", "ID", "force", *fields, doi(F.col("doi")).alias("e_doi")), "entries")
     skipped = F.col("force").eqNullSafe(F.lit("True"))
     found = stored(by_doi(e.where(~skipped), kept), "found")  # the catalogue's DOIs are read once
     missed = found.where("c_pos IS NULL").select(e.columns)

@@ -172,3 +172,49 @@ def test_report_and_the_first_entries(spark, kept):
     done = bibliography.verification(entries, kept[1])
     assert [r["pos"] for r in bibliography.report(done).collect()] == [5, 7, 9] and [r["pos"] for r in bibliography.report(done, 2).collect()] == [5, 7]
     assert sorted(r["pos"] for r in bibliography.verification(entries, kept[1], most=2).collect()) == [4, 5]
+
+
+def test_short_titles_within_their_edits_share_a_part():
+    """Random letters: bigrams are all alike, so that pairs of them tell nothing apart."""
+    r = random.Random(5)
+    few = 0
+    for _ in range(300):
+        kept = "".join(r.choices("0123456789abcdef", k=r.randint(3, titles.SHORT)))
+        asked = kept
+        for _ in range(r.randint(0, 9)):
+            i = r.randint(0, len(asked))
+            asked = r.choice((asked[:i] + r.choice("0123456789abcdef") + asked[i:], asked[:i] + asked[i + 1 :], asked[:i] + "x" + asked[i + 1 :]))
+        n, m = len(kept), len(asked)
+        if m in titles.reach(n, titles.NEAR) and titles.in_parts(n, m, titles.NEAR) and _edits(kept, asked) <= titles.edits(n, m, titles.NEAR):
+            assert titles.part_keys(kept, titles.NEAR, False) & titles.part_keys(asked, titles.NEAR, True, {n})
+            few += kept != asked
+    assert few > 30
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_the_most_common_word_is_looked_up_among_the_lightest_titles_only(spark, monkeypatch):
+    r = random.Random(6)
+    theirs = [f"{r.randrange(10**6):06} on {r.randrange(10**6):06}" for _ in range(60)]
+    index = TitleIndex.build(spark.createDataFrame([(t,) for t in theirs], "c_title string"))
+    table = TitleIndex.table
+    monkeypatch.setattr(TitleIndex, "table", lambda self, name, key: table(self, name, key).where("word <> 'on'") if name == "postings" else table(self, name, key))
+    found = index.search(spark.createDataFrame([(theirs[0],)], "title string")).collect()
+    assert {x["c_title"] for x in found} == {theirs[0], *sorted(set(theirs) - {theirs[0]})[:2]}
+
+
+def test_titles_of_the_same_year_are_not_looked_up_by_letters(spark, monkeypatch):
+    asked, plain = [], verify.title_candidates
+    monkeypatch.setattr(verify, "title_candidates", lambda t, c, *a: asked.extend(x["title"] for x in t.collect()) or plain(t, c, *a))
+    entries = spark.createDataFrame([(i, f"K{i}", None, f"a title of number {i}", "A Lee", None, "2001", None, None, None, None) for i in range(6)], "pos long, ID string, force string, title string, author string, journal string, year string, volume string, number string, pages string, doi string")
+    cat = spark.createDataFrame([(i, None, f"a title of number {i}", ["Lee"], None, "2001" if i % 3 else "1999", None, None, None) for i in range(6)], "c_pos long, c_doi string, c_title string, c_authors array<string>, c_journal string, c_year string, c_volume string, c_issue string, c_pages string")
+    rows = {x["id"]: x["status"] for x in verify.verify(entries, cat).collect()}
+    assert sorted(asked) == ["a title of number 0", "a title of number 3"]
+    assert rows["K1"] == "verified" and len(rows) == 6
