@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citegrain.functions.text import normalise, text
 from citegrain.operators.titles import TitleIndex
-from citegrain.sources.tables import new_path, read_bucketed, stored, write_bucketed
+from citegrain.sources.tables import new_path, read_bucketed, stored, unsent, write_bucketed
 
 
 def year_and_author(title: Column, year: Column, author: Column) -> Column:
@@ -41,12 +41,12 @@ class Catalogue:
     """
 
     def __init__(self, rows: DataFrame, by_doi: DataFrame, by_title: DataFrame | None = None, titles: TitleIndex | None = None):
-        self.rows, self.by_doi, self._by_title, self._titles = rows, by_doi, by_title, titles
+        self.rows, self.by_doi, self._by_title, self._titles = unsent(rows), unsent(by_doi), by_title, titles
 
     @property
     def by_title(self) -> DataFrame:
         if self._by_title is None:
-            self._by_title = stored(first_of_title(self.rows), "firsts")  # looked up twice
+            self._by_title = unsent(stored(first_of_title(self.rows), "firsts"))  # looked up twice
         return self._by_title
 
     @property

@@ -8,7 +8,8 @@ rarest words' lists first; once the words it hasn't read yet can't make a title
 lengths). Matches stand in at most L - 2M + 1 blocks and each block of m characters holds m - 1 pairs of neighbours, so such titles share at least 3M - L - 1
 bigrams. Hence, of bigrams in a common order, the first few of both titles have two in common: titles meet under pairs of those, within a class of
 lengths, so that no common word or bigram alone makes a pair. Short titles have too few bigrams for that: of two titles within d edits, one that is cut into d + 1
-parts has a part that the other has too, moved by no more letters than there are parts before or after it. They meet under such parts.
+parts has a part that the other has too, moved by no more letters than there are parts before or after it. They meet under such parts, which are cut so that
+all are about as rare: places where most titles have the same letter tell little. Of those that meet, marks of 128 bits tell most that differ in too many bigrams.
 
 A query's most common word adds nothing but titles that share no other word of it: of those the best are the lightest that have the word, so its list is never read beyond these.
 """
@@ -16,15 +17,18 @@ A query's most common word adds nothing but titles that share no other word of i
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter
 from hashlib import blake2b
+from itertools import accumulate, pairwise
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from citegrain.sources.tables import new_path, read_bucketed, spread, stored, write_bucketed
+from citegrain.sources.tables import new_path, read_bucketed, spread, stored, unsent, write_bucketed
 
 #: Titles of a posting block (on average), units of a word's weight, and the weights that blocks of a word are told apart by.
 BLOCK, UNIT, BAND = 512, 1000, 4000
@@ -86,15 +90,28 @@ def in_parts(n: int, m: int, ratio: float) -> bool:
     return n <= SHORT and edits(n, m, ratio) < n
 
 
-def part_keys(title: str, ratio: float, asks: bool, lengths: set[int] | None = None) -> set[int]:
-    """Keys of the parts of a title that is kept, or of what may be such a part in a title that asks (`lengths`: those of kept titles, if known)."""
+def part_bounds(d: int, n: int, rarity: list[float] | None = None) -> list[int]:
+    """Bounds of the d + 1 parts of a title of n letters: of even lengths, or of even sums of its places' `rarity`."""
+    if rarity is None:
+        return [i * n // (d + 1) for i in range(d + 2)]
+    sums = list(accumulate(rarity))
+    out = [0]
+    for i in range(1, d + 1):
+        at = 1 + bisect_left(sums, sums[-1] * i / (d + 1) - 1e-9)
+        out.append(max(out[-1] + 1, min(at, n - (d + 1 - i))))
+    return [*out, n]
+
+
+def part_keys(title: str, ratio: float, asks: bool, lengths: set[int] | None = None, rarity: dict[int, list[float]] | None = None) -> set[int]:
+    """Keys of the parts of a title that is kept, or of what may be such a part in a title that asks (`lengths`: those of kept titles, if known; `rarity`: that of places,
+    by a kept title's length)."""
     lengths = reach(len(title), ratio) if lengths is None or not asks else [n for n in reach(len(title), ratio) if n in lengths]
     pairs = [(n, len(title)) if asks else (len(title), n) for n in lengths]
     cuts = {(edits(n, m, ratio), n, m if asks else n) for n, m in pairs if in_parts(n, m, ratio)}
     out = set()
     for d, n, m in cuts:
-        for i in range(d + 1):
-            start, end = i * n // (d + 1), (i + 1) * n // (d + 1)
+        bounds = part_bounds(d, n, (rarity or {}).get(n))
+        for i, (start, end) in enumerate(pairwise(bounds)):
             moves = range(max(-i, m - n - (d - i)), min(i, m - n + (d - i)) + 1) if asks else (0,)
             out.update(_part_key(d, n, i, title[start + x : end + x]) for x in moves if start + x >= 0 and end + x <= len(title))
     return out
@@ -105,7 +122,7 @@ def _part_key(d: int, n: int, i: int, part: str) -> int:
     return -1 - (int.from_bytes(blake2b(f"{d},{n},{i},{part}".encode(), digest_size=8).digest()) >> 2)
 
 
-def keys(title: str, order: dict[str, int], ratio: float, asks: bool, lengths: set[int] | None = None) -> list[int]:
+def keys(title: str, order: dict[str, int], ratio: float, asks: bool, lengths: set[int] | None = None, rarity: dict[int, list[float]] | None = None) -> list[int]:
     """Keys of a title: parts with short titles, else pairs of its first bigrams, and single ones where near titles may share only one or the titles are long. A title that asks has
     keys for each class of lengths in its reach; one that is kept has those of its own class."""
     n = len(title)
@@ -115,7 +132,7 @@ def keys(title: str, order: dict[str, int], ratio: float, asks: bool, lengths: s
             continue
         c = length_class(m if asks else n, ratio)
         shares[c] = min(shares.get(c, n), shared_bigrams(n + m, ratio))
-    out = part_keys(title, ratio, asks, lengths)
+    out = part_keys(title, ratio, asks, lengths, rarity)
     found = bigrams(title, order) if shares else []
     for c, least in shares.items():
         if c > length_class(LONG, ratio):
@@ -132,14 +149,40 @@ def _key(c: int, a: int, b: int) -> int:
     return (c << 2 * (_PLACE + _TIMES)) | (a << (_PLACE + _TIMES)) | b
 
 
-def _keys_of(title: Column, order: dict[str, int], ratio: float, asks: bool, lengths: set[int] | None = None) -> Column:
+def _keys_of(title: Column, order: dict[str, int], ratio: float, asks: bool, lengths: set[int] | None = None, rarity: dict[int, list[float]] | None = None) -> Column:
     @F.pandas_udf(ArrayType(LongType()))
     def of(titles: pd.Series) -> pd.Series:
-        return titles.map(lambda t: keys(t, order, ratio, asks, lengths))
+        return titles.map(lambda t: keys(t, order, ratio, asks, lengths, rarity))
 
     return of(title)
 
 
+def marks(title: str) -> list[int]:
+    """128 bits in two numbers: one of them is set for each bigram, the second of a kind being another. So marks differ in no more bits than titles do in bigrams."""
+    seen: Counter[str] = Counter()
+    out = 0
+    for i in range(len(title) - 1):
+        g = title[i : i + 2]
+        out |= 1 << (crc32(f"{g}{seen[g]}".encode()) & 127)
+        seen[g] += 1
+    return [x - (1 << 64) if x >> 63 else x for x in (out >> 64, out & (1 << 64) - 1)]
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def _marks_of(titles: pd.Series) -> pd.Series:
+    return titles.map(marks)
+
+
+def _rarity(titles: DataFrame) -> dict[int, list[float]]:
+    """For each length of short titles: how much a letter at each place tells, by the chance that two titles have the same there. SHORT * SHORT numbers at most."""
+    letters = titles.where(F.length("c_title") <= SHORT).select(F.length("c_title").alias("n"), F.posexplode(F.filter(F.split("c_title", ""), lambda z: z != "")).alias("i", "z"))
+    times = letters.groupBy("n", "i", "z").agg(F.count(F.lit(1)).cast("double").alias("x"))
+    out: dict[int, list[float]] = {}
+    for r in times.groupBy("n", "i").agg((F.sum(F.col("x") * F.col("x")) / F.pow(F.sum("x"), F.lit(2.0))).alias("same")).orderBy("n", "i").collect():
+        out.setdefault(r["n"], []).append(round(0.01 - math.log(r["same"]), 6))
+    return out
+
+
 def _order(titles: DataFrame) -> dict[str, int]:
     """Places of bigrams, rare ones first. There are 1369 at most."""
     each = titles.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("c_title") - 1), lambda i: F.substr("c_title", i, F.lit(2))))).alias("g")).where(F.length("g") == 2)
@@ -168,7 +211,8 @@ class TitleIndex:
         about = spark.read.json(f"{path}/about").first()
         self.buckets, self.size, self.ratio = about["buckets"], about["size"], about["ratio"]
         self.order = {r["g"]: r["i"] for r in about["order"] or []}
-        self.lengths = set(about["lengths"] or [])
+        self.rarity = {r["n"]: r["places"] for r in about["rarity"] or []}
+        self.lengths = set(self.rarity)
 
     def table(self, name: str, key: str) -> DataFrame:
         return read_bucketed(self.spark, f"{self.path}/{name}", key, self.buckets)
@@ -183,31 +227,34 @@ class TitleIndex:
         each = numbered.select("t", F.explode("w").alias("word"))
         weights = stored(each.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", _weight(size, F.col("df")).alias("weight")), "weights")
         write_bucketed(weights, f"{path}/words", "word", buckets)
-        weighed = each.join(weights, "word")
-        known = stored(weighed.groupBy("t").agg(F.sum("weight").alias("total"), F.collect_list(F.struct("word", "weight")).alias("w")).join(numbered.select("t", "c_title"), "t"), "known")
+        weighed = each.join(unsent(weights), "word")
+        known = stored(weighed.groupBy("t").agg(F.sum("weight").alias("total"), F.collect_list(F.struct("word", "weight")).alias("w")).join(unsent(numbered.select("t", "c_title")), "t"), "known")
         write_bucketed(known, f"{path}/known", "t", buckets)
-        lists = weighed.select("t", "word").join(known.select("t", "total"), "t").withColumn("band", F.floor(F.col("total") / BAND))
+        lists = weighed.select("t", "word").join(unsent(known.select("t", "total")), "t").withColumn("band", F.floor(F.col("total") / BAND))
         sizes = lists.groupBy("word", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
         blocks = lists.join(sizes, ["word", "band"]).withColumn("part", F.pmod(F.hash("t"), "parts")).groupBy("word", "band", "part").agg(F.min("total").alias("low"), F.max("total").alias("high"), F.collect_list("t").alias("ts"))
         write_bucketed(blocks, f"{path}/postings", "word", buckets)
         first = F.row_number().over(Window.partitionBy("word").orderBy("total", "c_title"))
-        light = weighed.select("t", "word").join(known.select("t", "total", "c_title"), "t").withColumn("place", first).where(F.col("place") <= HEAD)
+        light = weighed.select("t", "word").join(unsent(known.select("t", "total", "c_title")), "t").withColumn("place", first).where(F.col("place") <= HEAD)
         write_bucketed(light.groupBy("word").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "t"))), lambda x: x["t"]).alias("ts")), f"{path}/light", "word", buckets)
         order = _order(numbered)
-        lengths = sorted(r["n"] for r in numbered.select(F.length("c_title").alias("n")).where(F.col("n") <= SHORT).distinct().collect())
-        near = spread(numbered.select("t", "c_title")).select("t", "c_title", F.explode(_keys_of(F.col("c_title"), order, ratio, False)).alias("key"))
+        rarity = _rarity(numbered)
+        near = spread(numbered.select("t", "c_title")).select("t", "c_title", _marks_of(F.col("c_title")).alias("m"), _keys_of(F.col("c_title"), order, ratio, False, rarity=rarity).alias("keys"))
+        near = near.select("t", "c_title", F.col("m")[0].alias("c_m"), F.col("m")[1].alias("c_n"), F.explode("keys").alias("key"))  # a step later, so that marks are made once a title
         write_bucketed(near, f"{path}/near_keys", "key", buckets)
-        about = spark.createDataFrame([(buckets, size, ratio, sorted(order.items()), lengths)], "buckets int, size long, ratio double, order array<struct<g: string, i: int>>, lengths array<int>")
+        about = spark.createDataFrame([(buckets, size, ratio, sorted(order.items()), sorted(rarity.items()))], "buckets int, size long, ratio double, order array<struct<g: string, i: int>>, rarity array<struct<n: int, places: array<double>>>")
         about.coalesce(1).write.json(f"{path}/about")
         return TitleIndex(spark, path)
 
     def near(self, titles: DataFrame) -> DataFrame:
         """(title, c_title): titles and those of the catalogue that may be near, equal ones aside: all that lengths, edits (matches leave L - 2M
         letters to insert and delete) and shared bigrams don't rule out. So none of the index's ratio or more is left out."""
-        asked = spread(titles.where("title <> ''").select("title")).select("title", F.explode(_keys_of(F.col("title"), self.order, self.ratio, True, self.lengths)).alias("key"))
+        asked = spread(titles.where("title <> ''").select("title")).select("title", _marks_of(F.col("title")).alias("m"), _keys_of(F.col("title"), self.order, self.ratio, True, self.lengths, self.rarity).alias("keys"))
+        asked = asked.select("title", F.col("m")[0].alias("a_m"), F.col("m")[1].alias("a_n"), F.explode("keys").alias("key"))
         length = F.length("title") + F.length("c_title")
         least = F.ceil(self.ratio * length / 2 - 1e-9)
-        sized = (2 * F.least(F.length("title"), F.length("c_title")) >= self.ratio * length - 1e-9) & (F.call_function("levenshtein", "title", "c_title", (length - 2 * least).cast("int")) >= 0)
+        marked = F.bit_count(F.col("a_m").bitwiseXOR(F.col("c_m"))) + F.bit_count(F.col("a_n").bitwiseXOR(F.col("c_n"))) <= 3 * length - 6 * least  # bigrams of both that aren't shared, at most
+        sized = marked & (2 * F.least(F.length("title"), F.length("c_title")) >= self.ratio * length - 1e-9) & (F.call_function("levenshtein", "title", "c_title", (length - 2 * least).cast("int")) >= 0)
         met = asked.join(self.table("near_keys", "key"), "key").where("title <> c_title").where(sized)  # most that meet are far apart: none of them is kept
         met = stored(met.select("title", "c_title").distinct(), "met")
         return met.where(_common_bigrams(F.col("title"), F.col("c_title")) >= 3 * least - length - 1)
@@ -239,7 +286,7 @@ class TitleIndex:
         light = probes.where("last").join(self.table("light", "word"), "word").select("title", F.explode(F.slice("ts", 1, k)).alias("t"))
         met = listed.unionByName(light).distinct()
         asked = active.select(F.col("title").alias("a_title"), "own", F.transform("w", lambda x: x["word"]).alias("asked"))
-        met = met.join(asked, F.col("title") == F.col("a_title")).join(self.table("known", "t").withColumnRenamed("w", "has"), "t")
+        met = met.join(unsent(asked), F.col("title") == F.col("a_title")).join(self.table("known", "t").withColumnRenamed("w", "has"), "t")
         both = F.aggregate(F.filter("has", lambda x: F.array_contains("asked", x["word"])), F.lit(0).cast("long"), lambda a, x: a + x["weight"])
         found = met.select("title", "c_title", (2.0 * both / (F.col("own") + F.col("total"))).alias("relevance"))
         found = found if best is None else found.unionByName(best).distinct()

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.names import last_words
-from citegrain.functions.similarity import author_share, bound, length_bound, normal_ratio, ratio
+from citegrain.functions.similarity import author_share, bound, length_bound, normal_ratio
 from citegrain.functions.text import doi, normalise, text
 from citegrain.operators.catalogue import Catalogue, year_and_author
-from citegrain.sources.tables import spread, stored
+from citegrain.sources.tables import spread, stored, unsent
 
 #: Least similarities of titles, authors and journals, most difference of years, and the penalty for another year.
 TITLE, AUTHORS, JOURNAL, YEARS, PENALTY, ACCEPT = 0.85, 0.70, 0.60, 1, 0.7, 0.70
@@ -56,15 +56,15 @@ def by_title(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     apart by place only, so no group of equal titles is ever paired off.
     """
     kept = Catalogue.of(catalogue)
-    ours = entries.where(text(F.col("title")) != "").withColumns({"n_title": normalise(F.col("title")), "n_year": text(F.col("year")), "n_first": F.coalesce(normalise(F.get(last_words(F.col("author")), F.lit(0))), F.lit(""))})
+    ours = stored(entries.where(text(F.col("title")) != "").withColumns({"n_title": normalise(F.col("title")), "n_year": text(F.col("year")), "n_first": F.coalesce(normalise(F.get(last_words(F.col("author")), F.lit(0))), F.lit(""))}), "ours")
     node = ["n_title", "n_year", "n_first"]
     nodes = stored(ours.select(*node).distinct(), "nodes")
     equal = stored(_best(nodes, nodes.select(F.col("n_title").alias("title")).distinct().select("title", F.col("title").alias("c_title"), F.lit(1.0).alias("sim")), kept), "equal")
     # no other title is as good as an equal one of the same year: only the rest are looked up by letters and words
-    open_ = stored(nodes.join(equal.where("b.score = 1.0"), node, "left_anti"), "open")
+    open_ = stored(nodes.join(unsent(equal.where("b.score = 1.0")), node, "left_anti"), "open")
     near = _best(open_, scored_titles(title_candidates(open_.select(F.col("n_title").alias("title")).distinct(), kept)), kept)
     best = equal.unionByName(near).groupBy(*node).agg((-F.max("b")["minus"]).alias("b_pos"))
-    found = ours.join(best, node).drop(*node)
+    found = ours.join(unsent(best), node).drop(*node)
     return found.join(kept.rows, F.col("b_pos") == F.col("c_pos")).drop("b_pos")
 
 
@@ -75,14 +75,18 @@ def _best(nodes: DataFrame, pairs: DataFrame, kept: Catalogue) -> DataFrame:
     free = F.when(F.col("n_year") == "", 1.0).otherwise(PENALTY)
     years = [(F.col("n_year"), F.lit(1.0)), (F.lit(""), F.lit(1.0)), (any_, free)]
     wanted = F.explode(F.array(*(F.struct(year_and_author(F.col("c_title"), y, f).alias("key"), cost.alias("cost"), F.lit(own).alias("own")) for y, cost in years for f, own in ((F.col("n_first"), 1), (any_, 0))))).alias("g")
-    asked = nodes.join(pairs, F.col("n_title") == F.col("title")).select(*node, "sim", wanted).select(*node, (F.col("sim") * F.col("g.cost")).alias("score"), "g.own", F.col("g.key").alias("asked")).where(F.col("score") >= ACCEPT)
+    asked = nodes.join(unsent(pairs), F.col("n_title") == F.col("title")).select(*node, "sim", wanted).select(*node, (F.col("sim") * F.col("g.cost")).alias("score"), "g.own", F.col("g.key").alias("asked")).where(F.col("score") >= ACCEPT)
     met = asked.join(kept.by_title, F.col("asked") == F.col("key"))
     return met.groupBy(*node).agg(F.max(F.struct("score", "own", (-F.col("f_pos")).alias("minus"))).alias("b"))
 
 
 def gates(df: DataFrame) -> DataFrame:
     """Scores, the reason of the first gate that fails (null: confident), and whether the last gate met a year that is no number."""
-    df = df.withColumns({"title_sim": ratio(F.col("title"), F.col("c_title")), "author_sim": author_share(last_words(F.col("author")), F.col("c_authors")), "journal_sim": ratio(F.col("journal"), F.col("c_journal"))})
+    # each text is normalised once for each row, in a step of its own: inside the ratios it would be worked out for every mention
+    kept = df.columns
+    df = df.withColumns({"_names": last_words(F.col("author")), **{f"_{c}": normalise(F.col(c)) for c in ("title", "c_title", "journal", "c_journal")}})
+    sim = lambda a, b: F.when((text(F.col(a)) == "") | (text(F.col(b)) == ""), 0.0).otherwise(normal_ratio(F.col(f"_{a}"), F.col(f"_{b}")))
+    df = df.select(*kept, sim("title", "c_title").alias("title_sim"), author_share(F.col("_names"), F.col("c_authors")).alias("author_sim"), sim("journal", "c_journal").alias("journal_sim"))
     both = (text(F.col("journal")) != "") & (text(F.col("c_journal")) != "")
     apart = F.abs(F.col("year").try_cast("int") - F.col("c_year").try_cast("int"))
     said = lambda what, c: F.format_string(f"{what} similarity too low: %.2f%%", 100 * F.col(c))
@@ -116,7 +120,7 @@ def verify(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     verified. A DOI that the catalogue has decides alone; else the title is looked up. Every entry has one row, whatever its ID: repeated and null IDs
     are entries of their own. An empty table gives no rows; other columns aren't read.
     """
-    kept = Catalogue.of(catalogue)
+    kept = catalogue if isinstance(catalogue, Catalogue) else Catalogue.of(stored(spread(catalogue), "records"))  # read three times, derived once
     pos = F.col("pos") if "pos" in entries.columns else F.monotonically_increasing_id()
     fields = ("title", "author", "journal", "year", "volume", "number", "pages")
     e = spread(entries.select(pos.alias("pos"), "ID", "force", *fields, "doi"))
@@ -130,7 +134,7 @@ def verify(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     out = ["discrepancies", "corrections", "title_sim", "author_sim", "journal_sim"]
     why = F.when(F.col("exception"), F.concat(F.lit("No number: "), "year")).otherwise(F.col("reason"))
     done = matched.select("pos", F.col("ID").alias("id"), status.alias("status"), why.alias("reason"), *out)
-    lost = missed.join(titled.select("row"), "row", "left_anti").select("pos", F.col("ID").alias("id"), F.lit("not_found").alias("status"))
+    lost = missed.join(unsent(titled.select("row")), "row", "left_anti").select("pos", F.col("ID").alias("id"), F.lit("not_found").alias("status"))
     rest = lost.unionByName(e.where(skipped).select("pos", F.col("ID").alias("id"), F.lit("skipped").alias("status")))
     return done.unionByName(rest, allowMissingColumns=True)
 

@@ -32,17 +32,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
+def unsent(df: DataFrame) -> DataFrame:
+    """`df`, to be joined by a sort of both sides. Spark judges a side by the bytes of its files, which packed or exploded rows outgrow many times over, and would
+    send it whole through the driver to all tasks."""
+    return df.hint("merge")
+
+
 def write_bucketed(df: DataFrame, path: str, key: str, buckets: int) -> None:
     """`df` as a table at `path`, bucketed and sorted by `key`. Every bucket is one task's file."""
     (df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(_name(path)))
 
 
 def read_bucketed(spark: SparkSession, path: str, key: str, buckets: int) -> DataFrame:
-    """A table that write_bucketed() wrote, in any session: joins on `key` move the other side only."""
+    """A table that write_bucketed() wrote, in any session: joins on `key` move the other side only, and send neither to all tasks."""
     if not spark.catalog.tableExists(_name(path)):
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
         spark.sql(f"CREATE TABLE {_name(path)} ({columns}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) INTO {buckets} BUCKETS LOCATION '{path}'")
-    return spark.table(_name(path))
+    return unsent(spark.table(_name(path)))
 
 
 def publish(spark: SparkSession, path: str, write: Callable[[str], None], check: Callable[[], None] = lambda: None) -> None:

@@ -218,3 +218,35 @@ def test_titles_of_the_same_year_are_not_looked_up_by_letters(spark, monkeypatch
     rows = {x["id"]: x["status"] for x in verify.verify(entries, cat).collect()}
     assert sorted(asked) == ["a title of number 0", "a title of number 3"]
     assert rows["K1"] == "verified" and len(rows) == 6
+
+
+def test_parts_are_about_as_rare_and_marks_differ_no_more_than_bigrams():
+    """A word that all titles have at one place, like " on ", makes no part of its own, by which all would meet."""
+    r = random.Random(7)
+    rarity = [2.8] * 17 + [0.01] * 4 + [2.8] * 8
+    for d in range(4, 12):
+        bounds = titles.part_bounds(d, 29, rarity)
+        assert bounds[0] == 0 and bounds[-1] == 29 and len(bounds) == d + 2
+        assert all(sum(rarity[a:b]) > 2.5 for a, b in zip(bounds, bounds[1:]))
+        assert titles.part_bounds(d, 29, [1.0] * 29)[1:] > [0] and all(a < b for a, b in zip(bounds, bounds[1:]))
+    for _ in range(200):
+        a = "".join(r.choices("abc ", k=r.randint(1, 60)))
+        b = "".join(x for x in a if r.random() > 0.1) + "".join(r.choices("abc ", k=r.randint(1, 9)))
+        x, y = ({(t[i : i + 2], sum(t[j : j + 2] == t[i : i + 2] for j in range(i))) for i in range(len(t) - 1)} for t in (a, b))
+        assert sum(((p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(titles.marks(a), titles.marks(b))) <= len(x ^ y)
+
+
+def test_lookups_send_no_table_to_all_tasks(spark, kept, monkeypatch):
+    """Sides that are small as files grow when they are unpacked or exploded: none goes through the driver."""
+    from citegrain.operators import catalogue as c
+
+    plans = []
+    for module in (titles, verify, c):
+        plain = module.stored
+        monkeypatch.setattr(module, "stored", lambda df, name, plain=plain: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or plain(df, name))
+    rows, _ = kept
+    entries = spark.createDataFrame([(i, f"K{i}", None, f"Work number {'abcdefghij'[i % 10] * 6} or {i}", "B Lee", None, "2000", None, None, None, None if i % 2 else f"10.1/{i}") for i in range(8)], f"pos long, {ENTRY}")
+    done = verify.verify(entries, spark.createDataFrame(rows, CATALOGUE))
+    plans.append(("done", done._jdf.queryExecution().executedPlan().toString()))
+    assert {"met", "found", "titled", "open", "equal"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan and name in ("met", "found", "titled", "open", "equal", "known", "weights", "done")] == []
