@@ -63,10 +63,16 @@ def _share(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([share(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def author_share(a: Column, b: Column) -> Column:
+def normal_names(names: Column) -> Column:
+    """Surnames as they are compared; empty and null ones are null."""
+    return F.transform(names, lambda n: F.when(text(n) != "", normalise(n)))
+
+
+def author_share(a: Column, b: Column, x: Column | None = None, y: Column | None = None) -> Column:
     """Share of the surnames `a` that have a match of over 0.85 among `b`, of the longer list; 0 if either list is null or empty.
-    Names that normalise to nothing match each other; an empty or null name matches none. Equal lists need no helper."""
-    x, y = (F.transform(c, lambda n: F.when(text(n) != "", normalise(n))) for c in (a, b))
+    Names that normalise to nothing match each other; an empty or null name matches none. Equal lists need no helper.
+    `x`, `y`: their normal_names(), if at hand."""
+    x, y = normal_names(a) if x is None else x, normal_names(b) if y is None else y
     both = (F.coalesce(F.size(a), F.lit(0)) > 0) & (F.coalesce(F.size(b), F.lit(0)) > 0)
     same = (x == y) & ~F.array_contains(F.transform(a, text), F.lit(""))
     return F.when(~both, 0.0).when(same, 1.0).otherwise(_share(F.when(both & ~same, x), F.when(both & ~same, y)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrain.functions.names import last_words
-from citegrain.functions.similarity import author_share, bound, length_bound, normal_ratio
+from citegrain.functions.similarity import author_share, bound, length_bound, normal_names, normal_ratio
 from citegrain.functions.text import doi, normalise, text
 from citegrain.operators.catalogue import Catalogue, year_and_author
 from citegrain.sources.tables import spread, stored, unsent
@@ -84,9 +84,9 @@ def gates(df: DataFrame) -> DataFrame:
     """Scores, the reason of the first gate that fails (null: confident), and whether the last gate met a year that is no number."""
     # each text is normalised once for each row, in a step of its own: inside the ratios it would be worked out for every mention
     kept = df.columns
-    df = df.withColumns({"_names": last_words(F.col("author")), **{f"_{c}": normalise(F.col(c)) for c in ("title", "c_title", "journal", "c_journal")}})
+    df = df.withColumn("_names", last_words(F.col("author"))).withColumns({"_x": normal_names(F.col("_names")), "_y": normal_names(F.col("c_authors")), **{f"_{c}": normalise(F.col(c)) for c in ("title", "c_title", "journal", "c_journal")}})
     sim = lambda a, b: F.when((text(F.col(a)) == "") | (text(F.col(b)) == ""), 0.0).otherwise(normal_ratio(F.col(f"_{a}"), F.col(f"_{b}")))
-    df = df.select(*kept, sim("title", "c_title").alias("title_sim"), author_share(F.col("_names"), F.col("c_authors")).alias("author_sim"), sim("journal", "c_journal").alias("journal_sim"))
+    df = df.select(*kept, sim("title", "c_title").alias("title_sim"), author_share(F.col("_names"), F.col("c_authors"), F.col("_x"), F.col("_y")).alias("author_sim"), sim("journal", "c_journal").alias("journal_sim"))
     both = (text(F.col("journal")) != "") & (text(F.col("c_journal")) != "")
     apart = F.abs(F.col("year").try_cast("int") - F.col("c_year").try_cast("int"))
     said = lambda what, c: F.format_string(f"{what} similarity too low: %.2f%%", 100 * F.col(c))
@@ -120,7 +120,7 @@ def verify(entries: DataFrame, catalogue: DataFrame | Catalogue) -> DataFrame:
     verified. A DOI that the catalogue has decides alone; else the title is looked up. Every entry has one row, whatever its ID: repeated and null IDs
     are entries of their own. An empty table gives no rows; other columns aren't read.
     """
-    kept = catalogue if isinstance(catalogue, Catalogue) else Catalogue.of(stored(spread(catalogue), "records"))  # read three times, derived once
+    kept = catalogue if isinstance(catalogue, Catalogue) else Catalogue.of(stored(catalogue, "records"))  # read three times, derived once
     pos = F.col("pos") if "pos" in entries.columns else F.monotonically_increasing_id()
     fields = ("title", "author", "journal", "year", "volume", "number", "pages")
     e = spread(entries.select(pos.alias("pos"), "ID", "force", *fields, "doi"))

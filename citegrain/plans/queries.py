@@ -16,7 +16,7 @@ from citegrain.functions.words import Settings
 from citegrain.operators import diff, fixes, keys, lint, verify
 from citegrain.operators.catalogue import Catalogue
 from citegrain.sources import bibtex
-from citegrain.sources.tables import new_path
+from citegrain.sources.tables import new_path, spread
 
 _K = "p_partkey"
 
@@ -71,8 +71,10 @@ _FIELDS |= {"publisher": f"CASE WHEN {_K} % 6 = 1 THEN 'MIT press' END", "editor
 _OTHER = ("number", "booktitle")
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def entries(spark: SparkSession, sf_dir: str, spread_out: bool = False) -> DataFrame:
+    """The bibliography; spread out, it is derived over all cores, as a file of a few megabytes is one task's."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(part) if spread_out else part
     return part.select(*(F.expr(x).alias(c) for c, x in _FIELDS.items()), *(F.lit(None).cast("string").alias(c) for c in _OTHER))
 
 
@@ -86,7 +88,7 @@ _RARE = f"substr({_RARE}, 1, 8) || ' ' || substr({_RARE}, 9, 8) || ' on ' || sub
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bibliography with rare titles and a key for each entry."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread(spark.read.parquet(f"{sf_dir}/part.parquet"))
     own = {"ID": f"'K' || {_K}", "title": _RARE}
     return part.select(*(F.expr((_FIELDS | own)[c]).alias(c) for c in _FIELDS), *(F.lit(None).cast("string").alias(c) for c in _OTHER))
 
@@ -248,7 +250,7 @@ def doi_matches(spark, sf_dir):
 
 
 def verification(spark, sf_dir):
-    e = entries(spark, sf_dir).withColumn("ID", F.concat("ID", F.lit("-"), "pos"))
+    e = entries(spark, sf_dir, spread_out=True).withColumn("ID", F.concat("ID", F.lit("-"), "pos"))
     found = verify.verify(e, catalogue(e))
     return found.withColumn("corrections", F.to_json("corrections"))
 
