@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from citegrain.llm.common import chunks, new_table, stored
+from citegrain.llm.common import chunks, give_back, new_table, stored
 from citegrain.llm.tokens import encoder
 
 #: Longest code in bits; the decoding table has 2**LONGEST entries.
@@ -26,6 +26,8 @@ BLOCK_IDS = 1 << 16
 STEP = 256
 #: Documents of a range of doc_ids, and the most ranges there are (a bound on what the driver holds).
 RANGE_DOCS, RANGES = 3000, 20_000
+#: Documents whose ids are counted at once.
+TOGETHER = 64
 
 _ENCODED = "part long, doc_id long, n_tokens long, ids binary"
 _BLOCK = "part long, block int, start long, doc_ids array<long>, lengths array<long>, marks binary, bits binary"
@@ -140,9 +142,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     that fills several ranges by a hash of their ids."""
     bounds, heavy = ranges(docs)
 
-    def part_of(key: int | None, ids: bytes) -> int:
-        at = 0 if key is None else 1 + int(np.searchsorted(bounds, key, "right"))
-        return at * SPLIT + (xxhash.xxh3_64_intdigest(ids) % heavy[key] if key in heavy else 0)
+    def parts_of(keys: list[int | None], ids: list[bytes]) -> list[int]:
+        at = 1 + np.searchsorted(bounds, np.array([0 if k is None else k for k in keys], np.int64), "right")
+        return [(0 if k is None else a) * SPLIT + (xxhash.xxh3_64_intdigest(x) % heavy[k] if k in heavy else 0) for k, a, x in zip(keys, at.tolist(), ids)]
 
     def run(batches):
         tool = encoder(tokenizer)
@@ -154,20 +156,30 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                 ids = [x + end for x in tool.ids(texts)]
                 own = keys.slice(at, len(texts))
                 at += len(texts)
-                part = [part_of(k, x) for k, x in zip(own.to_pylist(), ids)]
+                part = parts_of(own.to_pylist(), ids)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), own.cast(pa.int64()), pa.array([len(x) // tool.width for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["part", "doc_id", "n_tokens", "ids"])
+        give_back()
 
     return stored(docs.select("doc_id", "text").mapInArrow(run, _ENCODED), "ids")
 
 
+def counted(held: list[bytes], size: int, width: int) -> np.ndarray:
+    """Occurrences of each id in some documents. They are counted together, `TOGETHER` at a time: each count fills a row as long as the vocabulary."""
+    total = np.zeros(size, np.int64)
+    for i in range(0, len(held), TOGETHER):
+        total += np.bincount(np.frombuffer(b"".join(held[i : i + TOGETHER]), f"<u{width}"), minlength=size)
+    return total
+
+
 def id_counts(encoded: DataFrame, size: int, width: int) -> np.ndarray:
     """Occurrences of each id over all documents; every task sends one row for each id that it has seen."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), f"<u{width}"), minlength=size)
+            for i in range(0, batch.num_rows, 16 * TOGETHER):  # a batch of long documents isn't held twice
+                total += counted(batch.column("ids").slice(i, 16 * TOGETHER).to_pylist(), size, width)
+        give_back()
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
 

@@ -595,3 +595,15 @@ def test_near_duplicates_stage_keeps_one_row_of_each_group(spark):
     got = [tuple(r) for r in corpus_pipeline.one_of_each(spark, docs, "").select("doc_id", "text").collect()]
     assert sorted(got, key=str) == sorted([(8, a.upper()), (5, b), (None, c), (8, got_d := next(x for k, x in got if k == 8 and x.startswith(d)))], key=str)
     assert got_d in (d, d + " more")
+
+
+def test_ids_of_many_documents_are_counted_together(monkeypatch):
+    """Each count fills a row as long as the vocabulary, which took longer than the ids of a document."""
+    r = np.random.default_rng(3)
+    held = [r.integers(0, 500, r.integers(0, 40)).astype("<u2").tobytes() for _ in range(1000)]
+    calls, plain = [], np.bincount
+    monkeypatch.setattr(binary.np, "bincount", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    found = binary.counted(held, 500, 2)
+    assert len(calls) <= 1 + 1000 // binary.TOGETHER
+    assert found.tolist() == plain(np.frombuffer(b"".join(held), "<u2"), minlength=500).tolist()
+    assert binary.counted([], 5, 4).tolist() == [0] * 5
