@@ -70,8 +70,26 @@ BROADCAST_KEYS = 100_000
 def spread_join(many: DataFrame, one: DataFrame, key: str, counted: DataFrame | None = None) -> DataFrame:
     """Inner join on `key` of a table with many rows of a key and one with one row of a key. Keys of over HUB rows (in `counted`, else in
     `many`) are counted first; their rows are dealt by a hash of the whole row, and `one` has a copy for each part."""
-    hubs = checkpointed((many if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HUB).select(key, F.ceil(F.col("_n") / HUB).cast("int").alias("_parts")))
-    n = hubs.count()
+    counts = (many if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hubs = checkpointed(counts.where(is_hub()).select(key, _parts()))
+    return _dealt_join(many, one, key, hubs, hubs.count())
+
+
+def counted_join(many: DataFrame, one: DataFrame, key: str, n: int) -> DataFrame:
+    """spread_join where `one` brings the rows that `many` has of each key, in `_n`; of its keys n are hubs. Nothing is counted again."""
+    return _dealt_join(many, one.drop("_n"), key, one.where(is_hub()).select(key, _parts()), n)
+
+
+def is_hub() -> Column:
+    """Whether a key has `_n` rows too many for one place."""
+    return F.col("_n") > HUB
+
+
+def _parts() -> Column:
+    return F.ceil(F.col("_n") / HUB).cast("int").alias("_parts")
+
+
+def _dealt_join(many: DataFrame, one: DataFrame, key: str, hubs: DataFrame, n: int) -> DataFrame:
     if not n:
         return many.join(one, key)
     hubs = F.broadcast(hubs) if n <= BROADCAST_KEYS else hubs

@@ -202,7 +202,7 @@ def similar_forest(prints: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]
 def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool = False) -> DataFrame:
     """Distinct links (a, b) of nodes (node, fp, n, keys) that meet and are within the radius.
 
-    sets: nodes also have `s` (their shingle set) and `side`, and links have the similarity and join two sides.
+    sets: nodes also have `s` (their shingle set) and `side`; links have the similarity and are those of the sides that they join.
     """
     extra = ["s", "side"] if sets else []
     slim = nodes.select("node", "n", F.explode("keys").alias("key"))
@@ -225,7 +225,8 @@ def candidates(nodes: DataFrame, similarity: float, tile: int = TILE, sets: bool
                 ids, prints, sizes, *more = zip(*held)
                 prints, sizes = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), np.array(sizes)
                 found = similar_forest(prints, sizes, *more, similarity) if more else forest(prints, sizes, similarity)
-                ready.extend((min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in found)
+                named = more[1] if more else ids
+                ready.extend((min(named[i], named[j]), max(named[i], named[j])) for i, j in found)
 
         for pdf in batches:
             rows = zip(*(pdf[c].tolist() for c in (*place, "node", "fp", "n", *extra)))
@@ -267,25 +268,26 @@ def shingle_sets(need: DataFrame, docs: DataFrame, text: str, key: str, shingle:
     return texts.groupBy("node").agg(F.min("t").alias("t")).select("node", set_of("t").alias("s"))
 
 
-def similar_links(nodes: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the nodes (node, least, fp, n, keys) that join all that links of the similarity join."""
+def similar_roots(nodes: DataFrame, docs: DataFrame, text: str, key: str, shingle: int, similarity: float) -> DataFrame:
+    """(node, root): the least of those of the nodes (node, least, fp, n, keys) that links of the similarity reach, for each that has any link.
+
+    Sides are what tested links join. Sides that a link which falls short has an end in meet again, and links found there join whole sides."""
     loose = stored(candidates(nodes, similarity), "links")
-    need = loose.select(F.col("a").alias("node")).unionByName(loose.select(F.col("b").alias("node"))).distinct()
+    need = loose.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = stored(shingle_sets(nodes.select("node", "least").join(need, "node"), docs, text, key, shingle), "sets")
     both = spread_join(loose, sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a")
     both = spread_join(both, sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b", counted=loose)
     shared = F.size(F.array_intersect("x", "y"))
     tested = stored(both.select("a", "b", (shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).alias("good")), "tested")
-    good = tested.where("good").select("a", "b")
-
-    around = components(loose.select("a", "b"))
-    around = stored(around.unionByName(around.select(F.col("root").alias("node"), "root")).distinct(), "around")
-    short = tested.where("NOT good").select(F.col("a").alias("node")).distinct()
-    short = around.join(short, "node").select("root").distinct()
-    sides = components(good).withColumnRenamed("root", "side")
-    again = around.join(short, "root", "left_semi").select("node").join(sides, "node", "left").select("node", F.coalesce("side", "node").alias("side"))
+
+    sides = components(tested.where("good").select("a", "b")).withColumnRenamed("root", "side")
+    sides = stored(sets.select("node").join(sides, "node", "left").select("node", F.coalesce("side", "node").alias("side")), "sides")
+    short = tested.where("NOT good").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    short = sides.join(short, "node").select("side").distinct()
+    again = sides.join(short, "side", "left_semi").select("node", "side")
     again = stored(again.join(nodes.select("node", "fp", "n", "keys"), "node").join(sets, "node"), "again")
-    return good.unionByName(candidates(again, similarity, sets=True))
+    joined = components(candidates(again, similarity, sets=True)).withColumnRenamed("node", "side")
+    return sides.join(joined, "side", "left").select("node", F.coalesce("root", "side").alias("root"))
 
 
 def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -298,7 +300,7 @@ def near_copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shi
     with batch_rows(docs.sparkSession, SET_ROWS):
         prints = stored(docs.select(F.col(f"`{key}`").alias("k"), sketches(F.col(f"`{text}`"), shingle).alias("p")).select("k", "p.*"), "sketches")
         nodes = stored(prints.groupBy("node").agg(F.min("k").alias("least"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("keys").alias("keys")), "nodes")
-        roots = components(similar_links(nodes, docs, text, key, shingle, similarity))
+        roots = similar_roots(nodes, docs, text, key, shingle, similarity)
     rooted = stored(nodes.select(F.col("node").alias("n"), "least").join(roots, F.col("n") == F.col("node"), "left").select("n", "least", F.coalesce("root", "n").alias("root")), "rooted")
     linked = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(linked, "root").select(F.col("n").alias("node"), "component_id")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from citegrain.llm.common import BROADCAST_KEYS, checkpointed, spread_join, stored
+from citegrain.llm.common import BROADCAST_KEYS, checkpointed, counted_join, is_hub, stored
 
 BITS = 64
 #: Nodes that are compared all with all; more are first split by bands of the bits that they don't share.
@@ -181,22 +181,22 @@ def _split(met: DataFrame, large: DataFrame, free) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b): the least node of its component, by large-star and small-star steps. The links
-    of a star's centre are joined with its least neighbour in parts."""
+    """(node, root) for every node of the links (a, b) but the roots: the least node of its component, by large-star and small-star steps. The
+    links of a star's centre are joined with its least neighbour in parts; each node's neighbours are counted as the least is found, which tells
+    centres, and the end: every node with a lesser neighbour has no other."""
     edges = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
+    counts = (F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = checkpointed(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = checkpointed(small.where("u <> v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        both = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+        least = checkpointed(both.groupBy("u").agg(*counts))
+        unlike, hubs = least.agg(F.count_if(F.expr("m < u AND _n > 1")), F.count_if(is_hub())).first()
+        if not unlike:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        large = counted_join(both, least.withColumn("m", F.least("m", "u")), "u", hubs).where("v > u")
+        large = checkpointed(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = checkpointed(large.groupBy("u").agg(*counts))
+        small = counted_join(large, least, "u", least.where(is_hub()).count())
+        edges = checkpointed(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct())
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", shingle: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:

@@ -128,3 +128,57 @@ def test_hubs_are_joined_in_parts(spark, monkeypatch):
     star = [(0, i) for i in range(1, 40)] + [(i, i + 100) for i in range(1, 10)] + [(500, 501)]
     roots = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(star, "a long, b long")).collect()}
     assert roots == {i: 0 for i in range(1, 40)} | {i + 100: 0 for i in range(1, 10)} | {501: 500}
+
+
+def jobs(spark, run):
+    """What `run` gives, and the Spark jobs that it starts."""
+    from uuid import uuid4
+
+    group = uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rounds_end_as_soon_as_links_are_stars(spark):
+    """Another round to see that nothing changes would take some twenty jobs, each of as many tasks as there are partitions."""
+    from citegrain.llm import simhash
+
+    links = spark.createDataFrame([(i // 10 * 10, i) for i in range(100)], "a long, b long")
+    found, n = jobs(spark, lambda: simhash.components(links).collect())
+    assert {r["node"]: r["root"] for r in found} == {i: i // 10 * 10 for i in range(100) if i % 10} and n <= 8
+    found, n = jobs(spark, lambda: simhash.components(links.limit(0)).collect())
+    assert found == [] and n <= 8
+
+
+@pytest.mark.parametrize("hub", [2, 512])
+def test_components_of_random_links(spark, monkeypatch, hub):
+    from citegrain.llm import common, simhash
+
+    monkeypatch.setattr(common, "HUB", hub)
+    links = np.random.default_rng(hub).integers(0, 300, (220, 2)).tolist() + [[i, i + 1] for i in range(400, 440)] + [[7, 7], [450, 460], [460, 450], [450, 460]]
+    root = {x: x for pair in links for x in pair}
+    for _ in range(len(root)):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = simhash.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted((a, b) for a, b in root.items() if a != b)
+
+
+def test_links_that_fall_short_do_not_part_what_others_join(spark, monkeypatch):
+    """The forest's links are made to fall short wherever others could take their place: sides meet again, and whole sides are joined."""
+    plain = copies.forest
+
+    def far_first(prints, sizes, similarity):
+        links = plain(prints, sizes, similarity)
+        nodes = sorted({x for pair in links for x in pair})
+        return links[::2] + [(nodes[0], x) for x in nodes[1:]]
+
+    texts = [x for seed in range(4) for x in family(seed, 60, 9, 9)]
+    want = brute(texts)
+    monkeypatch.setattr(copies, "forest", far_first)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in copies.near_copies(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want
