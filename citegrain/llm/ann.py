@@ -1,13 +1,10 @@
 """Approximate nearest neighbours by inner product on robust-pruned directed graphs.
 
 Distinct vectors are dealt to shards by their norms, and by a hash among equal ones: where norms differ, a graph of all of them finds few
-of the greatest inner products, as long vectors are near to everything. Each shard is one graph: vectors enter in batches, a greedy beam search over the
-graph so far proposes neighbours, and relaxed distance pruning keeps the diverse ones (a candidate goes if some kept neighbour is
-ALPHA times nearer to it than the vector is). Queries search every shard by beam search, in blocks; all searches of a block
+of the greatest inner products, as long vectors are near to everything. Each shard is one graph. A vector's candidates are its nearest of the shard and,
+for the long steps, its nearest of a random sixteenth; relaxed distance pruning keeps the diverse ones (a candidate goes if some kept neighbour is
+ALPHA times nearer to it than the vector is), and half of the neighbours are linked back. Queries search every shard by beam search, in blocks; all searches of a block
 take their steps side by side. Vectors get one more component, so that a greater inner product is a smaller distance.
-
-Recall of the 20 nearest is least in the band of the longest vectors, which holds most of the nearest: on the longest 16,384 of 196,608 Gaussian vectors of 64
-components it is 0.92 with a beam of 256 (it is 288), where 32 neighbours instead of 48 gave 0.87; other bands and vectors of one norm do better.
 """
 
 from __future__ import annotations
@@ -22,112 +19,167 @@ from pyspark.sql import functions as F
 
 from citegrain.llm.common import stored
 
-DEGREE, BEAM, ALPHA, BATCH = 48, 64, 1.2, 512
-#: Beam of a search for queries.
-SEARCH = 288
-#: Distinct vectors of a shard, about; a small table still has LEAST_SHARDS, for as many tasks. Bands of norms, at most.
-SHARD_ROWS, LEAST_SHARDS, BANDS = 16_384, 12, 64
+#: Neighbours of a vector: of its NEAR nearest, of the LONG nearest of one vector in SAMPLE (FAR of them), and back links.
+DEGREE, NEAR, LONG, FAR, SAMPLE, ALPHA = 48, 64, 16, 6, 16, 1.2
+#: Beam of a search for queries on a full shard; smaller ones need less, as the square root of their size, LEAST_BEAM at least.
+SEARCH, LEAST_BEAM = 256, 96
+#: Where searches start: the best FIRST of so many vectors, all looked at. Nodes of a beam that one step opens.
+STARTS, FIRST, WIDTH = 2048, 32, 8
+#: Vectors looked up at once.
+BLOCK = 256
+#: Distinct vectors of a shard, about, of up to 64 components; of longer ones the shard's numbers count, down to LONG_ROWS. A small table still has
+#: LEAST_SHARDS, for as many tasks. Bands of norms, at most.
+SHARD_ROWS, LONG_ROWS, LEAST_SHARDS, BANDS = 65_536, 16_384, 12, 64
 #: Distinct queries that search a shard in one task; so many that sending them costs about as much as sending the graph to them.
 QUERY_BLOCK = 1 << 17
+#: Few shards are searched by about so many tasks, if each has LEAST_BLOCK queries.
+LEAST_TASKS, LEAST_BLOCK = 24, 1 << 13
+_NONE = np.int64(2**63 - 1)
+
+
+def _greatest(score: np.ndarray, k: int) -> np.ndarray:
+    """The columns of the k greatest of each row (all, if there are fewer), greatest first."""
+    at = np.argpartition(-score, k - 1, axis=1)[:, :k] if k < score.shape[1] else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    return np.take_along_axis(at, (-np.take_along_axis(score, at, 1)).argsort(axis=1, kind="stable"), 1)
+
+
+def _padded(row: np.ndarray, value: np.ndarray, rows: int, fill: np.generic) -> np.ndarray:
+    """The values of each row (in order) side by side, and `fill`."""
+    count = np.bincount(row, minlength=rows)
+    out = np.full((rows, int(count.max(initial=0))), fill, value.dtype)
+    out[row, np.arange(len(row)) - (np.cumsum(count) - count)[row]] = value
+    return out
+
+
+def _keys(far: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """Distances and nodes as whole numbers of the same order; the lowest bit is for whether the node was opened."""
+    return (np.maximum(far, 0).astype(np.float32).view(np.int32).astype(np.int64) << 32) | (node.astype(np.int64) << 1)
 
 
-def _beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, start: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Beam search of all queries side by side: their nearest nodes (row by row, padded with -1) and squared distances."""
+def _beam(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, starts: np.ndarray, beam: int) -> np.ndarray:
+    """Beam search of all queries side by side, for the greatest inner products: the nodes found, best first (row by row, padded with -1)."""
     m, n = len(queries), len(x)
-    ids = np.full((m, beam), -1)
-    far = np.full((m, beam), np.inf, np.float32)
-    done = np.ones((m, beam), bool)
-    ids[:, 0], done[:, 0] = start, False
-    far[:, 0] = ((queries - x[start]) ** 2).sum(axis=1)
-    seen = np.zeros((m, n), bool)
-    seen[:, start] = True
+    # the greatest product there can be, less the product, is a distance
+    most = np.sqrt(np.einsum("ij,ij->i", queries, queries) * np.einsum("ij,ij->i", x, x).max()) * np.float32(1.0001)
+    product = queries @ x[starts].T
+    first = _greatest(product, min(beam, FIRST))
+    held = np.full((m, beam), _NONE)
+    held[:, : first.shape[1]] = _keys(most[:, None] - np.take_along_axis(product, first, 1), starts[first])
+    seen = np.zeros(m * n, bool)
+    seen[(np.arange(m)[:, None] * n + starts[first]).ravel()] = True
+    found = np.full((m, beam), _NONE)
     live = np.arange(m)
     while len(live):
-        at = np.where(done[live], np.inf, far[live]).argmin(axis=1)
-        more = ~done[live, at]
-        live, at = live[more], at[more]
-        if not len(live):
-            break
-        done[live, at] = True
-        near = graph[ids[live, at]]
-        new = near >= 0
-        new[new] = ~seen[np.repeat(live, new.sum(axis=1)), near[new]]
-        row, _ = np.nonzero(new)
-        node = near[new]
-        seen[live[row], node] = True
-        d = np.full(near.shape, np.inf, np.float32)
-        q = queries[live[row]]
-        d[new] = np.einsum("ij,ij->i", q - x[node], q - x[node])
-        both_d, both_i = np.concatenate([far[live], d], axis=1), np.concatenate([ids[live], np.where(new, near, -1)], axis=1)
-        both_done = np.concatenate([done[live], ~new], axis=1)
-        best = np.argpartition(both_d, beam - 1, axis=1)[:, :beam]
-        far[live], ids[live], done[live] = (np.take_along_axis(a, best, 1) for a in (both_d, both_i, both_done))
-    order = far.argsort(axis=1, kind="stable")
-    return np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-
-
-def _prune(x: np.ndarray, points: np.ndarray, near: np.ndarray, far: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Robust pruning of many points side by side; `near` is sorted by distance, -1 or infinite at the end."""
-    alive = (near >= 0) & np.isfinite(far) & (near != points[:, None])
-    kept = np.full((len(points), degree), -1)
-    vectors = x[np.maximum(near, 0)]
+        closed = (held & 1) == 1
+        opened, at = [], []
+        for _ in range(WIDTH):
+            best = closed.argmin(axis=1)
+            rows = np.flatnonzero(~closed[np.arange(len(live)), best])
+            best = best[rows]
+            opened.append(rows)
+            at.append(held[rows, best])
+            closed[rows, best] = True
+            held[rows, best] |= 1
+        row, node = np.concatenate(opened), (np.concatenate(at) & 0xFFFFFFFF) >> 1
+        near = graph.take(node, axis=0)
+        place = ((live * n)[row][:, None] + near).ravel()
+        near = near.ravel()
+        new = np.flatnonzero((near >= 0) & ~seen.take(place, mode="wrap"))
+        seen[place[new]] = True
+        row, near = row.take(new // graph.shape[1]), near.take(new)
+        far = _keys(most[live].take(row) - np.einsum("ij,ij->i", queries[live].take(row, axis=0), x.take(near, axis=0)), near)
+        better = np.flatnonzero(far < held[:, -1].take(row))
+        row, far = row.take(better), far.take(better)
+        turn = row.argsort(kind="stable")
+        both = np.concatenate([held, _padded(row[turn], far[turn], len(live), _NONE)], axis=1)
+        both.sort(axis=1)
+        twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != _NONE)  # two nodes opened at once share neighbours
+        if twice.any():
+            both[:, 1:][twice] = _NONE
+            both.sort(axis=1)
+        held = np.ascontiguousarray(both[:, :beam])
+        going = ((held & 1) == 0).any(axis=1)
+        if not going.all():
+            found[live[~going]] = held[~going]
+            held, live = held[going], live[going]
+    return np.where(found != _NONE, (found & 0xFFFFFFFF) >> 1, -1)
+
+
+def _prune(x: np.ndarray, points: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+    """Robust pruning of many points side by side; `near` is sorted by distance, -1 at the end."""
+    kept = np.full((len(points), degree), -1, np.int32)
+    if not near.shape[1]:
+        return kept
+    alive = near >= 0
+    v = x[np.maximum(near, 0)]
+    size = np.einsum("ijk,ijk->ij", v, v)
+    apart = size[:, :, None] + size[:, None] - 2 * (v @ v.transpose(0, 2, 1))
+    far = ((v - x[points][:, None]) ** 2).sum(axis=2)
     rows = np.arange(len(points))
     for k in range(degree):
-        some = alive.any(axis=1)
+        first = alive.argmax(axis=1)
+        some = alive[rows, first]
         if not some.any():
             break
-        first = alive.argmax(axis=1)
-        kept[some, k] = near[rows, first][some]
-        d = ((vectors - vectors[rows, first][:, None]) ** 2).sum(axis=2)
-        alive &= alpha * alpha * d > far
+        kept[:, k] = np.where(some, near[rows, first], -1)
+        alive &= alpha * alpha * apart[rows, first] > far
         alive[rows, first] = False
     return kept
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
-    """The graph (rows of out-neighbours, padded with -1) and the node where searches start."""
+def _nearest(score: np.ndarray, near: int, sample: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `near` greatest columns of each row, and the LONG greatest of the first `sample` columns; greatest first, -1 for what is minus infinity.
+
+    In long rows only what exceeds a limit is sorted: the sample's, below which about twice as many as needed lie; rows where they are too few are sorted whole.
+    """
+    m, n = score.shape
+    long = _greatest(score[:, :sample], LONG)
+    if n > SAMPLE * NEAR:
+        limit = np.take_along_axis(score, long[:, 2 * near // SAMPLE - 1 : 2 * near // SAMPLE], 1)
+        row, column = np.divmod(np.flatnonzero(score > limit), n)
+        best = _padded(row, column, m, np.int64(-1))
+        few = (best >= 0).sum(axis=1) < near
+        value = np.where(best >= 0, np.take_along_axis(score, np.maximum(best, 0), 1), -np.inf)
+        lists = np.full((m, near), -1)
+        if not few.all():
+            lists[~few] = np.take_along_axis(best, _greatest(value, near), 1)[~few]
+        if few.any():
+            lists[few] = _greatest(score[few], near)
+    else:
+        lists = _greatest(score, near)
+    return tuple(np.where(np.isfinite(np.take_along_axis(score, at, 1)), at, -1) for at in (lists, long))
+
+
+def build(x: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The graph (rows of out-neighbours, padded with -1) and the nodes where searches start."""
     n = len(x)
-    start = int(((x - x.mean(axis=0)) ** 2).sum(axis=1).argmin()) if n else 0
-    graph = np.full((n, degree), -1)
-    order = np.random.default_rng(seed).permutation(n)
-    order = np.concatenate([[start], order[order != start]]) if n else order
-    at = min(1, n)
-    while at < n:
-        batch = order[at : at + min(BATCH, max(1, at))]
-        at += len(batch)
-        near, far = _beam(x, graph, x[batch], start, beam)
-        # the batch's own vectors are neighbours too
-        own = ((x[batch][:, None] - x[batch][None]) ** 2).sum(axis=2) if len(batch) <= 64 else np.maximum((x[batch] ** 2).sum(axis=1)[:, None] + (x[batch] ** 2).sum(axis=1)[None] - 2 * x[batch] @ x[batch].T, 0)
-        np.fill_diagonal(own, np.inf)
-        best = np.argsort(own, axis=1, kind="stable")[:, : min(len(batch), degree)]
-        near = np.concatenate([near, batch[best]], axis=1)
-        far = np.concatenate([far, np.take_along_axis(own, best, 1)], axis=1)
-        turn = far.argsort(axis=1, kind="stable")
-        graph[batch] = _prune(x, batch, np.take_along_axis(near, turn, 1), np.take_along_axis(far, turn, 1), degree, alpha)
-        # and back
-        source = np.repeat(batch, degree)[graph[batch].ravel() >= 0]
-        target = graph[batch].ravel()[graph[batch].ravel() >= 0]
-        turn = np.argsort(target, kind="stable")
-        source, target = source[turn], target[turn]
-        nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-        for i in range(0, len(nodes), 1024):
-            some, most = nodes[i : i + 1024], int(count[i : i + 1024].max())
-            slot = first[i : i + 1024, None] + np.arange(most)
-            inside = np.arange(most) < count[i : i + 1024, None]
-            add = np.where(inside, source[np.minimum(slot, len(source) - 1)], -1)
-            add = np.where((add[:, :, None] == graph[some][:, None]).any(axis=2), -1, add)
-            near = np.concatenate([graph[some], add], axis=1)
-            room = (near >= 0).sum(axis=1) <= degree
-            packed = np.take_along_axis(near, (near < 0).argsort(axis=1, kind="stable"), 1)[:, :degree]
-            graph[some[room]] = packed[room]
-            full = some[~room]
-            if len(full):
-                near = near[~room]
-                d = ((x[np.maximum(near, 0)] - x[full][:, None]) ** 2).sum(axis=2)
-                d[near < 0] = np.inf
-                turn = d.argsort(axis=1, kind="stable")
-                graph[full] = _prune(x, full, np.take_along_axis(near, turn, 1), np.take_along_axis(d, turn, 1), degree, alpha)
-    return graph.astype(np.int32), start
+    turn = np.random.default_rng(seed).permutation(n)
+    x = np.ascontiguousarray(x[turn], np.float32)
+    half_square = np.einsum("ij,ij->i", x, x) / 2
+    sample = -(-n // SAMPLE)
+    own, long = np.full((n, degree - FAR), -1, np.int32), np.full((n, FAR), -1, np.int32)
+    for i in range(0, n, BLOCK):
+        points = np.arange(i, min(n, i + BLOCK))
+        score = x[points] @ x.T
+        score -= half_square
+        score[points - i, points] = -np.inf
+        nearest, spread = _nearest(score, min(NEAR, n - 1), sample)
+        own[points], long[points] = _prune(x, points, nearest, degree - FAR, alpha), _prune(x, points, spread, FAR, alpha)
+    # back links, from those that rank the node best; what room is left goes to the node's own further neighbours
+    half = degree // 2
+    source, rank = np.nonzero(own >= 0)
+    target = own[source, rank].astype(np.int64)
+    known = ~np.isin(target * n + source, (source * n + target)[rank < half])
+    source, rank, target = source[known], rank[known], target[known]
+    turned = np.lexsort((rank, target))
+    source, target = source[turned].astype(np.int32), target[turned]
+    fits = np.arange(len(target)) - np.searchsorted(target, target) < degree - half - FAR
+    back = _padded(target[fits], source[fits], n, np.int32(-1))
+    links = np.concatenate([own[:, :half], long, back, own[:, half:]], axis=1)
+    links = np.take_along_axis(links, (links < 0).argsort(axis=1, kind="stable"), 1)[:, :degree]
+    graph = np.empty_like(links)
+    graph[turn] = np.where(links >= 0, turn[np.maximum(links, 0)], -1)
+    return graph, turn[: min(sample, STARTS)]
 
 
 def _lifted(x: np.ndarray, top: float) -> np.ndarray:
@@ -155,7 +207,9 @@ def index(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
     few = vectors.withColumn("again", again).where(F.col("again") <= k)  # each task sends k rows of a key at most
     few = few.withColumn("rank", F.dense_rank().over(Window.partitionBy("node").orderBy("key"))).where(F.col("rank") <= k + 1)
     members = stored(few.groupBy("node").agg(F.first("v").alias("v"), F.first("dim").alias("dim"), F.sort_array(F.collect_list("key")).alias("keys")), "members")
-    shards = max(LEAST_SHARDS, -(-members.count() // SHARD_ROWS))
+    n, numbers = members.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("dim").cast("long")), F.lit(0))).first()
+    rows = min(SHARD_ROWS, max(LONG_ROWS, 64 * SHARD_ROWS * n // max(1, numbers)))
+    shards = max(LEAST_SHARDS, -(-n // rows))
     bands = min(BANDS, shards)
     each = -(-shards // bands)
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
@@ -168,22 +222,30 @@ def index(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
         pdf = pdf.sort_values("node")
         x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
         top = float(np.sqrt((x * x).sum(axis=1).max()))
-        links, start = build(_lifted(x, top))
-        return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "start": [start], "top": [top], "x": [x.tobytes()], "graph": [links.tobytes()], "nodes": [pdf["node"].tolist()], "least": [pdf["least"].tolist()]})
+        links, starts = build(_lifted(x / top, 1.0))
+        narrow = x.astype(np.float32)
+        x = narrow if (narrow == x).all() else x
+        return pd.DataFrame({"shard": [key[0]], "dim": [key[1]], "starts": [starts.tolist()], "top": [top], "x": [x.tobytes()], "graph": [links.tobytes()], "nodes": [pdf["node"].tolist()], "least": [pdf["least"].tolist()]})
 
     dealt = members.select("node", "v", "dim", F.col("keys")[0].cast("long").alias("least"), norm.alias("norm"))
     dealt = dealt.withColumns({"below": below, "upto": upto}).withColumn("shard", shard).drop("norm", "below", "upto")
-    built = dealt.groupBy("shard", "dim").applyInPandas(graph, "shard int, dim int, start int, top double, x binary, graph binary, nodes array<string>, least array<long>")
+    built = dealt.repartitionById(shards, F.col("shard")).groupBy("shard", "dim").applyInPandas(graph, "shard int, dim int, starts array<int>, top double, x binary, graph binary, nodes array<string>, least array<long>")
     return stored(built, "graphs"), members, shards
 
 
+def _width(rows: int, beam: int) -> int:
+    """The beam for a shard of so many rows, where `beam` is that for a full one."""
+    return max(min(beam, LEAST_BEAM), int(beam * min(1.0, rows / SHARD_ROWS) ** 0.5))
+
+
 def _found(shard: dict, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, node, score) of the k + 1 nearest nodes of a shard for each of the queries."""
     x, lifted, links = shard["x"], shard["lifted"], shard["links"]
-    near, _ = _beam(lifted, links, np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32), shard["start"], max(beam, k + 1))
+    ahead = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+    near = _beam(lifted, links, np.concatenate([ahead, np.zeros((len(q), 1))], axis=1).astype(np.float32), shard["start"], max(beam, k + 1))
     r, c = np.nonzero(near >= 0)
     node = near[r, c]
-    score = np.einsum("ij,ij->i", q[r], x[node])
+    score = np.einsum("ij,ij->i", q.take(r, axis=0), x.take(node, axis=0))
     turn = np.lexsort((shard["least"][node], -score, r))
     r, node, score = r[turn], node[turn], score[turn]
     place = np.arange(len(r)) - np.searchsorted(r, r)
@@ -197,10 +259,11 @@ def search(shards: DataFrame, members: DataFrame, queries: DataFrame, k: int, be
     of a block stream past every shard; hits carry the query's number, not its vector.
     """
     distinct = stored(queries.groupBy("node").agg(F.first("v").alias("v"), F.first("dim").alias("dim")).withColumn("q", F.monotonically_increasing_id()), "queries")
-    blocks = max(1, -(-distinct.count() // QUERY_BLOCK))
+    n, last = distinct.count(), shards.agg(F.max("shard")).first()[0] or 0
+    blocks = max(1, -(-n // QUERY_BLOCK), min(-(-LEAST_TASKS // (last + 1)), n // LEAST_BLOCK))
     each = distinct.select("q", "v", "dim", F.pmod("q", F.lit(blocks)).cast("int").alias("block"))
     place = shards.select("dim", "shard").join(each.select("dim", "block").distinct(), "dim")
-    graphs = place.join(shards, ["dim", "shard"]).select("dim", "shard", "block", F.lit(-1).cast("long").alias("q"), F.lit(None).cast("array<double>").alias("v"), "start", "top", "x", "graph", "nodes", "least")
+    graphs = place.join(shards, ["dim", "shard"]).select("dim", "shard", "block", F.lit(-1).cast("long").alias("q"), F.lit(None).cast("array<double>").alias("v"), "starts", "top", "x", "graph", "nodes", "least")
     asked = shards.select("dim", "shard").join(each, "dim").select("dim", "shard", "block", "q", "v")
 
     def run(batches):
@@ -212,16 +275,16 @@ def search(shards: DataFrame, members: DataFrame, queries: DataFrame, k: int, be
             for i, j in zip(cuts, cuts[1:]):
                 if i < j and q[i] < 0:
                     row = batch.slice(i, 1).to_pylist()[0]
-                    x = np.frombuffer(row["x"]).reshape(-1, row["dim"])
-                    shard = {"x": x, "lifted": _lifted(x, row["top"]), "links": np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), "start": row["start"], "nodes": np.array(row["nodes"], object), "least": np.array(row["least"], np.int64)}
+                    x = np.frombuffer(row["x"], np.float32 if len(row["x"]) == 4 * row["dim"] * len(row["nodes"]) else np.float64).reshape(-1, row["dim"]).astype(np.float64)
+                    shard = {"x": x, "lifted": _lifted(x / row["top"], 1.0), "links": np.frombuffer(row["graph"], np.int32).reshape(len(x), -1), "start": np.array(row["starts"], np.int64), "nodes": np.array(row["nodes"], object), "least": np.array(row["least"], np.int64)}
                     i += 1
-                for a in range(i, j, BATCH):
-                    b = min(j, a + BATCH)
+                for a in range(i, j, BLOCK):
+                    b = min(j, a + BLOCK)
                     some = np.array(v.slice(a, b - a).flatten(), np.float64).reshape(-1, dim[a])
-                    r, node, score = _found(shard, some, k, beam)
+                    r, node, score = _found(shard, some, k, _width(len(shard["x"]), beam))
                     yield pa.RecordBatch.from_arrays([pa.array(q[a:b][r]), pa.array(shard["nodes"][node], pa.string()), pa.array(shard["least"][node]), pa.array(score)], ["q", "node", "least", "score"])
 
-    met = graphs.unionByName(asked, allowMissingColumns=True).repartition("dim", "shard", "block").sortWithinPartitions("dim", "shard", "block", "q")
+    met = graphs.unionByName(asked, allowMissingColumns=True).repartitionById((last + 1) * blocks, F.col("shard") * blocks + F.col("block")).sortWithinPartitions("dim", "shard", "block", "q")
     hits = met.mapInArrow(run, "q long, node string, least long, score double")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "least", "node")
     top = hits.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1).select("q", "node", "score")  # each task sends k + 1 rows of a query at most

@@ -310,6 +310,26 @@ def test_recall_on_vectors_of_any_norm():
         assert hits >= 0.9 * 2000
 
 
+def test_a_shard_is_indexed_and_searched_in_little_time():
+    """4000 unit vectors of 64 components, the hardest kind, half of them in clusters; queries that are rows of it and such that are not."""
+    import time
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x[2000:] = np.repeat(x[:40], 50, axis=0) + 0.1 * x[2000:]
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    q = np.concatenate([x[::20], rng.normal(size=(300, 64))])
+    began = time.thread_time()
+    lifted = ann._lifted(x, 1.0)
+    links, start = ann.build(lifted)
+    shard = {"x": x, "lifted": lifted, "links": links, "start": start, "least": np.arange(len(x))}
+    r, node, score = ann._found(shard, q, 19, ann._width(len(x), ann.SEARCH))
+    assert time.thread_time() - began < 4
+    assert np.bincount(links[links >= 0], minlength=len(x)).min() > 0  # every vector can be reached
+    assert np.allclose(score, (q[r] * x[node]).sum(axis=1), rtol=0, atol=1e-12)
+    assert sum(len(set(np.argsort(-x @ v)[:20]) & set(node[r == i])) for i, v in enumerate(q)) >= 0.95 * 20 * len(q)
+
+
 def test_nearest_rows_of_one_key_count_each(spark):
     rows = [(0, [1.0, 0.0]), (5, [2.0, 0.0]), (5, [-3.0, 1.0]), (7, [0.5, 0.0]), (7, [0.5, -0.0]), (20, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit("mine")).withColumn("node", F.lit(1))
